@@ -82,8 +82,11 @@ def time_window_filter(messages: DataFrame, after: str, before: str, ts: str = "
 
     Written as bounds on the timestamp itself, so that the scan can skip row groups.
     """
-    start = F.date_add(F.lit(after).cast("date"), 1).cast("timestamp")
-    return messages.where((F.col(ts) >= start) & (F.col(ts) < F.lit(before).cast("date").cast("timestamp")))
+    start = dt.date.fromisoformat(after) + dt.timedelta(days=1)
+    kind = messages.schema[ts].dataType
+    return messages.where(
+        (F.col(ts) >= F.lit(str(start)).cast(kind)) & (F.col(ts) < F.lit(before).cast(kind))
+    )
 
 
 def day_windows(messages: DataFrame, now: str, ts: str = "ts") -> DataFrame:
@@ -94,10 +97,7 @@ def day_windows(messages: DataFrame, now: str, ts: str = "ts") -> DataFrame:
     """
     today = dt.date.fromisoformat(now)
     first = today - dt.timedelta(days=MAX_DAYS)
-    in_reach = messages.where(
-        (F.col(ts) >= F.lit(first).cast("timestamp"))
-        & (F.col(ts) < F.lit(today + dt.timedelta(days=1)).cast("timestamp"))
-    )
+    in_reach = time_window_filter(messages, str(first), str(today + dt.timedelta(days=1)), ts)
     days = in_reach.groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
     def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
