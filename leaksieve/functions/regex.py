@@ -10,10 +10,13 @@ import json
 import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leaksieve.functions.text import sql_literal
+
 try:  # the parse tree of ``re`` is only used to speed scans up; without it rules run ungated
     from re import _constants as _sc
     from re import _parser as _sp
@@ -122,8 +125,7 @@ def java_form(pattern: str, unicode_classes: bool = True) -> str:
             elif e == "U":
                 out.append(r"\x{%s}" % pattern[i + 2 : i + 10])
                 i += 8
-            elif e == "0" or (in_class and e.isdigit()):
-                m = re.match(r"[0-7]{1,3}", pattern[i + 1 :])
+            elif m := re.match(r"0[0-7]{0,2}|[0-3][0-7]{2}" + ("|[0-7]{1,3}" if in_class else ""), pattern[i + 1 :]):
                 out.append(r"\x{%x}" % int(m[0], 8))
                 i += m.end() - 1
             else:
@@ -383,8 +385,12 @@ def _dispatch(alternatives: Mapping[str, str]) -> str:
 
 
 def ascii_folded(text: Column) -> Column:
-    """The text with every character that equals an ASCII letter, case ignored, turned into it."""
-    return F.when(text.rlike(f"[{_FOLDED[0]}]"), F.translate(text, *_FOLDED)).otherwise(text)
+    """The text with every character that equals an ASCII letter, case ignored, turned into it.
+
+    Such characters are rare: a text of as many bytes as characters has none, others are searched.
+    """
+    odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in _FOLDED[0]])
+    return F.when((F.octet_length(text) > F.length(text)) & odd, F.translate(text, *_FOLDED)).otherwise(text)
 
 
 @dataclass(frozen=True)
@@ -397,20 +403,27 @@ class Gate:
 
     def found(self, text: Column) -> Column:
         """Literals that occur in the text."""
-        folded = ascii_folded(text)
-        labels = F.array_distinct(F.regexp_extract_all(folded, F.lit(self.pattern), F.lit(1)))
         table = F.from_json(F.lit(json.dumps(self.by_label)), "map<string,array<string>>")
-        literals = F.flatten(F.transform(labels, lambda x: F.element_at(table, F.lower(x))))
-        return F.filter(literals, lambda x: F.contains(F.lower(folded), x))
 
-    def opens(self, key: int, found: Column) -> Column | None:
-        """Whether the rule has to be tried, or ``None`` when it always has to be."""
-        literals = self.by_rule.get(key)
-        if literals is None:
+        def literals(folded: Column) -> Column:
+            labels = F.array_distinct(F.regexp_extract_all(folded, F.lit(self.pattern), F.lit(1)))
+            return F.flatten(F.transform(labels, lambda x: F.element_at(table, F.lower(x))))
+
+        def confirmed(folded: Column) -> Column:
+            # one-element arrays bind a value once for all candidates
+            low = F.array(F.lower(folded))
+            return F.transform(low, lambda t: F.filter(literals(folded), lambda x: F.contains(t, x)))[0]
+
+        return F.transform(F.array(ascii_folded(text)), confirmed)[0]
+
+    def opens(self, key: int, found: str) -> str | None:
+        """SQL for whether the rule has to be tried, or ``None`` when it always has to be."""
+        literals = [sql_literal(x) for x in self.by_rule.get(key, ())]
+        if not literals:
             return None
         if len(literals) == 1:
-            return F.array_contains(found, literals[0])
-        return F.arrays_overlap(found, F.lit(list(literals)))
+            return f"array_contains({found}, {literals[0]})"
+        return f"arrays_overlap({found}, array({', '.join(literals)}))"
 
 
 def build_gate(required: Mapping[int, Iterable[str] | None]) -> Gate:

@@ -11,6 +11,12 @@ MOCK_WINDOW = 2000  # characters kept on each side of a mocked secret in a long
 MOCK_LIMIT = 10_000  # longest mocked text that is kept whole
 
 
+def sql_literal(value: str) -> str:
+    """A string as a literal of Spark SQL, whatever characters it holds."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024")
+    return f"'{escaped}'"
+
+
 def regex_group(text: Column, pattern: str | Column, group: int | Column) -> Column:
     """A group of the first match; pattern and group may be columns."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern

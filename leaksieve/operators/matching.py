@@ -7,13 +7,13 @@ so each is compiled once per task; the rule table is never joined with the texts
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaksieve.functions import regex as rx
 from leaksieve.functions import text as tx
+from leaksieve.functions.text import sql_literal as lit
 from leaksieve.operators.rules import Allowlist, Pattern, Rule, RuleSet
 from leaksieve.options import MatchOptions
 
@@ -25,34 +25,36 @@ _RULE_CONSTANTS = (
 )
 
 
-def _or(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+# Conditions of single rules are SQL strings: a chain of hundreds of rules is then parsed in a few
+# steps by the JVM, instead of being put together call by call.
 
 
-def _any_rlike(col: Column, patterns: list[str]) -> Column | None:
-    return _or([col.rlike(p) for p in patterns]) if patterns else None
+def _any(tests: list[str]) -> str | None:
+    return "(" + " OR ".join(tests) + ")" if tests else None
 
 
-def _any_contains(col: Column, words: tuple[str, ...]) -> Column | None:
-    return _or([tx.contains_ignore_case(col, w) for w in words]) if words else None
+def _any_rlike(on: str, patterns: list[str]) -> str | None:
+    return _any([f"{on} RLIKE {lit(p)}" for p in patterns])
 
 
-def _target(text: Column, pattern: Pattern, kind: str | None) -> Column:
+def _any_contains(on: str, words: tuple[str, ...]) -> str | None:
+    return _any([f"contains(lower({on}), lower({lit(w)}))" for w in words])
+
+
+def _target(text: str, pattern: Pattern, kind: str | None) -> str:
     """What an allow-list is tested on: the whole text, the match, or the line it starts on."""
     if kind in ("match", "secret"):
-        return tx.regex_group(text, pattern.java, 0)
+        return f"regexp_extract({text}, {lit(pattern.java)}, 0)"
     if kind == "line":
-        tail = tx.regex_group(text, rx.tail_form(pattern.java), 0)
-        prefix = tx.cut(text, F.lit(0), F.length(text) - F.length(tail))
-        return F.element_at(F.split(text, "\n", -1), tx.count_of(prefix, "\n") + 1)
+        tail = f"regexp_extract({text}, {lit(rx.tail_form(pattern.java))}, 0)"
+        prefix = f"substring({text}, 1, length({text}) - length({tail}))"
+        return f"element_at(split({text}, '\\n', -1), size(split({prefix}, '\\n', -1)))"
     return text
 
 
-def _suppressed(
-    rules: RuleSet, rule: Rule, pattern: Pattern, text: Column, url: Column, options: MatchOptions
-) -> Column | None:
+def _suppressed(rules: RuleSet, rule: Rule, pattern: Pattern, text: str, url: str, options: MatchOptions) -> str | None:
     """True where one of the rule's allow-lists is found anywhere in the text."""
-    tests: list[Column | None] = []
+    tests: list[str | None] = []
     for allow in rule.allowlists:
         if allow.applied or options.regex_target:
             on = _target(text, pattern, allow.regex_target if options.regex_target else None)
@@ -61,22 +63,22 @@ def _suppressed(
             tests.append(_any_rlike(url, rules.compile_all(allow.paths)))
         if options.stopword_filter:
             tests.append(_any_contains(_target(text, pattern, "match"), allow.stopwords))
-    tests = [t for t in tests if t is not None]
-    return _or(tests) if tests else None
+    return _any([t for t in tests if t])
 
 
 def _accepts(
-    rules: RuleSet, rule: Rule, pattern: Pattern, text: Column, url: Column, options: MatchOptions
-) -> Column:
-    """Whether the rule applies to the text and is not suppressed."""
-    accepted = text.rlike(pattern.java)
+    rules: RuleSet, rule: Rule, pattern: Pattern, opens: str | None, text: str, url: str, options: MatchOptions
+) -> str:
+    """Whether the rule applies to the text and is not suppressed, cheap tests first."""
+    tests = [opens]
     if options.path_filter and rule.path:
-        paths = rules.compile_all([rule.path])
-        accepted = (url.rlike(paths[0]) & accepted) if paths else F.lit(False)
+        tests.append(_any_rlike(url, rules.compile_all([rule.path])) or "false")
     if options.keyword_prefilter and rule.keywords:
-        accepted = _any_contains(text, rule.keywords) & accepted
-    suppressed = _suppressed(rules, rule, pattern, text, url, options)
-    return accepted if suppressed is None else accepted & ~suppressed
+        tests.append(_any_contains(text, rule.keywords))
+    tests.append(f"{text} RLIKE {lit(pattern.java)}")
+    if suppressed := _suppressed(rules, rule, pattern, text, url, options):
+        tests.append(f"NOT {suppressed}")
+    return " AND ".join(t for t in tests if t)
 
 
 def _gated(texts: DataFrame, patterns: list[Pattern], text_col: str, gate: bool) -> tuple[DataFrame, rx.Gate]:
@@ -92,22 +94,22 @@ def _gated(texts: DataFrame, patterns: list[Pattern], text_col: str, gate: bool)
     return texts.withColumn(_FOUND, built.found(F.col(text_col))), built
 
 
-def _branches(rules: RuleSet, text_col: str, gate: rx.Gate, patterns: list[Pattern], options: MatchOptions, url):
-    for i, (rule, pattern) in enumerate(zip(rules.rules, patterns)):
-        if pattern.java is None:
-            continue
-        accepted = _accepts(rules, rule, pattern, F.col(text_col), url, options)
-        opens = gate.opens(i, F.col(_FOUND))
-        yield i, accepted if opens is None else opens & accepted
+def _branches(
+    rules: RuleSet, patterns: list[Pattern], gate: rx.Gate, text: str, url: str, options: MatchOptions
+) -> list[tuple[int, str]]:
+    return [
+        (i, _accepts(rules, rule, pattern, gate.opens(i, _FOUND), f"`{text}`", url, options))
+        for i, (rule, pattern) in enumerate(zip(rules.rules, patterns))
+        if pattern.java is not None
+    ]
 
 
 def has_leak(texts: DataFrame, rules: RuleSet, text_col: str = "text", gate: bool = True) -> DataFrame:
     """Add ``has_leak``: some live rule is found and not suppressed."""
     patterns = rules.compiled()
     gated, built = _gated(texts, patterns, text_col, gate)
-    tests = [c for _, c in _branches(rules, text_col, built, patterns, MatchOptions(), F.lit(""))]
-    leak = F.coalesce(*[F.when(c, F.lit(True)) for c in tests], F.lit(False)) if tests else F.lit(False)
-    return gated.withColumn("has_leak", leak).drop(_FOUND)
+    branches = _branches(rules, patterns, built, text_col, "''", MatchOptions())
+    return _first_accepting(gated, branches).withColumn("has_leak", F.col(_ORD).isNotNull()).drop(_FOUND, _ORD)
 
 
 def first_match_rule(
@@ -119,14 +121,14 @@ def first_match_rule(
 ) -> DataFrame:
     """Keep the texts that some rule accepts, with the lowest accepting ``rule_ord``.
 
-    ``coalesce`` stops at the first accepting rule, and a suppressed rule lets the next one try.
+    ``CASE`` stops at the first accepting rule, and a suppressed rule lets the next one try.
     Dropping the other texts goes through ``explode`` on purpose: a filter on ``rule_ord`` would be
     pushed below the projection and the whole chain evaluated twice.
     """
     patterns = rules.compiled()
-    url = F.col("url") if "url" in texts.columns else F.lit("")
+    url = "`url`" if "url" in texts.columns else "''"
     gated, built = _gated(texts, patterns, text_col, gate)
-    branches = list(_branches(rules, text_col, built, patterns, options, url))
+    branches = _branches(rules, patterns, built, text_col, url, options)
     kept = _first_accepting(gated, branches).withColumn(
         "rule_ord", F.explode(F.array_compact(F.array(_ORD)))
     )
@@ -134,7 +136,7 @@ def first_match_rule(
     return kept.drop(_FOUND, _ORD).withColumn("_rule", rule)
 
 
-def _first_accepting(texts: DataFrame, branches: list[tuple[int, Column]]) -> DataFrame:
+def _first_accepting(texts: DataFrame, branches: list[tuple[int, str]]) -> DataFrame:
     """Add the number of the first condition that holds, or null.
 
     A long chain is laid out over several projections, each skipped once a rule was found. Spark
@@ -143,10 +145,11 @@ def _first_accepting(texts: DataFrame, branches: list[tuple[int, Column]]) -> Da
     if not branches:
         return texts.withColumn(_ORD, F.lit(None).cast("int"))
     for start in range(0, len(branches), _CHAIN):
-        part = F.coalesce(*[F.when(c, F.lit(i)) for i, c in branches[start : start + _CHAIN]])
+        cases = " ".join(f"WHEN {c} THEN {i}" for i, c in branches[start : start + _CHAIN])
+        part = f"CASE {cases} END"
         if start:
-            part = F.when(F.col(_ORD).isNotNull(), F.col(_ORD)).otherwise(part)
-        texts = texts.withColumn(_ORD, part)
+            part = f"CASE WHEN {_ORD} IS NOT NULL THEN {_ORD} ELSE {part} END"
+        texts = texts.withColumn(_ORD, F.expr(part))
     return texts
 
 
@@ -247,20 +250,20 @@ def entropy_filter(matched: DataFrame) -> DataFrame:
 
 def global_path_exclude(texts: DataFrame, rules: RuleSet) -> DataFrame:
     """Drop texts whose url matches a globally excluded path."""
-    hit = _any_rlike(F.col("url"), rules.compile_all(rules.allowlist.paths))
-    return texts if hit is None else texts.where(~F.coalesce(hit, F.lit(False)))
+    hit = _any_rlike("`url`", rules.compile_all(rules.allowlist.paths))
+    return texts if hit is None else texts.where(f"NOT coalesce({hit}, false)")
 
 
 def global_regex_allowlist(matched: DataFrame, rules: RuleSet) -> DataFrame:
     """Drop matches whose secret matches a global allow-list pattern."""
-    hit = _any_rlike(F.col("secret"), rules.compile_all(rules.allowlist.regexes))
-    return matched if hit is None else matched.where(~hit)
+    hit = _any_rlike("secret", rules.compile_all(rules.allowlist.regexes))
+    return matched if hit is None else matched.where(f"NOT {hit}")
 
 
 def stopword_filter(matched: DataFrame, allowlist: Allowlist) -> DataFrame:
     """Drop matches whose secret contains a stop word."""
-    hit = _any_contains(F.col("secret"), allowlist.stopwords)
-    return matched if hit is None else matched.where(~hit)
+    hit = _any_contains("secret", allowlist.stopwords)
+    return matched if hit is None else matched.where(f"NOT {hit}")
 
 
 def scan_texts(

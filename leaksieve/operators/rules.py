@@ -6,8 +6,10 @@ import json
 import os
 import re
 import tomllib
+import warnings
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -53,6 +55,7 @@ class Pattern:
     reason: str = ""
 
 
+@lru_cache(maxsize=4 * MAX_RULES)
 def compile_pattern(regex: str, unicode_classes: bool = True) -> Pattern:
     """Hoist flags, check the pattern, translate it.
 
@@ -62,21 +65,26 @@ def compile_pattern(regex: str, unicode_classes: bool = True) -> Pattern:
     if not regex:
         return Pattern(None, reason="no regex")
     hoisted = rx.hoist_flags(regex)
-    candidate = rx.python_form(hoisted)
-    try:
-        compiled = re.compile(candidate)
-    except Exception as first:
+    compiled, error = _python_compile(hoisted)
+    if compiled is None:
         hoisted = "(?i)" + hoisted.replace("(?i)", "")
-        candidate = rx.python_form(hoisted)
-        try:
-            compiled = re.compile(candidate)
-        except Exception:
-            return Pattern(None, reason=f"invalid pattern: {first}")
+        compiled, _ = _python_compile(hoisted)
+    if compiled is None:
+        return Pattern(None, reason=f"invalid pattern: {error}")
     try:
         java = rx.java_form(hoisted, unicode_classes)
     except rx.UnsupportedPattern as error:
         return Pattern(None, reason=f"not supported: {error}")
-    return Pattern(java, compiled.groups, rx.required_literals(candidate))
+    return Pattern(java, compiled.groups, rx.required_literals(compiled.pattern))
+
+
+def _python_compile(pattern: str) -> tuple[re.Pattern | None, str]:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", FutureWarning)  # sets that may change meaning some day
+        try:
+            return re.compile(rx.python_form(pattern)), ""
+        except (re.error, OverflowError, RecursionError) as error:
+            return None, str(error)
 
 
 @dataclass(frozen=True)

@@ -59,6 +59,8 @@ class ScanOptions:
     tool_author: str = "leaksieve contributors"
     info_url: str = ""
     match: MatchOptions = field(default_factory=MatchOptions)
+    # spread the texts over this many tasks before matching; for inputs of fewer splits than cores
+    tasks: int | None = None
 
     def set(self, **changes) -> ScanOptions:
         """A copy with some options changed."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from leaksieve.operators import flatten as fl
 from leaksieve.operators.matching import scan_texts
 from leaksieve.operators.rules import RuleSet
 from leaksieve.options import ScanOptions
+from leaksieve.session import materialise
 
 
 def match_content(
@@ -24,13 +25,14 @@ def match_content(
     texts themselves are never shuffled. Rules limited to paths need the url beforehand.
     """
     comments = fl.skip_comments(comments, options.skip_comment) if comments is not None else None
+    spread = lambda t: t.repartition(options.tasks) if options.tasks else t
     m = options.match
     needs_url = m.path_filter or m.allowlist_paths or m.global_path_exclude
     label = options.config_label
     if comments is None or needs_url:
         texts = fl.drop_labelled_text(fl.flatten_fields(tickets, comments), label)
-        return scan_texts(texts, rules, m)
-    own = scan_texts(fl.drop_labelled_text(fl.flatten_fields(tickets), label), rules, m)
+        return scan_texts(spread(texts), rules, m)
+    own = scan_texts(spread(fl.drop_labelled_text(fl.flatten_fields(tickets), label)), rules, m)
     texts = comments.where(F.coalesce("text", F.lit("")) != "").select(
         *fl.KEY,
         F.lit("comments").alias("field"),
@@ -38,7 +40,7 @@ def match_content(
         F.col("item_ord").cast("bigint").alias("item_ord"),
         "text",
     )
-    found = scan_texts(fl.drop_labelled_text(texts, label), rules, m)
+    found = scan_texts(spread(fl.drop_labelled_text(texts, label)), rules, m)
     return own.unionByName(found.join(tickets.select(*fl.KEY, "url"), fl.KEY))
 
 
@@ -51,6 +53,14 @@ class Scan:
     matches: DataFrame
     options: ScanOptions
 
+    def materialise(self, path: str | None = None) -> Scan:
+        """Run the match once and keep its rows, so that several results share one pass.
+
+        The rows hold raw secrets: the folder, by default below ``spark.checkpoint.dir``, has to be
+        a restricted one.
+        """
+        return replace(self, matches=materialise(self.matches, "matches", path))
+
     @property
     def findings(self) -> DataFrame:
         built = fi.build_findings(self.matches, self.options.show_matched_secret)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators count on. A method above 8000 bytes of bytecode is never compiled by the
 # JVM's JIT, and the rule chain is far longer as one method: past the limit Spark evaluates the
@@ -16,6 +16,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.parser.escapedStringLiterals": "false",
 }
 
 
@@ -49,3 +50,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="leaksieve-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(frame: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write a table to shared storage and read it back.
+
+    For results that several outputs share: they are computed once, and a lost executor costs
+    only the tasks it was running.
+    """
+    path = path or scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

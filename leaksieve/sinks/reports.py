@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaksieve.options import ScanOptions
+from leaksieve.session import materialise
 
 # Fixed values of the report formats.
 SARIF_VERSION = "2.1.0"
@@ -66,7 +67,11 @@ def _stack(*parts: DataFrame) -> DataFrame:
 
 
 def write_document(document: DataFrame, path: str) -> str:
-    """Write (run, section, key, json) rows as text parts in order, entries parted by commas."""
+    """Write (run, section, key, json) rows as text parts in order, entries parted by commas.
+
+    Finding the first entries and sampling the order read the rows again, so they are stored first.
+    """
+    document = materialise(document, "document")
     # one row per section and run, a handful however many entries there are
     first = document.where("key <> ''").groupBy("run", "section").agg(F.min("key").alias("_first"))
     later = ((F.col("key") != "") & (F.col("key") != F.col("_first"))) | (
@@ -116,6 +121,7 @@ def _rule_fields(rules: DataFrame) -> list[str]:
 
 def report_json(findings: DataFrame, rules: DataFrame, path: str, options: ScanOptions = ScanOptions()) -> str:
     """Write the native report: tool, date, rules, and the findings keyed by id."""
+    findings = materialise(findings, "findings")
     now = dt.datetime.now(dt.timezone.utc)
     tool = {
         "name": options.tool_name,
@@ -263,6 +269,7 @@ def sarif_append_runs(
     older folder is only read, so that a lost task can be repeated.
     """
     spark = findings.sparkSession
+    findings = materialise(findings, "findings")
     old = spark.read.parquet(f"{old_path}/rows") if old_path else None
     number = old.agg(F.max("run")).first()[0] + 1 if old_path else 0
     rows = sarif_run(findings, rules, options, number)
