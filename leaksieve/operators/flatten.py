@@ -42,15 +42,12 @@ def flatten_fields(tickets: DataFrame, comments: DataFrame | None = None) -> Dat
     their ticket; the ticket's own texts are not part of that join.
     """
     present = [f for f in FIELD_ORDER if f in tickets.columns]
-    fields = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("field"), F.lit(FIELD_ORDER[f]).alias("field_ord"), F.col(f).alias("text")
-            )
-            for f in present
-        ]
-    )
-    own = tickets.select(*KEY, "url", F.inline(fields)).withColumn("item_ord", F.lit(0).cast("bigint"))
+    field = lambda f: [F.lit(f).alias("field"), F.lit(FIELD_ORDER[f]).alias("field_ord"), F.col(f).alias("text")]
+    if len(present) == 1:
+        own = tickets.select(*KEY, "url", *field(present[0]))
+    else:
+        own = tickets.select(*KEY, "url", F.inline(F.array(*[F.struct(*field(f)) for f in present])))
+    own = own.withColumn("item_ord", F.lit(0).cast("bigint"))
     columns = [*KEY, "url", "field", "field_ord", "item_ord", "text"]
     texts = own.select(columns)
     if comments is not None:
