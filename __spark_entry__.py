@@ -266,8 +266,8 @@ def _matches_sql(
  e AS (SELECT *, {by_rule(secrets)} AS secret, {by_rule(prefixes)} AS prefix, {by_rule(examples)} AS example,
   {by_rule(ids)} AS rule_id, {by_rule(descriptions)} AS rule_description, {by_rule(regexes)} AS rule_regex
   FROM m WHERE rule_ord IS NOT NULL),
- s AS (SELECT *, length(prefix) AS b, length(prefix) + length(secret) AS n,
-  length(prefix) - length(replace(prefix, chr(10), '')) + 1 AS line_number,
+ s AS (SELECT *, length(prefix)::int AS b, (length(prefix) + length(secret))::int AS n,
+  (length(prefix) - length(replace(prefix, chr(10), '')) + 1)::int AS line_number,
   replace(text, secret, example) AS whole FROM e),
  x AS (SELECT *,
   right(prefix, 20) || '<REDACTED>' || substr(text, n + 1, 20) AS sanitized_secret,
@@ -342,7 +342,7 @@ def read_text_files(spark, d):
 
 @_query(
     """SELECT 'Jira' AS platform, 'DOC-' || doc_id AS issue_id, 'https://jira.example.com/browse/DOC-' || doc_id AS url,
- source AS title, text AS description FROM documents"""
+ source AS title, text AS description, doc_id::varchar AS comment_ref FROM documents"""
 )
 def norm_jira(spark, d):
     doc_id = F.col("doc_id").cast("string")

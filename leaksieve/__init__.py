@@ -3,7 +3,7 @@
 from leaksieve.catalogue import default_rules
 from leaksieve.operators.rules import RuleSet, load_rules, validate_rules
 from leaksieve.options import MatchOptions, ScanOptions
-from leaksieve.plans.scan import Scan, match_content, scan
+from leaksieve.plans.scan import Scan, match_content, read_platform, scan, scan_platform
 from leaksieve.session import build_session, configure, scratch_path
 from leaksieve.sinks.reports import save_report
 from leaksieve.sources.union import union_sources
@@ -18,8 +18,10 @@ __all__ = [
     "default_rules",
     "load_rules",
     "match_content",
+    "read_platform",
     "save_report",
     "scan",
+    "scan_platform",
     "scratch_path",
     "union_sources",
     "validate_rules",

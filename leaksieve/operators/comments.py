@@ -59,7 +59,8 @@ def comment_outbox(
         return rows.limit(0)
     if comments is None:
         return rows
-    warned = flag_already_warned(tickets.select(*KEY), comments, options.config_label).where("already_warned")
+    ids = tickets.select(*KEY, *[c for c in tickets.columns if c == "comment_ref"])
+    warned = flag_already_warned(ids, comments, options.config_label).where("already_warned")
     return rows.join(warned.select(*KEY), KEY, "left_anti")
 
 

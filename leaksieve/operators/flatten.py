@@ -12,15 +12,38 @@ KEY = ["platform", "issue_id"]
 FIELD_ORDER = {"title": 0, "description": 1, "comments": 2, "file": 3, "message": 4}
 
 
+def by_comment_key(tickets: DataFrame, *columns: str) -> DataFrame:
+    """Tickets under the key their comments use, with their own id as ``_own_id``."""
+    ref = F.coalesce("comment_ref", "issue_id") if "comment_ref" in tickets.columns else F.col("issue_id")
+    return tickets.select("platform", ref.alias("issue_id"), F.col("issue_id").alias("_own_id"), *columns)
+
+
+def _own_id(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("issue_id", F.col("_own_id")).drop("_own_id")
+
+
+def lookup_tickets(comment_rows: DataFrame, tickets: DataFrame, *columns: str) -> DataFrame:
+    """Rows that belong to comments, with columns and the id of their ticket.
+
+    An inner join: adaptive execution can split the rows of a ticket that has very many.
+    """
+    return _own_id(comment_rows.join(by_comment_key(tickets, *columns), KEY))
+
+
 def attach_comments(tickets: DataFrame, comments: DataFrame) -> DataFrame:
     """Tickets with their comments, one row per comment, in long form.
 
     A ticket without comments keeps one row whose ``comment`` is null. Comments are never gathered
     into an array: one ticket may hold a third of them all, and adaptive execution can split the
-    rows of such a ticket but not one value.
+    rows of such a ticket but not one value. It can do so in an inner join, not in an outer one,
+    hence the tickets without comments are a part of their own.
     """
+    rest = [c for c in tickets.columns if c not in (*KEY, "comment_ref")]
     items = comments.select(*KEY, "item_ord", F.col("text").alias("comment"))
-    return tickets.join(items, KEY, "left")
+    columns = [*KEY, *rest, "item_ord", "comment"]
+    some = lookup_tickets(items, tickets, *rest).select(columns)
+    none = _own_id(by_comment_key(tickets, *rest).join(comments.select(*KEY).distinct(), KEY, "left_anti"))
+    return some.unionByName(none.select(*KEY, *rest), allowMissingColumns=True)
 
 
 def explode_comments(tickets: DataFrame, comments: str | Column = "comments") -> DataFrame:
@@ -51,8 +74,8 @@ def flatten_fields(tickets: DataFrame, comments: DataFrame | None = None) -> Dat
     columns = [*KEY, "url", "field", "field_ord", "item_ord", "text"]
     texts = own.select(columns)
     if comments is not None:
-        urls = tickets.select(*KEY, "url")
-        items = comments.where(F.coalesce("text", F.lit("")) != "").join(urls, KEY).select(
+        written = comments.where(F.coalesce("text", F.lit("")) != "")
+        items = lookup_tickets(written, tickets, "url").select(
             *KEY,
             "url",
             F.lit("comments").alias("field"),
@@ -79,4 +102,6 @@ def flag_already_warned(tickets: DataFrame, comments: DataFrame, label: str) ->
         .groupBy(*KEY)
         .agg(F.lit(True).alias("already_warned"))
     )
-    return tickets.join(warned, KEY, "left").withColumn("already_warned", F.coalesce("already_warned", F.lit(False)))
+    known = by_comment_key(tickets, *[c for c in tickets.columns if c not in (*KEY, "comment_ref")])
+    marked = known.join(warned, KEY, "left")
+    return _own_id(marked.withColumn("already_warned", F.coalesce("already_warned", F.lit(False))))

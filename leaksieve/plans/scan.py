@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaksieve.operators import comments as cm
 from leaksieve.operators import findings as fi
 from leaksieve.operators import flatten as fl
+from leaksieve.operators import scope as sc
 from leaksieve.operators.matching import scan_texts
 from leaksieve.operators.rules import RuleSet
 from leaksieve.options import ScanOptions
 from leaksieve.session import materialise
+from leaksieve.sources.files import read_text_files
+from leaksieve.sources.trackers import norm_zendesk
+from leaksieve.sources.union import COMMENTS, PLATFORMS, empty_tickets, platform_key
 
 
 def match_content(
@@ -41,7 +46,7 @@ def match_content(
         "text",
     )
     found = scan_texts(spread(fl.drop_labelled_text(texts, label)), rules, m)
-    return own.unionByName(found.join(tickets.select(*fl.KEY, "url"), fl.KEY))
+    return own.unionByName(fl.lookup_tickets(found, tickets, "url"))
 
 
 @dataclass(frozen=True)
@@ -84,3 +89,50 @@ def scan(
 ) -> Scan:
     """Plan a scan. Nothing runs until a result is written or collected."""
     return Scan(tickets, comments, match_content(tickets, comments, rules, options), options)
+
+
+def read_platform(
+    spark: SparkSession,
+    target: str,
+    options: ScanOptions = ScanOptions(),
+    export: DataFrame | None = None,
+    scope_map: DataFrame | None = None,
+) -> DataFrame:
+    """The tickets of one platform that the options ask for.
+
+    A query in ``options.scope`` is a predicate on the export's columns and falls back to everything
+    if nothing satisfies it. ``scope_map`` lists containers by the export's column names, from the
+    top; with a scope such as ``2/5`` only that part of the map is scanned.
+    """
+    key = platform_key(target)
+    if key is None or (export is None and key != "local"):
+        return empty_tickets(spark)
+    if key == "local":
+        export = read_text_files(spark, options.scan_path) if export is None else export
+    if key in ("github", "gitlab"):
+        export = sc.branch_filter(sc.owner_repo_filter(export, options.owner, options.repo), options.branch)
+    if sc.scope_query(options.scope):
+        export = sc.scope_filter_or_all(export, options.scope)
+    elif scope_map is not None:
+        if part := re.fullmatch(r"(\d+)/(\d+)", options.scope or ""):
+            scope_map = sc.scope_chunk(scope_map, int(part[1]), int(part[2]))
+        export = sc.scope_semi_join(export, scope_map, scope_map.columns)
+    if key == "zendesk":
+        return norm_zendesk(export, options.server)
+    return PLATFORMS[key][1](export)
+
+
+def scan_platform(
+    spark: SparkSession,
+    target: str,
+    rules: RuleSet,
+    options: ScanOptions = ScanOptions(),
+    export: DataFrame | None = None,
+    comments: DataFrame | None = None,
+    scope_map: DataFrame | None = None,
+) -> Scan:
+    """Plan the scan of one platform's exported records, or of a folder for ``local``."""
+    tickets = read_platform(spark, target, options, export, scope_map)
+    normalise = COMMENTS.get(platform_key(target) or "")
+    notes = normalise(comments) if normalise and comments is not None else None
+    return scan(tickets, notes, rules, options)

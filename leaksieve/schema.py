@@ -7,11 +7,12 @@ RAW_DATA = (
     "timestamp:string,slack_type:string>"
 )
 
-# One row per ticket, file or message. Comments live in their own table (COMMENTS), so that a
+# One row per ticket, file or message. ``comment_ref`` is the id its comments know it by, where that
+# is not ``issue_id``. Comments live in their own table (COMMENTS), so that a
 # ticket with a huge discussion never becomes one huge row.
 TICKETS = (
     "platform string, issue_id string, url string, title string, description string, "
-    f"message string, file string, raw_data {RAW_DATA}"
+    f"message string, file string, raw_data {RAW_DATA}, comment_ref string"
 )
 COMMENTS = "platform string, issue_id string, item_ord bigint, text string"
 

@@ -29,14 +29,20 @@ def _comments(rows: DataFrame, platform: str, issue_id: Column, text: Column, or
 
 
 def norm_jira(issues: DataFrame) -> DataFrame:
+    """Issues are known by their key; comments point at the internal id, kept as ``comment_ref``."""
     url = F.concat(F.substring_index("self", "/rest/api", 1), F.lit("/browse/"), F.col("key"))
-    return _tickets(issues, "Jira", F.col("key"), url, F.col("summary"), F.col("description"))
+    return issues.select(
+        F.lit("Jira").alias("platform"),
+        F.col("key").alias("issue_id"),
+        url.alias("url"),
+        F.col("summary").alias("title"),
+        "description",
+        F.col("id").cast("string").alias("comment_ref"),
+    )
 
 
-def norm_jira_comments(comments: DataFrame, issues: DataFrame) -> DataFrame:
-    """Comments point at the internal issue id; tickets are known by their key."""
-    keys = issues.select(F.col("id").alias("issue_id"), "key")
-    return _comments(comments.join(keys, "issue_id"), "Jira", F.col("key"), F.col("body"))
+def norm_jira_comments(comments: DataFrame) -> DataFrame:
+    return _comments(comments, "Jira", F.col("issue_id"), F.col("body"))
 
 
 def norm_wiki(pages: DataFrame) -> DataFrame:

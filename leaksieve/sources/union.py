@@ -23,6 +23,15 @@ PLATFORMS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "slack": ("Slack", trackers.norm_chat),
 }
 
+COMMENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "jira": trackers.norm_jira_comments,
+    "confluence": trackers.norm_wiki_comments,
+    "linear": trackers.norm_linear_comments,
+    "asana": trackers.norm_asana_comments,
+    "wrike": trackers.norm_wrike_comments,
+    "zendesk": trackers.norm_zendesk_comments,
+}
+
 
 def platform_key(name: str) -> str | None:
     """Canonical name of a platform, ``None`` if unknown; no name at all means Jira."""

@@ -13,6 +13,11 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+TYPES = {
+    "int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE",
+    "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+}
+
 
 def connect(sf_dir: str):
     import duckdb
@@ -38,6 +43,10 @@ def difference(con, sql: str, frame) -> str | None:
     names = [c[0] for c in result.description]
     if sorted(names) != sorted(frame.columns):
         return f"columns {sorted(frame.columns)} / {sorted(names)}"
+    types = {c[0]: str(c[1]).split("(")[0].upper() for c in result.description}
+    for field in frame.schema.fields:
+        if TYPES.get(field.dataType.simpleString()) != types[field.name]:
+            return f"type of {field.name}: {field.dataType.simpleString()} / {types[field.name]}"
     order = sorted(names)
     want = sorted((tuple(plain(r[names.index(c)]) for c in order) for r in result.fetchall()), key=repr)
     got = sorted((tuple(plain(r[c]) for c in order) for r in frame.collect()), key=repr)

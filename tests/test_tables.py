@@ -4,14 +4,14 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from leaksieve import ScanOptions, scan
+from leaksieve import ScanOptions, scan, scan_platform
 from leaksieve.functions import text as tx
 from leaksieve.operators import comments as cm
 from leaksieve.operators import findings as fi
 from leaksieve.operators import flatten as fl
 from leaksieve.operators import scope as sc
 from leaksieve.operators.rules import RuleSet
-from leaksieve.sources import files, trackers
+from leaksieve.sources import files
 from leaksieve.sources.union import platform_key, union_sources
 
 RULES = RuleSet.from_dict({"rules": [{"id": "r", "description": "d", "regex": "AB[0-9]{4}", "example": "AB0000"}]})
@@ -159,14 +159,51 @@ def test_code_host_bytes(spark):
     assert (b.url, b.file) == ("w/-/blob/main/p/x", "a�b")
 
 
-def test_jira_comments_find_their_key(spark):
+def test_jira_comments_find_their_ticket(spark):
+    """Comments know the internal id, findings the key."""
     issues = spark.createDataFrame(
-        [("10", "P-1", "https://j/rest/api/2/issue/10", "s", "d")],
+        [("10", "P-1", "https://j/rest/api/2/issue/10", "s", "d"), ("12", "P-2", "https://j/rest/api/2/issue/12", "s", "d")],
         "id string, key string, self string, summary string, description string",
     )
-    notes = spark.createDataFrame([("10", 0, "hi"), ("11", 0, "lost")], "issue_id string, ord int, body string")
-    assert trackers.norm_jira(issues).first().url == "https://j/browse/P-1"
-    assert [tuple(r) for r in trackers.norm_jira_comments(notes, issues).collect()] == [("Jira", "P-1", 0, "hi")]
+    notes = spark.createDataFrame(
+        [("10", 0, "x AB1234"), ("11", 0, "lost AB9999"), ("12", 0, "warned: LABEL")], "issue_id string, ord int, body string"
+    )
+    options = ScanOptions(config_label="label", post_comment=True)
+    result = scan_platform(spark, "jira_scan", RULES, options, issues, notes)
+    assert [(r.url, r.secret) for r in result.findings.collect()] == [("https://j/browse/P-1", "x <REDACTED>")]
+    assert [r.issue_id for r in result.outbox.collect()] == ["P-1"]
+    long = fl.attach_comments(result.tickets, result.comments)
+    assert sorted((r.issue_id, r.comment) for r in long.collect()) == [("P-1", "x AB1234"), ("P-2", "warned: LABEL")]
+
+
+def test_ticket_without_comments_keeps_a_row(spark):
+    long = fl.attach_comments(tickets(spark), comments(spark).where("issue_id <> '1'"))
+    got = sorted((r.issue_id, r.title, r.comment or "-") for r in long.collect())
+    assert got == [("1", "a title", "-"), ("2", "", "-"), ("2", "", "second AB5555"), ("3", "AB7777", "seen: bot-LABEL")]
+
+
+def test_scan_platform_scopes(spark, tmp_path):
+    rows = [("Own", f"Repo{i}", "h", "w", "main", "main", f"p{i}", b"AB%04d" % i) for i in range(4)]
+    export = spark.createDataFrame(
+        rows, "owner string, repo string, html_url string, web_url string, branch string, default_branch string, path string, content binary"
+    )
+    urls = lambda **o: sorted(
+        r.url for r in scan_platform(spark, "github", RULES, ScanOptions(**o), export).findings.collect()
+    )
+    assert urls(owner="own", repo="REPO2", branch="default") == ["h/blob/main/p2#L1"]
+    assert urls(scope="query: path = 'p1'") == ["h/blob/main/p1#L1"]
+    assert len(urls(scope="query: path = 'none'")) == 4 and urls(branch="dev") == []
+    listed = spark.createDataFrame([("Repo1", None), ("Repo3", "p3")], "repo string, path string")
+    parts = [
+        r.url
+        for i in (1, 2)
+        for r in scan_platform(spark, "github", RULES, ScanOptions(scope=f"{i}/2"), export, None, listed).findings.collect()
+    ]
+    assert sorted(parts) == ["h/blob/main/p1#L1", "h/blob/main/p3#L1"]
+    assert scan_platform(spark, "nowhere", RULES, ScanOptions(), export).findings.count() == 0
+    (tmp_path / "f.txt").write_text("\nAB1234")
+    local = scan_platform(spark, "local", RULES, ScanOptions(scan_path=str(tmp_path), tasks=2)).materialise()
+    assert [r.url for r in local.findings.collect()] == [f"{tmp_path}/f.txt#L2"]
 
 
 def test_platform_names(spark):
