@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leaksieve.session import materialise
+
 # Names a scope query may be introduced with.
 QUERY_TERMS = ("jql", "cql", "search", "query")
 LEVELS = ("l1", "l2", "l3", "l4")
@@ -164,7 +166,11 @@ def scope_semi_join(content: DataFrame, scope: DataFrame, keys: list[str], salts
     ``keys`` are the container levels from the top, in both tables. One pass over the content,
     with one flag per level. Joins above the last level are salted: a container may hold a third
     of the content, and its few rows in the map are simply repeated for every salt.
+
+    The map is stored first. Its size is then known when the joins are planned: a small map is
+    broadcast and the content stays where it is, a large one is joined by key.
     """
+    scope = materialise(scope.select(*keys).distinct(), "scope")
     last = keys[-1]
     marked = content.withColumn("_salt", F.pmod(F.xxhash64(last), F.lit(salts)).cast("int"))
     flags = []
@@ -180,7 +186,7 @@ def scope_semi_join(content: DataFrame, scope: DataFrame, keys: list[str], salts
             )
             on = [*path, "_salt"]
         else:
-            listed, on = listed.select(*path).distinct(), path
+            listed, on = listed.select(*path), path
         marked = marked.join(listed.withColumn(flag, F.lit(True)), on, "left")
         flags.append(flag)
     return marked.where(F.coalesce(*flags)).select(*content.columns)

@@ -9,6 +9,7 @@ from leaksieve.functions import text as tx
 from leaksieve.operators import comments as cm
 from leaksieve.operators import findings as fi
 from leaksieve.operators import flatten as fl
+from leaksieve.operators import matching as mt
 from leaksieve.operators import scope as sc
 from leaksieve.operators.rules import RuleSet
 from leaksieve.sources import files
@@ -244,6 +245,31 @@ def test_map_container_without_children_means_all(spark):
     assert got == [("a", "1"), ("a", "2"), ("a", "3"), ("b", "2")]
 
 
+def test_a_small_map_leaves_the_content_in_place(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("source", "lang", "text")
+    scope = docs.where("lang = 'en'").groupBy("source").agg(F.max("lang").alias("lang"))
+    plan = sc.scope_semi_join(docs, scope, ["source", "lang"])._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+def test_a_hot_key_reduces_before_the_shuffle(spark):
+    """Most rows share one id: tasks hand over one row each, not the copies."""
+    rows = spark.range(0, 20_000, 1, 4).selectExpr(
+        "'Jira' as platform",
+        "if(id % 3 = 0, cast(id as string), 'hot') as issue_id",
+        "if(id % 3 = 0, concat('u', id), 'hot') as url",
+        "'title' as field",
+        "0 as field_ord",
+        "id as item_ord",
+        "concat('a AB', lpad(id % 10000, 4, '0')) as text",
+    )
+    found = fi.dedup_findings(fi.build_findings(mt.scan_texts(rows, RULES)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_min_by") > plan.index("Exchange hashpartitioning")
+    assert found.count() == 6_667 + 1
+    assert found.where("url = 'hot'").first().mocked_secret == "a AB0000"
+
+
 def test_chunks_are_disjoint_and_complete(spark):
     m = spark.range(500).selectExpr("concat('p', id % 37) as l1", "cast(id as string) as l2")
     whole = sorted(tuple(r) for r in m.collect())
