@@ -6,7 +6,7 @@ import datetime as dt
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leaksieve.options import ScanOptions
@@ -142,6 +142,51 @@ def report_json(findings: DataFrame, rules: DataFrame, path: str, options: ScanO
     return write_document(document, path)
 
 
+_RULE = "struct<id:string,description:string,regex:string,example:string>"
+_FINDING = (
+    "struct<id:string,url:string,secret:string,mocked_secret:string,details:struct<"
+    f"matched_regex_config:{_RULE},platform:string,ticket_field:string>>"
+)
+
+
+def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(findings, rules) of a native report: a document folder, or one JSON file ending in ``.json``."""
+    if path.endswith(".json"):
+        shape = f"findings map<string,{_FINDING}>, regex_config struct<rules:array<{_RULE}>>"
+        report = spark.read.schema(shape).option("multiLine", "true").json(path)
+        found = report.select(F.explode("findings").alias("_k", "f"))
+        rules = report.select(F.posexplode("regex_config.rules").alias("rule_ord", "r"))
+    else:
+        # every entry stands on a line of its own
+        entry = F.regexp_replace("value", r'^,?("[0-9a-f]{64}":)?', "")
+        lines = spark.read.text(path).withColumn("_file", F.col("_metadata.file_path"))
+        found = lines.where(F.col("value").rlike('^,?"[0-9a-f]{64}":')).select(F.from_json(entry, _FINDING).alias("f"))
+        # the rules' order is that of the lines; a report holds at most MAX_RULES of them
+        place = Window.orderBy("_file", "_at")
+        listed = lines.where(F.col("value").rlike(r'^,?\{"id":')).select(
+            "_file", F.monotonically_increasing_id().alias("_at"), F.from_json(entry, _RULE).alias("r")
+        )
+        rules = listed.select((F.row_number().over(place) - 1).alias("rule_ord"), "r")
+    config = "f.details.matched_regex_config"
+    findings = found.select(
+        "f.id",
+        "f.url",
+        "f.secret",
+        "f.mocked_secret",
+        F.coalesce(f"{config}.id", F.lit("")).alias("rule_id"),
+        F.coalesce(f"{config}.description", F.lit("")).alias("rule_description"),
+        F.col("f.details.platform").alias("platform"),
+        F.col("f.details.ticket_field").alias("ticket_field"),
+    )
+    return findings, rules.select(F.col("rule_ord").cast("int").alias("rule_ord"), "r.*")
+
+
+def convert_report(spark: SparkSession, path: str, target: str, options: ScanOptions) -> str:
+    """Turn a native report into the format the options name."""
+    findings, rules = read_report(spark, path)
+    return save_report(findings, rules, target, options)
+
+
 def _order_key() -> Column:
     return F.format_string("%010d", F.col("rule_ord"))
 

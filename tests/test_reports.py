@@ -28,6 +28,24 @@ def test_native_report_is_one_document(spark, found, tmp_path):
     assert doc["tool"]["scan_arguments"]["scan_comment"] is True
 
 
+def test_native_report_reads_back_and_converts(spark, found, tmp_path):
+    path = save_report(found, RULES.to_df(spark), f"{tmp_path}/n")
+    single = tmp_path / "report.json"
+    single.write_text(rp.read_document(spark, path).first().document)
+    want = sorted(map(tuple, found.select("id", "url", "secret", "mocked_secret", "rule_id", "ticket_field").collect()))
+    for source in (path, str(single)):
+        findings, rules = rp.read_report(spark, source)
+        got = findings.select("id", "url", "secret", "mocked_secret", "rule_id", "ticket_field")
+        assert sorted(map(tuple, got.collect())) == want
+        assert [(r.rule_ord, r.id, r.regex) for r in rules.orderBy("rule_ord").collect()] == [
+            (0, "First", "zz"), (1, "r", "AB[0-9]{4}"),
+        ]
+    options = ScanOptions(report_format="sarif")
+    rp.convert_report(spark, path, f"{tmp_path}/converted", options)
+    doc = json.loads(rp.read_document(spark, f"{tmp_path}/converted/document").first().document)
+    assert len(doc["runs"][0]["results"]) == 40 and {r["ruleIndex"] for r in doc["runs"][0]["results"]} == {2}
+
+
 def test_gitlab_report(spark, found, tmp_path):
     path = save_report(found, RULES.to_df(spark), f"{tmp_path}/gl", ScanOptions(report_format="My-GitLab"))
     doc = json.loads(rp.read_document(spark, path).first().document)
