@@ -46,13 +46,19 @@ def count_of(text: Column, needle: str) -> Column:
 
 
 def shannon_entropy(text: Column) -> Column:
-    """Bits per character of the text's character distribution; 0 for an empty text."""
-    chars = F.split(text, "")
-    total = F.length(text).cast("double")
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / total
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(
-        F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
-    )
+    """Bits per character of the text's character distribution; 0 for an empty text.
+
+    The characters are bound once, as the one element of an array: a filter on the result may be
+    pushed below the projection that makes the text, which would then run again for every character.
+    """
+
+    def bits(chars: Column) -> Column:
+        share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)
+        return F.aggregate(
+            F.transform(F.array_distinct(chars), share), F.lit(0.0), lambda acc, p: acc - p * F.log2(p)
+        )
+
+    return F.transform(F.array(F.split(text, "")), bits)[0]
 
 
 def unix_newlines(text: Column) -> Column:

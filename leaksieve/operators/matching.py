@@ -105,11 +105,15 @@ def _branches(
 
 
 def has_leak(texts: DataFrame, rules: RuleSet, text_col: str = "text", gate: bool = True) -> DataFrame:
-    """Add ``has_leak``: some live rule is found and not suppressed."""
+    """Add ``has_leak``: some live rule is found and not suppressed.
+
+    The flag comes out of a generator, like the matches below: a filter on it stays above the chain.
+    """
     patterns = rules.compiled()
     gated, built = _gated(texts, patterns, text_col, gate)
     branches = _branches(rules, patterns, built, text_col, "''", MatchOptions())
-    return _first_accepting(gated, branches).withColumn("has_leak", F.col(_ORD).isNotNull()).drop(_FOUND, _ORD)
+    marked = _first_accepting(gated, branches)
+    return marked.withColumn("has_leak", F.explode(F.array(F.col(_ORD).isNotNull()))).drop(_FOUND, _ORD)
 
 
 def first_match_rule(

@@ -94,6 +94,12 @@ def test_has_leak(spark):
     assert got == {i: bool(t and plain_scan(RULES.rules, t)) for i, t in enumerate(CASES)}
 
 
+def test_filters_on_results_stay_above_the_chain(spark):
+    df = table(spark, CASES)
+    for kept in (mt.has_leak(df, RULES).where("has_leak"), mt.scan_texts(df, RULES).where("rule_id = 'r1' AND secret <> ''")):
+        assert kept._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_no_live_rule_finds_nothing(spark):
     dead = RuleSet((Rule("d", "(("),))
     assert mt.scan_texts(table(spark, CASES), dead).count() == 0
