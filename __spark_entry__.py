@@ -1214,9 +1214,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return _QUERIES["dedup_findings"](spark, SMOKE_DIR)
 
 
+def _training_data() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the training-data package; empty where that package is not installed."""
+    try:
+        import corpus_pipeline
+        from leaksieve.llm import queries as training
+    except ModuleNotFoundError as error:
+        if error.name not in ("corpus_pipeline", "leaksieve.llm"):
+            raise
+        return {}, {}
+    oracles = dict(training.ORACLES)
+    if corpus_pipeline.ORACLE_SQL:
+        oracles["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**training.QUERIES, "pipeline": corpus_pipeline.run}, oracles
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_training_data()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return {**_ORACLES, **_training_data()[1]}
