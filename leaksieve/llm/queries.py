@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leaksieve.llm import quality, secrets, sharding
+from leaksieve.llm import decontaminate, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+
+
 def op4_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, d, "documents"))
 
@@ -28,6 +32,7 @@ def op10_secret_scans(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op10_secret_scans": op10_secret_scans,
