@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leaksieve.llm import decontaminate, quality, secrets, sharding
+from leaksieve.llm import decontaminate, langid, packing, quality, secrets, sharding
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +22,10 @@ def op1_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
 
 
+def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return langid.identify_documents(_table(spark, d, "documents"))
+
+
 def op4_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, d, "documents"))
 
@@ -27,14 +34,20 @@ def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge_documents(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
 
+def op8_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, d, "documents"), TOKENIZER)
+
+
 def op10_secret_scans(spark: SparkSession, d: str) -> DataFrame:
     return secrets.scan_documents(_table(spark, d, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op2_language_id": op2_language_id,
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op10_secret_scans": op10_secret_scans,
 }
 ORACLES: dict[str, str] = {}
