@@ -16,7 +16,7 @@ columns are carried along except those of the result, which are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,9 @@ class TrainOptions:
 
 @dataclass(frozen=True)
 class LanguageSamples:
+    """Normalised text of each language, all of one length."""
+
     texts: dict[str, str]
-    _model: list = field(default_factory=list, compare=False, hash=False)
 
 
 def normalise(text: str) -> str:
@@ -59,7 +60,7 @@ def sample_texts(labelled: DataFrame, keys: list[str], options: TrainOptions = T
     draw = F.shiftrightunsigned(F.xxhash64(*keys, "text"), 11).cast("double") / float(1 << 53)
     rows = rows.select("lang", "text", draw.alias("_draw"))
     counts = labelled.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    thin = rows.join(F.broadcast(counts.limit(100_000)), "lang").where(F.col("_draw") * F.col("_n") < 4 * options.rows)
+    thin = rows.join(counts, "lang").where(F.col("_draw") * F.col("_n") < 4 * options.rows)
     order = Window.partitionBy("lang").orderBy("_draw", "text")
     chosen = thin.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= options.rows)
     cut = chosen.select("lang", "_at", F.substring("text", 1, options.chars).alias("text"))
@@ -125,8 +126,7 @@ class CrossParser:
             starts.append(row)
             for state, out in enumerate(moves):
                 for symbol, target in out.items():
-                    self.table[row + state, symbol] = row_of = starts[-1] + target
-                    assert row_of
+                    self.table[row + state, symbol] = row + target
             row += len(moves)
         self.starts = np.array(starts, dtype=np.int32)
         #: the state after a character that starts a phrase; an unknown one leaves the start state

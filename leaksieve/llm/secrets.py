@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leaksieve.session import materialise
+
 
 @dataclass(frozen=True)
 class SecretRule:
@@ -177,5 +179,6 @@ def secret_digest(found: DataFrame, path: Sequence[str] = ("doc_id",)) -> DataFr
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """Each document is a path with one version; the ledger starts empty."""
-    return secret_digest(path_findings(address(docs, ["doc_id"]), scan_unseen(docs)))
+    """Each document is a path with one version; the ledger starts empty and is stored before paths meet it."""
+    ledger = materialise(scan_unseen(docs), "ledger")
+    return secret_digest(path_findings(address(docs, ["doc_id"]), ledger))
