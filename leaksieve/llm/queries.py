@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leaksieve.llm import decontaminate, langid, packing, quality, secrets, sharding
+from leaksieve.llm import decontaminate, htmltext, langid, packing, quality, secrets, sharding
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -26,6 +26,10 @@ def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify_documents(_table(spark, d, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    return htmltext.extract_pages(_table(spark, d, "pages"))
+
+
 def op4_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, d, "documents"))
 
@@ -45,6 +49,7 @@ def op10_secret_scans(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
+    "op3_html_extraction": op3_html_extraction,
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
