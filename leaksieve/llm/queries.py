@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leaksieve.llm import decontaminate, htmltext, langid, packing, quality, secrets, sharding
+from leaksieve.llm import decontaminate, htmltext, jaccard, langid, packing, quality, secrets, sharding
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -42,6 +42,10 @@ def op8_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(_table(spark, d, "documents"), TOKENIZER)
 
 
+def op9_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.link_report(_table(spark, d, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, d: str) -> DataFrame:
     return secrets.scan_documents(_table(spark, d, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_scans": op10_secret_scans,
 }
 ORACLES: dict[str, str] = {}
