@@ -102,6 +102,120 @@ def occurring_twice(entries: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(meet, "id bigint, place bigint")
 
 
+#: how many different outer fingerprints of one inner a chunk sends; see ``compare``
+MOST_OUTER = 64
+OUTSIDE, COVERED, OPEN, COVERED_OPEN = 0, 1, 2, 3
+_PAIRS = "bucket int, done boolean, inner binary, outer binary, ids binary, tags binary, silent binary"
+
+
+def _pack_pairs(inner, outer, ids, tags, buckets: int) -> pa.RecordBatch:
+    order = np.lexsort((outer, inner))
+    inner, outer, ids, tags = inner[order], outer[order], ids[order], tags[order]
+    new_inner = np.ones(len(inner), dtype=bool)
+    new_inner[1:] = inner[1:] != inner[:-1]
+    first = new_inner.copy()
+    first[1:] |= outer[1:] != outer[:-1]
+    group = np.cumsum(first) - 1
+    sizes = np.bincount(group)
+    leaders = np.flatnonzero(first)
+    # different outers of one inner: beyond MOST_OUTER they stay open without asking
+    inner_of = (np.cumsum(new_inner) - 1)[leaders]
+    rank = np.arange(len(leaders)) - np.searchsorted(inner_of, inner_of)
+    many = np.bincount(inner_of)[inner_of] > MOST_OUTER
+    asks = ~many
+    tells = many & (rank < 2)  # so that other chunks learn of several outers
+    doubled = asks & (sizes > 1)
+    at = np.concatenate([leaders[asks], leaders[tells], leaders[doubled]])
+    silent = np.concatenate([np.zeros(asks.sum(), np.uint8), np.ones(tells.sum() + doubled.sum(), np.uint8)])
+    order = np.argsort(inner[at], kind="stable")
+    at, silent = at[order], silent[order]
+    bucket = ((inner[at] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    rows = []
+    for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        if hi > lo:
+            own = at[lo:hi]
+            rows.append((b, False, inner[own].tobytes(), outer[own].tobytes(), ids[own].tobytes(), tags[own].tobytes(), silent[lo:hi].tobytes()))
+    # answers that are known here: copies of a leader, and members of an inner with many outers
+    code = np.zeros(len(inner), np.uint8)
+    code[~first] = COVERED
+    own = np.flatnonzero(many)
+    code[leaders[own]] = np.where(sizes[own] > 1, COVERED_OPEN, OPEN)
+    told = np.flatnonzero(code)
+    if len(told):
+        where = int(inner[0] % np.uint64(buckets))
+        rows.append((where, True, b"", b"", ids[told].tobytes(), tags[told].tobytes(), code[told].tobytes()))
+    columns = list(zip(*rows)) if rows else [[]] * 7
+    kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 5)
+    names = ["bucket", "done", "inner", "outer", "ids", "tags", "silent"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+def compare(entries: DataFrame) -> DataFrame:
+    """``id, tag, code`` for entries with two fingerprints, an inner piece and an outer piece around it.
+
+    ``entries`` has ``id bigint, inner binary, outer binary, tags binary`` with 64-bit numbers. ``COVERED``: the
+    outer piece stands elsewhere too. ``OPEN``: only the inner one does. ``COVERED_OPEN``: covered, and the
+    one of its equals to be looked at more closely for the sake of the open ones. Others get no row.
+
+    An inner piece may be in a third of all texts with a different outer piece each time. A chunk that holds
+    more than ``MOST_OUTER`` of them calls them open on its own authority and tells others of two, so
+    no bucket gathers them all. An entry that is called open though its outer piece stands elsewhere
+    is decided by a later, finer comparison.
+    """
+    buckets = shuffle_buckets(entries.sparkSession)
+    kinds = (np.uint64, np.uint64, np.int64, np.int64)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple[list, ...] = ([], [], [], [])
+        size = 0
+        for batch in batches:
+            for k, one in enumerate(batch.column(0).to_pylist()):
+                inner, outer, tags = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in ((1, np.uint64), (2, np.uint64), (3, np.int64)))
+                for to, own in zip(kept, (inner, outer, np.full(len(inner), one, np.int64), tags)):
+                    to.append(own)
+                size += len(inner)
+                if size >= CHUNK:
+                    yield _pack_pairs(*map(np.concatenate, kept), buckets)
+                    kept, size = ([], [], [], []), 0
+        if size:
+            yield _pack_pairs(*map(np.concatenate, kept), buckets)
+
+    def meet(table: pa.Table) -> pa.Table:
+        done = np.asarray(table.column("done"))
+
+        def all_of(name: str, kind, chosen) -> np.ndarray:
+            column = table.column(name)
+            parts = [np.frombuffer(column[int(k)].as_buffer(), kind) for k in np.flatnonzero(chosen)]
+            return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+        inner, outer, ids, tags = (all_of(n, k, ~done) for n, k in zip(("inner", "outer", "ids", "tags"), kinds))
+        silent = all_of("silent", np.uint8, ~done)
+        order = np.lexsort((silent, outer, inner))
+        inner, outer, silent = inner[order], outer[order], silent[order]
+        new_inner = np.ones(len(order), dtype=bool)
+        new_inner[1:] = inner[1:] != inner[:-1]
+        first = new_inner.copy()
+        first[1:] |= outer[1:] != outer[:-1]
+        group = np.cumsum(first) - 1
+        run = np.cumsum(new_inner) - 1
+        twice = np.bincount(group)[group] > 1 if len(group) else first
+        several = np.bincount(run, weights=first)[run] > 1 if len(run) else first
+        code = np.where(twice, COVERED, OUTSIDE).astype(np.uint8)
+        code[several & first] = np.where(twice[several & first], COVERED_OPEN, OPEN)
+        told = (code > 0) & (silent == 0)
+        return pa.table(
+            {
+                "id": np.concatenate([ids[order][told], all_of("ids", np.int64, done)]),
+                "tag": np.concatenate([tags[order][told], all_of("tags", np.int64, done)]),
+                "code": np.concatenate([code[told], all_of("silent", np.uint8, done)]).astype(np.int32),
+            }
+        )
+
+    packed = entries.select("id", "inner", "outer", "tags").mapInArrow(send, _PAIRS)
+    return packed.groupBy("bucket").applyInArrow(meet, "id bigint, tag bigint, code int")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, component``: the smallest node each node of ``edges (a, b)`` is connected with.
 
