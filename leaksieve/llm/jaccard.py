@@ -390,10 +390,10 @@ def _sized(hashed: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, id, n_shingles, component_id``: one row per document.
+    """``key, id, n_shingles, component_id, component``: one row per document.
 
     ``id`` is a hash of the text; ``component_id`` is the smallest key that links reach, a document without
-    links being its own.
+    links being its own; ``component`` numbers the components.
     """
     body = F.coalesce("text", F.lit(""))
     hashed = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("id"), body.alias("text"))
@@ -417,6 +417,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         "id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"),
+        "component",
     )
 
 
@@ -428,11 +429,17 @@ def link_report(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest ``doc_id``, in the columns of ``docs``.
 
-    Repeated rows of that document and text count as one; documents without any word stay.
+    Several texts under that id: the one with the smallest hash stays. Repeated rows of a document and text
+    count as one. Documents without any word stay; a component without any id keeps one text.
     """
     linked = link_documents(docs)
-    first = linked.where("component_id is null or doc_id = component_id or n_shingles = 0")
-    first = first.select(F.col("doc_id").alias("_doc"), F.col("id").alias("_id"), (F.col("n_shingles") > 0).alias("_set"))
+    alike = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # at most a few rows of each component carry its smallest id
+    first = linked.where(alike & (F.col("n_shingles") > 0)).groupBy("doc_id", "component").agg(F.min("id").alias("id"))
+    first = first.select(F.col("doc_id").alias("_doc"), F.col("id").alias("_id")).distinct()
+    first = materialise(first, "kept")
     whole = docs.withColumn("_id", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = whole.join(first.distinct(), (whole["_id"] == first["_id"]) & whole["doc_id"].eqNullSafe(first["_doc"]))
-    raise NotImplementedError
+    words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    some = whole.where(words).dropDuplicates(["doc_id", "_id"])
+    kept = some.join(first, some["doc_id"].eqNullSafe(first["_doc"]) & (some["_id"] == first["_id"]), "left_semi")
+    return kept.unionByName(whole.where(~words)).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leaksieve.llm import decontaminate, htmltext, jaccard, langid, packing, quality, repeats, secrets, sharding
+from leaksieve.llm import decontaminate, htmltext, jaccard, langid, lines, packing, quality, repeats, secrets, sharding
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -38,6 +38,10 @@ def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge_documents(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return lines.line_report(_table(spark, d, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, d, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_jaccard_join": op9_jaccard_join,
