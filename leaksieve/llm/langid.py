@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leaksieve.session import materialise
+
 BLOCK = 256
 LANES = 8192
 UNKNOWN = "und"
@@ -53,19 +55,19 @@ def normalise(text: str) -> str:
 def sample_texts(labelled: DataFrame, keys: list[str], options: TrainOptions = TrainOptions()) -> LanguageSamples:
     """Bounded samples from rows with ``text`` and ``lang``.
 
-    A language may hold most rows, so rows are thinned by their hash before they are ranked: about four
-    times ``rows`` of each language reach the ranking.
+    Rows are chosen by hash, without their texts: each task keeps ``rows`` of a language before anything is
+    shuffled. Texts are then read for the chosen rows only.
     """
     rows = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    draw = F.shiftrightunsigned(F.xxhash64(*keys, "text"), 11).cast("double") / float(1 << 53)
-    rows = rows.select("lang", "text", draw.alias("_draw"))
-    counts = labelled.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    thin = rows.join(counts, "lang").where(F.col("_draw") * F.col("_n") < 4 * options.rows)
-    order = Window.partitionBy("lang").orderBy("_draw", "text")
-    chosen = thin.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= options.rows)
-    cut = chosen.select("lang", "_at", F.substring("text", 1, options.chars).alias("text"))
+    rows = rows.withColumn("_draw", F.xxhash64(*keys, "text"))
+    order = Window.partitionBy("lang").orderBy("_draw")
+    chosen = rows.select("lang", "_draw").withColumn("_at", F.rank().over(order)).where(F.col("_at") <= options.rows)
+    # stored, so that its size is known and only small tables are broadcast
+    chosen = materialise(chosen.select("lang", "_draw").distinct(), "chosen")
+    chosen = rows.join(chosen, ["lang", "_draw"], "left_semi").dropDuplicates(["lang", "_draw"])
+    cut = chosen.select("lang", "_draw", F.substring("text", 1, options.chars).alias("text"))
     texts: dict[str, str] = {}
-    for row in sorted(cut.collect(), key=lambda r: (r.lang, r._at)):
+    for row in sorted(cut.collect(), key=lambda r: (r.lang, r._draw)):
         sofar = texts.get(row.lang, "")
         if len(sofar) < options.chars:
             texts[row.lang] = f"{sofar} {normalise(row.text)}"[: options.chars + 1]
