@@ -10,8 +10,7 @@ for each; the test sets of a pass are broadcast.
 
 Defined cases: a null or empty text has no words; an item without an id or without words is left out;
 items that share an id are one item; rows are judged one by one, so repeated rows and null ids need no
-care; an empty benchmark hits nothing; other columns are carried along, whatever their names, except
-those of the result, which are replaced.
+care; an empty benchmark hits nothing; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from leaksieve.llm.fmindex import FMIndex
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
-MARKS = ("n_words", "n_hit", "items", "hit_words")
+MARKS = ("__n_words", "__n_hit", "__items", "__hit_words")
 
 
 @dataclass
@@ -131,10 +130,9 @@ def _cut(data: np.ndarray, begin: np.ndarray, end: np.ndarray, hit: np.ndarray)
 
 
 def mark_hits(docs: DataFrame, benchmark: DataFrame, cut: bool = False, block_bytes: int = 32 << 20) -> DataFrame:
-    """Add ``n_words, n_hit, items`` and ``hit_words``, a bitmap of the hit words.
+    """Add ``MARKS``: the number of words, of hit words, the items found and a bitmap of the hit words.
 
-    With ``cut`` the text loses its hit spans instead, after the last block, and ``MARKS`` stay for
-    the caller to drop.
+    With ``cut`` the text loses its hit spans in the last pass.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null")
@@ -156,7 +154,7 @@ def _pass(docs: DataFrame, tests, cut: bool) -> DataFrame:
     schema = T.StructType([*kept, *(T.StructField(n, k) for n, k in zip(MARKS, kinds))])
     plain = [f.name for f in kept]
     at_text = plain.index("text")
-    again = "items" in docs.columns
+    again = MARKS[0] in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tests.value
@@ -213,11 +211,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     marked = mark_hits(docs.select("doc_id", "text"), benchmark)
     return marked.select(
         "doc_id",
-        "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        F.col("__n_words").alias("n_words"),
+        F.col("__n_hit").alias("n_hit"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
+        (F.col("__n_hit") > 0).alias("contaminated"),
     )
 
 
@@ -226,9 +224,9 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Documents that were nothing but passages go; a column ``n_chars`` follows the new text.
     """
-    cut = mark_hits(docs, benchmark, cut=True).where("n_hit < n_words or n_words = 0")
+    cut = mark_hits(docs, benchmark, cut=True).where("__n_hit < __n_words or __n_words = 0")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         fresh = F.char_length("text").cast(kind)
-        cut = cut.withColumn("n_chars", F.when(F.col("n_hit") > 0, fresh).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.col("__n_hit") > 0, fresh).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)

@@ -436,10 +436,10 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     alike = F.col("doc_id").eqNullSafe(F.col("component_id"))
     # at most a few rows of each component carry its smallest id
     first = linked.where(alike & (F.col("n_shingles") > 0)).groupBy("doc_id", "component").agg(F.min("id").alias("id"))
-    first = first.select(F.col("doc_id").alias("_doc"), F.col("id").alias("_id")).distinct()
+    first = first.select(F.col("doc_id").alias("__doc"), F.col("id").alias("__id")).distinct()
     first = materialise(first, "kept")
-    whole = docs.withColumn("_id", F.xxhash64(F.coalesce("text", F.lit(""))))
+    whole = docs.withColumn("__id", F.xxhash64(F.coalesce("text", F.lit(""))))
     words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    some = whole.where(words).dropDuplicates(["doc_id", "_id"])
-    kept = some.join(first, some["doc_id"].eqNullSafe(first["_doc"]) & (some["_id"] == first["_id"]), "left_semi")
+    some = whole.where(words).dropDuplicates(["doc_id", "__id"])
+    kept = some.join(first, some["doc_id"].eqNullSafe(first["__doc"]) & (some["__id"] == first["__id"]), "left_semi")
     return kept.unionByName(whole.where(~words)).select(*docs.columns)

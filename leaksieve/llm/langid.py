@@ -61,9 +61,9 @@ def sample_texts(labelled: DataFrame, keys: list[str], options: TrainOptions = T
     rows = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("_draw", F.xxhash64(*keys, "text"))
     order = Window.partitionBy("lang").orderBy("_draw")
-    chosen = rows.select("lang", "_draw").withColumn("_at", F.rank().over(order)).where(F.col("_at") <= options.rows)
+    chosen = rows.select("lang", "_draw").distinct().withColumn("_at", F.row_number().over(order))
     # stored, so that its size is known and only small tables are broadcast
-    chosen = materialise(chosen.select("lang", "_draw").distinct(), "chosen")
+    chosen = materialise(chosen.where(F.col("_at") <= options.rows).select("lang", "_draw"), "chosen")
     chosen = rows.join(chosen, ["lang", "_draw"], "left_semi").dropDuplicates(["lang", "_draw"])
     cut = chosen.select("lang", "_draw", F.substring("text", 1, options.chars).alias("text"))
     texts: dict[str, str] = {}
@@ -185,11 +185,13 @@ def parser(samples: dict[str, str]) -> CrossParser:
     return _PARSERS[key]
 
 
-def identify(docs: DataFrame, samples: LanguageSamples, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score``: by how much the best language beats the second, from 0 to 1."""
+def identify(
+    docs: DataFrame, samples: LanguageSamples, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """Add the language and a score: by how much the best language beats the second, from 0 to 1."""
     known = samples.texts
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+    added = [T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())]
+    kept = [f for f in docs.schema.fields if f.name not in into]
     at_text = [f.name for f in kept].index(text)
     schema = T.StructType([*kept, *added])
 
@@ -236,5 +238,6 @@ def identify_documents(docs: DataFrame, options: TrainOptions = TrainOptions())
 
 def keep_known_languages(docs: DataFrame, options: TrainOptions = TrainOptions()) -> DataFrame:
     """The documents in a language, in the columns of ``docs``; ``lang`` becomes the predicted one."""
-    named = identify(docs, language_samples(docs, options)).where(F.col("lang_pred") != UNKNOWN)
-    return named.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    named = identify(docs, language_samples(docs, options), into=("__lang", "__score"))
+    named = named.where(F.col("__lang") != UNKNOWN)
+    return named.withColumn("lang", F.col("__lang")).select(*docs.columns)

@@ -331,12 +331,12 @@ def drop_repeated_lines(docs: DataFrame, options: LineOptions = LineOptions()) -
     Documents that lose all their lines that count go.
     """
     decisions = materialise(line_decisions(docs, options).where(F.size("removed") > 0), "decisions")
-    decisions = decisions.select(F.col("ref").alias("_ref"), F.col("n_lines").alias("_lines"), F.col("removed").alias("_gone"))
-    joined = docs.withColumn("_ref", _ref()).join(decisions, "_ref", "left")
-    joined = joined.where(F.col("_gone").isNull() | (F.size("_gone") < F.col("_lines")))
-    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_gone", i))
-    joined = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    decisions = decisions.select(F.col("ref").alias("__ref"), F.col("n_lines").alias("__lines"), F.col("removed").alias("__gone"))
+    joined = docs.withColumn("__ref", _ref()).join(decisions, "__ref", "left")
+    joined = joined.where(F.col("__gone").isNull() | (F.size("__gone") < F.col("__lines")))
+    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__gone", i))
+    joined = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     if "n_chars" in docs.columns:
         size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        joined = joined.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(size))
+        joined = joined.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(size))
     return joined.select(*docs.columns)
