@@ -1140,12 +1140,18 @@ def scope_chunk(spark, d):
     return sc.scope_chunk(content, 2, 3, ["l1", "l2", "l3", "l4"])
 
 
-@_query(f"SELECT count(*) AS n, count(DISTINCT l4) AS n_distinct FROM ({PLACES_SQL})")
+@_query(
+    f"""WITH r AS (SELECT l3, l4, ('0x' || substr(md5(k), 1, 8))::bigint % 4096 AS b, length(k) + 1 AS s
+ FROM (SELECT l3, l4, coalesce(l3, chr(0)) || '/' || coalesce(l4, chr(0)) AS k FROM
+ (SELECT CASE WHEN l1 <> 'ASIA' THEN l3 END AS l3, l4 FROM ({PLACES_SQL})))),
+ z AS (SELECT b, sum(s) AS s FROM r GROUP BY b),
+ p AS (SELECT b, floor((sum(s) OVER (ORDER BY b) - s) * 3 / sum(s) OVER ())::int + 1 AS part FROM z)
+ SELECT l3, l4, part FROM r JOIN p USING (b)"""
+)
 def scope_chunk_balanced(spark, d):
-    content = _places(spark, d).select("l3", "l4")
-    parts = [sc.scope_chunk_balanced(content, i, 3, ["l3", "l4"]) for i in (1, 2, 3)]
-    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return whole.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l4").alias("n_distinct"))
+    places = _places(spark, d).select(F.when(F.col("l1") != "ASIA", F.col("l3")).alias("l3"), "l4")
+    parts = [sc.scope_chunk_balanced(places, i, 3, ["l3", "l4"]).withColumn("part", F.lit(i)) for i in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # streams

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 REDACTED = "<REDACTED>"
 WINDOW = 20  # characters kept on each side of a redacted secret
-MOCK_WINDOW = 2000  # characters kept on each side of a mocked secret in a long text
-MOCK_LIMIT = 10_000  # longest mocked text that is kept whole
 
 
 def sql_literal(value: str) -> str:
-    """A string as a literal of Spark SQL, whatever characters it holds."""
-    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024")
-    return f"'{escaped}'"
+    """A string as a literal of Spark SQL, whatever characters it holds.
+
+    Anything but plain letters and digits goes as bytes: how the parser reads backslashes in strings is up
+    to a session setting.
+    """
+    if value.isascii() and value.replace("_", "").replace(" ", "").isalnum():
+        return f"'{value}'"
+    return f"decode(X'{value.encode().hex()}', 'UTF-8')"
 
 
 def regex_group(text: Column, pattern: str | Column, group: int | Column) -> Column:

@@ -16,9 +16,10 @@ SEQ = ("platform", "issue_id", "field_ord", "item_ord")
 def finding_id(matches: DataFrame) -> DataFrame:
     """Add ``id``: a digest of the plain url and the redacted window.
 
-    Two secrets in equal surroundings at one url therefore share an id.
+    Two secrets in equal surroundings at one url therefore share an id. A null url counts as empty.
     """
-    return matches.withColumn("id", F.sha2(F.concat(F.col("url"), F.lit("_"), F.col("sanitized_secret")), 256))
+    url = F.coalesce("url", F.lit(""))
+    return matches.withColumn("id", F.sha2(F.concat(url, F.lit("_"), F.col("sanitized_secret")), 256))
 
 
 def source_url(url: Column, platform: Column, line: Column) -> Column:
@@ -43,7 +44,7 @@ def build_findings(
     seq = F.struct(*[F.col(c) if c in matches.columns else F.lit(0).alias(c) for c in SEQ]).alias("seq")
     columns = [
         F.col("id"),
-        source_url(F.col("url"), F.col("platform"), F.col("line_number")).alias("url"),
+        source_url(F.coalesce("url", F.lit("")), F.col("platform"), F.col("line_number")).alias("url"),
         reported_secret(show_matched_secret).alias("secret"),
         F.col("mocked_secret"),
         F.col("rule_id"),

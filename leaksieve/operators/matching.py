@@ -213,18 +213,18 @@ def snippet_window(matched: DataFrame, text_col: str = "text") -> DataFrame:
     return matched.withColumn("snippet_text", window)
 
 
-def mock_secret(matched: DataFrame, text_col: str = "text") -> DataFrame:
+def mock_secret(matched: DataFrame, text_col: str = "text", options: MatchOptions = MatchOptions()) -> DataFrame:
     """Add ``mocked_secret``: the text with every copy of the secret replaced by the rule's example.
 
-    A long result, or one that still shows the secret, shrinks to a window around the match.
+    A result longer than ``mock_limit``, or one that still shows the secret, shrinks to a window around the match.
     """
     text, example = F.col(text_col), F.col("_rule.example")
     whole = F.replace(text, F.col("secret"), example)
     begin, end = F.col("begin"), F.col("end")
     window = F.when(
         example == "", tx.window_around(text, begin, end, tx.WINDOW, F.lit(tx.REDACTED))
-    ).otherwise(tx.window_around(text, begin, end, tx.MOCK_WINDOW, example))
-    too_long = F.length("_whole") > tx.MOCK_LIMIT
+    ).otherwise(tx.window_around(text, begin, end, options.mock_window, example))
+    too_long = F.lit(False) if options.mock_limit is None else F.length("_whole") > options.mock_limit
     shows = tx.contains_ignore_case(F.col("_whole"), F.col("secret"))
     return (
         matched.withColumn("_whole", whole)
@@ -293,8 +293,9 @@ def scan_texts(
         m = global_regex_allowlist(m, rules)
     if options.stopword_filter:
         m = stopword_filter(m, rules.allowlist)
-    for step in (line_number, redact_window, snippet_window, mock_secret):
+    for step in (line_number, redact_window, snippet_window):
         m = step(m, text_col)
+    m = mock_secret(m, text_col, options)
     return (
         m.withColumn("rule_id", F.col("_rule.id"))
         .withColumn("rule_description", F.col("_rule.description"))

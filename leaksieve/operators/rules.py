@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from leaksieve import schema
 from leaksieve.functions import regex as rx
 
-MAX_RULES = 10_000  # rules become part of the query plan, so their number is bounded
-MAX_RULE_FILE_BYTES = 16 << 20
+MAX_RULES = 10_000  # most rules unless told otherwise: they become part of the query plan
+MAX_RULE_FILE_BYTES = 16 << 20  # largest rule file unless told otherwise: the driver reads it
 
 
 @dataclass(frozen=True)
@@ -119,22 +119,22 @@ class RuleSet:
         return spark.createDataFrame(rows, schema.RULES)
 
     @classmethod
-    def from_dict(cls, data: Mapping, **kwargs) -> RuleSet:
-        """Rules from a parsed rule file."""
+    def from_dict(cls, data: Mapping, max_rules: int = MAX_RULES, **kwargs) -> RuleSet:
+        """Rules from a parsed rule file; more than ``max_rules`` are an error."""
         if "rules" not in data:
             raise ValueError("a rule file needs a top-level list called 'rules'")
         rules = tuple(_rule(r) for r in data["rules"])
-        if len(rules) > MAX_RULES:
-            raise ValueError(f"more than {MAX_RULES} rules")
+        if len(rules) > max_rules:
+            raise ValueError(f"more than {max_rules} rules")
         return cls(rules, _allowlist(data.get("allowlist") or {}, False), **kwargs)
 
     @classmethod
-    def from_df(cls, rules: DataFrame, **kwargs) -> RuleSet:
+    def from_df(cls, rules: DataFrame, max_rules: int = MAX_RULES, **kwargs) -> RuleSet:
         """Rules from a table with at least ``id`` and ``regex``; ``rule_ord`` gives the order."""
         if "rule_ord" in rules.columns:
             rules = rules.orderBy("rule_ord")
-        rows = rules.limit(MAX_RULES + 1).collect()
-        return cls.from_dict({"rules": [r.asDict(recursive=True) for r in rows]}, **kwargs)
+        rows = rules.limit(max_rules + 1).collect()
+        return cls.from_dict({"rules": [r.asDict(recursive=True) for r in rows]}, max_rules, **kwargs)
 
 
 def _allowlist(data: Mapping, applied: bool) -> Allowlist:
@@ -166,12 +166,21 @@ def _rule(data: Mapping) -> Rule:
     )
 
 
-def load_rules(spark: SparkSession, path: str, unicode_classes: bool = True) -> RuleSet:
-    """Read a rule file: ``.yaml``, ``.json``, a ``.parquet`` table, or TOML for anything else."""
+def load_rules(
+    spark: SparkSession,
+    path: str,
+    unicode_classes: bool = True,
+    max_rules: int = MAX_RULES,
+    max_bytes: int = MAX_RULE_FILE_BYTES,
+) -> RuleSet:
+    """Read a rule file: ``.yaml``, ``.json``, a ``.parquet`` table, or TOML for anything else.
+
+    A file of more than ``max_bytes`` or ``max_rules`` is an error.
+    """
     kind = path.rstrip("/").lower()
     if kind.endswith(".parquet"):
-        return RuleSet.from_df(spark.read.parquet(path), unicode_classes=unicode_classes)
-    text = _read_small_file(spark, path)
+        return RuleSet.from_df(spark.read.parquet(path), max_rules, unicode_classes=unicode_classes)
+    text = _read_small_file(spark, path, max_bytes)
     if kind.endswith((".yaml", ".yml")):
         try:
             import yaml
@@ -182,36 +191,38 @@ def load_rules(spark: SparkSession, path: str, unicode_classes: bool = True) ->
         data = json.loads(text)
     else:
         data = tomllib.loads(text)
-    return RuleSet.from_dict(data or {}, unicode_classes=unicode_classes)
+    return RuleSet.from_dict(data or {}, max_rules, unicode_classes=unicode_classes)
 
 
-def _read_small_file(spark: SparkSession, path: str) -> str:
+def _read_small_file(spark: SparkSession, path: str, max_bytes: int) -> str:
     if os.path.exists(path):
-        if os.path.getsize(path) > MAX_RULE_FILE_BYTES:
+        if os.path.getsize(path) > max_bytes:
             raise ValueError("rule file too large")
         with open(path, encoding="utf-8") as f:
             return f.read()
     files = spark.read.format("binaryFile").load(path)
     row: Row = files.select("length").first()
-    if row.length > MAX_RULE_FILE_BYTES:
+    if row.length > max_bytes:
         raise ValueError("rule file too large")
     return bytes(files.select("content").first().content).decode("utf-8")
 
 
 def compile_rules(rules: DataFrame, unicode_classes: bool = True) -> DataFrame:
-    """Add ``pattern``, ``live`` and ``reason`` to a rule table of any size."""
+    """Add ``pattern``, ``live`` and ``reason`` to a rule table of any size; each distinct pattern is compiled once."""
 
     @F.pandas_udf("pattern string, reason string")
     def compiled(patterns: pd.Series) -> pd.DataFrame:
         out = [compile_pattern(p or "", unicode_classes) for p in patterns]
         return pd.DataFrame({"pattern": [o.java for o in out], "reason": [o.reason for o in out]})
 
+    known = rules.select(F.coalesce("regex", F.lit("")).alias("_regex")).distinct()
+    known = known.withColumn("_c", compiled("_regex"))
+    joined = rules.join(known, F.coalesce(rules["regex"], F.lit("")) == known["_regex"])
     return (
-        rules.withColumn("_c", compiled("regex"))
-        .withColumn("pattern", F.col("_c.pattern"))
+        joined.withColumn("pattern", F.col("_c.pattern"))
         .withColumn("live", F.col("_c.pattern").isNotNull())
         .withColumn("reason", F.col("_c.reason"))
-        .drop("_c")
+        .drop("_c", "_regex")
     )
 
 

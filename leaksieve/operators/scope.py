@@ -9,13 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leaksieve.session import materialise
-
 # Names a scope query may be introduced with.
 QUERY_TERMS = ("jql", "cql", "search", "query")
 LEVELS = ("l1", "l2", "l3", "l4")
 ONE_LEVEL_AT_ZERO = ("jira", "confluence")  # level 0 means the top level here, all levels elsewhere
-MAX_DAYS = 365 * 100  # time windows reach back this far, which bounds the table of days
+MAX_DAYS = 365 * 100  # how far time windows reach back unless told otherwise
 
 
 def scope_query(scope: str | None) -> tuple[str, str] | None:
@@ -39,13 +37,12 @@ def scope_filter(content: DataFrame, scope: str) -> DataFrame:
 def scope_filter_or_all(content: DataFrame, scope: str) -> DataFrame:
     """Like :func:`scope_filter`, but everything when nothing satisfies the predicate.
 
-    One plan: a single-row count of at most one hit decides the second half.
+    Whether anything does is a scalar subquery that stops at the first hit: the source is planned twice.
     """
     hit = _predicate(scope)
-    none = content.where(hit).select(F.lit(1)).limit(1).agg((F.count(F.lit(1)) == 0).alias("_none"))
-    # the right side is a global aggregate: exactly one row whatever the data
-    rest = content.join(F.broadcast(none.where("_none")), F.lit(True), "left_semi")
-    return content.where(hit).unionByName(rest)
+    first = content.where(hit).select(F.lit(1).alias("_hit")).limit(1)
+    nothing = first.agg(F.count(F.lit(1)).alias("_n")).scalar() == 0
+    return content.where(F.coalesce(hit, F.lit(False)) | nothing)
 
 
 def owner_repo_filter(files: DataFrame, owner: str | None = None, repo: str | None = None) -> DataFrame:
@@ -91,32 +88,36 @@ def time_window_filter(messages: DataFrame, after: str, before: str, ts: str = "
     )
 
 
-def day_windows(messages: DataFrame, now: str, ts: str = "ts") -> DataFrame:
+def day_windows(messages: DataFrame, now: str, ts: str = "ts", max_days: int = MAX_DAYS) -> DataFrame:
     """(window_id, start_day, end_day, n): windows from ``now`` back, both end days exclusive.
 
-    The width doubles while windows are empty and falls back to one day on a hit. Messages are
-    reduced to counts per day; the windows are then laid over at most a hundred years of days.
+    The width doubles while windows are empty and falls back to one day on a hit. Messages are reduced to
+    counts per day; the windows, each of which depends on the one before, are then laid by one task
+    over at most ``max_days`` rows. Messages outside that reach are counted in two rows of their own: window
+    -1 after ``now`` and -2 before the reach, each with one null end; they are there only if not empty.
     """
     today = dt.date.fromisoformat(now)
-    first = today - dt.timedelta(days=MAX_DAYS)
-    in_reach = time_window_filter(messages, str(first), str(today + dt.timedelta(days=1)), ts)
-    days = in_reach.groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    first = today - dt.timedelta(days=max_days)
+    day = F.to_date(ts)
+    reached = F.greatest(F.least(day, F.lit(today + dt.timedelta(days=1))), F.lit(first))
+    days = messages.where(day.isNotNull()).groupBy(reached.alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
     def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[dt.date, int] = {}
         for batch in batches:
             counts.update(zip(batch["day"], batch["n"]))
         rows, width, start, end, used = [], 1, today - dt.timedelta(days=1), today + dt.timedelta(days=1), 0
-        while used < MAX_DAYS:
+        later, before = counts.pop(today + dt.timedelta(days=1), 0), counts.pop(first, 0)
+        while used < max_days:
             covered = (start + dt.timedelta(days=k) for k in range(1, (end - start).days))
             n = sum(counts.get(day, 0) for day in covered)
             rows.append((len(rows), start, end, n))
             width = 1 if n else width * 2
             end, start = start + dt.timedelta(days=1), _back(start, width)
             used += width
+        rows += [(-1, today, None, later)] * bool(later) + [(-2, None, first + dt.timedelta(days=1), before)] * bool(before)
         yield pd.DataFrame(rows, columns=["window_id", "start_day", "end_day", "n"])
 
-    # one task, over at most MAX_DAYS rows by the filter and grouping above
     return days.coalesce(1).mapInPandas(lay, "window_id bigint, start_day date, end_day date, n bigint")
 
 
@@ -164,15 +165,12 @@ def scope_semi_join(content: DataFrame, scope: DataFrame, keys: list[str], salts
     """Content that a map lists; a container listed without children stands for all of it.
 
     ``keys`` are the container levels from the top, in both tables. One pass over the content,
-    with one flag per level. Joins above the last level are salted: a container may hold a third
-    of the content, and its few rows in the map are simply repeated for every salt.
-
-    The map is stored first. Its size is then known when the joins are planned: a small map is
-    broadcast and the content stays where it is, a large one is joined by key.
+    with one flag per level. Joins above the last level are salted by a hash of the whole row: a container
+    may hold a third of the content, and its few rows in the map are simply repeated for every salt.
+    Nothing is written: a map stored beforehand has a size that the planner knows.
     """
-    scope = materialise(scope.select(*keys).distinct(), "scope")
-    last = keys[-1]
-    marked = content.withColumn("_salt", F.pmod(F.xxhash64(last), F.lit(salts)).cast("int"))
+    scope = scope.select(*keys).distinct()
+    marked = content.withColumn("_salt", F.pmod(F.xxhash64(*content.columns), F.lit(salts)).cast("int"))
     flags = []
     for depth in range(1, len(keys) + 1):
         path, flag = keys[:depth], f"_in{depth}"
@@ -202,29 +200,26 @@ def scope_chunk(scope: DataFrame, index: int, parts: int, keys: list[str] | None
     return scope.where(bucket == index - 1)
 
 
-def scope_chunk_balanced(scope: DataFrame, index: int, parts: int, keys: list[str] | None = None) -> DataFrame:
-    """Part ``index`` of a map cut into runs of about equal JSON size, in key order.
+def scope_parts_balanced(scope: DataFrame, parts: int, keys: list[str] | None = None, buckets: int = 4096) -> DataFrame:
+    """Add ``part`` (from 1): parts of about equal size in characters, whatever containers hold.
 
-    Two passes: sizes per leading container, then a running total over the containers only.
+    Rows fall into hash buckets of their whole key, nulls included; buckets are dealt to parts in order by a
+    running total of their sizes, a table of at most ``buckets`` rows.
     """
     keys = keys or scope.columns
-    lead = keys[0]
-    size = F.length(F.to_json(F.struct(*keys)))
-    sizes = scope.groupBy(lead).agg(F.sum(size).alias("_size"))
-    # a running total in buckets of containers: no single task sees more than one bucket
-    buckets = sizes.withColumn("_b", F.substring(F.md5(F.col(lead).cast("string")), 1, 3))
-    per_bucket = buckets.groupBy("_b").agg(F.sum("_size").alias("_bs"))  # at most 4096 rows
+    key = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
+    bucket = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % buckets
+    rows = scope.withColumn("_b", bucket).withColumn("_size", F.length(key) + 1)
+    sizes = rows.groupBy("_b").agg(F.sum("_size").alias("_size"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        "_b",
-        F.coalesce(F.sum("_bs").over(before), F.lit(0)).alias("_off"),
-        F.sum("_bs").over(Window.partitionBy()).alias("_total"),
-    )
-    inside = Window.partitionBy("_b").orderBy(lead).rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        buckets.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), "_b")
-        .select(lead, F.floor((F.col("_off") + F.col("_in")) * parts / F.col("_total")).alias("_part"))
-    )
-    mine = placed.where(F.col("_part") == index - 1).select(lead)
-    return scope.join(mine, lead, "left_semi")
+    start = F.coalesce(F.sum("_size").over(before), F.lit(0))
+    part = F.floor(start * parts / F.sum("_size").over(Window.partitionBy())) + 1
+    placed = sizes.select("_b", part.cast("int").alias("part"))
+    return rows.join(F.broadcast(placed), "_b").drop("_b", "_size")
+
+
+def scope_chunk_balanced(scope: DataFrame, index: int, parts: int, keys: list[str] | None = None) -> DataFrame:
+    """Part ``index`` (from 1) of a map cut into ``parts`` parts of about equal size."""
+    if not 1 <= index <= parts:
+        raise ValueError("the part must lie between 1 and the number of parts")
+    return scope_parts_balanced(scope, parts, keys).where(F.col("part") == index).select(*scope.columns)

@@ -27,6 +27,9 @@ class MatchOptions:
     global_path_exclude: bool = False
     global_regex_allowlist: bool = False
     stopword_filter: bool = False
+    #: longest mocked text that is kept whole (None: any), and what is kept on each side of the secret beyond it
+    mock_limit: int | None = 10_000
+    mock_window: int = 2000
 
     @classmethod
     def all(cls) -> MatchOptions:

@@ -87,7 +87,11 @@ def scan(
     rules: RuleSet,
     options: ScanOptions = ScanOptions(),
 ) -> Scan:
-    """Plan a scan. Nothing runs until a result is written or collected."""
+    """Plan a scan. Nothing runs until a result is written or collected.
+
+    With ``skip_comment`` no comment is seen at all, so none can say that a ticket was warned before.
+    """
+    comments = None if options.skip_comment else comments
     return Scan(tickets, comments, match_content(tickets, comments, rules, options), options)
 
 
@@ -135,4 +139,7 @@ def scan_platform(
     tickets = read_platform(spark, target, options, export, scope_map)
     normalise = COMMENTS.get(platform_key(target) or "")
     notes = normalise(comments) if normalise and comments is not None else None
+    if notes is not None and (scope_map is not None or sc.scope_query(options.scope)):
+        # comments outside the scope are dropped before any rule is tried on them
+        notes = notes.join(tickets.select(*fl.KEY).distinct(), list(fl.KEY), "left_semi")
     return scan(tickets, notes, rules, options)

@@ -16,7 +16,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    "spark.sql.parser.escapedStringLiterals": "false",
 }
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from leaksieve.functions import text as tx
 
-REPLACEMENT = "�"
+REPLACEMENT = "\ufffd"
+KEPT = "\ufdd0\ufdd1"  # noncharacters that stand for a genuine replacement character during the repair
 
 
 def _file_tickets(rows: DataFrame, platform: str, url: Column, text: Column) -> DataFrame:
@@ -32,9 +33,10 @@ def read_text_files(spark: SparkSession, path: str, pattern: str | None = None)
 
 
 def norm_github(files: DataFrame) -> DataFrame:
-    """Files of branches; bytes that are not UTF-8 are dropped from the text."""
+    """Files of branches; bytes that are not UTF-8 are dropped from the text, genuine U+FFFD stays."""
     url = F.concat("html_url", F.lit("/blob/"), "branch", F.lit("/"), "path")
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit(REPLACEMENT), F.lit(""))
+    repaired = F.make_valid_utf8(F.replace(F.col("content").cast("string"), F.lit(REPLACEMENT), F.lit(KEPT)))
+    text = F.replace(F.replace(repaired, F.lit(REPLACEMENT), F.lit("")), F.lit(KEPT), F.lit(REPLACEMENT))
     return _file_tickets(files, "GitHub", url, text)
 
 

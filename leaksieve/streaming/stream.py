@@ -30,7 +30,12 @@ def stream_dedup(findings: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
     return findings.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["id"])
 
 
-def stream_leak_rate(findings: DataFrame, width: str = "1 hour", ts: str = "ts") -> DataFrame:
-    """(window_start, rule_id, n): findings per rule in tumbling windows, in batch or stream."""
+def stream_leak_rate(findings: DataFrame, width: str = "1 hour", ts: str = "ts", delay: str = "1 day") -> DataFrame:
+    """(window_start, rule_id, n): findings per rule in tumbling windows, in batch or stream.
+
+    A stream closes a window, and forgets it, once event time is ``delay`` past its end.
+    """
+    if findings.isStreaming:
+        findings = findings.withWatermark(ts, delay)
     counts = findings.groupBy(F.window(ts, width).alias("_w"), "rule_id").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("_w.start").alias("window_start"), "rule_id", "n")
