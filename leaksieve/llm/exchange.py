@@ -7,7 +7,7 @@ twice at most, whatever its count, so no bucket ever grows with a hot one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from leaksieve.session import materialise
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19  # fingerprints that a task sorts at a time
 _SILENT = 0xFFFFFFFF  # place of an entry that needs no answer
 _PACKED = "bucket int, found boolean, fps binary, ids binary, places binary"
 
@@ -60,28 +60,28 @@ def _pack(fps: np.ndarray, ids: np.ndarray, places: np.ndarray, buckets: int) ->
     return pa.RecordBatch.from_arrays(arrays, names=["bucket", "found", "fps", "ids", "places"])
 
 
-def occurring_twice(entries: DataFrame) -> DataFrame:
-    """``id, place`` of every fingerprint that also stands elsewhere, from rows of ``id bigint, fps binary``.
+def occurring_twice(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
+    """``id, place`` of every fingerprint that also stands elsewhere.
 
-    ``fps`` holds unsigned 64-bit numbers; ``place`` is a fingerprint's index there. Ids need not be unique:
-    entries of equal ids count like any others.
+    ``read`` makes ids and arrays of unsigned 64-bit fingerprints from a batch of ``rows``; ``place`` is a
+    fingerprint's index in its array. Ids need not be unique: entries of equal ids count like any others.
     """
-    buckets = shuffle_buckets(entries.sparkSession)
+    buckets = shuffle_buckets(rows.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fps, ids, places, size = [], [], [], 0
+        kept: tuple[list, ...] = ([], [], [])
+        size = 0
         for batch in batches:
-            for one, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
-                fps.append(own)
-                ids.append(np.full(len(own), one, np.int64))
-                places.append(np.arange(len(own), dtype=np.uint32))
+            for one, own in read(batch):
+                columns = own, np.full(len(own), one, np.int64), np.arange(len(own), dtype=np.uint32)
+                for to, column in zip(kept, columns):
+                    to.append(column)
                 size += len(own)
                 if size >= CHUNK:
-                    yield _pack(np.concatenate(fps), np.concatenate(ids), np.concatenate(places), buckets)
-                    fps, ids, places, size = [], [], [], 0
+                    yield _pack(*map(np.concatenate, kept), buckets)
+                    kept, size = ([], [], []), 0
         if size:
-            yield _pack(np.concatenate(fps), np.concatenate(ids), np.concatenate(places), buckets)
+            yield _pack(*map(np.concatenate, kept), buckets)
 
     def meet(table: pa.Table) -> pa.Table:
         found = np.asarray(table.column("found"))
@@ -98,7 +98,7 @@ def occurring_twice(entries: DataFrame) -> DataFrame:
         places = np.concatenate([places[known], open_places[told]])
         return pa.table({"id": ids, "place": places.astype(np.int64)})
 
-    packed = entries.select("id", "fps").mapInArrow(send, _PACKED)
+    packed = rows.mapInArrow(send, _PACKED)
     return packed.groupBy("bucket").applyInArrow(meet, "id bigint, place bigint")
 
 
@@ -151,27 +151,26 @@ def _pack_pairs(inner, outer, ids, tags, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def compare(entries: DataFrame) -> DataFrame:
+def compare(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[tuple]]) -> DataFrame:
     """``id, tag, code`` for entries with two fingerprints, an inner piece and an outer piece around it.
 
-    ``entries`` has ``id bigint, inner binary, outer binary, tags binary`` with 64-bit numbers. ``COVERED``: the
-    outer piece stands elsewhere too. ``OPEN``: only the inner one does. ``COVERED_OPEN``: covered, and the
-    one of its equals to be looked at more closely for the sake of the open ones. Others get no row.
+    ``read`` makes ids and arrays ``inner, outer, tags`` of 64-bit numbers from a batch of ``rows``. ``COVERED``:
+    the outer piece stands elsewhere too. ``OPEN``: only the inner one does. ``COVERED_OPEN``: covered, and
+    the one of its equals to be looked at more closely for the sake of the open ones. Others get no row.
 
     An inner piece may be in a third of all texts with a different outer piece each time. A chunk that holds
     more than ``MOST_OUTER`` of them calls them open on its own authority and tells others of two, so
     no bucket gathers them all. An entry that is called open though its outer piece stands elsewhere
     is decided by a later, finer comparison.
     """
-    buckets = shuffle_buckets(entries.sparkSession)
+    buckets = shuffle_buckets(rows.sparkSession)
     kinds = (np.uint64, np.uint64, np.int64, np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple[list, ...] = ([], [], [], [])
         size = 0
         for batch in batches:
-            for k, one in enumerate(batch.column(0).to_pylist()):
-                inner, outer, tags = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in ((1, np.uint64), (2, np.uint64), (3, np.int64)))
+            for one, inner, outer, tags in read(batch):
                 for to, own in zip(kept, (inner, outer, np.full(len(inner), one, np.int64), tags)):
                     to.append(own)
                 size += len(inner)
@@ -212,7 +211,7 @@ def compare(entries: DataFrame) -> DataFrame:
             }
         )
 
-    packed = entries.select("id", "inner", "outer", "tags").mapInArrow(send, _PAIRS)
+    packed = rows.mapInArrow(send, _PAIRS)
     return packed.groupBy("bucket").applyInArrow(meet, "id bigint, tag bigint, code int")
 
 

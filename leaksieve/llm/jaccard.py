@@ -31,7 +31,8 @@ from leaksieve.llm.exchange import components, occurring_twice, shuffle_buckets
 from leaksieve.session import materialise
 
 WORDS = 5
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+OUT_ROWS = 1000  # rows of a batch that holds whole sets
 # 100 * intersection >= 80 * union, in whole numbers: FIVE * intersection >= FOUR * union
 FIVE, FOUR = 5, 4
 ROUNDS = 3  # hashes by which clusters are gathered
@@ -79,20 +80,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
                 yield hashes[:0]
 
 
-def _shown(docs: DataFrame) -> DataFrame:
-    """``id, n, fps``: the shingles a text shows to others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, shown = [], []
-            for tokens in shingle_sets(*ar.text_bytes(batch.column(1))):
-                sizes.append(len(tokens))
-                shown.append(tokens[: sampled_size(len(tokens))[0]].tobytes() if len(tokens) else b"")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(shown, pa.binary())], names=["id", "n", "fps"]
-            )
-
-    return docs.select("id", "text").mapInArrow(run, "id bigint, n bigint, fps binary")
+def _shown(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """The shingles that the texts of a batch of ``id, text`` show to others."""
+    for one, tokens in zip(batch.column(0).to_pylist(), shingle_sets(*ar.text_bytes(batch.column(1)))):
+        if len(tokens):
+            yield one, tokens[: sampled_size(len(tokens))[0]]
 
 
 def _required(n):
@@ -109,15 +101,17 @@ def _full_sets(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, tokens, keys = [], [], [[] for _ in salts]
-            for own in shingle_sets(*ar.text_bytes(batch.column(1))):
-                for key, salt in zip(keys, salts):
-                    key.append(int(ar.mix(own ^ salt).min()) >> 1 if len(own) else 0)
-                sizes.append(len(own))
-                tokens.append(own.tobytes())
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())]
-            columns += [pa.array(k, pa.int64()) for k in keys]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "tokens", *[f"k{r}" for r in range(ROUNDS)]])
+            for low in range(0, batch.num_rows, OUT_ROWS):
+                part = batch.slice(low, OUT_ROWS)
+                sizes, tokens, keys = [], [], [[] for _ in salts]
+                for own in shingle_sets(*ar.text_bytes(part.column(1))):
+                    for key, salt in zip(keys, salts):
+                        key.append(int(ar.mix(own ^ salt).min()) >> 1 if len(own) else 0)
+                    sizes.append(len(own))
+                    tokens.append(own.tobytes())
+                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())]
+                columns += [pa.array(k, pa.int64()) for k in keys]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "tokens", *[f"k{r}" for r in range(ROUNDS)]])
 
     return texts.select("id", "text").mapInArrow(run, SETS)
 
@@ -399,7 +393,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     hashed = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("id"), body.alias("text"))
     sized = materialise(_sized(hashed), "sized")
     # copies of a text answer alike, so their answers are divided by their number
-    answers = occurring_twice(_shown(hashed)).groupBy("id").agg(F.count(F.lit(1)).alias("answers"))
+    answers = occurring_twice(hashed.select("id", "text"), _shown).groupBy("id").agg(F.count(F.lit(1)).alias("answers"))
     texts = sized.where("n > 0").groupBy("id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     chosen = texts.join(answers, "id").where(F.col("answers") >= _required(F.col("n")) * F.col("copies"))
     chosen = materialise(chosen.select("id"), "chosen")

@@ -32,9 +32,9 @@ from leaksieve.llm.exchange import shuffle_buckets
 from leaksieve.llm.jaccard import FIVE, FOUR
 from leaksieve.session import materialise
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 BLOCK = 1 << 16
-PAIRS = 1 << 21  # pairs that are filtered at a time
+PAIRS = 1 << 20  # pairs that are filtered at a time
 
 
 @dataclass(frozen=True)

@@ -35,7 +35,6 @@ GRAM = 96
 REACH = WIDTH - GRAM  # window starts before a leading position that it can lead
 CELL = 8
 CHUNK_BYTES = 1 << 20
-ENTRIES = "id bigint, inner binary, outer binary, tags binary"
 
 
 def _keys(sums, low, high, start, stop):
@@ -94,61 +93,52 @@ def leading(data: np.ndarray, sums: np.ndarray, offsets: np.ndarray):
     return leader[begins], begins, np.flatnonzero(fresh_end)
 
 
-def _positions(texts: DataFrame) -> DataFrame:
-    """The entries of all leading positions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = ar.text_bytes(batch.column(1))
-            columns: list[list] = [[], [], []]
-            for low, high in ar.chunks(offsets, CHUNK_BYTES):
-                raw = data[offsets[low] : offsets[high]]
-                at = offsets[low : high + 1] - offsets[low]
-                sums = ar.prefix_sums(raw)
-                leader, first, last = leading(raw, sums, at)
-                row = np.searchsorted(at, first, side="right") - 1
-                start, stop = at[row], at[row + 1]
-                inner, outer = _keys(sums, leader - REACH, leader, start, stop)
-                tags = _tags(leader - start, first - start, last - start)
-                cuts = np.searchsorted(row, np.arange(high - low + 1))
-                for to, own in zip(columns, (inner, outer, tags)):
-                    to += [own[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, pa.binary()) for c in columns]], names=["id", "inner", "outer", "tags"]
-            )
-
-    return texts.select("id", "text").mapInArrow(run, ENTRIES)
+def _positions(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The entries of all leading positions in a batch of ``id, text``."""
+    ids = batch.column(0).to_pylist()
+    data, offsets = ar.text_bytes(batch.column(1))
+    for low, high in ar.chunks(offsets, CHUNK_BYTES):
+        raw = data[offsets[low] : offsets[high]]
+        at = offsets[low : high + 1] - offsets[low]
+        sums = ar.prefix_sums(raw)
+        leader, first, last = leading(raw, sums, at)
+        row = np.searchsorted(at, first, side="right") - 1
+        start, stop = at[row], at[row + 1]
+        inner, outer = _keys(sums, leader - REACH, leader, start, stop)
+        tags = _tags(leader - start, first - start, last - start)
+        cuts = np.searchsorted(row, np.arange(high - low + 1)).tolist()
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if b > a:
+                yield ids[low + k], inner[a:b], outer[a:b], tags[a:b]
+
+
+def _cells(cell: int):
+    """The entries of open stretches, cut into cells of ``cell`` starts, from a batch of ``id, text, open``."""
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple]:
+        data, offsets = ar.text_bytes(batch.column(1))
+        for k, (one, tags) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
+            raw = data[offsets[k] : offsets[k + 1]]
+            sums = ar.prefix_sums(raw)
+            high, first, last = _untag(np.asarray(tags.values, dtype=np.int64))
+            from_, to = (high - last) // cell, (high - first) // cell
+            counts = to - from_ + 1
+            which = np.repeat(np.arange(len(high)), counts)
+            step = from_[which] + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            upper = high[which] - cell * step
+            lower = upper - cell + 1
+            inner, outer = _keys(sums, lower, upper, 0, len(raw))
+            # two leading positions may share a cell of one text: their windows differ in their step
+            inner, outer = (ar.mix(x + step.astype(np.uint64) * ar.U64(0x9E3779B97F4A7C15)) for x in (inner, outer))
+            yield one, inner, outer, _tags(upper, np.maximum(first[which], lower), np.minimum(last[which], upper))
+
+    return read
 
 
 def _finer(texts: DataFrame, told: DataFrame, cell: int) -> DataFrame:
-    """Entries of the open stretches of ``told``, cut into cells of ``cell`` starts."""
+    """The open stretches of ``told``, compared cell by cell."""
     still = told.where(F.col("code").isin(OPEN, COVERED_OPEN)).groupBy("id").agg(F.collect_list("tag").alias("open"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = ar.text_bytes(batch.column(1))
-            columns: list[list] = [[], [], []]
-            for k, tags in enumerate(batch.column(2)):
-                raw = data[offsets[k] : offsets[k + 1]]
-                sums = ar.prefix_sums(raw)
-                high, first, last = _untag(np.asarray(tags.values, dtype=np.int64))
-                from_, to = (high - last) // cell, (high - first) // cell
-                counts = to - from_ + 1
-                which = np.repeat(np.arange(len(high)), counts)
-                step = from_[which] + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                upper = high[which] - cell * step
-                lower = upper - cell + 1
-                inner, outer = _keys(sums, lower, upper, 0, len(raw))
-                # two leading positions may share a cell of one text: their windows differ in their step
-                inner, outer = (ar.mix(x + step.astype(np.uint64) * ar.U64(0x9E3779B97F4A7C15)) for x in (inner, outer))
-                own = _tags(upper, np.maximum(first[which], lower), np.minimum(last[which], upper))
-                for column, values in zip(columns, (inner, outer, own)):
-                    column.append(values.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, pa.binary()) for c in columns]], names=["id", "inner", "outer", "tags"]
-            )
-
-    return texts.join(still, "id").select("id", "text", "open").mapInArrow(run, ENTRIES)
+    return compare(texts.join(still, "id").select("id", "text", "open"), _cells(cell))
 
 
 def _store_texts(docs: DataFrame) -> DataFrame:
@@ -164,9 +154,9 @@ def _store_texts(docs: DataFrame) -> DataFrame:
 
 def find_repeats(texts: DataFrame) -> DataFrame:
     """``id, first, stop`` in bytes: covered stretches of distinct texts ``id, text``; they may overlap."""
-    rounds = [materialise(compare(_positions(texts)), "told")]
+    rounds = [materialise(compare(texts.select("id", "text"), _positions), "told")]
     for cell in (CELL, 1):
-        rounds.append(materialise(compare(_finer(texts, rounds[-1], cell)), "told"))
+        rounds.append(materialise(_finer(texts, rounds[-1], cell), "told"))
     told = rounds[0]
     for more in rounds[1:]:
         told = told.unionByName(more)
