@@ -1,19 +1,24 @@
 """Rule patterns: flag hoisting, Python-to-Java dialect, required literals, keyword gate.
 
 Rule files are written for Python's ``re``; Spark runs ``java.util.regex``. Everything in this
-module works on a few hundred short pattern strings on the driver. The texts never pass here.
+module works on a few hundred short pattern strings on the driver, but for ``python_search`` and
+``python_span``: patterns that could overflow the JVM's stack are run by Python's engine, in Arrow
+batches and on texts whose gate opened.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import warnings
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leaksieve.functions.text import sql_literal
 
@@ -347,6 +352,85 @@ def _shorten(literal: str) -> str:
     return literal[start : start + 8]
 
 
+# --- patterns that the JVM's engine cannot run on every text -----------------------------------
+
+_DEEP = 64  # repeats of a group that the JVM may nest without harm
+_CLOSED = re.compile(r"[*+]|\{(\d*)(,?)(\d*)\}")
+
+
+def may_nest(pattern: str) -> bool:
+    """Whether a long text can make the JVM's engine call itself once for each repeat of a group.
+
+    That is so for a group with alternatives or with repeats of its own inside, repeated without a small
+    bound. Read off the text of the pattern; in doubt the answer is yes.
+    """
+    inside: list[bool] = []  # of each open group: does its body vary?
+    at, verbose = 0, "(?x" in pattern
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            at += 2
+            continue
+        if c == "[":
+            at += 1 + (pattern[at + 1 : at + 2] == "^")
+            at += pattern[at : at + 1] == "]"
+            while at < len(pattern) and pattern[at] != "]":
+                at += 2 if pattern[at] == "\\" else 1
+        elif c == "(":
+            inside.append(False)
+            if pattern[at + 1 : at + 2] == "?":  # what follows is no quantifier
+                at += 1
+        elif c == ")" and inside:
+            varies = inside.pop()
+            found = _CLOSED.match(pattern, at + 1)
+            if found:
+                most = found[3] if found[2] else found[1]
+                if (varies or verbose) and (found[0] in "*+" or not most or int(most) > _DEEP):
+                    return True
+            if inside:
+                inside[-1] = inside[-1] or varies or bool(found) or pattern[at + 1 : at + 2] == "?"
+        elif inside and (c in "|*+?" or c == "{" and (found := _QUANTIFIER.match(pattern, at)) and found[2]):
+            inside[-1] = True
+        at += 1
+    return False
+
+
+_SPAN = T.StructType(
+    [T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]
+)
+
+
+@cache
+def _compiled(pattern: str) -> re.Pattern:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", FutureWarning)
+        return re.compile(pattern)
+
+
+@F.pandas_udf(T.BooleanType())
+def python_search(texts: pd.Series, patterns: pd.Series) -> pd.Series:
+    """Whether a pattern, in Python's form, is found; null texts are not searched."""
+    return pd.Series([None if t is None else _compiled(p).search(t) is not None for t, p in zip(texts, patterns)], dtype=object)
+
+
+@F.pandas_udf(_SPAN)
+def python_span(texts: pd.Series, patterns: pd.Series, groups: pd.Series) -> pd.DataFrame:
+    """Begin, end and text of a group in the first match, in characters; nulls where there is none."""
+    out = []
+    for text, pattern, group in zip(texts, patterns, groups):
+        found = _compiled(pattern).search(text) if text is not None and pattern is not None else None
+        known = found is not None and group <= found.re.groups and found.start(int(group)) >= 0
+        out.append((*found.span(int(group)), found[int(group)]) if known else (None, None, None))
+    frame = pd.DataFrame(out, columns=["begin", "end", "text"])
+    return frame.astype({"begin": "Int32", "end": "Int32"})
+
+
+def register_python_search(spark: SparkSession) -> None:
+    """Make the two functions known to SQL expressions, where patterns that need them are used."""
+    spark.udf.register("leaksieve_search", python_search)
+    spark.udf.register("leaksieve_span", python_span)
+
+
 # --- one pass over a text that finds all required literals -------------------------------------
 
 # Characters from common to rare in text, markup and code; any other counts as rarer.

@@ -21,7 +21,7 @@ _FOUND, _ORD = "_found", "_ord"
 _CHAIN = 16  # rules per projection
 _RULE_CONSTANTS = (
     "array<struct<id:string,description:string,regex:string,java:string,tail:string,"
-    "groups:int,example:string,entropy:double,secret_group:int>>"
+    "groups:int,example:string,entropy:double,secret_group:int,python:string,nests:boolean>>"
 )
 
 
@@ -33,8 +33,16 @@ def _any(tests: list[str]) -> str | None:
     return "(" + " OR ".join(tests) + ")" if tests else None
 
 
-def _any_rlike(on: str, patterns: list[str]) -> str | None:
-    return _any([f"{on} RLIKE {lit(p)}" for p in patterns])
+def _search(on: str, pattern: Pattern, only: str | None = None) -> str:
+    """Whether a pattern is found. ``only``: where the answer matters, for patterns that Python has to run."""
+    if not pattern.nests:
+        return f"{on} RLIKE {lit(pattern.java)}"
+    on = f"CASE WHEN {only} THEN {on} END" if only else on
+    return f"coalesce(leaksieve_search({on}, {lit(pattern.python)}), false)"
+
+
+def _any_rlike(on: str, patterns: list[Pattern], only: str | None = None) -> str | None:
+    return _any([_search(on, p, only) for p in patterns])
 
 
 def _any_contains(on: str, words: tuple[str, ...]) -> str | None:
@@ -43,24 +51,28 @@ def _any_contains(on: str, words: tuple[str, ...]) -> str | None:
 
 def _target(text: str, pattern: Pattern, kind: str | None) -> str:
     """What an allow-list is tested on: the whole text, the match, or the line it starts on."""
+    span = f"leaksieve_span({text}, {lit(pattern.python)}, 0)"
     if kind in ("match", "secret"):
-        return f"regexp_extract({text}, {lit(pattern.java)}, 0)"
+        return f"coalesce({span}.text, '')" if pattern.nests else f"regexp_extract({text}, {lit(pattern.java)}, 0)"
     if kind == "line":
         tail = f"regexp_extract({text}, {lit(rx.tail_form(pattern.java))}, 0)"
-        prefix = f"substring({text}, 1, length({text}) - length({tail}))"
+        begin = f"coalesce({span}.begin, 0)" if pattern.nests else f"length({text}) - length({tail})"
+        prefix = f"substring({text}, 1, {begin})"
         return f"element_at(split({text}, '\\n', -1), size(split({prefix}, '\\n', -1)))"
     return text
 
 
-def _suppressed(rules: RuleSet, rule: Rule, pattern: Pattern, text: str, url: str, options: MatchOptions) -> str | None:
+def _suppressed(
+    rules: RuleSet, rule: Rule, pattern: Pattern, opens: str | None, text: str, url: str, options: MatchOptions
+) -> str | None:
     """True where one of the rule's allow-lists is found anywhere in the text."""
     tests: list[str | None] = []
     for allow in rule.allowlists:
         if allow.applied or options.regex_target:
             on = _target(text, pattern, allow.regex_target if options.regex_target else None)
-            tests.append(_any_rlike(on, rules.compile_all(allow.regexes)))
+            tests.append(_any_rlike(on, rules.compile_all(allow.regexes), opens))
         if options.allowlist_paths:
-            tests.append(_any_rlike(url, rules.compile_all(allow.paths)))
+            tests.append(_any_rlike(url, rules.compile_all(allow.paths), opens))
         if options.stopword_filter:
             tests.append(_any_contains(_target(text, pattern, "match"), allow.stopwords))
     return _any([t for t in tests if t])
@@ -72,11 +84,11 @@ def _accepts(
     """Whether the rule applies to the text and is not suppressed, cheap tests first."""
     tests = [opens]
     if options.path_filter and rule.path:
-        tests.append(_any_rlike(url, rules.compile_all([rule.path])) or "false")
+        tests.append(_any_rlike(url, rules.compile_all([rule.path]), opens) or "false")
     if options.keyword_prefilter and rule.keywords:
         tests.append(_any_contains(text, rule.keywords))
-    tests.append(f"{text} RLIKE {lit(pattern.java)}")
-    if suppressed := _suppressed(rules, rule, pattern, text, url, options):
+    tests.append(_search(text, pattern, opens))
+    if suppressed := _suppressed(rules, rule, pattern, opens, text, url, options):
         tests.append(f"NOT {suppressed}")
     return " AND ".join(t for t in tests if t)
 
@@ -104,12 +116,18 @@ def _branches(
     ]
 
 
+def _prepare(texts: DataFrame, rules: RuleSet) -> None:
+    if rules.nests():
+        rx.register_python_search(texts.sparkSession)
+
+
 def has_leak(texts: DataFrame, rules: RuleSet, text_col: str = "text", gate: bool = True) -> DataFrame:
     """Add ``has_leak``: some live rule is found and not suppressed.
 
     The flag comes out of a generator, like the matches below: a filter on it stays above the chain.
     """
     patterns = rules.compiled()
+    _prepare(texts, rules)
     gated, built = _gated(texts, patterns, text_col, gate)
     branches = _branches(rules, patterns, built, text_col, "''", MatchOptions())
     marked = _first_accepting(gated, branches)
@@ -130,6 +148,7 @@ def first_match_rule(
     pushed below the projection and the whole chain evaluated twice.
     """
     patterns = rules.compiled()
+    _prepare(texts, rules)
     url = "`url`" if "url" in texts.columns else "''"
     gated, built = _gated(texts, patterns, text_col, gate)
     branches = _branches(rules, patterns, built, text_col, url, options)
@@ -170,23 +189,38 @@ def _rule_constants(rules: RuleSet, patterns: list[Pattern]) -> Column:
             "example": tx.REDACTED if r.example is None else r.example,
             "entropy": r.entropy,
             "secret_group": r.secret_group or 0,
+            "python": p.python,
+            "nests": p.nests,
         }
         for r, p in zip(rules.rules, patterns)
     ]
     return F.from_json(F.lit(json.dumps(rows)), _RULE_CONSTANTS)
 
 
-def match_span(matched: DataFrame, text_col: str = "text") -> DataFrame:
+def match_span(matched: DataFrame, text_col: str = "text", rules: RuleSet | None = None) -> DataFrame:
     """Add ``begin`` and ``end`` of the first match, in characters.
 
     The text from the match on, and the text after it, are cut off by the pattern itself; lengths
-    then count code points. Searching for the secret's text would find earlier look-alikes.
+    then count code points. Searching for the secret's text would find earlier look-alikes. Matches of
+    patterns that Python has to run get their span from it; ``rules`` tells whether there are such.
     """
     text = F.col(text_col)
-    from_match = tx.regex_group(text, F.col("_rule.tail"), 0)
-    after = tx.regex_group(text, F.col("_rule.tail"), F.col("_rule.groups") + 1)
-    return matched.withColumn("begin", F.length(text) - F.length(from_match)).withColumn(
-        "end", F.length(text) - F.length(after)
+    if rules is not None and not rules.nests():
+        plain, nests = text, None
+    else:
+        nests = F.coalesce("_rule.nests", F.lit(False))
+        plain = F.when(~nests, text)
+    from_match = tx.regex_group(plain, F.col("_rule.tail"), 0)
+    after = tx.regex_group(plain, F.col("_rule.tail"), F.col("_rule.groups") + 1)
+    begin, end = F.length(text) - F.length(from_match), F.length(text) - F.length(after)
+    if nests is None:
+        return matched.withColumn("begin", begin).withColumn("end", end)
+    span = rx.python_span(F.when(nests, text), F.col("_rule.python"), F.lit(0))
+    spanned = matched.withColumn("_span", span)
+    return (
+        spanned.withColumn("begin", F.coalesce("_span.begin", begin))
+        .withColumn("end", F.coalesce("_span.end", end))
+        .drop("_span")
     )
 
 
@@ -234,16 +268,18 @@ def mock_secret(matched: DataFrame, text_col: str = "text", options: MatchOption
 
 
 def secret_group(matched: DataFrame, text_col: str = "text") -> DataFrame:
-    """Narrow ``secret`` and its span to the rule's capture group, where it names one."""
+    """Narrow ``secret`` and its span to the rule's capture group, where it names one that took part.
+
+    The span is the group's own, from Python's engine: looking for the group's text inside the match would
+    find earlier copies. Only matches of rules with a group are searched again.
+    """
     group = F.col("_rule.secret_group")
-    part = F.when(group > 0, tx.regex_group(F.col(text_col), F.col("_rule.java"), group))
-    inside = F.position(part, F.col("secret"))
-    begin = F.when((group > 0) & (part != ""), F.col("begin") + inside - 1).otherwise(F.col("begin"))
-    end = F.when((group > 0) & (part != ""), begin + F.length(part)).otherwise(F.col("end"))
-    narrowed = matched.withColumn("_begin", begin).withColumn("_end", end)
-    return extract_secret(
-        narrowed.withColumn("begin", F.col("_begin")).withColumn("end", F.col("_end")).drop("_begin", "_end"), text_col
-    )
+    text = F.when(group > 0, F.col(text_col))
+    narrowed = matched.withColumn("_span", rx.python_span(text, F.col("_rule.python"), group))
+    known = F.col("_span.end") > F.col("_span.begin")
+    narrowed = narrowed.withColumn("begin", F.when(known, F.col("_span.begin")).otherwise(F.col("begin")))
+    narrowed = narrowed.withColumn("end", F.when(known, F.col("_span.end")).otherwise(F.col("end")))
+    return extract_secret(narrowed.drop("_span"), text_col)
 
 
 def entropy_filter(matched: DataFrame) -> DataFrame:
@@ -254,12 +290,14 @@ def entropy_filter(matched: DataFrame) -> DataFrame:
 
 def global_path_exclude(texts: DataFrame, rules: RuleSet) -> DataFrame:
     """Drop texts whose url matches a globally excluded path."""
+    _prepare(texts, rules)
     hit = _any_rlike("`url`", rules.compile_all(rules.allowlist.paths))
     return texts if hit is None else texts.where(f"NOT coalesce({hit}, false)")
 
 
 def global_regex_allowlist(matched: DataFrame, rules: RuleSet) -> DataFrame:
     """Drop matches whose secret matches a global allow-list pattern."""
+    _prepare(matched, rules)
     hit = _any_rlike("secret", rules.compile_all(rules.allowlist.regexes))
     return matched if hit is None else matched.where(f"NOT {hit}")
 
@@ -284,7 +322,7 @@ def scan_texts(
     if options.global_path_exclude and "url" in texts.columns:
         texts = global_path_exclude(texts, rules)
     m = first_match_rule(texts, rules, options, text_col, gate)
-    m = extract_secret(match_span(m, text_col), text_col)
+    m = extract_secret(match_span(m, text_col, rules), text_col)
     if options.secret_group:
         m = secret_group(m, text_col)
     if options.entropy_filter:

@@ -53,6 +53,9 @@ class Pattern:
     groups: int = 0
     literals: frozenset[str] | None = None
     reason: str = ""
+    #: the pattern for Python's engine, and whether only that engine is safe on long texts
+    python: str = ""
+    nests: bool = False
 
 
 @lru_cache(maxsize=4 * MAX_RULES)
@@ -75,7 +78,8 @@ def compile_pattern(regex: str, unicode_classes: bool = True) -> Pattern:
         java = rx.java_form(hoisted, unicode_classes)
     except rx.UnsupportedPattern as error:
         return Pattern(None, reason=f"not supported: {error}")
-    return Pattern(java, compiled.groups, rx.required_literals(compiled.pattern))
+    python = compiled.pattern if unicode_classes else "(?a)" + compiled.pattern
+    return Pattern(java, compiled.groups, rx.required_literals(compiled.pattern), "", python, rx.may_nest(hoisted))
 
 
 def _python_compile(pattern: str) -> tuple[re.Pattern | None, str]:
@@ -101,10 +105,16 @@ class RuleSet:
     def compiled(self) -> list[Pattern]:
         return [compile_pattern(r.regex, self.unicode_classes) for r in self.rules]
 
-    def compile_all(self, patterns: Iterable[str]) -> list[str]:
+    def compile_all(self, patterns: Iterable[str]) -> list[Pattern]:
         """Patterns of an allow-list; one that cannot compile never matches."""
-        found = (compile_pattern(p, self.unicode_classes).java for p in patterns)
-        return [p for p in found if p is not None]
+        found = (compile_pattern(p, self.unicode_classes) for p in patterns)
+        return [p for p in found if p.java is not None]
+
+    def nests(self) -> bool:
+        """Whether some pattern of the rules needs Python's engine."""
+        lists = [a for r in self.rules for a in r.allowlists] + [self.allowlist]
+        more = [p for a in lists for p in (*a.regexes, *a.paths)] + [r.path for r in self.rules if r.path]
+        return any(p.nests for p in (*self.compiled(), *self.compile_all(more)))
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         """The rule table, dead rules included with their reason."""
@@ -208,12 +218,12 @@ def _read_small_file(spark: SparkSession, path: str, max_bytes: int) -> str:
 
 
 def compile_rules(rules: DataFrame, unicode_classes: bool = True) -> DataFrame:
-    """Add ``pattern``, ``live`` and ``reason`` to a rule table of any size; each distinct pattern is compiled once."""
+    """Add ``pattern``, ``live``, ``reason`` and ``python`` to a rule table of any size; each distinct pattern is compiled once."""
 
-    @F.pandas_udf("pattern string, reason string")
+    @F.pandas_udf("pattern string, reason string, python string")
     def compiled(patterns: pd.Series) -> pd.DataFrame:
         out = [compile_pattern(p or "", unicode_classes) for p in patterns]
-        return pd.DataFrame({"pattern": [o.java for o in out], "reason": [o.reason for o in out]})
+        return pd.DataFrame({"pattern": [o.java for o in out], "reason": [o.reason for o in out], "python": [o.python for o in out]})
 
     known = rules.select(F.coalesce("regex", F.lit("")).alias("_regex")).distinct()
     known = known.withColumn("_c", compiled("_regex"))
@@ -222,18 +232,19 @@ def compile_rules(rules: DataFrame, unicode_classes: bool = True) -> DataFrame:
         joined.withColumn("pattern", F.col("_c.pattern"))
         .withColumn("live", F.col("_c.pattern").isNotNull())
         .withColumn("reason", F.col("_c.reason"))
+        .withColumn("python", F.col("_c.python"))
         .drop("_c", "_regex")
     )
 
 
 def validate_rules(rules: DataFrame) -> DataFrame:
     """(rule_id, status, detail): every rule needs a regex and an example that it matches."""
-    table = rules if "pattern" in rules.columns else compile_rules(rules)
+    table = rules if "python" in rules.columns else compile_rules(rules.drop("pattern", "live", "reason"))
     missing = (F.coalesce("regex", F.lit("")) == "") | (F.coalesce("example", F.lit("")) == "")
     status = (
         F.when(missing, "missing")
         .when(~F.col("live"), "invalid")
-        .when(F.expr("example rlike pattern"), "ok")
+        .when(rx.python_search(F.when(F.col("live"), F.col("example")), F.col("python")), "ok")
         .otherwise("mismatch")
     )
     detail = (

@@ -24,6 +24,23 @@ ADVICE = (
 )
 
 
+# what SARIF and GitLab reports say of a finding
+SARIF_MESSAGE = (
+    "Potential Secret Leak on [{platform}]({url})."
+    "\nDetails:\nSensitive data type: [{rule}] - Description: [{description}]\nPlatform: [{platform}]"
+    " - Field: [ticket {field}]\nSource: {url}"
+    f"\n{RULER}\n" + "{secret}" + f"\n{RULER}"
+    "\nPlease verify the [{platform} ticket]({url}) and " + ADVICE
+)
+GITLAB_NAME = "Potential Secret Leak on {platform} {field}."
+GITLAB_DESCRIPTION = (
+    "\nSensitive data type: [{rule}] - Sensitive data description: [{description}] - Platform: [{platform}]"
+    " - Field: [ticket {field}] - Source: {url}"
+)
+GITLAB_EVIDENCE = "Potential leaked secret (sanitized): [{secret}]"
+GITLAB_SOLUTION = "\nPlease verify the {platform} ticket and " + ADVICE + " Ticket URL: {url}"
+
+
 def report_kind(report_format: str) -> str:
     """``sarif`` or ``gitlab`` if the format's name contains it, else ``native``."""
     name = report_format.lower()
@@ -69,31 +86,25 @@ def _stack(*parts: DataFrame) -> DataFrame:
 def write_document(document: DataFrame, path: str) -> str:
     """Write (run, section, key, json) rows as text parts in order, entries parted by commas.
 
-    Finding the first entries and sampling the order read the rows again, so they are stored first.
+    Finding the first entries and sampling the order read the rows again, so they are stored first, each
+    with a number that tells rows of equal keys apart.
     """
-    document = materialise(document, "document")
-    # one row per section and run, a handful however many entries there are
-    first = document.where("key <> ''").groupBy("run", "section").agg(F.min("key").alias("_first"))
-    later = ((F.col("key") != "") & (F.col("key") != F.col("_first"))) | (
+    document = materialise(document.withColumn("_at", F.monotonically_increasing_id()), "document")
+    place = F.struct("key", "_at")
+    first = document.where("key <> ''").groupBy("run", "section").agg(F.min(place).alias("_first"))
+    later = ((F.col("key") != "") & (place != F.col("_first"))) | (
         (F.col("key") == "") & (F.col("section") == 0) & F.col("run").between(1, _LAST - 1)
     )
     (
-        document.join(first, ["run", "section"], "left")
-        .orderBy("run", "section", "key")
+        # one row per run and section, a handful however many entries there are
+        document.join(F.broadcast(first), ["run", "section"], "left")
+        .orderBy("run", "section", "key", "_at")
         .select(F.concat(F.when(later, ",").otherwise(""), "json"))
         .write.text(path)
     )
     return path
 
 
-def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """The text of a written document, one row; for documents that fit in a driver's memory."""
-    parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    text = F.decode("content", "UTF-8")
-    one = F.sort_array(F.collect_list(F.struct("path", text.alias("text"))))
-    return parts.agg(F.array_join(F.transform(one, lambda p: p["text"]), "").alias("document"))
-
-
 # --- native --------------------------------------------------------------------------------------
 
 
@@ -181,10 +192,21 @@ def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return findings, rules.select(F.col("rule_ord").cast("int").alias("rule_ord"), "r.*")
 
 
+def report_date(spark: SparkSession, path: str) -> str | None:
+    """When the scan of a native report ran, as it says itself."""
+    if path.endswith(".json"):
+        rows = spark.read.schema("scan_date struct<date_utc:string>").option("multiLine", "true").json(path)
+        row = rows.select("scan_date.date_utc").first()
+    else:  # the head is the only line that begins the document
+        date = F.regexp_extract("value", r'"scan_date": \{.*?"date_utc": "([^"]*)"', 1).alias("date")
+        row = spark.read.text(path).where(F.col("value").startswith('{"tool": ')).select(date).first()
+    return row[0] if row and row[0] else None
+
+
 def convert_report(spark: SparkSession, path: str, target: str, options: ScanOptions) -> str:
     """Turn a native report into the format the options name."""
     findings, rules = read_report(spark, path)
-    return save_report(findings, rules, target, options)
+    return save_report(findings, rules, target, options, report_date(spark, path))
 
 
 def _order_key() -> Column:
@@ -231,11 +253,7 @@ def sarif_rule_index(findings: DataFrame, rules: DataFrame) -> DataFrame:
 def sarif_results(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """SARIF results, flat."""
     message = _fill(
-        "Potential Secret Leak on [{platform}]({url})."
-        "\nDetails:\nSensitive data type: [{rule}] - Description: [{description}]\nPlatform: [{platform}]"
-        " - Field: [ticket {field}]\nSource: {url}"
-        f"\n{RULER}\n" + "{secret}" + f"\n{RULER}"
-        "\nPlease verify the [{platform} ticket]({url}) and " + ADVICE,
+        SARIF_MESSAGE,
         platform=F.col("platform"),
         url=F.col("url"),
         rule=F.col("rule_id"),
@@ -278,14 +296,13 @@ def sarif_run(
         text("short_description").alias("shortDescription"),
         text("full_description").alias("fullDescription"),
         F.struct("level").alias("defaultConfiguration"),
-        F.col("help_uri").alias("helpUri"),
+        F.nullif("help_uri", F.lit("")).alias("helpUri"),
     )
     driver = {
         "name": options.tool_name,
         "version": options.tool_version,
         "fullName": _full_name(options),
-        "informationUri": options.info_url,
-    }
+    } | ({"informationUri": options.info_url} if options.info_url else {})
     rule_rows = sarif_rules(rules, findings, options.info_url)
     rule_key = F.concat(_order_key(), F.lit("/"), F.col("origin"))
     return _stack(
@@ -301,6 +318,15 @@ def _full_name(options: ScanOptions) -> str:
     return f"{options.tool_name} secret scanner by {options.tool_author} - version: [{options.tool_version}]"
 
 
+def sarif_file_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The runs of a SARIF file as document rows, one each."""
+    whole = spark.read.text(path, wholetext=True)
+    runs = F.from_json(F.regexp_replace("value", "^\ufeff", ""), "runs array<string>")["runs"]
+    return whole.select(F.posexplode(runs).alias("run", "json")).select(
+        "run", F.lit(0).alias("section"), F.lit("").alias("key"), "json"
+    )
+
+
 def sarif_append_runs(
     findings: DataFrame,
     rules: DataFrame,
@@ -311,12 +337,17 @@ def sarif_append_runs(
     """Write a SARIF document that holds the runs of an older one followed by this scan's run.
 
     ``path/rows`` keeps the document's rows for the next append, ``path/document`` is the text. The
-    older folder is only read, so that a lost task can be repeated.
+    older folder is only read, so that a lost task can be repeated. ``old_path`` may also be a SARIF file
+    of any tool, ending in ``.sarif`` or ``.json``: its runs are kept as they are.
     """
     spark = findings.sparkSession
     findings = materialise(findings, "findings")
-    old = spark.read.parquet(f"{old_path}/rows") if old_path else None
-    number = old.agg(F.max("run")).first()[0] + 1 if old_path else 0
+    old = None
+    if old_path:
+        own = not old_path.endswith((".sarif", ".json"))
+        old = spark.read.parquet(f"{old_path}/rows") if own else sarif_file_runs(spark, old_path)
+    number = (old.agg(F.max("run")).first()[0] if old_path else -1)
+    number = 0 if number is None else number + 1
     rows = sarif_run(findings, rules, options, number)
     rows = old.unionByName(rows) if old_path else rows
     rows.write.parquet(f"{path}/rows")
@@ -345,27 +376,21 @@ def gitlab_vulns(findings: DataFrame) -> DataFrame:
         "description": F.col("rule_description"),
         "secret": _redact(F.col("secret")),
     }
-    name = _fill("Potential Secret Leak on {platform} {field}.", **c)
-    description = _fill(
-        "\nSensitive data type: [{rule}] - Sensitive data description: [{description}] - Platform: [{platform}]"
-        " - Field: [ticket {field}] - Source: {url}",
-        **c,
-    )
+    name = _fill(GITLAB_NAME, **c)
+    description = _fill(GITLAB_DESCRIPTION, **c)
     return findings.select(
         "id",
         F.concat(name, description).alias("description"),
         _fill("{field} field on {platform}", **c).alias("discovered_at"),
         _fill("[{secret}]", **c).alias("sanitized_secret"),
-        _fill("Potential leaked secret (sanitized): [{secret}]", **c).alias("evidence_summary"),
+        _fill(GITLAB_EVIDENCE, **c).alias("evidence_summary"),
         F.col("url").alias("url"),
         F.col("rule_description").alias("identifier_name"),
         F.col("rule_id").alias("identifier_value"),
         _fill("{platform} {field}", **c).alias("link_name"),
         name.alias("name"),
         F.lit("Info").alias("severity"),
-        _fill(
-            "\nPlease verify the {platform} ticket and " + ADVICE + " Ticket URL: {url}", **c
-        ).alias("solution"),
+        _fill(GITLAB_SOLUTION, **c).alias("solution"),
     )
 
 
@@ -393,13 +418,14 @@ def gitlab_records(findings: DataFrame, options: ScanOptions = ScanOptions()) ->
     identifier = F.struct(
         F.lit("regex").alias("type"),
         F.col("identifier_name").alias("name"),
-        F.lit(options.info_url).alias("url"),
+        F.nullif(F.lit(options.info_url), F.lit("")).alias("url"),
         F.col("identifier_value").alias("value"),
     )
     links = F.array(
         F.struct(F.col("link_name").alias("name"), F.col("url").alias("url")),
         F.struct(F.lit("Documentation").alias("name"), F.lit(options.info_url).alias("url")),
     )
+    links = F.filter(links, lambda x: x["url"] != "")
     location = F.struct(
         F.col("url").alias("hostname"), *[F.lit("").alias(k) for k in ("method", "param", "path")]
     )
@@ -419,9 +445,13 @@ def gitlab_records(findings: DataFrame, options: ScanOptions = ScanOptions()) ->
 
 
 def gitlab_report(
-    findings: DataFrame, path: str, options: ScanOptions = ScanOptions(), start: str = ""
+    findings: DataFrame, path: str, options: ScanOptions = ScanOptions(), start: str | None = None
 ) -> str:
-    """Write the GitLab report: an envelope around one vulnerability per finding."""
+    """Write the GitLab report: an envelope around one vulnerability per finding.
+
+    ``start`` is when the scan ran; without one it is the time of writing.
+    """
+    now = dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
     vendor = {"name": options.tool_author}
     tool = {
         "id": options.tool_name,
@@ -432,12 +462,12 @@ def gitlab_report(
     named = ("scan_target", "label", "contact_help", "report_format")
     scan_part = {
         "analyzer": tool,
-        "end_time": dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S"),
+        "end_time": now,
         "messages": [],
         "options": [{"name": n, "value": getattr(options, n)} for n in named],
         "scanned_resources": [],
-        "scanner": {**tool, "url": options.info_url},
-        "start_time": start,
+        "scanner": tool | ({"url": options.info_url} if options.info_url else {}),
+        "start_time": start or now,
         "status": "success",
         "type": "dast",
     }
@@ -450,12 +480,12 @@ def gitlab_report(
 
 
 def save_report(
-    findings: DataFrame, rules: DataFrame, path: str, options: ScanOptions = ScanOptions()
+    findings: DataFrame, rules: DataFrame, path: str, options: ScanOptions = ScanOptions(), start: str | None = None
 ) -> str:
-    """Write the report in the format the options name."""
+    """Write the report in the format the options name. ``start``: when the scan ran, for formats that say it."""
     kind = report_kind(options.report_format)
     if kind == "sarif":
         return sarif_append_runs(findings, rules, path, options)
     if kind == "gitlab":
-        return gitlab_report(findings, path, options)
+        return gitlab_report(findings, path, options, start)
     return report_json(findings, rules, path, options)

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from documents import read_document
 
 from leaksieve import ScanOptions, default_rules, load_rules, save_report, scan, validate_rules
 from leaksieve.operators.rules import RuleSet
@@ -20,7 +21,7 @@ def found(spark):
 
 def test_native_report_is_one_document(spark, found, tmp_path):
     path = save_report(found, RULES.to_df(spark), f"{tmp_path}/native")
-    doc = json.loads(rp.read_document(spark, path).first().document)
+    doc = json.loads(read_document(spark, path).first().document)
     assert len(doc["findings"]) == 40 and [r["id"] for r in doc["regex_config"]["rules"]] == ["First", "r"]
     key, one = next(iter(doc["findings"].items()))
     assert one["id"] == key and one["details"]["matched_regex_config"]["regex"] == "AB[0-9]{4}"
@@ -31,7 +32,7 @@ def test_native_report_is_one_document(spark, found, tmp_path):
 def test_native_report_reads_back_and_converts(spark, found, tmp_path):
     path = save_report(found, RULES.to_df(spark), f"{tmp_path}/n")
     single = tmp_path / "report.json"
-    single.write_text(rp.read_document(spark, path).first().document)
+    single.write_text(read_document(spark, path).first().document)
     want = sorted(map(tuple, found.select("id", "url", "secret", "mocked_secret", "rule_id", "ticket_field").collect()))
     for source in (path, str(single)):
         findings, rules = rp.read_report(spark, source)
@@ -42,13 +43,13 @@ def test_native_report_reads_back_and_converts(spark, found, tmp_path):
         ]
     options = ScanOptions(report_format="sarif")
     rp.convert_report(spark, path, f"{tmp_path}/converted", options)
-    doc = json.loads(rp.read_document(spark, f"{tmp_path}/converted/document").first().document)
+    doc = json.loads(read_document(spark, f"{tmp_path}/converted/document").first().document)
     assert len(doc["runs"][0]["results"]) == 40 and {r["ruleIndex"] for r in doc["runs"][0]["results"]} == {2}
 
 
 def test_gitlab_report(spark, found, tmp_path):
     path = save_report(found, RULES.to_df(spark), f"{tmp_path}/gl", ScanOptions(report_format="My-GitLab"))
-    doc = json.loads(rp.read_document(spark, path).first().document)
+    doc = json.loads(read_document(spark, path).first().document)
     assert doc["version"] == "15.0.6" and len(doc["vulnerabilities"]) == 40
     v = doc["vulnerabilities"][0]
     assert v["severity"] == "Info" and "xxxxxxxxxxxx" in v["evidence"]["summary"]
@@ -60,7 +61,7 @@ def test_sarif_runs_append(spark, found, tmp_path):
     rp.sarif_append_runs(found, rules, f"{tmp_path}/s1")
     # the second scan knows only the first rule, so the other is added once per finding
     rp.sarif_append_runs(found, rules.where("rule_ord = 0"), f"{tmp_path}/s2", old_path=f"{tmp_path}/s1")
-    doc = json.loads(rp.read_document(spark, f"{tmp_path}/s2/document").first().document)
+    doc = json.loads(read_document(spark, f"{tmp_path}/s2/document").first().document)
     assert doc["version"] == "2.1.0" and len(doc["runs"]) == 2
     first, second = doc["runs"]
     assert [r["id"] for r in first["tool"]["driver"]["rules"]] == ["First", "r"]
@@ -75,7 +76,7 @@ def test_format_names():
 
 def test_empty_report(spark, found, tmp_path):
     path = rp.gitlab_report(found.limit(0), f"{tmp_path}/none")
-    assert json.loads(rp.read_document(spark, path).first().document)["vulnerabilities"] == []
+    assert json.loads(read_document(spark, path).first().document)["vulnerabilities"] == []
 
 
 def test_builtin_rules_match_their_examples(spark):
@@ -120,3 +121,37 @@ def test_validation_statuses(spark):
     )
     got = {r.rule_id: r.status for r in validate_rules(rules).collect()}
     assert got == {"a": "ok", "b": "mismatch", "c": "invalid", "d": "missing", "e": "missing"}
+
+
+def test_stacked_findings_are_valid_json(spark, found, tmp_path):
+    twice = found.unionByName(found)
+    path = save_report(twice, RULES.to_df(spark), f"{tmp_path}/stacked", ScanOptions(report_format="gitlab"))
+    assert len(json.loads(read_document(spark, path).first().document)["vulnerabilities"]) == 80
+    path = save_report(twice, RULES.to_df(spark), f"{tmp_path}/stacked-native")
+    assert len(json.loads(read_document(spark, path).first().document)["findings"]) == 40
+
+
+def test_runs_of_another_tool_stay(spark, found, tmp_path):
+    other = {"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "other"}}, "results": []}, {"tool": {"driver": {"name": "é"}}}]}
+    file = tmp_path / "old.sarif"
+    file.write_text(json.dumps(other, indent=1))
+    rp.sarif_append_runs(found, RULES.to_df(spark), f"{tmp_path}/more", old_path=str(file))
+    doc = json.loads(read_document(spark, f"{tmp_path}/more/document").first().document)
+    assert doc["runs"][:2] == other["runs"] and len(doc["runs"][2]["results"]) == 40
+    assert "informationUri" not in doc["runs"][2]["tool"]["driver"] and "helpUri" not in doc["runs"][2]["tool"]["driver"]["rules"][0]
+    empty = tmp_path / "none.json"
+    empty.write_text('{"runs": []}')
+    rp.sarif_append_runs(found, RULES.to_df(spark), f"{tmp_path}/first", old_path=str(empty))
+    assert len(json.loads(read_document(spark, f"{tmp_path}/first/document").first().document)["runs"]) == 1
+
+
+def test_scan_date_reaches_gitlab(spark, found, tmp_path):
+    path = save_report(found, RULES.to_df(spark), f"{tmp_path}/dated")
+    date = json.loads(read_document(spark, path).first().document)["scan_date"]["date_utc"]
+    single = tmp_path / "dated.json"
+    single.write_text(read_document(spark, path).first().document)
+    for i, source in enumerate((path, str(single))):
+        target = rp.convert_report(spark, source, f"{tmp_path}/dated-gitlab{i}", ScanOptions(report_format="gitlab"))
+        doc = json.loads(read_document(spark, target).first().document)
+        assert doc["scan"]["start_time"] == date and doc["scan"]["end_time"] >= date
+        assert [x["name"] for x in doc["vulnerabilities"][0]["links"]] == ["LocalFilesystem file"]
