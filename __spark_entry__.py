@@ -22,7 +22,7 @@ from leaksieve.operators import matching as mt
 from leaksieve.operators import rules as ru
 from leaksieve.operators import scope as sc
 from leaksieve.options import MatchOptions, ScanOptions
-from leaksieve.plans.scan import match_content
+from leaksieve.plans.scan import match_content, scan_platform
 from leaksieve.session import configure, scratch_path
 from leaksieve.sinks import reports as rp
 from leaksieve.sources import files, trackers
@@ -327,6 +327,22 @@ def _query(sql: str | None = None, name: str | None = None):
 # sources
 
 
+@_query(
+    """SELECT doc_id, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest,
+ length(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)))::bigint AS n_chars
+ FROM documents WHERE length(text) > 0"""
+)
+def read_text_files_each(spark, d):
+    """A file for each document, written by Spark with the document's number as its folder."""
+    path = scratch_path(spark, "texts")
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    docs.repartition("doc_id").write.partitionBy("doc_id").option("lineSep", "\x00").text(path)
+    read = files.read_text_files(spark, path, "part-*")
+    text = F.substring_index("file", "\x00", 1)
+    key = F.regexp_extract("url", "doc_id=([0-9]+)/", 1).cast("bigint")
+    return read.select(key.alias("doc_id"), F.sha2(text, 256).alias("digest"), F.length(text).cast("bigint").alias("n_chars"))
+
+
 @_query(
     """SELECT source, lang, sum(length(replace(replace(text || chr(10), chr(13) || chr(10), chr(10)), chr(13), chr(10))))::bigint
  AS n_chars FROM documents GROUP BY ALL"""
@@ -480,6 +496,36 @@ def _chat_messages(spark, d):
 CHAT_LINK = "'https://chat.example.com/archives/C' || user_id || '/p' || epoch_us(ts)"
 
 
+def _turns(spark, d, issue, text):
+    """Turns of conversations as the comments of a platform's export."""
+    turns = _table(spark, d, "conversations")
+    return turns.select(F.col("conv_id").alias(issue), F.col("turn").alias("ord"), F.col("text").alias(text))
+
+
+def _turns_sql(platform: str) -> str:
+    return f"SELECT '{platform}' AS platform, conv_id::varchar AS issue_id, turn AS item_ord, text FROM conversations"
+
+
+@_query(_turns_sql("Jira"))
+def norm_jira_comments(spark, d):
+    return trackers.norm_jira_comments(_turns(spark, d, "issue_id", "body"))
+
+
+@_query(_turns_sql("Confluence"))
+def norm_wiki_comments(spark, d):
+    return trackers.norm_wiki_comments(_turns(spark, d, "page_id", "storage_value"))
+
+
+@_query(_turns_sql("Wrike"))
+def norm_wrike_comments(spark, d):
+    return trackers.norm_wrike_comments(_turns(spark, d, "task_id", "text"))
+
+
+@_query(_turns_sql("Zendesk"))
+def norm_zendesk_comments(spark, d):
+    return trackers.norm_zendesk_comments(_turns(spark, d, "ticket_id", "body"))
+
+
 @_query(
     f"""SELECT 'Slack' AS platform, {CHAT_LINK} AS issue_id, {CHAT_LINK} AS url, props AS message,
  event_id::varchar AS iid, event_type AS channel_name, 'C' || user_id AS channel_id, value > 10 AS is_channel,
@@ -498,6 +544,17 @@ def norm_github(spark, d):
     return files.norm_github(_git_files(spark, d))
 
 
+@_query(
+    f"""SELECT 'GitHub' AS platform, html_url || '/blob/' || branch || '/' || path AS issue_id,
+ html_url || '/blob/' || branch || '/' || path AS url, replace(text, ' ', chr(65533)) AS file FROM ({GIT_SQL})"""
+)
+def norm_github_replacement(spark, d):
+    """Texts that hold genuine replacement characters besides bytes that are not UTF-8."""
+    marked = F.concat(F.replace("text", F.lit(" "), F.lit("\ufffd")).cast("binary"), F.unhex(F.lit("FF")))
+    docs = _table(spark, d, "documents").select("doc_id", marked.alias("content"))
+    return files.norm_github(_git_files(spark, d).drop("content").join(docs, "doc_id"))
+
+
 @_query(
     f"""SELECT 'GitLab' AS platform, html_url || '/-/blob/' || branch || '/' || path AS issue_id,
  html_url || '/-/blob/' || branch || '/' || path AS url, text || chr(65533) AS file FROM ({GIT_SQL})"""
@@ -873,6 +930,40 @@ def secret_group(spark, d):
 # findings
 
 
+@_query(
+    """SELECT 'doc/' || doc_id AS url, regexp_extract(text, '([0-9]|[a-f])+ereda|(?:[a-z]+,?[ \\n])+of\\.') AS secret FROM documents
+ WHERE regexp_matches(text, '([0-9]|[a-f])+ereda|(?:[a-z]+,?[ \\n])+of\\.')"""
+)
+def deep_patterns(spark, d):
+    """A pattern whose groups repeat without bound, which the JVM's engine would nest on long texts."""
+    rules = ru.RuleSet.from_dict({"rules": [{"id": "deep", "regex": r"([0-9]|[a-f])+ereda|(?:[a-z]+,?[ \n])+of\."}]})
+    return mt.scan_texts(_doc_texts(spark, d), rules).select("url", "secret")
+
+
+@_query(
+    _matches_sql(f"SELECT platform, CASE WHEN url NOT LIKE '%7' THEN url END AS url, text FROM ({DOC_SQL})")
+    + "SELECT rule_id, coalesce(url, '') AS url, sha256(coalesce(url, '') || '_' || sanitized_secret) AS id FROM x"
+)
+def finding_id_null_url(spark, d):
+    texts = _doc_texts(spark, d).withColumn("url", F.when(~F.col("url").endswith("7"), F.col("url")))
+    return fi.build_findings(mt.scan_texts(texts, RULES)).select("rule_id", F.regexp_replace("url", "#L[0-9]+$", "").alias("url"), "id")
+
+
+REPEATED_SQL = "'(?s:^(.*?))([a-z]*on (?:[a-z]* )?[a-z]*)on[ ,.]'"
+
+
+@_query(
+    f"""SELECT url, 'on' AS secret, right(p, 20) || '<REDACTED>' || substr(text, length(p) + 3, 20) AS sanitized_secret
+ FROM (SELECT 'doc/' || doc_id AS url, text, regexp_extract(text, {REPEATED_SQL}, 1) || regexp_extract(text, {REPEATED_SQL}, 2) AS p
+ FROM documents WHERE regexp_matches(text, '[a-z]*on (?:[a-z]* )?[a-z]*on[ ,.]'))"""
+)
+def secret_group_repeated(spark, d):
+    """The group's text also stands earlier in the match."""
+    rules = ru.RuleSet.from_dict({"rules": [{"id": "on", "regex": "[a-z]*on (?:[a-z]* )?[a-z]*(on)[ ,.]", "secretGroup": 1}]})
+    found = mt.scan_texts(_doc_texts(spark, d), rules, MatchOptions(secret_group=True))
+    return found.select("url", "secret", "sanitized_secret")
+
+
 @_query(_matches_sql() + "SELECT url, sha256(url || '_' || sanitized_secret) AS id FROM x")
 def finding_id(spark, d):
     return fi.finding_id(_matches(spark, d)).select("url", "id")
@@ -1090,6 +1181,26 @@ def encode_comment(spark, d):
     return encoded.select("platform", "issue_id", "comment", "payload")
 
 
+CHAT_NOTE_SQL = f"""SELECT 'Slack' AS platform, {CHAT_LINK} AS issue_id, 'C' || user_id AS channel_id,
+ substr(epoch_us(ts)::varchar, 1, 10) || '.' || substr(epoch_us(ts)::varchar, 11) AS thread_ts, event_type AS comment FROM events"""
+
+
+@_query(
+    f"""SELECT platform, issue_id, comment, comment AS payload, channel_id, thread_ts FROM ({CHAT_NOTE_SQL})
+ UNION ALL SELECT 'Jira', event_id::varchar, event_type,
+ '{{"body":{{"type":"doc","version":1,"content":[{{"type":"paragraph","content":[{{"type":"text","text":"' || event_type || '"}}]}}]}}}}',
+ '', '' FROM events"""
+)
+def encode_comment_threads(spark, d):
+    """Chat threads by their links, and Jira's cloud format."""
+    chat = trackers.norm_chat(_chat_messages(spark, d)).select("platform", "issue_id", "url", F.col("raw_data.slack_type").alias("comment"))
+    jira = _table(spark, d, "events").select(
+        F.lit("Jira").alias("platform"), F.col("event_id").cast("string").alias("issue_id"), F.lit("").alias("url"), F.col("event_type").alias("comment")
+    )
+    encoded = cm.encode_comment(chat.unionByName(jira), jira_cloud=True)
+    return encoded.select("platform", "issue_id", "comment", "payload", "channel_id", "thread_ts")
+
+
 # scope maps
 
 
@@ -1121,6 +1232,25 @@ def _scope(spark, d):
     return region.unionByName(nation).unionByName(customers).distinct()
 
 
+@_query(
+    _findings_sql(
+        f"""SELECT * FROM ({CONV_SQL})
+ WHERE url IN (SELECT 'conv/' || conv_id FROM conversations WHERE turn = 0 AND conv_id % 3 = 0)""", WORD_RULES
+    )
+    + "SELECT rule_id, url, secret FROM f"
+)
+def scan_scoped(spark, d):
+    """A scan that a predicate limits: comments outside it are never searched."""
+    issues = _conv_tickets(spark, d).select(
+        F.col("issue_id").alias("key"), F.col("issue_id").alias("id"), F.concat(F.lit("https://j/rest/api/"), "issue_id").alias("self"),
+        F.col("title").alias("summary"), "description",
+    )
+    notes = _conv_comments(spark, d).select("issue_id", F.col("item_ord").alias("ord"), F.col("text").alias("body"))
+    options = ScanOptions(scope="query: cast(key as int) % 3 = 0", config_label="no such label")
+    found = scan_platform(spark, "jira_scan", WORD_RULES, options, issues, notes).findings
+    return found.select("rule_id", F.regexp_replace("url", ".*/", "conv/").alias("url"), "secret")
+
+
 SCOPED_SQL = f"""SELECT l1, l2, l3, l4 FROM ({PLACES_SQL}) p WHERE l1 = 'ASIA' OR (l1 = 'EUROPE' AND l2 > 'NATION_2')
  OR (l1 = 'AFRICA' AND l3 IN (SELECT l3 FROM ({PLACES_SQL}) WHERE l1 = 'AFRICA' AND o_orderpriority = '1-URGENT'))"""
 
@@ -1203,11 +1333,12 @@ EVENT_RULES = ru.RuleSet.from_dict(
 )
 
 
-@_query(
-    """SELECT date_trunc('hour', ts) AS window_start, CASE WHEN regexp_matches(props, '"k": 6[0-9]') THEN 'sixties' ELSE 'sevens' END
+RATE_SQL = """SELECT date_trunc('hour', ts) AS window_start, CASE WHEN regexp_matches(props, '"k": 6[0-9]') THEN 'sixties' ELSE 'sevens' END
  AS rule_id, count(*) AS n FROM events WHERE regexp_matches(props, '"k": (6[0-9]|[0-9]*7)') GROUP BY ALL"""
-)
-def stream_leak_rate(spark, d):
+
+
+@_query(RATE_SQL)
+def leak_rate(spark, d):
     texts = trackers.norm_chat(_chat_messages(spark, d)).select(
         "platform", "issue_id", "url", F.lit("message").alias("field"), F.col("message").alias("text"),
         F.timestamp_micros(F.col("raw_data.timestamp").cast("bigint")).alias("ts"),
@@ -1215,6 +1346,23 @@ def stream_leak_rate(spark, d):
     return st.stream_leak_rate(st.stream_findings(st.scan_stream(texts, EVENT_RULES)))
 
 
+@_query(
+    f"""SELECT window_start, rule_id, n FROM ({RATE_SQL}) WHERE window_start + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds',
+ max(ts)) - INTERVAL 1 DAY FROM events WHERE regexp_matches(props, '"k": (6[0-9]|[0-9]*7)'))"""
+)
+def stream_leak_rate(spark, d):
+    """The windows that a stream closes; those within a day of the last event stay open."""
+    schema = _table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    key = F.col("event_id").cast("string")
+    texts = events.select(
+        F.lit("Slack").alias("platform"), key.alias("issue_id"), key.alias("url"), F.lit("message").alias("field"),
+        F.col("props").alias("text"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    rates = st.stream_leak_rate(st.stream_findings(st.scan_stream(texts, EVENT_RULES)), delay="1 day")
+    return _run_stream(spark, rates)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Findings in all documents, each id once."""
     return _QUERIES["dedup_findings"](spark, SMOKE_DIR)

@@ -141,5 +141,5 @@ def scan_platform(
     notes = normalise(comments) if normalise and comments is not None else None
     if notes is not None and (scope_map is not None or sc.scope_query(options.scope)):
         # comments outside the scope are dropped before any rule is tried on them
-        notes = notes.join(tickets.select(*fl.KEY).distinct(), list(fl.KEY), "left_semi")
+        notes = notes.join(fl.by_comment_key(tickets).select(*fl.KEY).distinct(), list(fl.KEY), "left_semi")
     return scan(tickets, notes, rules, options)

@@ -30,7 +30,8 @@ def _comments(rows: DataFrame, platform: str, issue_id: Column, text: Column, or
 
 def norm_jira(issues: DataFrame) -> DataFrame:
     """Issues are known by their key; comments point at the internal id, kept as ``comment_ref``."""
-    url = F.concat(F.substring_index("self", "/rest/api", 1), F.lit("/browse/"), F.col("key"))
+    base = F.coalesce(F.substring_index("self", "/rest/api", 1), F.lit(""))
+    url = F.when(base != "", F.concat(base, F.lit("/browse/"), F.col("key"))).otherwise("")
     return issues.select(
         F.lit("Jira").alias("platform"),
         F.col("key").alias("issue_id"),
