@@ -6,8 +6,9 @@
 3. At a word, an earlier set is a candidate if its size fits (length filter), if what follows the word in
    both can still reach the overlap (positional filter), and if the parity bitmaps of both sets differ in no
    more bits than their words may.
-4. Candidates are verified on their whole word sets. Each set asks the earliest candidates of each word first;
-   sets for which these fail while others are left ask all of them in a second round.
+4. Candidates are verified on their whole word sets. Each set asks the earliest candidates of each word first.
+   Sets for which these fail while others are left meet all sets of the word in blocks, where overlaps are
+   counted by an inverted index: what is sent grows with the sets, never with their pairs.
 
 A line goes if an earlier line is similar: the first of its own set, or any line of a similar set. Order is by
 ``doc_id`` (an integer; null is the largest), then by line, then by hashes of set and text.
@@ -35,6 +36,7 @@ from leaksieve.session import materialise
 CHUNK_BYTES = 1 << 20
 BLOCK = 1 << 16
 PAIRS = 1 << 20  # pairs that are filtered at a time
+BLOCK_SETS = 1500  # sets on each side of a block
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,18 @@ class LineOptions:
     first_asked: int = 2
 
 
+def _by_line(line: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Order by line, then by hash: one sort of packed numbers unless two hashes of a line look alike."""
+    bits = ar.U64(max(1, int(line[-1]).bit_length() if len(line) else 1))
+    packed = (line.astype(np.uint64) << (ar.U64(64) - bits)) | (hashes >> bits)
+    order = np.argsort(packed)
+    packed = packed[order]
+    alike = np.flatnonzero(packed[1:] == packed[:-1])
+    if (hashes[order[alike]] != hashes[order[alike + 1]]).any():
+        return np.lexsort((hashes, line))
+    return order
+
+
 def line_words(data: np.ndarray, offsets: np.ndarray, low: int, high: int):
     """Of rows ``[low, high)``: word hashes, the line of each, and the row and number of each line with words.
 
@@ -62,7 +76,7 @@ def line_words(data: np.ndarray, offsets: np.ndarray, low: int, high: int):
     fresh[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
     line = np.cumsum(fresh) - 1
     rows, numbers = row[fresh], number[fresh]
-    order = np.lexsort((hashes, line))
+    order = _by_line(line, hashes)
     hashes, line = hashes[order], line[order]
     distinct = np.ones(len(line), dtype=bool)
     distinct[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
@@ -149,7 +163,8 @@ def _lines(docs: DataFrame, codes, options: LineOptions) -> DataFrame:
                 ]
                 if codes:
                     code = codes.value[(hashes & mask).astype(np.int64)]
-                    order = np.lexsort((hashes, code, line))
+                    # hashes are in order within a line, and the sort keeps them so
+                    order = np.argsort(line * 256 + code, kind="stable")
                     place = np.arange(len(line)) - np.searchsorted(line, line)
                     shown = (place < (sizes - -(-FOUR * sizes // FIVE) + 1)[line]) & counts[line]
                     # a word alone in its cell is in no other set, but keeps its place in the prefix
@@ -169,21 +184,28 @@ def _lines(docs: DataFrame, codes, options: LineOptions) -> DataFrame:
     return docs.select("ref", "text").mapInArrow(run, f"ref {kind}, line int, set bigint{detail}")
 
 
-def _candidates(entries: DataFrame, most: int | None) -> DataFrame:
-    """``x, y, word, more``: for each set ``x`` at each word, its earliest candidates ``y``.
+def _candidates(entries: DataFrame, most: int) -> DataFrame:
+    """``x, y, word, more``: for each set ``x`` at each word, its ``most`` earliest candidates ``y``.
 
-    ``entries`` has ``word, set, n, place, p0, p1, doc, line``; the last two order sets by their first line.
-    ``most`` limits the candidates of one set and word; ``more`` says that there are others.
+    ``entries`` has ``word, set, n, place, p0, p1, rank``; ranks, then names, order sets by their first line.
+    ``more`` says that there are others.
     """
     slots = shuffle_buckets(entries.sparkSession)
 
     def run(table: pa.Table) -> pa.Table:
-        words, sets, n, place, p0, p1, doc, line = (
-            table.column(c).to_numpy() for c in ("word", "set", "n", "place", "p0", "p1", "doc", "line")
+        words = table.column("word").to_numpy()
+        ordered = np.sort(words)
+        shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        keep = np.flatnonzero(np.isin(words, shared)) if len(shared) else np.zeros(0, np.int64)
+        table = table.take(pa.array(keep))
+        words, sets, n, place, p0, p1, rank = (
+            table.column(c).to_numpy() for c in ("word", "set", "n", "place", "p0", "p1", "rank")
         )
-        order = np.lexsort((sets, line, doc, words))
+        order = np.lexsort((sets, rank, words))
         words, sets, n, place = words[order], sets[order], n[order].astype(np.int64), place[order].astype(np.int64)
         p0, p1 = p0[order].view(np.uint64), p1[order].view(np.uint64)
+        # in a pair, the smaller set's word lies in a shorter prefix still: it shares 8/9 of its words
+        short = place < n - -(-2 * FOUR * n // (FIVE + FOUR)) + 1
         start = np.searchsorted(words, words)
         earlier = np.arange(len(words)) - start
         out: list[tuple] = []
@@ -196,21 +218,17 @@ def _candidates(entries: DataFrame, most: int | None) -> DataFrame:
             step = np.arange(len(which)) - np.repeat(np.cumsum(earlier[low:high]) - earlier[low:high], earlier[low:high])
             other = start[which] + step
             least = -(-FOUR * (n[which] + n[other]) // (FIVE + FOUR))
+            good = (np.minimum(n[which], n[other]) >= least) & np.where(n[which] < n[other], short[which], short[other])
+            which, other, least = which[good], other[good], least[good]
             # this word and what follows it, and words before it that both may share
             reach = np.minimum(n[which] - place[which], n[other] - place[other]) + np.minimum(place[which], place[other])
             differ = np.bitwise_count(p0[which] ^ p0[other]).astype(np.int64) + np.bitwise_count(p1[which] ^ p1[other])
-            good = (np.minimum(n[which], n[other]) >= least) & (reach >= least)
-            good &= differ <= n[which] + n[other] - 2 * least
+            good = (reach >= least) & (differ <= n[which] + n[other] - 2 * least)
             which, other = which[good], other[good]
-            rank_of = np.arange(len(which)) - np.searchsorted(which, which)
             number = np.bincount(which - low, minlength=high - low)
-            if most is not None:
-                more = number[which - low] > most
-                asked = rank_of < most
-                which, other, more = which[asked], other[asked], more[asked]
-            else:
-                more = np.zeros(len(which), dtype=bool)
-            out.append((sets[which], sets[other], words[which], more))
+            asked = np.arange(len(which)) - np.searchsorted(which, which) < most
+            which, other = which[asked], other[asked]
+            out.append((sets[which], sets[other], words[which], number[which - low] > most))
             low = high
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
         return pa.table(dict(zip(("x", "y", "word", "more"), columns)))
@@ -219,6 +237,62 @@ def _candidates(entries: DataFrame, most: int | None) -> DataFrame:
     return dealt.groupBy("slot").applyInArrow(run, "x bigint, y bigint, word bigint, more boolean")
 
 
+def _settled(unsettled: DataFrame, entries: DataFrame, words: DataFrame) -> DataFrame:
+    """The sets of ``unsettled (x, word)`` that are similar to any earlier set of their word.
+
+    A word's sets are dealt to parts of about ``BLOCK_SETS``; each part of its unsettled sets meets each part of
+    all its sets in a block of bounded size.
+    """
+    slots = shuffle_buckets(entries.sparkSession)
+    members = entries.select("word", "set", "rank").join(unsettled.select("word").distinct(), "word")
+    parts = F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("parts")
+    parts = members.groupBy("word").agg(parts)
+    part = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    members = members.join(parts, "word").withColumn("part", part)
+    base = members.select("word", "set", "rank", F.col("part").alias("b"), every.alias("k"), F.lit(False).alias("asks"))
+    asking = members.join(unsettled.select(F.col("x").alias("set"), "word"), ["set", "word"], "left_semi")
+    asking = asking.select("word", "set", "rank", every.alias("b"), F.col("part").alias("k"), F.lit(True).alias("asks"))
+    rows = base.unionByName(asking).join(words, "set")
+    rows = rows.select(F.xxhash64("word", "b", "k").alias("block"), "set", "rank", "asks", "words")
+
+    def meet(sets, rank, asks, bags) -> list[int]:
+        base = np.flatnonzero(~asks)
+        if not len(base):
+            return []
+        sizes = np.array([len(bags[k]) for k in base])
+        owner = np.repeat(np.arange(len(base)), sizes)
+        tokens = np.concatenate([bags[k] for k in base])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        out = []
+        for x in np.flatnonzero(asks).tolist():
+            own = bags[x]
+            low, high = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
+            counts = high - low
+            at = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            both = np.bincount(owner[at], minlength=len(base))
+            earlier = (rank[base] < rank[x]) | ((rank[base] == rank[x]) & (sets[base] < sets[x]))
+            if (earlier & (FIVE * both >= FOUR * (len(own) + sizes - both))).any():
+                out.append(int(sets[x]))
+        return out
+
+    def run(table: pa.Table) -> pa.Table:
+        block, sets, rank = (table.column(c).to_numpy() for c in ("block", "set", "rank"))
+        asks, bags = np.asarray(table.column("asks")), table.column("words")
+        order = np.argsort(block, kind="stable")
+        cuts = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
+        out: list[int] = []
+        for low, high in zip(cuts, cuts[1:]):
+            some = order[low:high]
+            own = [np.frombuffer(bags[int(k)].as_buffer(), np.uint64) for k in some]
+            out += meet(sets[some], rank[some], asks[some], own)
+        return pa.table({"set": pa.array(out, pa.int64())})
+
+    dealt = rows.withColumn("slot", F.pmod("block", F.lit(slots)))
+    return dealt.groupBy("slot").applyInArrow(run, "set bigint").distinct()
+
+
 def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``set, words``: the whole word sets of ``wanted (set, ref, line)``, read from the documents."""
     lists = wanted.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("line", "set"))).alias("lines"))
@@ -278,23 +352,23 @@ def similar_sets(docs: DataFrame, options: LineOptions = LineOptions()) -> DataF
     first = F.min(F.struct("ref.doc", "line", "ref.id")).alias("first")
     details = [F.first(c).alias(c) for c in ("n", "p0", "p1", "prefix")]
     sets = materialise(lines.groupBy("set").agg(first, *details), "linesets")
-    entries = sets.select("set", "n", "p0", "p1", "first.doc", "first.line", F.posexplode("prefix").alias("place", "word"))
+    # ids beyond 43 bits come last, in the order of names
+    doc = F.least(F.greatest(F.col("first.doc"), F.lit(0)), F.lit((1 << 43) - 1))
+    rank = F.shiftleft(doc, 20) + F.least(F.col("first.line"), F.lit((1 << 20) - 1))
+    entries = sets.select("set", "n", "p0", "p1", rank.alias("rank"), F.posexplode("prefix").alias("place", "word"))
     entries = entries.where("word <> 0")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        names = pairs.select(F.col("x").alias("set")).unionByName(pairs.select(F.col("y").alias("set"))).distinct()
-        ref = F.struct("first.doc", "first.id").alias("ref")
-        wanted = sets.join(names, "set").select("set", ref, F.col("first.line").alias("line"))
-        return materialise(_verified(pairs, _word_sets(docs, wanted)), "matched")
-
     asked = materialise(_candidates(entries, options.first_asked), "candidates")
-    matched = check(asked)
-    left = asked.where("more").join(matched.withColumnRenamed("set", "x"), "x", "left_anti").select("x", "word").distinct()
-    left = materialise(left, "unsettled")
-    if not left.isEmpty():
-        again = _candidates(entries.join(left.select("word").distinct(), "word"), None)
-        again = materialise(again.join(left, ["x", "word"], "left_semi"), "candidates")
-        matched = matched.unionByName(check(again)).distinct()
+    # the word sets of all that may be compared are read at once: the texts move a single time
+    crowded = asked.where("more").select("word").distinct()
+    names = asked.select(F.explode(F.array("x", "y")).alias("set"))
+    names = names.unionByName(entries.join(crowded, "word").select("set")).distinct()
+    ref = F.struct("first.doc", "first.id").alias("ref")
+    wanted = sets.join(names, "set").select("set", ref, F.col("first.line").alias("line"))
+    words = materialise(_word_sets(docs, wanted), "words")
+    matched = materialise(_verified(asked, words), "matched")
+    unsettled = asked.where("more").select("x", "word").distinct()
+    unsettled = materialise(unsettled.join(matched.select(F.col("set").alias("x")), "x", "left_anti"), "unsettled")
+    matched = matched.unionByName(_settled(unsettled, entries, words)).distinct()
     found = sets.select("set", "first").join(matched.withColumn("matched", F.lit(True)), "set", "left")
     return materialise(found.select("set", "first", F.coalesce("matched", F.lit(False)).alias("matched")), "decided")
 
