@@ -810,6 +810,14 @@ EVERYTHING_SQL = f"""{DOC_SQL} UNION ALL SELECT 'Confluence', page_id::varchar,
  WHERE html <> '' UNION ALL {CONV_SQL}"""
 
 
+CATALOGUE = default_rules()
+TOLD_SQL = (
+    f"SELECT * REPLACE (text || ' ' || ([{', '.join(_q(r.example) for r in CATALOGUE.rules)}])"
+    f"[item_ord % {len(CATALOGUE)} + 1] AS text) FROM (SELECT * REPLACE (doc_id AS item_ord) FROM"
+    " (SELECT *, split_part(url, '/', 2)::bigint AS doc_id FROM (" + DOC_SQL + "))) "
+)
+
+
 def _everything(spark, d):
     pages = _table(spark, d, "pages").select(
         F.lit("Confluence").alias("platform"),
@@ -822,16 +830,25 @@ def _everything(spark, d):
 
 
 @_query(
-    _matches_sql(EVERYTHING_SQL, default_rules(), by_text=True)
+    _matches_sql(EVERYTHING_SQL, CATALOGUE, by_text=True)
     + "SELECT url, field, item_ord, rule_id, secret, line_number, sanitized_secret, mocked_secret FROM x"
 )
 def scan_catalogue(spark, d):
-    found = mt.scan_texts(_everything(spark, d), default_rules())
+    found = mt.scan_texts(_everything(spark, d), CATALOGUE)
     return found.select(
         "url", "field", "item_ord", "rule_id", "secret", "line_number", "sanitized_secret", "mocked_secret"
     )
 
 
+@_query(_matches_sql(TOLD_SQL, CATALOGUE, by_text=True) + "SELECT url, rule_id, secret, line_number, sanitized_secret FROM x")
+def scan_catalogue_tokens(spark, d):
+    """Each document with a token of one of the rules, in turn: every rule is found."""
+    number = F.split_part("url", F.lit("/"), F.lit(2)).cast("bigint")
+    told = F.element_at(F.lit([r.example for r in CATALOGUE.rules]), (number % len(CATALOGUE) + 1).cast("int"))
+    texts = _doc_texts(spark, d).withColumn("text", F.concat("text", F.lit(" "), told))
+    return mt.scan_texts(texts, CATALOGUE).select("url", "rule_id", "secret", "line_number", "sanitized_secret")
+
+
 # opt-in rule fields
 
 

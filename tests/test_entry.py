@@ -4,8 +4,8 @@ from conftest import SF
 
 import __spark_entry__ as entry
 
-# the catalogue's SQL tries 221 patterns on every text; it is checked by check_oracle.py
-NAMES = [n for n in entry._QUERIES if n != "scan_catalogue"]
+# the catalogue's SQL tries every pattern on every text; it is checked by check_oracle.py
+NAMES = [n for n in entry._QUERIES if not n.startswith("scan_catalogue")]
 
 
 @pytest.fixture(scope="module")

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from leaksieve.catalogue import default_rules, sample
+from leaksieve.catalogue import counterexample, default_rules, formats, sample
 from leaksieve.functions import regex as rx
 from leaksieve.operators.rules import compile_pattern
 
@@ -107,5 +107,15 @@ def test_gate_sees_folded_characters(spark):
     assert set(df.select(gate.found(df.t).alias("f")).first().f) == {"slack", "linkedin"}
 
 
+def test_every_rule_has_its_case_and_countercase():
+    rules = default_rules().rules
+    assert len({r.id for r in rules}) == len(rules) == len(formats())
+    for at, (rule, found) in enumerate(zip(rules, formats())):
+        assert found.source and not re.search(rule.regex, counterexample(found)), rule.id
+        assert next(i for i, r in enumerate(rules) if re.search(r.regex, rule.example)) == at, rule.id
+    compiled = default_rules().compiled()
+    assert all(p.java and p.literals and not p.nests for p in compiled)
+
+
 def test_sample_is_stable():
     assert sample("ab[0-9]{3}(?:x|y)") == sample("ab[0-9]{3}(?:x|y)")
