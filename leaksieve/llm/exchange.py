@@ -66,7 +66,7 @@ def occurring_twice(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[t
     ``read`` makes ids and arrays of unsigned 64-bit fingerprints from a batch of ``rows``; ``place`` is a
     fingerprint's index in its array. Ids need not be unique: entries of equal ids count like any others.
     """
-    buckets = shuffle_buckets(rows.sparkSession)
+    buckets = shuffle_buckets(rows.sparkSession, 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple[list, ...] = ([], [], [])
@@ -163,7 +163,7 @@ def compare(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[tuple]])
     no bucket gathers them all. An entry that is called open though its outer piece stands elsewhere
     is decided by a later, finer comparison.
     """
-    buckets = shuffle_buckets(rows.sparkSession)
+    buckets = shuffle_buckets(rows.sparkSession, 1)
     kinds = (np.uint64, np.uint64, np.int64, np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
