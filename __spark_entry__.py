@@ -23,9 +23,9 @@ from leaksieve.operators import rules as ru
 from leaksieve.operators import scope as sc
 from leaksieve.options import MatchOptions, ScanOptions
 from leaksieve.plans.scan import match_content, scan_platform
-from leaksieve.session import configure, scratch_path
+from leaksieve.session import configure, materialise, scratch_path
 from leaksieve.sinks import reports as rp
-from leaksieve.sources import files, trackers
+from leaksieve.sources import files, maps, trackers
 from leaksieve.sources.union import union_sources
 from leaksieve.streaming import stream as st
 
@@ -1036,7 +1036,7 @@ def count_findings(spark, d):
  CASE rule_id WHEN 'email' THEN 'live' WHEN 'phone' THEN 'unable to test' END AS status FROM f"""
 )
 def apply_verdicts(spark, d):
-    found = _findings(spark, d)
+    found = materialise(_findings(spark, d), "findings")  # the verdicts below come from the same scan
     status = F.when(F.col("rule_id") == "email", "live").otherwise("unable to test")
     verdicts = found.where(F.col("rule_id").isin("email", "phone")).select(
         "id", status.alias("status"), F.when(F.col("rule_id") == "email", "checked e-mail").alias("rule_description")
@@ -1239,6 +1239,19 @@ def scope_map_files(spark, d):
     return sc.file_tree_map(_table(spark, d, "documents").select(path.alias("path")))
 
 
+@_query(f"SELECT DISTINCT 'Asana' AS platform, l1, l2, l3, NULL::varchar AS l4 FROM ({PLACES_SQL})")
+def map_file(spark, d):
+    """A map written as nested JSON and read back."""
+    path = scratch_path(spark, "map")
+    maps.write_map(sc.scope_map(_places(spark, d), "Asana", ["l1", "l2", "l3"]), path, "asana")
+    whole = scratch_path(spark, "map-file")
+    # the parts, one after another, are the document
+    parts = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file", "value"))), lambda p: p["value"]), "")
+    parts.agg(text.alias("value")).coalesce(1).write.text(whole)
+    return maps.read_map(spark, whole, "asana")
+
+
 def _scope(spark, d):
     """All of one region, one nation of another, and the large orders of a third."""
     places = _places(spark, d)

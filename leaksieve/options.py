@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import tomllib
+from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
+# Parameters of config files, and the options they set.
+GENERAL_PARAMETERS = {
+    "report_format": "report_format",
+    "post_comment": "post_comment",
+    "skip_comment": "skip_comment",
+    "show_matched_secret_on_logs": "show_matched_secret",
+}
+COMMENT_PARAMETERS = ("bot_name", "message_template", "secret_manager", "contact_help", "label")
 # The message template's variables and defaults of a scan's comment.
 COMMENT_VARIABLES = ("finding_info", "bot_name", "secret_manager", "contact_help", "label")
 DEFAULT_TEMPLATE = (
@@ -69,6 +80,29 @@ class ScanOptions:
         """A copy with some options changed."""
         return replace(self, **changes)
 
+    @classmethod
+    def from_config(cls, config: Mapping) -> ScanOptions:
+        """Options from the parameters of a config file; the label is also the one that is looked for in texts."""
+        general, comment = config.get("general_params") or {}, config.get("comment_params") or {}
+        found = {to: general[key] for key, to in GENERAL_PARAMETERS.items() if general.get(key) is not None}
+        found |= {key: comment[key] for key in COMMENT_PARAMETERS if comment.get(key) is not None}
+        if "label" in found:
+            found["config_label"] = found["label"]
+        return cls(**found)
+
+    @classmethod
+    def load(cls, path: str) -> ScanOptions:
+        """Options from a JSON, TOML or YAML config file of the driver."""
+        with open(path, "rb") as file:
+            raw = file.read()
+        if path.endswith(".json"):
+            return cls.from_config(json.loads(raw))
+        if path.endswith(".toml"):
+            return cls.from_config(tomllib.loads(raw.decode()))
+        import yaml
+
+        return cls.from_config(yaml.safe_load(raw) or {})
+
     def arguments(self) -> dict:
         """The options that are named in reports."""
         return {
