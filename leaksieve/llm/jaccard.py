@@ -124,6 +124,14 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def _central_first(sets: list[np.ndarray]) -> list[int]:
+    """Sets by how common their shingles are among them: the text that others were made from comes first."""
+    sizes = np.array([len(own) for own in sets])
+    _, number, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.add.reduceat(counts[number], np.cumsum(sizes) - sizes) / sizes
+    return np.argsort(-shared, kind="stable").tolist()
+
+
 def _gather(sets: DataFrame, key: str) -> DataFrame:
     """``id, pivot``: sets with an equal key that link to a pivot among them.
 
@@ -142,18 +150,22 @@ def _gather(sets: DataFrame, key: str) -> DataFrame:
         cuts = [0, *(np.flatnonzero(np.diff(groups[order])) + 1).tolist(), len(order)]
         members, chosen = [], []
         for low, high in zip(cuts, cuts[1:]):
-            pivots: list[tuple[int, np.ndarray]] = []
-            for k in order[low:high].tolist() if high - low > 1 else []:
-                own = np.frombuffer(column[k].as_buffer(), np.uint64)
-                for pivot, tokens in pivots:
-                    least = needed(len(own), len(tokens))
-                    if min(len(own), len(tokens)) >= least and _overlap(own, tokens) >= least:
-                        members.append(ids[k])
-                        chosen.append(pivot)
+            if high - low == 1:
+                continue
+            some = order[low:high].tolist()
+            sets = [np.frombuffer(column[k].as_buffer(), np.uint64) for k in some]
+            pivots: list[int] = []
+            for k in _central_first(sets):
+                own = sets[k]
+                for p in pivots:
+                    least = needed(len(own), len(sets[p]))
+                    if min(len(own), len(sets[p])) >= least and _overlap(own, sets[p]) >= least:
+                        members.append(ids[some[k]])
+                        chosen.append(ids[some[p]])
                         break
                 else:
                     if len(pivots) < PIVOTS:
-                        pivots.append((ids[k], own))
+                        pivots.append(k)
         return pa.table({"id": pa.array(members, pa.int64()), "pivot": pa.array(chosen, pa.int64())})
 
     return dealt.withColumn("slot", slot).groupBy("slot").applyInArrow(run, "id bigint, pivot bigint")
@@ -200,23 +212,26 @@ def by_rarity(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame, sketch) -> DataFrame:
-    """``token, id``: the prefix of each set. Shingles whose cell counts one are nobody else's."""
+    """``token, id, n, room``: the prefix of each set; ``room`` is what of the set a token and those after it hold.
+
+    Shingles whose cell counts one are nobody else's: they take a place but give no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
         for batch in batches:
-            ids, tokens = [], []
+            out: tuple[list, ...] = ([none], [none], [none], [none])
             for one, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = by_rarity(np.frombuffer(raw.as_buffer(), np.uint64), sketch.value)
-                own = own[: prefix_size(len(own))]
-                own = own[sketch.value[(own & ar.U64(CELLS - 1)).astype(np.int64)] > 1]
-                ids.append(np.full(len(own), one, np.int64))
-                tokens.append(own.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens or [np.zeros(0, np.int64)])), pa.array(np.concatenate(ids or [np.zeros(0, np.int64)]))],
-                names=["token", "id"],
-            )
+                n = len(own)
+                own = own[: prefix_size(n)]
+                place = np.flatnonzero(sketch.value[(own & ar.U64(CELLS - 1)).astype(np.int64)] > 1)
+                for to, values in zip(out, (own[place].view(np.int64), np.full(len(place), one), np.full(len(place), n), n - place)):
+                    to.append(values)
+            columns = [pa.array(np.concatenate(c), pa.int64()) for c in out]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "id", "n", "room"])
 
-    return sets.select("id", "tokens").mapInArrow(run, "token bigint, id bigint")
+    return sets.select("id", "tokens").mapInArrow(run, "token bigint, id bigint, n bigint, room bigint")
 
 
 @dataclass
@@ -346,13 +361,23 @@ def linked_sets(sets: DataFrame) -> DataFrame:
     sketch = sets.sparkSession.sparkContext.broadcast(rarity_sketch(sets))
     placed = clusters.join(parts.withColumnRenamed("node", "id"), "id", "left")
     placed = placed.select("id", "pivot", F.coalesce("component", "id").alias("component"))
-    meets = _prefixes(sets, sketch).join(placed, "id").groupBy("token", "pivot")
-    meets = materialise(meets.agg(F.first("component").alias("component")), "meets")
+    meets = _prefixes(sets, sketch).join(placed, "id").groupBy("token", "pivot").agg(
+        F.first("component").alias("component"), F.max("room").alias("room"), F.min("n").alias("low"), F.max("n").alias("high")
+    )
+    meets = materialise(meets, "meets")
     mixed = meets.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     meets = meets.join(mixed.where("lo <> hi").select("token"), "token")
-    a = meets.select("token", F.col("pivot").alias("p"), F.col("component").alias("pc"))
-    b = meets.select("token", F.col("pivot").alias("q"), F.col("component").alias("qc"))
-    pairs = a.join(b, "token").where("pc < qc").select("p", "q").distinct()
+
+    def side(name: str) -> DataFrame:
+        columns = ["pivot", "component", "room", "low", "high"]
+        return meets.select("token", *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+    # where two linked sets meet first, neither shares what comes before: the rest must hold the whole overlap
+    reach = F.least("p_room", "q_room") * (FIVE + FOUR) >= (F.col("p_low") + F.col("q_low")) * FOUR
+    fits = (F.col("p_high") * FIVE >= F.col("q_low") * FOUR) & (F.col("q_high") * FIVE >= F.col("p_low") * FOUR)
+    a, b = side("p"), side("q")
+    pairs = a.join(b, (a["token"] == b["token"]) & (F.col("p_component") < F.col("q_component")) & reach & fits)
+    pairs = pairs.select(F.col("p_pivot").alias("p"), F.col("q_pivot").alias("q")).distinct()
     sizes = clusters.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
     pairs = pairs.join(sizes.select(F.col("pivot").alias("p"), F.col("size").alias("ps")), "p")
     pairs = pairs.join(sizes.select(F.col("pivot").alias("q"), F.col("size").alias("qs")), "q")

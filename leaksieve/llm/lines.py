@@ -3,8 +3,8 @@
 1. Lines become sets of words, equal sets one row with the place of their first line.
 2. Words are ordered by rarity, counted in a sketch of fixed size. Two sets can only reach the similarity if
    their prefixes, a fifth of their rarest words, meet. Sets meet at each word of their prefix.
-3. At a word, an earlier set is a candidate if its size fits (length filter), if what follows the word in
-   both can still reach the overlap (positional filter), and if the parity bitmaps of both sets differ in no
+3. At a word, an earlier set is a candidate if its size fits (length filter), if the word and what follows
+   it can hold the whole overlap in both (positional filter, exact at the first word they share), and if the parity bitmaps of both sets differ in no
    more bits than their words may.
 4. Candidates are verified on their whole word sets. Each set asks the earliest candidates of each word first.
    Sets for which these fail while others are left meet all sets of the word in blocks, where overlaps are
@@ -204,8 +204,6 @@ def _candidates(entries: DataFrame, most: int) -> DataFrame:
         order = np.lexsort((sets, rank, words))
         words, sets, n, place = words[order], sets[order], n[order].astype(np.int64), place[order].astype(np.int64)
         p0, p1 = p0[order].view(np.uint64), p1[order].view(np.uint64)
-        # in a pair, the smaller set's word lies in a shorter prefix still: it shares 8/9 of its words
-        short = place < n - -(-2 * FOUR * n // (FIVE + FOUR)) + 1
         start = np.searchsorted(words, words)
         earlier = np.arange(len(words)) - start
         out: list[tuple] = []
@@ -218,12 +216,11 @@ def _candidates(entries: DataFrame, most: int) -> DataFrame:
             step = np.arange(len(which)) - np.repeat(np.cumsum(earlier[low:high]) - earlier[low:high], earlier[low:high])
             other = start[which] + step
             least = -(-FOUR * (n[which] + n[other]) // (FIVE + FOUR))
-            good = (np.minimum(n[which], n[other]) >= least) & np.where(n[which] < n[other], short[which], short[other])
+            # at the first word that both share, the rest of either must hold the whole overlap
+            good = np.minimum(n[which] - place[which], n[other] - place[other]) >= least
             which, other, least = which[good], other[good], least[good]
-            # this word and what follows it, and words before it that both may share
-            reach = np.minimum(n[which] - place[which], n[other] - place[other]) + np.minimum(place[which], place[other])
             differ = np.bitwise_count(p0[which] ^ p0[other]).astype(np.int64) + np.bitwise_count(p1[which] ^ p1[other])
-            good = (reach >= least) & (differ <= n[which] + n[other] - 2 * least)
+            good = differ <= n[which] + n[other] - 2 * least
             which, other = which[good], other[good]
             number = np.bincount(which - low, minlength=high - low)
             asked = np.arange(len(which)) - np.searchsorted(which, which) < most
