@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leaksieve.llm import decontaminate, jaccard, langid, lines, packing
+from leaksieve.llm import decontaminate, jaccard, langid, lines, modest_batches, packing
 from leaksieve.llm.queries import TOKENIZER
 from leaksieve.session import materialise
 
@@ -43,12 +43,16 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(docs, TOKENIZER)
 
 
+def _stage(function: Stage) -> Stage:
+    return lambda spark, docs, sf_dir: function(modest_batches(spark), docs, sf_dir)
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language_id", language_id),
-    ("line_dedup", line_dedup),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("packing", packing_stage),
+    ("language_id", _stage(language_id)),
+    ("line_dedup", _stage(line_dedup)),
+    ("near_duplicates", _stage(near_duplicates)),
+    ("decontamination", _stage(decontamination)),
+    ("packing", _stage(packing_stage)),
 ]
 
 # None of the stages can be said in SQL: tests compare each with a brute-force version.

@@ -1 +1,16 @@
 """Operators for preparing training data. Nothing else in the library imports this package."""
+
+from pyspark.sql import SparkSession
+
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def modest_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Let batches of whole texts stay small, unless the session has a size of its own.
+
+    Ten thousand texts in a batch, Spark's default, take more memory in the JVM and in Python than all the
+    operators do.
+    """
+    if spark.conf.get(BATCH_ROWS, None) in (None, "10000"):
+        spark.conf.set(BATCH_ROWS, str(rows))
+    return spark

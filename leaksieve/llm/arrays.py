@@ -52,7 +52,9 @@ def _powers(kind: str, n: int) -> np.ndarray:
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(VALUE[data] * _powers("up", len(data)), out=sums[1:])
+    terms = VALUE[data]
+    terms *= _powers("up", len(data))
+    np.cumsum(terms, out=sums[1:])
     return sums
 
 

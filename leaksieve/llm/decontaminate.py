@@ -28,7 +28,7 @@ from leaksieve.llm import arrays as ar
 from leaksieve.llm.fmindex import FMIndex
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 MARKS = ("__n_words", "__n_hit", "__items", "__hit_words")
 
 

@@ -31,7 +31,7 @@ from leaksieve.llm.exchange import components, occurring_twice, shuffle_buckets
 from leaksieve.session import materialise
 
 WORDS = 5
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 OUT_ROWS = 1000  # rows of a batch that holds whole sets
 # 100 * intersection >= 80 * union, in whole numbers: FIVE * intersection >= FOUR * union
 FIVE, FOUR = 5, 4

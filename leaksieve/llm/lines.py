@@ -33,7 +33,7 @@ from leaksieve.llm.exchange import shuffle_buckets
 from leaksieve.llm.jaccard import FIVE, FOUR
 from leaksieve.session import materialise
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 BLOCK = 1 << 16
 PAIRS = 1 << 20  # pairs that are filtered at a time
 BLOCK_SETS = 1500  # sets on each side of a block

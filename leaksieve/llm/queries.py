@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leaksieve.llm import decontaminate, htmltext, jaccard, langid, lines, packing, quality, repeats, secrets, sharding
+from leaksieve.llm import (
+    decontaminate,
+    htmltext,
+    jaccard,
+    langid,
+    lines,
+    modest_batches,
+    packing,
+    quality,
+    repeats,
+    secrets,
+    sharding,
+)
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -15,7 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return modest_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_decontamination(spark: SparkSession, d: str) -> DataFrame:

@@ -34,7 +34,7 @@ WIDTH = 200
 GRAM = 96
 REACH = WIDTH - GRAM  # window starts before a leading position that it can lead
 CELL = 8
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def _keys(sums, low, high, start, stop):

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import os
 from array import array
+from itertools import islice
 
 import numpy as np
 
 # Trailing marks that the tokenizer parts from an ASCII letter or digit before them. No apostrophe:
 # with one, a mark and the letters after it may be one token.
 MARKS = b".,!?;:|#*$%&()-"
-MOST_WORDS = 1_000_000  # kept words; the memory starts anew beyond it
+MOST_WORDS = 500_000  # kept words; the older half goes beyond it
 _OPEN: dict[str, WordTokenizer] = {}
 
 
@@ -49,7 +50,7 @@ class WordTokenizer:
         """Ids as little-endian unsigned 32-bit numbers."""
         split = [text.lower().split() for text in texts]  # of bytes: both touch ASCII only
         if len(self.known) > MOST_WORDS:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), MOST_WORDS // 2, None))
         new = [w for w in {w for words in split for w in words} if w not in self.known]
         parts = {}
         for word in new:
