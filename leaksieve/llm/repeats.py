@@ -148,7 +148,7 @@ def _store_texts(docs: DataFrame) -> DataFrame:
     name = f"texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     writer = whole.write.bucketBy(buckets, "id").option("path", scratch_path(spark, "texts"))
-    writer.option("compression", "zstd").format("parquet").saveAsTable(name)
+    writer.format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
