@@ -7,6 +7,7 @@ twice at most, whatever its count, so no bucket ever grows with a hot one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksieve.session import materialise
+from leaksieve.session import materialise, scratch_path
 
 CHUNK = 1 << 19  # fingerprints that a task sorts at a time
 _SILENT = 0xFFFFFFFF  # place of an entry that needs no answer
@@ -25,6 +26,15 @@ def shuffle_buckets(spark: SparkSession, per_partition: int = 4) -> int:
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def store_buckets(frame: DataFrame, key: str, name: str) -> DataFrame:
+    """Store a table in buckets by a key, so that later joins on it read the rows where they lie."""
+    spark = frame.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = frame.write.bucketBy(shuffle_buckets(spark, 1), key).option("path", scratch_path(spark, name))
+    writer.format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted values: which equal a neighbour, and which are the first of their kind."""
     first = np.ones(len(ordered), dtype=bool)

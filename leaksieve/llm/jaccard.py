@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaksieve.llm import arrays as ar
-from leaksieve.llm.exchange import components, occurring_twice, shuffle_buckets
+from leaksieve.llm.exchange import components, occurring_twice, shuffle_buckets, store_buckets
 from leaksieve.session import materialise
 
 WORDS = 5
@@ -171,36 +171,41 @@ def _gather(sets: DataFrame, key: str) -> DataFrame:
     return dealt.withColumn("slot", slot).groupBy("slot").applyInArrow(run, "id bigint, pivot bigint")
 
 
-def rarity_sketch(rows: DataFrame, column: str = "tokens", cells: int = CELLS) -> np.ndarray:
-    """How often fingerprints fall into each of ``cells`` cells: a count that never is too small, of fixed size.
+def rarity_sketch(rows: DataFrame, column: str = "tokens", cells_: int = CELLS) -> np.ndarray:
+    """How often fingerprints fall into each of ``cells_`` cells: a count that never is too small, of fixed size.
 
     Any order of shingles finds every link; this one puts frequent shingles last. The sketch is the same for
-    all tasks, takes ``4 * cells`` bytes whatever the corpus, and is summed by the executors.
+    all tasks, takes ``4 * cells_`` bytes whatever the corpus, and is summed by the executors.
     """
     block = 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(cells, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                own = np.frombuffer(raw.as_buffer(), np.uint64)
-                np.add.at(sums, (own & ar.U64(cells - 1)).astype(np.int64), 1)
-        parts = [sums[k : k + block].astype(np.uint32) for k in range(0, cells, block)]
-        some = [k for k, p in enumerate(parts) if p.any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], names=["block", "sums"]
-        )
+            own = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in batch.column(0)]
+            cells = np.concatenate([np.zeros(0, np.uint64), *own]) & ar.U64(cells_ - 1)
+            found, counts = np.unique(cells.astype(np.uint32), return_counts=True)
+            cuts = np.searchsorted(found, np.arange(0, cells_ + 1, block))
+            some = [k for k in range(len(cuts) - 1) if cuts[k + 1] > cuts[k]]
+            inside, counts = (found % block).astype(np.uint16), counts.astype(np.uint32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(some, pa.int32()),
+                    pa.array([inside[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()),
+                    pa.array([counts[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()),
+                ],
+                names=["block", "cells", "counts"],
+            )
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(block, np.uint64)
-        for raw in table.column("sums"):
-            total += np.frombuffer(raw.as_buffer(), np.uint32)
-        total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
-        return pa.table({"block": table.column("block")[:1].cast(pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    parts = rows.select(column).mapInArrow(count, "block int, sums binary")
-    sketch = np.zeros(cells, np.uint32)
-    for row in parts.groupBy("block").applyInArrow(add, "block int, sums binary").collect():
+        total = np.zeros(block, np.float64)
+        for inside, counts in zip(table.column("cells"), table.column("counts")):
+            total[np.frombuffer(inside.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint32)
+        sums = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
+        return pa.table({"block": table.column("block")[:1], "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    parts = rows.select(column).mapInArrow(count, "block int, cells binary, counts binary")
+    sketch = np.zeros(cells_, np.uint32)
+    for row in parts.groupBy("block").applyInArrow(add, "block int, sums binary").toLocalIterator():
         sketch[row.block * block : (row.block + 1) * block] = np.frombuffer(row.sums, np.uint32)
     return sketch
 
@@ -319,7 +324,11 @@ def join_block(base: list[np.ndarray], probes: list[np.ndarray]) -> list[tuple[i
 
 def _compare(pairs: DataFrame, sets: DataFrame, clusters: DataFrame) -> DataFrame:
     """Edges ``a, b`` between the clusters of ``pairs (block, probe)``, found by a trie of each block's sets."""
-    members = clusters.join(sets.select("id", "tokens"), "id").select("pivot", "id", "tokens")
+    # only clusters that are compared send their sets
+    named = pairs.select(F.explode(F.array("block", "probe")).alias("pivot")).distinct()
+    wanted = clusters.join(named, "pivot")
+    members = sets.select("id", "tokens").join(wanted, "id").select("pivot", "id", "tokens")
+    members = materialise(members, "members")
     counts = pairs.groupBy("block").agg(F.count(F.lit(1)).alias("_c"))
     parts = F.ceil(F.col("_c") / GROUP).cast("int")
     pairs = pairs.join(counts, "block").withColumn("part", F.pmod(F.xxhash64("probe"), parts).cast("int"))
@@ -423,7 +432,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     chosen = texts.join(answers, "id").where(F.col("answers") >= _required(F.col("n")) * F.col("copies"))
     chosen = materialise(chosen.select("id"), "chosen")
     whole = hashed.groupBy("id").agg(F.first("text").alias("text"))
-    sets = materialise(_full_sets(whole.join(chosen, "id", "left_semi")), "sets")
+    sets = store_buckets(_full_sets(whole.join(chosen, "id", "left_semi")), "id", "sets")
     parts = linked_sets(sets)
     placed = sized.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     placed = materialise(placed, "placed")

@@ -18,7 +18,6 @@ each other; ids may be null or repeat; extra columns are ignored; an empty table
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaksieve.llm import arrays as ar
-from leaksieve.llm.exchange import COVERED, COVERED_OPEN, OPEN, compare
-from leaksieve.session import materialise, scratch_path
+from leaksieve.llm.exchange import COVERED, COVERED_OPEN, OPEN, compare, store_buckets
+from leaksieve.session import materialise
 
 WIDTH = 200
 GRAM = 96
@@ -142,14 +141,9 @@ def _finer(texts: DataFrame, told: DataFrame, cell: int) -> DataFrame:
 
 
 def _store_texts(docs: DataFrame) -> DataFrame:
-    """The distinct texts, stored in buckets by id, so that later joins read them where they lie."""
-    spark = docs.sparkSession
+    """The distinct texts that are long enough, stored in buckets by id."""
     whole = docs.where(F.octet_length("text") >= WIDTH).groupBy("id").agg(F.first("text").alias("text"))
-    name = f"texts_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    writer = whole.write.bucketBy(buckets, "id").option("path", scratch_path(spark, "texts"))
-    writer.format("parquet").saveAsTable(name)
-    return spark.table(name)
+    return store_buckets(whole, "id", "texts")
 
 
 def find_repeats(texts: DataFrame) -> DataFrame:
