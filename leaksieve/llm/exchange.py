@@ -225,25 +225,46 @@ def compare(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[tuple]])
     return packed.groupBy("bucket").applyInArrow(meet, "id bigint, tag bigint, code int")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _roots(parents: DataFrame) -> DataFrame:
+    """``node, root``: where the parents of a forest (``node, root``) end; a root is its own parent. Depths halve each time."""
+    while True:
+        above = parents.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        step = materialise(parents.join(above, "root").select("node", "root", "next"), "roots")
+        parents = step.select("node", F.col("next").alias("root"))
+        if step.where("next <> root").isEmpty():
+            return parents
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node each node of ``edges (a, b)`` is connected with.
 
-    Every round points each node to the smallest label among its neighbours, then to that label's own label,
-    so long chains shrink by doubling. Rounds are stored; labels never pass through the driver.
+    Every round hooks nodes to their smallest neighbour, or to their largest if that hooks more of them, and contracts
+    the trees to their roots. Of two neighbours one hooks in either case, so a round leaves at most half of the nodes
+    that have neighbours, whatever their order. Rounds are stored; labels never pass through the driver.
     """
     both = edges.select("a", "b").where("a <> b")
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialise(both, "edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    labels = materialise(labels, "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("near")), "b")
-        near = near.groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        step = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("component").alias("lower"))
-        step = step.join(jump, "low", "left").select("node", "component", F.least("low", "lower").alias("new"))
-        step = materialise(step, "labels")
-        if step.where("new <> component").isEmpty():
-            return labels
-        labels = step.select("node", F.col("new").alias("component"))
-    raise RuntimeError(f"components need more than {most_rounds} rounds")
+    labels = None
+    while True:
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"), F.max("b").alias("high"))
+        near = materialise(near, "near")
+        down, up = near.agg(F.count_if(F.col("low") < F.col("node")), F.count_if(F.col("high") > F.col("node"))).first()
+        if not down:
+            break
+        hook = F.least("node", "low") if down >= up else F.greatest("node", "high")
+        roots = _roots(near.select("node", hook.alias("root")))
+        if labels is None:
+            labels = roots
+        else:
+            further = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            labels = labels.join(further, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+            labels = materialise(labels, "labels")
+        one = roots.select(F.col("node").alias("a"), F.col("root").alias("one"))
+        other = roots.select(F.col("node").alias("b"), F.col("root").alias("other"))
+        both = both.join(one, "a").join(other, "b").where("one <> other")
+        both = materialise(both.select(F.col("one").alias("a"), F.col("other").alias("b")).distinct(), "edges")
+    if labels is None:
+        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    least = materialise(labels.groupBy("root").agg(F.min("node").alias("component")), "least")
+    return materialise(labels.join(least, "root").select("node", "component"), "components")
