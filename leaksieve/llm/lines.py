@@ -15,7 +15,7 @@ A line goes if an earlier line is similar: the first of its own set, or any line
 
 Defined cases: lines of fewer than ``least_words`` distinct words are left alone; a null or empty text has no
 line that counts; rows with equal id and text are one document and share its fate; a document that
-loses all its lines that count goes with them; other columns are carried.
+loses lines goes if no line with a word is left; other columns are carried.
 """
 
 from __future__ import annotations
@@ -399,14 +399,14 @@ def line_report(docs: DataFrame, options: LineOptions = LineOptions()) -> DataFr
 def drop_repeated_lines(docs: DataFrame, options: LineOptions = LineOptions()) -> DataFrame:
     """The documents without the lines that go, in the columns of ``docs``; a column ``n_chars`` follows the text.
 
-    Documents that lose all their lines that count go.
+    Documents that lose lines go if no line with a word is left.
     """
     decisions = materialise(line_decisions(docs, options).where(F.size("removed") > 0), "decisions")
-    decisions = decisions.select(F.col("ref").alias("__ref"), F.col("n_lines").alias("__lines"), F.col("removed").alias("__gone"))
+    decisions = decisions.select(F.col("ref").alias("__ref"), F.col("removed").alias("__gone"))
     joined = docs.withColumn("__ref", _ref()).join(decisions, "__ref", "left")
-    joined = joined.where(F.col("__gone").isNull() | (F.size("__gone") < F.col("__lines")))
     left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__gone", i))
     joined = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    joined = joined.where(F.col("__gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         joined = joined.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(size))
