@@ -1,20 +1,22 @@
 """Language identification by cross-parsing against suffix automata.
 
 For each language, a suffix automaton holds every substring of a sample of its labelled text. A text is
-parsed greedily into the longest phrases an automaton knows; the language whose automaton needs the
-fewest phrases per character wins. All automata have samples of one length, so phrase counts compare.
+parsed greedily into the longest phrases an automaton knows. A phrase costs as many bits as it takes to point into
+the sample, or at least to name a character; the language in which the text costs least wins. So samples may
+differ in length, and where they do not, the fewest phrases win.
 
 A text is parsed whole, in blocks of ``BLOCK`` characters that start at a new phrase for every language
 alike: many blocks then advance together, one character a step.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and so is every text when no
-language could be learned; ties go to the smaller language name; a language with less sample text than the
-others shortens all samples, down to ``least_chars``; below it the language is not learned; extra
-columns are carried along except those of the result, which are replaced.
+language could be learned; ties go to the smaller language name; every language with a labelled letter is learned
+from what it has, unless ``least_chars`` asks for more; extra columns are carried along except those of the result,
+which are replaced.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,16 +35,19 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class TrainOptions:
-    """Bounds of what the automata are built from: rows per language by the smallest hashes, and characters."""
+    """Bounds of what the automata are built from."""
 
+    #: rows of a language that are drawn first, by the smallest hashes; more follow until ``chars`` are reached
     rows: int = 64
+    #: characters of a language's sample
     chars: int = 20_000
-    least_chars: int = 500
+    #: languages with less are not learned
+    least_chars: int = 1
 
 
 @dataclass(frozen=True)
 class LanguageSamples:
-    """Normalised text of each language, all of one length."""
+    """Normalised text of each language."""
 
     texts: dict[str, str]
 
@@ -52,26 +57,42 @@ def normalise(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def sample_texts(labelled: DataFrame, keys: list[str], options: TrainOptions = TrainOptions()) -> LanguageSamples:
+def draw_samples(labelled: DataFrame, keys: list[str], options: TrainOptions = TrainOptions()) -> LanguageSamples:
     """Bounded samples from rows with ``text`` and ``lang``.
 
     Rows are chosen by hash, without their texts: each task keeps ``rows`` of a language before anything is
-    shuffled. Texts are then read for the chosen rows only.
+    shuffled. Texts are then read for the chosen rows only. A language whose rows are short draws four times as many
+    until its sample is full or its rows are used up.
     """
     rows = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("_draw", F.xxhash64(*keys, "text"))
     order = Window.partitionBy("lang").orderBy("_draw")
-    chosen = rows.select("lang", "_draw").distinct().withColumn("_at", F.row_number().over(order))
-    # stored, so that its size is known and only small tables are broadcast
-    chosen = materialise(chosen.where(F.col("_at") <= options.rows).select("lang", "_draw"), "chosen")
-    chosen = rows.join(chosen, ["lang", "_draw"], "left_semi").dropDuplicates(["lang", "_draw"])
-    cut = chosen.select("lang", "_draw", F.substring("text", 1, options.chars).alias("text"))
     texts: dict[str, str] = {}
-    for row in sorted(cut.collect(), key=lambda r: (r.lang, r._draw)):
-        sofar = texts.get(row.lang, "")
-        if len(sofar) < options.chars:
-            texts[row.lang] = f"{sofar} {normalise(row.text)}"[: options.chars + 1]
-    texts = {k: v for k, v in texts.items() if len(v) >= options.least_chars}
+    some, low, high = rows, 0, options.rows
+    while True:
+        chosen = some.select("lang", "_draw").distinct().withColumn("_at", F.row_number().over(order))
+        # stored, so that its size is known and only small tables are broadcast
+        chosen = materialise(chosen.where(F.col("_at") <= high).where(F.col("_at") > low).select("lang", "_draw"), "chosen")
+        chosen = some.join(chosen, ["lang", "_draw"], "left_semi").dropDuplicates(["lang", "_draw"])
+        # without what is no letter, so that little is gathered of texts that hold few
+        letters = F.regexp_replace("text", r"\P{L}+", " ")
+        cut = chosen.select("lang", "_draw", F.substring(letters, 1, options.chars).alias("text"))
+        drawn: dict[str, int] = {}
+        for row in sorted(cut.collect(), key=lambda r: (r.lang, r._draw)):
+            drawn[row.lang] = drawn.get(row.lang, 0) + 1
+            sofar = texts.get(row.lang, "")
+            if len(sofar) < options.chars:
+                texts[row.lang] = f"{sofar} {normalise(row.text)}"[: options.chars + 1]
+        short = [k for k, n in drawn.items() if n == high - low and len(texts[k]) < options.chars]
+        if not short:
+            break
+        some, low, high = rows.where(F.col("lang").isin(short)), high, 4 * high
+    return LanguageSamples({k: v for k, v in texts.items() if len(v.strip()) >= options.least_chars})
+
+
+def sample_texts(labelled: DataFrame, keys: list[str], options: TrainOptions = TrainOptions()) -> LanguageSamples:
+    """Samples cut to the length of the shortest, for callers that compare them; the queries use each whole."""
+    texts = draw_samples(labelled, keys, options).texts
     size = min(map(len, texts.values()), default=0)
     return LanguageSamples({k: v[:size] for k, v in texts.items()})
 
@@ -112,9 +133,13 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
+        longest = max(map(len, samples.values()))
         alphabet = sorted(set("".join(samples.values())) - {" "})
         #: symbol 0 is a character no sample holds, 1 is a blank
         self.width = len(alphabet) + 2
+        bits = {k: math.log2(max(len(v), self.width)) for k, v in samples.items()}
+        #: what a phrase of each language costs, as a share of one of the longest sample
+        self.costs = np.array([bits[k] / math.log2(max(longest, self.width)) for k in self.names])
         number = {c: i + 2 for i, c in enumerate(alphabet)} | {" ": 1}
         self.codes = np.ones(0x110000, dtype=np.int16)  # what is no letter is a blank
         for point in range(0x110000):
@@ -205,11 +230,11 @@ def identify(
                     names += [UNKNOWN] * len(texts)
                     scores += [0.0] * len(texts)
                     continue
-                counts, _ = model.parse(texts)
-                best = counts.argmin(axis=1)
-                ranked = np.sort(counts, axis=1)
-                second = ranked[:, 1] if counts.shape[1] > 1 else ranked[:, 0]
-                lead = np.where(second > 0, (second - ranked[:, 0]) / np.maximum(second, 1), 0.0)
+                costs = model.parse(texts)[0] * model.costs
+                best = costs.argmin(axis=1)
+                ranked = np.sort(costs, axis=1)
+                second = ranked[:, 1] if costs.shape[1] > 1 else ranked[:, 0]
+                lead = np.where(second > 0, (second - ranked[:, 0]) / np.where(second > 0, second, 1), 0.0)
                 for k, body in enumerate(texts):
                     lettered = any(map(str.isalpha, body))
                     names.append(model.names[best[k]] if lettered else UNKNOWN)
@@ -227,7 +252,7 @@ def held_out(key: str = "doc_id"):
 
 def language_samples(docs: DataFrame, options: TrainOptions = TrainOptions()) -> LanguageSamples:
     """From the documents that are not held out."""
-    return sample_texts(docs.where(~held_out()).select("doc_id", "text", "lang"), ["doc_id"], options)
+    return draw_samples(docs.where(~held_out()).select("doc_id", "text", "lang"), ["doc_id"], options)
 
 
 def identify_documents(docs: DataFrame, options: TrainOptions = TrainOptions()) -> DataFrame:
