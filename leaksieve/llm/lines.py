@@ -13,7 +13,10 @@
 A line goes if an earlier line is similar: the first of its own set, or any line of a similar set. Order is by
 ``doc_id`` (an integer; null is the largest), then by line, then by hashes of set and text.
 
-Defined cases: lines of fewer than ``least_words`` distinct words are left alone; a null or empty text has no
+Sets of fewer than four words are similar to their equals alone and need no prefix.
+
+Defined cases: lines of fewer than ``least_words`` distinct words are left alone (``WHOLE``, which the queries
+use, leaves none); a null or empty text has no
 line that counts; rows with equal id and text are one document and share its fate; a document that
 loses lines goes if no line with a word is left; other columns are carried.
 """
@@ -48,6 +51,9 @@ class LineOptions:
     first_asked: int = 2
 
 
+#: lines of any length count
+WHOLE = LineOptions(least_words=1)
+
 def _by_line(line: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Order by line, then by hash: one sort of packed numbers unless two hashes of a line look alike."""
     bits = ar.U64(max(1, int(line[-1]).bit_length() if len(line) else 1))
@@ -166,7 +172,7 @@ def _lines(docs: DataFrame, codes, options: LineOptions) -> DataFrame:
                     # hashes are in order within a line, and the sort keeps them so
                     order = np.argsort(line * 256 + code, kind="stable")
                     place = np.arange(len(line)) - np.searchsorted(line, line)
-                    shown = (place < (sizes - -(-FOUR * sizes // FIVE) + 1)[line]) & counts[line]
+                    shown = (place < (sizes - -(-FOUR * sizes // FIVE) + 1)[line]) & (counts & (sizes >= FOUR))[line]
                     # a word alone in its cell is in no other set, but keeps its place in the prefix
                     chosen = np.flatnonzero(shown)
                     tokens = hashes[order][chosen].view(np.int64)

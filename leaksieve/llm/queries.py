@@ -51,7 +51,7 @@ def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return lines.line_report(_table(spark, d, "documents"))
+    return lines.line_report(_table(spark, d, "documents"), lines.WHOLE)
 
 
 def op7_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
