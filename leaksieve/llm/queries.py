@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leaksieve.llm import (
+    chatformat,
     decontaminate,
     htmltext,
     jaccard,
@@ -16,6 +17,7 @@ from leaksieve.llm import (
     modest_batches,
     packing,
     quality,
+    repair,
     repeats,
     secrets,
     sharding,
@@ -70,6 +72,14 @@ def op10_secret_scans(spark: SparkSession, d: str) -> DataFrame:
     return secrets.scan_documents(_table(spark, d, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    return repair.repair_digest(_table(spark, d, "conversations"))
+
+
+def op13_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
+    return chatformat.format_digest(chatformat.with_probe(_table(spark, d, "conversations")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
@@ -81,6 +91,8 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_scans": op10_secret_scans,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_chat_formatting": op13_chat_formatting,
 }
 # A-Z alone, as the queries fold case
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -154,10 +166,37 @@ SELECT doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans
 FROM cut LEFT JOIN listed USING (r)"""
 
 
+def _op13() -> str:
+    def length(column: str, number: int) -> str:
+        cases = " ".join(f"WHEN '{role}' THEN {len(marks[number])}" for role, marks in chatformat.MARKS.items())
+        other = len(chatformat.END_ROLE) if number else f"{len(chatformat.ROLE + chatformat.TEXT)} + length({escaped('role')})"
+        return f"CASE {column} {cases} ELSE {other} END"
+
+    def escaped(column: str) -> str:
+        return rf"regexp_replace({column}, '{chatformat.ESCAPE}', '\1\2\\\3', 'g')"
+
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""
+WITH cut AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)),
+told AS (
+  SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after FROM cut
+  WINDOW w AS (PARTITION BY conv_id {order}))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+       cast(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       cast(sum(length({escaped("text")})
+                + CASE WHEN before = role THEN {len(chatformat.NEXT)} ELSE {length("role", 0)} END
+                + CASE WHEN after = role THEN 0 ELSE {length("role", 1)} END) AS BIGINT) AS formatted_chars
+FROM told GROUP BY conv_id"""
+
+
 # The other queries depend on hashes, learned models, tokenizers, page shapes or whole-text searches that
 # SQL cannot say or not finish: tests compare them with brute-force versions.
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1,
     "op9_jaccard_join": OP9,
     "op10_secret_scans": _op10(),
+    "op13_chat_formatting": _op13(),
 }
