@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leaksieve.llm import (
+    alignment,
     chatformat,
     decontaminate,
     htmltext,
@@ -24,6 +25,7 @@ from leaksieve.llm import (
 )
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+ALIGNED = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +74,10 @@ def op10_secret_scans(spark: SparkSession, d: str) -> DataFrame:
     return secrets.scan_documents(_table(spark, d, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.alignment_report(_table(spark, d, "documents"), *ALIGNED)
+
+
 def op12_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
     return repair.repair_digest(_table(spark, d, "conversations"))
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_scans": op10_secret_scans,
+    "op11_token_alignment": op11_token_alignment,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_chat_formatting": op13_chat_formatting,
 }
