@@ -155,3 +155,24 @@ def test_long_run_forms_no_pairs(model):
     """A group without common ends for long: its pairs are counted, not formed."""
     made = model.align(["é" * 200_000 + "Ā" * 10])
     assert made.group_link_counts().sum() >= len(made.a) and max(len(b.indices) for _, b in [next(iter(made.group_links()))]) <= (1 << 20) + len(made.b)
+
+
+def test_fast_merges_give_the_same_ids(model, texts):
+    """The two ways through the first tokenizer, also on blanks that only one of them takes."""
+    rows = [t for t in texts if t] + [" " * 3000, "a" + "\n" * 1200 + "b", "x " * 900, " " * 1100]
+    assert model.first.fast is not None
+    assert model.first.encode(rows) == model.first._encode(rows)
+    letters = [f" {c}{c}a {c} 1{c}  {c}.{c}\n{c}'s" for c in map(chr, range(0, 0x3400, 7)) if c.isprintable() or c.isspace()]
+    assert model.first.encode(letters) == model.first._encode(letters)
+
+
+def test_a_file_that_is_not_plain_merges(tmp_path):
+    """With a space put before texts by the file itself, the library runs it."""
+    import json
+
+    form = json.loads(open(A, encoding="utf-8").read())
+    form["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(form))
+    other = alignment.ByteLevel(str(path))
+    assert other.fast is None and other.encode(["a b"]) == alignment.ByteLevel(A).encode(["a b"])
