@@ -18,15 +18,20 @@ from leaksieve.functions import text as tx
 from leaksieve.operators import comments as cm
 from leaksieve.operators import findings as fi
 from leaksieve.operators import flatten as fl
+from leaksieve.operators import ledger as lg
+from leaksieve.operators import masking as mk
 from leaksieve.operators import matching as mt
 from leaksieve.operators import rules as ru
 from leaksieve.operators import scope as sc
+from leaksieve.operators import tree as tr
 from leaksieve.options import MatchOptions, ScanOptions
+from leaksieve.plans.files import scan_files
 from leaksieve.plans.scan import match_content, scan_platform
 from leaksieve.session import configure, materialise, scratch_path
 from leaksieve.sinks import reports as rp
 from leaksieve.sources import files, maps, trackers
 from leaksieve.sources.union import union_sources
+from leaksieve.streaming import first as ft
 from leaksieve.streaming import stream as st
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -806,6 +811,72 @@ def scan_texts(spark, d):
     return _matches(spark, d).select(*SCAN_COLUMNS.split(", "), "begin", "end")
 
 
+FILE_RULES = ru.RuleSet.from_dict(
+    {
+        "rules": [
+            {"id": "phone-88", "regex": r"\([0-9]{3}\) [0-9]{3}-[0-9]{2}88", "example": "(555) 555-0100"},
+            {"id": "ipv4", "regex": IPV4, "example": "192.0.2.1", "allowlists": [{"regexes": [r"\([0-9]{3}\) [0-9]{3}-[0-9]{2}77"]}]},
+            {"id": "quoted-token", "regex": 'token = "[0-9a-f]{40}"', "example": 'token = "made-up"'},
+        ]
+    }
+)
+FILE_SQL = """SELECT source AS url, replace(replace(string_agg(text || chr(10), '' ORDER BY doc_id), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text
+ FROM documents GROUP BY source"""
+
+
+@_query(
+    _matches_sql(FILE_SQL, FILE_RULES)
+    + 'SELECT url, rule_id, secret, line_number, b::bigint AS "begin", n::bigint AS "end", sanitized_secret, snippet_text FROM x'
+)
+def scan_large_files(spark, d):
+    """A file for each source, those above 64 KB read in pieces of 32 KB by many tasks."""
+    path = scratch_path(spark, "large")
+    docs = _table(spark, d, "documents").select("source", "doc_id", "text")
+    rows = docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text")
+    rows.write.partitionBy("source").text(path)
+    found = scan_files(spark, path, FILE_RULES, pattern="part-*", whole=64 << 10, size=32 << 10)
+    url = F.regexp_extract("url", "source=([^/]+)/", 1)
+    return found.select(url.alias("url"), "rule_id", "secret", "line_number", "begin", "end", "sanitized_secret", "snippet_text")
+
+
+MASKED_SQL = "text"
+for _rule in RULES.rules:
+    MASKED_SQL = f"regexp_replace({MASKED_SQL}, {_q(_re2(_rule.regex))}, {_q(tx.REDACTED)}, 'g')"
+
+
+@_query(f"SELECT doc_id, sha256({MASKED_SQL}) AS masked_sha256, length({MASKED_SQL})::bigint AS n_chars FROM documents")
+def mask_secrets(spark, d):
+    """All documents with every match of every rule replaced."""
+    masked = mk.mask_secrets(_table(spark, d, "documents").select("doc_id", "text"), RULES)
+    return masked.select("doc_id", F.sha2("masked_text", 256).alias("masked_sha256"), F.length("masked_text").cast("bigint").alias("n_chars"))
+
+
+OLD_RULES = ru.RuleSet((RULES.rules[0], ru.Rule("email", "nobody@nowhere[.]invalid"), *RULES.rules[2:]))
+
+
+def _scanned_twice(spark, d) -> tuple[DataFrame, lg.Ledger]:
+    """All documents, first with another second rule, then with the rules."""
+    ledger, texts = lg.Ledger(scratch_path(spark, "ledger")), _doc_texts(spark, d)
+    lg.scan_new(texts, OLD_RULES, ledger, run="1")
+    return lg.scan_new(texts, RULES, ledger, run="2"), ledger
+
+
+@_query(_matches_sql() + f'SELECT {SCAN_COLUMNS}, b AS "begin", n AS "end" FROM x')
+def scan_again(spark, d):
+    """The second scan of a ledger finds what a scan of everything does."""
+    return _scanned_twice(spark, d)[0].select(*SCAN_COLUMNS.split(", "), "begin", "end")
+
+
+@_query(
+    f"""SELECT CASE WHEN regexp_matches(text, {_q(RULES.rules[0].regex)}) THEN 0 ELSE 1 END AS tried, count(DISTINCT text) AS n
+ FROM documents WHERE text <> '' GROUP BY ALL"""
+)
+def scan_again_work(spark, d):
+    """How many rules the second scan tries on each text: the changed one, where the rule before it does not accept the text."""
+    ledger = _scanned_twice(spark, d)[1]
+    return ledger.answers(spark).where("run = '2'").groupBy("tried").agg(F.count(F.lit(1)).alias("n"))
+
+
 EVERYTHING_SQL = f"""{DOC_SQL} UNION ALL SELECT 'Confluence', page_id::varchar, url, 'description', 1, 0::bigint, html FROM pages
  WHERE html <> '' UNION ALL {CONV_SQL}"""
 
@@ -1044,6 +1115,59 @@ def apply_verdicts(spark, d):
     return fi.apply_verdicts(found, verdicts).select("id", "rule_description", "status")
 
 
+@_query(
+    _findings_sql()
+    + """SELECT f.id, CASE rule_id WHEN 'email' THEN 'live' WHEN 'phone' THEN 'unable to test' END AS status FROM f"""
+)
+def apply_verdicts_at(spark, d):
+    """Three verdicts for each finding; the second is the latest at the time asked for."""
+    found = materialise(_findings(spark, d), "findings")
+    k = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    status = F.when(F.col("rule_id") == "email", "live").otherwise("unable to test")
+    verdicts = found.where(F.col("rule_id").isin("email", "phone")).select("id", status.alias("status"), k.alias("k"))
+    verdicts = verdicts.select(
+        "id", F.when(F.col("k") == 2, F.col("status")).otherwise("invalid").alias("status"), F.concat(F.lit("2024-0"), F.col("k"), F.lit("-01")).cast("timestamp").alias("at")
+    )
+    return fi.apply_verdicts_at(found, verdicts, "2024-02-20").select("id", "status")
+
+
+def _event_verdicts(spark, d):
+    """Errors stand in for verdicts on a user, other events for findings."""
+    events = _table(spark, d, "events").withColumn("id", F.when(F.col("user_id") % 3 > 0, F.col("user_id")).otherwise(0).cast("string"))
+    verdicts = events.where("event_type = 'error'").select(
+        "id", F.col("ts").alias("at"), F.col("props").alias("status"), (F.col("ts") + F.expr("make_dt_interval(cast(event_id % 9 as int))")).alias("seen")
+    )
+    return events.where("event_type <> 'error'").select("event_id", "id", "ts"), verdicts
+
+
+EVENT_VERDICTS = """f AS (SELECT event_id, CASE WHEN user_id % 3 > 0 THEN user_id ELSE 0 END::varchar AS id, ts FROM events WHERE event_type <> 'error'),
+ v AS (SELECT CASE WHEN user_id % 3 > 0 THEN user_id ELSE 0 END::varchar AS id, ts AS moment, props AS status, ts + to_days((event_id % 9)::int) AS seen
+  FROM events WHERE event_type = 'error')"""
+
+
+@_query(
+    f"""WITH {EVENT_VERDICTS}, u AS (SELECT id, moment, max(status) AS status FROM v GROUP BY ALL)
+SELECT event_id, f.id, ts, status FROM f ASOF LEFT JOIN u ON f.id = u.id AND f.ts >= u.moment"""
+)
+def verdicts_as_of(spark, d):
+    """The verdict that held at each finding's time; a third of all findings and verdicts share an id."""
+    found, verdicts = _event_verdicts(spark, d)
+    return fi.verdicts_as_of(found, verdicts.drop("seen"))
+
+
+@_query(
+    f"""WITH {EVENT_VERDICTS}, u AS (SELECT id, moment, max(status) AS status FROM v GROUP BY ALL),
+ o AS (SELECT id, moment, max(status) AS status FROM v WHERE seen <= TIMESTAMP '2024-01-20' GROUP BY ALL)
+SELECT n.event_id, n.id, n.ts, n.status FROM (SELECT event_id, f.id, ts, status FROM f ASOF LEFT JOIN u ON f.id = u.id AND f.ts >= u.moment) n
+ JOIN (SELECT event_id, status FROM f ASOF LEFT JOIN o ON f.id = o.id AND f.ts >= o.moment) p USING (event_id)
+WHERE n.status IS DISTINCT FROM p.status"""
+)
+def late_verdicts(spark, d):
+    """Findings of which verdicts that came in after a day say otherwise."""
+    found, verdicts = _event_verdicts(spark, d)
+    return fi.late_verdicts(found, verdicts, "2024-01-20")
+
+
 @_query(_findings_sql(CONV_SQL, WORD_RULES) + f"SELECT {FINDING_COLUMNS} FROM f")
 def scan_tickets(spark, d):
     return fi.dedup_findings(fi.build_findings(_conv_matches(spark, d)))
@@ -1239,17 +1363,55 @@ def scope_map_files(spark, d):
     return sc.file_tree_map(_table(spark, d, "documents").select(path.alias("path")))
 
 
-@_query(f"SELECT DISTINCT 'Asana' AS platform, l1, l2, l3, NULL::varchar AS l4 FROM ({PLACES_SQL})")
+@_query(f"SELECT DISTINCT 'Asana' AS platform, l1, l2, l3, l4 FROM ({PLACES_SQL})")
 def map_file(spark, d):
-    """A map written as nested JSON and read back."""
+    """A map written as nested documents, each with a part of one region, and read back."""
     path = scratch_path(spark, "map")
-    maps.write_map(sc.scope_map(_places(spark, d), "Asana", ["l1", "l2", "l3"]), path, "asana")
-    whole = scratch_path(spark, "map-file")
-    # the parts, one after another, are the document
-    parts = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file", "value"))), lambda p: p["value"]), "")
-    parts.agg(text.alias("value")).coalesce(1).write.text(whole)
-    return maps.read_map(spark, whole, "asana")
+    maps.write_map_documents(sc.scope_map(_places(spark, d), "Asana", ["l1", "l2", "l3", "l4"]), path, "asana")
+    return maps.read_map(spark, path, "asana", lines=True)
+
+
+DEEP_PATH = "concat_ws('/', lang, source, CAST(doc_id % 7 AS VARCHAR(20)), CASE WHEN doc_id % 2 = 0 THEN 'even/' || CAST(doc_id % 3 AS VARCHAR(20)) END, doc_id || '.txt')"
+NODES_SQL = f"""SELECT DISTINCT array_to_string(p[1:i], '/') AS path, p[i] AS name, CASE WHEN i = len(p) THEN 'file' ELSE 'directory' END AS kind,
+ (i - 1)::int AS depth, false AS empty FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM
+ (SELECT string_split({DEEP_PATH}, '/') AS p FROM documents))"""
+
+
+def _deep_files(spark, d):
+    return _table(spark, d, "documents").select("doc_id", "lang", "source", F.expr(DEEP_PATH).alias("path"))
+
+
+def _tree_map(spark, files: DataFrame, levels: int = -1) -> DataFrame:
+    """A file tree's map, written and read back."""
+    return maps.read_tree_map(spark, maps.write_tree_map(files, scratch_path(spark, "tree"), levels))
+
+
+@_query(NODES_SQL)
+def tree_map_file(spark, d):
+    """The tree of all documents' paths as nested documents, read back."""
+    return _tree_map(spark, _deep_files(spark, d))
+
+
+@_query(
+    f"""SELECT path, name, kind, depth, (depth = 2 AND kind = 'directory') AS empty FROM ({NODES_SQL}) WHERE depth <= 2"""
+)
+def tree_map_levels(spark, d):
+    """The same tree to a depth, where directories are listed without what they hold."""
+    return _tree_map(spark, _deep_files(spark, d), 2)
+
+
+@_query(
+    f"""SELECT doc_id, {DEEP_PATH} AS path FROM documents
+ WHERE (lang = 'en' AND source <> 'src1') OR (lang = 'fr' AND doc_id % 7 < 3) OR (lang NOT IN ('en', 'fr') AND doc_id % 10 = 0)"""
+)
+def scope_tree(spark, d):
+    """Directories of two depths listed without children, and single files."""
+    files = _deep_files(spark, d)
+    sources = _tree_map(spark, files.where("lang = 'en' AND source <> 'src1'"), 1)
+    numbers = _tree_map(spark, files.where("lang = 'fr' AND doc_id % 7 < 3"), 2)
+    single = _tree_map(spark, files.where("lang NOT IN ('en', 'fr') AND doc_id % 10 = 0"))
+    listed = sources.unionByName(numbers).unionByName(single)
+    return tr.tree_scope_join(files.select("doc_id", "path"), listed)
 
 
 def _scope(spark, d):
@@ -1314,6 +1476,17 @@ def scope_chunk_balanced(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+PARTS_SQL = f"""SELECT l3, l4, floor((sum(s) OVER (ORDER BY l3 NULLS FIRST, l4) - s) * 3 / sum(s) OVER ())::int + 1 AS part FROM
+ (SELECT l3, l4, length(coalesce(l3, '')) + length(l4) + 2 AS s FROM (SELECT CASE WHEN l1 <> 'ASIA' THEN l3 END AS l3, l4 FROM ({PLACES_SQL})))"""
+
+
+@_query(PARTS_SQL)
+def scope_chunk_contiguous(spark, d):
+    """Parts that follow the order of the containers; a fifth of the map lies in one of them."""
+    places = _places(spark, d).select(F.when(F.col("l1") != "ASIA", F.col("l3")).alias("l3"), "l4")
+    return sc.scope_parts_contiguous(places, 3, ["l3", "l4"])
+
+
 # streams
 
 
@@ -1358,6 +1531,27 @@ def stream_dedup(spark, d):
     return _run_stream(spark, st.stream_dedup(found, "3650 days").select("id"))
 
 
+@_query(
+    _matches_sql(f"SELECT platform, issue_id, 'one place' AS url, text FROM ({DOC_SQL})")
+    + """SELECT sha256(url || '_' || sanitized_secret) AS id, min(issue_id) AS first_issue, arg_min(rule_id, issue_id) AS rule_id,
+ arg_min(line_number, issue_id) AS line_number FROM x WHERE issue_id <> 'doc/' || (SELECT max(doc_id) FROM documents) GROUP BY ALL"""
+)
+def stream_earliest(spark, d):
+    """The earliest finding of each id in scan order, from a stream; the last document comes much later and ends the wait."""
+    last = _table(spark, d, "documents").agg(F.max("doc_id")).first()[0]
+    later = F.when(F.col("url") == f"doc/{last}", F.col("ts") + F.expr("interval 30 days")).otherwise(F.col("ts"))
+    texts = _stream_texts(spark, d).withColumn("ts", later).withColumn("url", F.lit("one place")).withWatermark("ts", "10 days")
+    matches = st.scan_stream(texts, RULES).withColumn("field_ord", F.lit(0)).withColumn("item_ord", F.lit(0).cast("bigint"))
+    found = st.stream_findings(matches, keep_seq=True).withColumn("first_issue", F.col("seq.issue_id"))
+    found = found.select("id", "rule_id", "first_issue", F.regexp_extract("url", "#L([0-9]+)$", 1).cast("int").alias("line_number"), "ts", "seq")
+    before = spark.conf.get(ft.STORE, None)
+    spark.conf.set(ft.STORE, ft.ROCKS)
+    try:
+        return _run_stream(spark, ft.stream_earliest(found, "10 days", watermark=False).select("id", "first_issue", "rule_id", "line_number"))
+    finally:
+        spark.conf.set(ft.STORE, before) if before else spark.conf.unset(ft.STORE)
+
+
 EVENT_RULES = ru.RuleSet.from_dict(
     {"rules": [{"id": "sixties", "regex": '"k": 6[0-9]'}, {"id": "sevens", "regex": '"k": [0-9]*7'}]}
 )
@@ -1403,9 +1597,7 @@ def _training_data() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]
     try:
         import corpus_pipeline
         from leaksieve.llm import queries as training
-    except ModuleNotFoundError as error:
-        if error.name not in ("corpus_pipeline", "leaksieve.llm"):
-            raise
+    except ImportError:  # the package, or a library that it alone needs
         return {}, {}
     oracles = dict(training.ORACLES)
     if corpus_pipeline.ORACLE_SQL:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leaksieve.operators.ordered import as_of
+
 # Platforms whose urls can point at a line.
 LINE_PLATFORMS = ("github", "gitlab", "localfilesystem")
 FINDING = ("id", "url", "secret", "mocked_secret", "rule_id", "rule_description", "platform", "ticket_field")
@@ -104,3 +106,50 @@ def apply_verdicts(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     ]
     new = [F.col(f"_v.{c}").alias(c) for c in values if c not in findings.columns]
     return joined.select(*kept, *new)
+
+
+def _with_verdict(findings: DataFrame, joined: DataFrame, values: list[str]) -> DataFrame:
+    """Columns of findings, replaced by the verdict's values ``_v`` where it has them, and the verdict's other ones."""
+    kept = [F.coalesce(F.col(f"_v.{c}"), F.col(c)).alias(c) if c in values else F.col(c) for c in findings.columns]
+    return joined.select(*kept, *[F.col(f"_v.{c}").alias(c) for c in values if c not in findings.columns])
+
+
+def apply_verdicts_at(findings: DataFrame, verdicts: DataFrame, when: str, at: str = "at") -> DataFrame:
+    """Findings with their latest verdict up to a moment.
+
+    ``verdicts`` has ``id``, the moment ``at`` and values. Of several for one moment the largest values count.
+    """
+    values = [c for c in verdicts.columns if c not in ("id", at)]
+    kind = verdicts.schema[at].dataType
+    known = verdicts.where(F.col(at) <= F.lit(when).cast(kind))
+    latest = known.groupBy("id").agg(F.max(F.struct(at, F.struct(*values).alias("v")))["v"].alias("_v"))
+    return _with_verdict(findings, findings.join(latest, "id", "left"), values)
+
+
+def verdicts_as_of(findings: DataFrame, verdicts: DataFrame, ts: str = "ts", at: str = "at") -> DataFrame:
+    """Findings of any time with the verdict that held then; null where there was none.
+
+    An id with most of the findings, or of the verdicts, is spread over many tasks.
+    """
+    values = [c for c in verdicts.columns if c not in ("id", at)]
+    history = verdicts.select("id", F.col(at).alias(ts), F.struct(*values).alias("_v"))
+    return _with_verdict(findings, as_of(findings, history, "id", ts, ["_v"]), values)
+
+
+def late_verdicts(findings: DataFrame, verdicts: DataFrame, since: str, ts: str = "ts", at: str = "at", seen: str = "seen") -> DataFrame:
+    """Findings whose verdict is another one now, because of verdicts that were seen after ``since`` for an earlier time.
+
+    The rows are corrections to what ``verdicts_as_of`` gave then: only ids with such verdicts are looked at again.
+    """
+    values = [c for c in verdicts.columns if c not in ("id", at, seen)]
+    new = F.col(seen) > F.lit(since).cast(verdicts.schema[seen].dataType)
+    ids = verdicts.where(new).select("id").distinct()
+    rows, history = findings.join(ids, "id", "left_semi"), verdicts.join(ids, "id", "left_semi")
+
+    def moments(table: DataFrame, name: str) -> DataFrame:
+        return table.select("id", F.col(at).alias(ts), F.struct(*values).alias(name))
+
+    before = as_of(rows, moments(history.where(~new | F.col(seen).isNull()), "_old"), "id", ts, ["_old"])
+    both = as_of(before, moments(history, "_v"), "id", ts, ["_v"])
+    changed = both.where(~F.col("_v").eqNullSafe(F.col("_old")))
+    return _with_verdict(findings, changed, values)

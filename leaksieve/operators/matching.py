@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from leaksieve.functions import regex as rx
 from leaksieve.functions import text as tx
 from leaksieve.functions.text import sql_literal as lit
+from leaksieve.operators.masking import mock_all_secrets
 from leaksieve.operators.rules import Allowlist, Pattern, Rule, RuleSet
 from leaksieve.options import MatchOptions
 
@@ -333,7 +334,10 @@ def scan_texts(
         m = stopword_filter(m, rules.allowlist)
     for step in (line_number, redact_window, snippet_window):
         m = step(m, text_col)
-    m = mock_secret(m, text_col, options)
+    if options.mock_all:
+        m = mock_all_secrets(m, rules, options.mock_limit, options.mock_window, text_col)
+    else:
+        m = mock_secret(m, text_col, options)
     return (
         m.withColumn("rule_id", F.col("_rule.id"))
         .withColumn("rule_description", F.col("_rule.description"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -237,14 +238,52 @@ def compile_rules(rules: DataFrame, unicode_classes: bool = True) -> DataFrame:
     )
 
 
-def validate_rules(rules: DataFrame) -> DataFrame:
-    """(rule_id, status, detail): every rule needs a regex and an example that it matches."""
-    table = rules if "python" in rules.columns else compile_rules(rules.drop("pattern", "live", "reason"))
+def load_patterns(rules: DataFrame, unicode_classes: bool = True, max_patterns: int = MAX_RULES) -> DataFrame:
+    """Add ``pattern``, ``live`` and ``reason`` to a rule table, translated once and for all where it is loaded.
+
+    The distinct patterns, at most ``max_patterns`` of them, are translated on the driver and checked by the JVM's own engine;
+    what is planned on the result needs no Python. For more patterns there is :func:`compile_rules`.
+    """
+    spark = rules.sparkSession
+    rows = rules.select(F.coalesce("regex", F.lit("")).alias("r")).distinct().limit(max_patterns + 1).collect()
+    if len(rows) > max_patterns:
+        raise ValueError(f"more than {max_patterns} patterns")
+    known = []
+    for row in rows:
+        pattern = compile_pattern(row.r, unicode_classes)
+        error = _jvm_error(spark, pattern.java)
+        known.append((row.r, None, f"not supported: {error}") if error else (row.r, pattern.java, pattern.reason))
+    table = spark.createDataFrame(known, "_regex string, pattern string, reason string")
+    rest = rules.drop("pattern", "live", "reason")
+    joined = rest.join(table, F.coalesce(rest["regex"], F.lit("")) == table["_regex"], "left").drop("_regex")
+    return joined.withColumn("live", F.col("pattern").isNotNull())
+
+
+def _jvm_error(spark: SparkSession, java: str | None) -> str | None:
+    """Why the JVM's engine does not take a pattern."""
+    if java is None:
+        return None
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(java)
+    except Py4JJavaError as error:
+        return str(error.java_exception.getMessage()).split("\n")[0]
+    return None
+
+
+def validate_rules(rules: DataFrame | RuleSet, max_patterns: int = MAX_RULES) -> DataFrame:
+    """(rule_id, status, detail): every rule needs a regex and an example that it matches.
+
+    Built-in functions over a table whose patterns were translated on load; the example is searched only for live patterns.
+    """
+    if isinstance(rules, RuleSet):
+        spark = SparkSession.active()
+        rules = rules.to_df(spark)
+    table = rules if {"pattern", "live", "reason"} <= set(rules.columns) else load_patterns(rules, max_patterns=max_patterns)
     missing = (F.coalesce("regex", F.lit("")) == "") | (F.coalesce("example", F.lit("")) == "")
     status = (
         F.when(missing, "missing")
         .when(~F.col("live"), "invalid")
-        .when(rx.python_search(F.when(F.col("live"), F.col("example")), F.col("python")), "ok")
+        .when(F.rlike(F.col("example"), F.col("pattern")), "ok")
         .otherwise("mismatch")
     )
     detail = (

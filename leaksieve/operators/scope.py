@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leaksieve.operators.ordered import laid_out, running
+
 # Names a scope query may be introduced with.
 QUERY_TERMS = ("jql", "cql", "search", "query")
 LEVELS = ("l1", "l2", "l3", "l4")
@@ -91,38 +91,74 @@ def time_window_filter(messages: DataFrame, after: str, before: str, ts: str = "
 def day_windows(messages: DataFrame, now: str, ts: str = "ts", max_days: int = MAX_DAYS) -> DataFrame:
     """(window_id, start_day, end_day, n): windows from ``now`` back, both end days exclusive.
 
-    The width doubles while windows are empty and falls back to one day on a hit. Messages are reduced to
-    counts per day; the windows, each of which depends on the one before, are then laid by one task
-    over at most ``max_days`` rows. Messages outside that reach are counted in two rows of their own: window
-    -1 after ``now`` and -2 before the reach, each with one null end; they are there only if not empty.
+    The width doubles while windows are empty and falls back to one day on a hit. Messages are reduced to counts
+    per day and days to runs of neighbours, at most ``max_days`` of them; what a gap takes follows from its length:
+    windows of 1, 2, 4 … days end with the first that reaches the next run. Messages outside the reach are counted in two rows
+    of their own: window -1 after ``now`` and -2 before the reach, each with one null end; they are there only if not empty.
     """
     today = dt.date.fromisoformat(now)
-    first = today - dt.timedelta(days=max_days)
-    day = F.to_date(ts)
-    reached = F.greatest(F.least(day, F.lit(today + dt.timedelta(days=1))), F.lit(first))
-    days = messages.where(day.isNotNull()).groupBy(reached.alias("day")).agg(F.count(F.lit(1)).alias("n"))
-
-    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[dt.date, int] = {}
-        for batch in batches:
-            counts.update(zip(batch["day"], batch["n"]))
-        rows, width, start, end, used = [], 1, today - dt.timedelta(days=1), today + dt.timedelta(days=1), 0
-        later, before = counts.pop(today + dt.timedelta(days=1), 0), counts.pop(first, 0)
-        while used < max_days:
-            covered = (start + dt.timedelta(days=k) for k in range(1, (end - start).days))
-            n = sum(counts.get(day, 0) for day in covered)
-            rows.append((len(rows), start, end, n))
-            width = 1 if n else width * 2
-            end, start = start + dt.timedelta(days=1), _back(start, width)
-            used += width
-        rows += [(-1, today, None, later)] * bool(later) + [(-2, None, first + dt.timedelta(days=1), before)] * bool(before)
-        yield pd.DataFrame(rows, columns=["window_id", "start_day", "end_day", "n"])
-
-    return days.coalesce(1).mapInPandas(lay, "window_id bigint, start_day date, end_day date, n bigint")
-
-
-def _back(day: dt.date, days: int) -> dt.date:
-    return dt.date.min if days >= day.toordinal() else day - dt.timedelta(days=days)
+    back = F.datediff(F.lit(today), F.to_date(ts))
+    days = messages.where(back.isNotNull()).groupBy(F.greatest(F.least(back, F.lit(max_days)), F.lit(-1)).alias("day"))
+    days = days.agg(F.count(F.lit(1)).alias("n"))
+    # days in a row have the same difference to their number
+    numbered = days.where(f"day BETWEEN 0 AND {max_days - 1}").withColumn("_k", F.row_number().over(Window.orderBy("day")))
+    runs = numbered.groupBy((F.col("day") - F.col("_k")).alias("_r")).agg(F.min("day").alias("begin"), F.max("day").alias("end"))
+    runs = runs.agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("runs"))
+
+    segment = "struct<first:bigint,day:bigint,windows:bigint,doubles:boolean>"
+
+    def log2(n: Column) -> Column:
+        """Whole part of the binary logarithm, without rounding errors."""
+        return F.length(F.bin(n)) - 1
+
+    def add(state: Column, run: Column) -> Column:
+        """``day``: where the next window of one day begins, counted back from today; ``id``: its number."""
+        day, number = state["day"], state["id"]
+        doubled = log2(run["begin"] - day + 1) + 1  # windows until one reaches the run
+        waits = run["begin"] > day
+        after = F.when(waits, day + F.pow(F.lit(2), doubled).cast("bigint") - 1).otherwise(day)
+        singles = F.greatest(run["end"] - after + 1, F.lit(0))
+        counted = F.when(waits, doubled).otherwise(0)
+        gap = F.array(F.struct(number.alias("first"), day.alias("day"), doubled.cast("bigint").alias("windows"), F.lit(True).alias("doubles")))
+        each = F.array(
+            F.struct((number + counted).alias("first"), after.alias("day"), singles.cast("bigint").alias("windows"), F.lit(False).alias("doubles"))
+        )
+        none = F.expr(f"cast(array() as array<{segment}>)")
+        passed = run["end"] < day  # a long window has taken the whole run
+        return F.when(passed, state).otherwise(
+            F.struct(
+                (after + singles).alias("day"),
+                (number + counted + singles).cast("bigint").alias("id"),
+                F.concat(state["segments"], F.when(waits, gap).otherwise(none), F.when(singles > 0, each).otherwise(none)).alias("segments"),
+            )
+        )
+
+    start = F.expr(f"named_struct('day', 0L, 'id', 0L, 'segments', cast(array() as array<{segment}>))")
+    state = runs.select(F.aggregate("runs", start, add).alias("s"))
+    last = F.struct(F.col("s.id").alias("first"), F.col("s.day").alias("day"), F.lit(64 - 1).cast("bigint").alias("windows"), F.lit(True).alias("doubles"))
+    segments = state.select(F.explode(F.concat("s.segments", F.array(last))).alias("g"))
+    laid = segments.select("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("g.windows"), F.lit(max_days)) - 1)).alias("k"))
+    step = F.when(F.col("g.doubles"), F.expr("shiftleft(1L, cast(least(k, 40) as int))")).otherwise(1)
+    skipped = F.when(F.col("g.doubles"), step - 1).otherwise(F.col("k"))
+    windows = laid.select((F.col("g.first") + F.col("k")).alias("window_id"), (F.col("g.day") + skipped).alias("_day"), step.alias("_width"))
+    windows = windows.where(f"_day + _width - 1 < greatest({max_days}, 1)")
+    covered = windows.select("window_id", F.explode(F.sequence(F.col("_day"), F.col("_day") + F.col("_width") - 1)).alias("day"))
+    counted = covered.join(days, "day").groupBy("window_id").agg(F.sum("n").alias("n"))
+    found = windows.join(counted, "window_id", "left").select(
+        "window_id",
+        F.greatest(F.expr("DATE '0001-01-01'"), F.date_sub(F.lit(today), (F.col("_day") + F.col("_width")).cast("int"))).alias("start_day"),
+        F.date_sub(F.lit(today), (F.col("_day") - 1).cast("int")).alias("end_day"),
+        F.coalesce("n", F.lit(0)).alias("n"),
+    )
+    no_day = F.lit(None).cast("date")
+    reach = today - dt.timedelta(days=max_days - 1)
+    outside = days.where(f"day < 0 OR day >= {max_days}").select(
+        F.when(F.col("day") < 0, -1).otherwise(-2).cast("bigint").alias("window_id"),
+        F.when(F.col("day") < 0, F.lit(today)).otherwise(no_day).alias("start_day"),
+        F.when(F.col("day") < 0, no_day).otherwise(F.lit(reach)).alias("end_day"),
+        "n",
+    )
+    return found.unionByName(outside)
 
 
 # --- maps of containers ------------------------------------------------------------------------
@@ -223,3 +259,25 @@ def scope_chunk_balanced(scope: DataFrame, index: int, parts: int, keys: list[st
     if not 1 <= index <= parts:
         raise ValueError("the part must lie between 1 and the number of parts")
     return scope_parts_balanced(scope, parts, keys).where(F.col("part") == index).select(*scope.columns)
+
+
+def scope_parts_contiguous(scope: DataFrame, parts: int, keys: list[str] | None = None) -> DataFrame:
+    """Add ``part`` (from 1): neighbours in key order share a part, parts are of about equal size in characters.
+
+    The running size over the whole map is put together from ranges of keys, so a container with most of the map is cut
+    into parts by many tasks.
+    """
+    keys = keys or scope.columns
+    named = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    laid = laid_out(scope.withColumn("_size", (F.length(named) + 1).cast("bigint")), keys, "parts")
+    total = laid.agg(F.sum("_size").alias("_all")).scalar()
+    summed = running(laid, "_size", "_until", "sum")
+    part = F.floor((F.col("_until") - F.col("_size")) * parts / total) + 1
+    return summed.select(*scope.columns, part.cast("int").alias("part"))
+
+
+def scope_chunk_contiguous(scope: DataFrame, index: int, parts: int, keys: list[str] | None = None) -> DataFrame:
+    """Part ``index`` (from 1) of a map cut into ``parts`` runs of neighbours of about equal size."""
+    if not 1 <= index <= parts:
+        raise ValueError("the part must lie between 1 and the number of parts")
+    return scope_parts_contiguous(scope, parts, keys).where(F.col("part") == index).select(*scope.columns)

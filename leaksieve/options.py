@@ -41,6 +41,8 @@ class MatchOptions:
     #: longest mocked text that is kept whole (None: any), and what is kept on each side of the secret beyond it
     mock_limit: int | None = 10_000
     mock_window: int = 2000
+    #: mask every match of every rule in mocked texts, not the first rule's secret alone
+    mock_all: bool = False
 
     @classmethod
     def all(cls) -> MatchOptions:

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # maps of file trees are followed by a recursive query, a row for each directory
+    "spark.sql.cteRecursionRowLimit": "-1",
 }
 
 

@@ -17,16 +17,20 @@ def _file_tickets(rows: DataFrame, platform: str, url: Column, text: Column) ->
     )
 
 
-def read_text_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+def read_text_files(spark: SparkSession, path: str, pattern: str | None = None, most: int | None = None) -> DataFrame:
     """All UTF-8 files below a path, one row per file.
 
     Other files are skipped before any decoding, empty ones too, and line ends become ``\\n``. The
-    url is the file's path without the ``file:`` scheme.
+    url is the file's path without the ``file:`` scheme. Files of more than ``most`` bytes are left out:
+    ``plans.files.scan_files`` reads them in pieces.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(path).where(F.col("length") > 0).select("path", "content")
+    files = reader.load(path).where(F.col("length") > 0)
+    if most is not None:
+        files = files.where(F.col("length") <= most)
+    files = files.select("path", "content")
     texts = files.where(F.is_valid_utf8(F.col("content").cast("string")))
     url = F.regexp_replace("path", "^file:(//)?", "")
     return _file_tickets(texts, "LocalFilesystem", url, tx.unix_newlines(F.decode("content", "UTF-8")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaksieve.operators.findings import build_findings
+from leaksieve.operators.ledger import Ledger, scan_new
 from leaksieve.operators.matching import scan_texts
 from leaksieve.operators.rules import RuleSet
 from leaksieve.options import MatchOptions
@@ -16,9 +17,10 @@ def scan_stream(texts: DataFrame, rules: RuleSet, options: MatchOptions = MatchO
     return scan_texts(texts, rules, options)
 
 
-def stream_findings(matches: DataFrame, ts: str = "ts") -> DataFrame:
+def stream_findings(matches: DataFrame, ts: str = "ts", keep_seq: bool = False) -> DataFrame:
     """Finding records of a stream of matches, with their event time."""
-    return build_findings(matches, keep=(ts,)).drop("seq")
+    found = build_findings(matches, keep=(ts,))
+    return found if keep_seq else found.drop("seq")
 
 
 def stream_dedup(findings: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
@@ -39,3 +41,18 @@ def stream_leak_rate(findings: DataFrame, width: str = "1 hour", ts: str = "ts",
         findings = findings.withWatermark(ts, delay)
     counts = findings.groupBy(F.window(ts, width).alias("_w"), "rule_id").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("_w.start").alias("window_start"), "rule_id", "n")
+
+
+def scan_stream_new(texts: DataFrame, rules: RuleSet, ledger: Ledger, out: str, options: MatchOptions = MatchOptions()):
+    """A writer of a stream's matches, one folder a batch, that searches only texts and rules the ledger does not know.
+
+    A batch that is repeated after a failure replaces its own folders, in the ledger and in the output. Start it with
+    ``.option("checkpointLocation", …).start()``.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        name = f"batch={number:012d}"
+        found = scan_new(batch, rules, ledger, options, run=f"{out.rstrip('/').rsplit('/', 1)[-1]}-{number:012d}")
+        found.write.mode("overwrite").parquet(f"{out}/{name}")
+
+    return texts.writeStream.foreachBatch(write)
