@@ -189,6 +189,18 @@ PREFIXED = [
     _token("mapbox", "secret-token", "docs.mapbox.com: Access tokens", "sk.eyJ", "[0-9A-Za-z_.-]", 60),
     _token("facebook", "page-token", "developers.facebook.com: Access tokens", "EAACEdEose0cBA", ALNUM, 20),
     _token("dropbox", "short-lived-token", "developers.dropbox.com: OAuth", "sl.", WORD, 130),
+    # services of other kinds
+    _token("adafruit", "io-key", "io.adafruit.com: API", "aio_", ALNUM, 28),
+    _token("adobe", "client-secret", "developer.adobe.com: Credentials", "p8e-", WORD, 32),
+    _token("alibaba", "access-key-id", "alibabacloud.com: AccessKey pairs", "LTAI", ALNUM, 12),
+    _token("clojars", "deploy-token", "clojars.org: Deploy tokens", "CLOJARS_", LOWER, 60),
+    _token("flutterwave", "secret-key", "developer.flutterwave.com: API keys", "FLWSECK-", WORD, 32),
+    _token("harness", "personal-token", "developer.harness.io: API keys", "pat.", r"[0-9A-Za-z_-]{22}\.[0-9a-f]{24}\.[0-9A-Za-z]{19}[0-9A-Za-z]", 1),
+    _token("octopus", "api-key", "octopus.com: API keys", "API-", "[0-9A-Z]", 26),
+    _token("scalingo", "api-token", "developers.scalingo.com: Authentication", "tk-us-", WORD, 48),
+    _token("sendinblue", "api-key", "developers.brevo.com: API keys", "xkeysib-", "[0-9a-zA-Z-]", 64),
+    _token("settlemint", "access-token", "console.settlemint.com: Access tokens", "sm_pat_", ALNUM, 16),
+    _token("yandex", "api-key", "yandex.cloud: API keys", "AQVN", WORD, 35),
 ]
 # Tokens whose fixed part is not a plain prefix.
 PREFIXED += [
@@ -222,6 +234,9 @@ SHAPES = [
     Format("header/bearer", "bearer token in a header", "RFC 6750", r"(?i)\bauthorization[\x22\x27]?\s{0,3}[:=]\s{0,3}[\x22\x27]?bearer\s{1,3}[0-9a-z._~+/=-]{16,}"),
     Format("header/basic", "basic login in a header", "RFC 7617", r"(?i)\bauthorization[\x22\x27]?\s{0,3}[:=]\s{0,3}[\x22\x27]?basic\s{1,3}[0-9a-z+/]{12,}={0,2}"),
     Format("header/api-key", "api key in a header", "swagger.io: API keys", r"(?i)\bx-api-key[\x22\x27]?\s{0,3}[:=]\s{0,3}[\x22\x27]?[0-9a-z._~+/=-]{16,}"),
+    Format("command/curl-login", "login on a command line", "curl.se: Command line options", r"\bcurl\b[^\n]{0,200}?\s(?:-u|--user)[\s=]{1,3}[\x22\x27]?[0-9A-Za-z._@+-]{1,64}:[^\s\x22\x27:]{4,64}"),
+    Format("command/curl-header", "token in a header on a command line", "curl.se: Command line options", r"\bcurl\b[^\n]{0,200}?\s(?:-H|--header)[\s=]{1,3}[\x22\x27](?i:authorization|x-[a-z-]{0,20}(?:key|token)|private-token)\s{0,3}:\s{0,3}(?:(?i:bearer|basic|token)\s{1,3})?[0-9A-Za-z._~+/=-]{16,}"),
+    Format("file/kubernetes-secret", "values of a Kubernetes secret", "kubernetes.io: Secrets", r"\bkind:[^\S\n]{0,3}[\x22\x27]?Secret\b[^\n]{0,40}\n(?:[^\n]{0,200}\n){0,20}?data:[^\n]{0,40}\n(?:[^\n]{0,200}\n){0,10}?[^\S\n]{1,8}[0-9A-Za-z_.-]{1,80}:[^\S\n]{1,3}[\x22\x27]?[0-9A-Za-z+/]{12,}={0,2}"),
     Format("file/npmrc", "npm registry login", "docs.npmjs.com: npmrc", r"_authToken\s{0,3}=\s{0,3}[0-9A-Za-z_-]{20,}"),
     Format("file/netrc", "netrc login", "gnu.org: netrc", r"\bmachine\s{1,3}[^\s]{3,80}\s{1,3}login\s{1,3}[^\s]{1,80}\s{1,3}password\s{1,3}[^\s]{4,80}"),
     Format("file/docker-config", "docker registry login", "docs.docker.com: docker login", r'"auth"\s{0,3}:\s{0,3}"[0-9A-Za-z+/]{16,}={0,2}"'),
@@ -240,28 +255,63 @@ def _named(vendor: str, source: str, names: str, value: str) -> Format:
 
 # Vendor, document, names of settings or variables, and the value.
 NAMED = [
+    _named("algolia", "algolia.com: API keys", "algolia_(?:admin_)?api_key|algolia_admin_key", "[0-9a-f]{32}"),
+    _named("asana", "developers.asana.com: Personal access tokens", "asana_(?:access_token|client_secret|token)", "[0-9a-z/:]{32,}"),
+    _named("authress", "authress.io: Service clients", "authress_(?:access_key|service_client(?:_access)?_key)", "[0-9a-z_.-]{30,}"),
     _named("aws", "docs.aws.amazon.com: Environment variables", "aws_secret_access_key|aws_session_token", "[0-9a-z/+]{40,}"),
     _named("azure", "learn.microsoft.com: EnvironmentCredential", "azure_client_secret|arm_client_secret", "[0-9a-z_~.-]{30,}"),
-    _named("algolia", "algolia.com: API keys", "algolia_(?:admin_)?api_key|algolia_admin_key", "[0-9a-f]{32}"),
+    _named("beamer", "getbeamer.com: API", "beamer_api_key", "[0-9a-z=_/+-]{40,}"),
+    _named("bittrex", "bittrex.github.io: Authentication", "bittrex_(?:api_)?(?:key|secret)", "[0-9a-f]{32}"),
+    _named("cisco", "developer.cisco.com: Meraki dashboard API", "meraki_(?:dashboard_)?api_key|x-cisco-meraki-api-key", "[0-9a-f]{40}"),
     _named("cloudflare", "developers.cloudflare.com: API tokens", "cf_api_token|cf_api_key|cloudflare_api_(?:token|key)", "[0-9a-z_-]{37,}"),
+    _named("codacy", "docs.codacy.com: API tokens", "codacy_(?:project|api|account)_token", "[0-9a-z]{20,32}"),
+    _named("codecov", "docs.codecov.com: Tokens", "codecov_token", f"(?:{UUID}|[0-9a-z]{{32}})"),
     _named("cohere", "docs.cohere.com: API keys", "co_api_key|cohere_api_key", "[0-9a-z]{40}"),
+    _named("coinbase", "docs.cdp.coinbase.com: API keys", "coinbase_(?:api_)?(?:key|secret|access_token)", "[0-9a-z/+_-]{32,}"),
+    _named("confluent", "docs.confluent.io: API keys", "confluent_(?:cloud_)?api_(?:key|secret)|confluent_access_token", "[0-9a-z/+]{16,}"),
     _named("datadog", "docs.datadoghq.com: API keys", "dd_api_key|dd_app_key|datadog_(?:api|app)_key", "[0-9a-f]{32,40}"),
+    _named("defined", "docs.defined.net: API keys", "(?:defined_?networking|dnkey|defined_net)_(?:api_)?(?:key|token)", "[0-9a-z_-]{26,}"),
     _named("discord", "discord.com: Developer portal", "discord_(?:bot_)?token|discord_client_secret", "[0-9a-z_.-]{32,}"),
+    _named("drone", "docs.drone.io: Tokens", "drone_token|drone_rpc_secret", "[0-9a-z]{32}"),
+    _named("etherscan", "docs.etherscan.io: API keys", "etherscan_(?:api_)?key", "[0-9a-z]{34}"),
+    _named("etsy", "developers.etsy.com: Authentication", "etsy_(?:api_key|keystring|shared_secret)", "[0-9a-z]{10,}"),
     _named("fastly", "fastly.com: API tokens", "fastly_api_(?:token|key)", "[0-9a-z_-]{32}"),
+    _named("finicity", "developer.mastercard.com: Open banking", "finicity_(?:app_key|partner_secret|api_token|client_secret)", "[0-9a-z]{20,32}"),
+    _named("finnhub", "finnhub.io: API", "finnhub_(?:api_)?(?:key|token)", "[0-9a-z]{20}"),
+    _named("flickr", "flickr.com: App Garden", "flickr_(?:api_)?(?:key|secret)", "[0-9a-f]{16,32}"),
+    _named("freemius", "freemius.com: SDK", "freemius_(?:secret_key|dev_secret)", "sk_[0-9a-z~!@#$%^&*<>?_+=-]{29}"),
+    _named("freshbooks", "freshbooks.com: API", "freshbooks_(?:client_secret|access_token)", "[0-9a-f]{64}"),
     _named("gemini", "ai.google.dev: API keys", "gemini_api_key|google_api_key", "[0-9a-z_-]{35,}"),
+    _named("gitter", "developer.gitter.im: Authentication", "gitter_(?:access_)?token", "[0-9a-f]{40}"),
+    _named("gocardless", "developer.gocardless.com: API keys", "gocardless_(?:access_token|api_key|token)", "(?:live|sandbox)_[0-9a-z_=-]{40}"),
     _named("hubspot", "developers.hubspot.com: Private apps", "hubspot_(?:access_token|api_key)", "[0-9a-z-]{36,}"),
+    _named("intercom", "developers.intercom.com: Authentication", "intercom_(?:access_token|api_key|client_secret)", "[0-9a-z=_-]{36,60}"),
+    _named("kraken", "docs.kraken.com: API keys", "kraken_(?:api_)?(?:key|secret|private_key)", "[0-9a-z/+]{54,88}"),
+    _named("kucoin", "kucoin.com: API", "kucoin_(?:api_)?(?:key|secret|passphrase)", f"(?:{UUID}|[0-9a-f]{{24}})"),
+    _named("linkedin", "learn.microsoft.com: LinkedIn authentication", "linkedin_(?:client_)?secret", "[0-9a-z._=-]{16,}"),
+    _named("looker", "cloud.google.com: Looker API", "lookersdk_client_secret|looker_client_secret", "[0-9a-z]{24}"),
+    _named("mattermost", "developers.mattermost.com: Personal access tokens", "mattermost_(?:access_|bot_)?token|mm_token", "[0-9a-z]{26}"),
+    _named("messagebird", "developers.messagebird.com: API", "message_?bird_(?:api_|access_)?(?:key|token)", "[0-9a-z-]{25,36}"),
     _named("mistral", "docs.mistral.ai: API keys", "mistral_api_key", "[0-9a-z]{32}"),
+    _named("nytimes", "developer.nytimes.com: Get started", "nytimes_(?:api_)?key|nyt_api_key", "[0-9a-z=_-]{32}"),
     _named("okta", "developer.okta.com: API tokens", "okta_(?:api_)?token|okta_client_token", "[0-9a-z_-]{40,}"),
     _named("openai", "platform.openai.com: API keys", "openai_api_key|openai_key", "sk-[0-9a-z_-]{20,}"),
     _named("pagerduty", "developer.pagerduty.com: API keys", "pagerduty_(?:api_key|token)", "[0-9a-z+_-]{20}"),
+    _named("rapidapi", "docs.rapidapi.com: Keys", "x-rapidapi-key|rapid_?api_key", "[0-9a-z]{50}"),
     _named("rollbar", "docs.rollbar.com: Access tokens", "rollbar_access_token|rollbar_token", "[0-9a-f]{32}"),
+    _named("sendbird", "sendbird.com: Platform API", "sendbird_(?:api|master_api|access)_token|sendbird_api_key", "[0-9a-f]{40}"),
+    _named("sidekiq", "github.com/sidekiq: Commercial FAQ", "bundle_(?:enterprise|gems)__contribsys__com", "[0-9a-f]{8}:[0-9a-f]{8}"),
     _named("snyk", "docs.snyk.io: API tokens", "snyk_token|snyk_api_key", UUID),
     _named("spotify", "developer.spotify.com: Apps", "spotify_client_secret", "[0-9a-f]{32}"),
+    _named("squarespace", "developers.squarespace.com: API keys", "squarespace_(?:api_key|access_token)", UUID),
+    _named("sumologic", "help.sumologic.com: Access keys", "sumo_?(?:logic_)?access_?key|sumologic_accesskey", "[0-9a-z]{64}"),
     _named("travis", "docs.travis-ci.com: API", "travis_(?:api_)?token", "[0-9a-z_-]{22}"),
+    _named("trello", "developer.atlassian.com: Trello API", "trello_(?:api_)?(?:key|token|secret)", "[0-9a-z]{32,}"),
     _named("twilio", "twilio.com: Auth tokens", "twilio_auth_token", "[0-9a-f]{32}"),
     _named("twitch", "dev.twitch.tv: Apps", "twitch_client_secret|twitch_token", "[0-9a-z]{30}"),
     _named("twitter", "developer.x.com: Apps", "twitter_(?:api|consumer|access_token)_secret|twitter_bearer_token", "[0-9a-z%]{40,}"),
     _named("wandb", "docs.wandb.ai: Environment variables", "wandb_api_key", "[0-9a-f]{40}"),
+    _named("yandex", "yandex.cloud: IAM tokens", "yc_token|yc_iam_token|yandex_(?:cloud_)?(?:iam_|oauth_)?token", "[0-9a-z._=-]{39,}"),
     _named("zendesk", "developer.zendesk.com: API tokens", "zendesk_(?:api_)?token", "[0-9a-z]{40}"),
 ]
 
@@ -277,6 +327,9 @@ GENERAL = [
 ]
 
 EXAMPLES = {
+    "command/curl-login": "curl -s https://example.org/v1/made/up/items -u admin:madeup1",
+    "command/curl-header": "curl -H 'Private-Token: madeupmadeup1234' https://example.org/",
+    "file/kubernetes-secret": "kind: Secret\nmetadata:\n  name: made-up\ndata:\n  password: bWFkZXVwbWFkZXVw",
     "key/putty": "PuTTY-User-Key-File-3: ssh-ed25519",
     "general/quoted-secret": 'db_password = "madeUp7value"',
     "file/crypt-hash": "$6$madeupsalt$" + "x" * 86,
