@@ -194,7 +194,6 @@ PREFIXED = [
     _token("adobe", "client-secret", "developer.adobe.com: Credentials", "p8e-", WORD, 32),
     _token("alibaba", "access-key-id", "alibabacloud.com: AccessKey pairs", "LTAI", ALNUM, 12),
     _token("clojars", "deploy-token", "clojars.org: Deploy tokens", "CLOJARS_", LOWER, 60),
-    _token("flutterwave", "secret-key", "developer.flutterwave.com: API keys", "FLWSECK-", WORD, 32),
     _token("harness", "personal-token", "developer.harness.io: API keys", "pat.", r"[0-9A-Za-z_-]{22}\.[0-9a-f]{24}\.[0-9A-Za-z]{19}[0-9A-Za-z]", 1),
     _token("octopus", "api-key", "octopus.com: API keys", "API-", "[0-9A-Z]", 26),
     _token("scalingo", "api-token", "developers.scalingo.com: Authentication", "tk-us-", WORD, 48),
