@@ -1,11 +1,14 @@
 """Token ids of whole texts from a published tokenizer, a word at a time.
 
-The tokenizer's first step never joins what blanks part, so the ids of a text are those of its blank-separated
-words one after another. Each task keeps the words it has seen; new ones go to the tokenizer together.
+Where the tokenizer's first step never joins what blanks part, the ids of a text are those of its blank-separated
+words one after another. Each task keeps the words it has seen; new ones go to the tokenizer together, words of
+ASCII letters to tiktoken with the file's own merges where these are plain. Whether both hold is tried on a probe when the
+file is opened; otherwise, and for texts with the name of a special token, the library encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from itertools import islice
@@ -19,19 +22,76 @@ MOST_WORDS = 500_000  # kept words; the older half goes beyond it
 _OPEN: dict[str, WordTokenizer] = {}
 
 
+# Words and marks of many kinds, to see whether a file's tokenizer takes texts apart at blanks.
+PROBE = (
+    "Hello, world! It's 3.5% of a-b (c); d's é, ñandú x's 'tis 12 |a| #b $c don't STOP.\nTwo  lines\tand a tab, 漢字 かな 🙂? "
+    "naïve co-operation e.g. i.e. (see p. 10) \"quoted\" 'single' we'll they're I'd you've a_b c/d http://x.yz/?q=1&r=2 ... --- *** <b>bold</b>"
+)
+
+
 class WordTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        with open(path, encoding="utf-8") as file:
+            form = json.load(file)
+        self.special = [t["content"].encode() for t in form.get("added_tokens", ())]
         self.known: dict[bytes, bytes] = {}
+        self.merges = self.final = None
+        self.by_words = False
+        self._plain_merges(form)
+        whole = self._alone(PROBE.encode())
+        self.by_words = all(not set(t).intersection(b" \t\n\x0b\x0c\r") for t in self.special) and self.encode([PROBE.encode()]) == [whole]
+        self.known.clear()
+
+    def _plain_merges(self, form: dict) -> None:
+        """For words of ``a`` to ``z``: merges over bytes, the last letter of a word as its capital."""
+        model = form["model"]
+        entries, end = model.get("vocab", {}), model.get("end_of_word_suffix")
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", ())]
+        plain = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"}
+        if any(model.get(k) != v for k, v in plain.items()) or any(m not in entries for m in merged):
+            return
+        order = [entries[m] for m in merged]
+        if order != sorted(order) or set(entries) - set(merged) - {c + e for c in {x.removesuffix(end) for x in entries if len(x.removesuffix(end)) == 1} for e in ("", end)}:
+            return
+
+        def spelled(entry: str) -> bytes | None:
+            body, last = entry.removesuffix(end), entry.endswith(end)
+            if not (body.isascii() and body.isalpha() and body.islower()):
+                return None
+            return (body[:-1] + body[-1].upper()).encode() if last else body.encode()
+
+        ranks = {b: n for entry, n in entries.items() if (b := spelled(entry))}
+        first = {bytes([b]) for b in range(97, 123)} | {bytes([b]) for b in range(65, 91)}
+        if not first <= set(ranks):
+            return
+        spare = max(entries.values()) + 1  # bytes that no such word has
+        for b in range(256):
+            if bytes([b]) not in ranks:
+                ranks[bytes([b])] = spare
+                spare += 1
+        import tiktoken
+
+        self.merges = tiktoken.Encoding("words", pat_str=r"[a-zA-Z]+", mergeable_ranks=ranks, special_tokens={})
+        self.final = np.zeros(spare, dtype=bool)
+        self.final[[n for b, n in ranks.items() if b[-1:].isupper()]] = True
 
     def _alone(self, word: bytes) -> bytes:
         return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
+        if self.merges is not None:
+            ascii_ = [w for w in words if w.isalpha()]
+            if ascii_:
+                text = b" ".join([w[:-1] + w[-1:].upper() for w in ascii_]).decode()
+                ids = np.array(self.merges.encode_ordinary(text), dtype="<u4")
+                ends = ((np.flatnonzero(self.final[ids]) + 1) * 4).tolist()
+                raw = ids.tobytes()
+                self.known.update((w, raw[a:b]) for w, a, b in zip(ascii_, [0, *ends], ends))
+                words = [w for w in words if not w.isalpha()]
         plain = [w for w in words if w.decode().isalpha()]
         for low in range(0, len(plain), 2000):
             part = plain[low : low + 2000]
@@ -48,7 +108,10 @@ class WordTokenizer:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
-        split = [text.lower().split() for text in texts]  # of bytes: both touch ASCII only
+        if not self.by_words and texts != [PROBE.encode()]:
+            return [self._alone(text) for text in texts]
+        whole = {k: self._alone(text) for k, text in enumerate(texts) if any(t in text or t in text.lower() for t in self.special)}
+        split = [() if k in whole else text.lower().split() for k, text in enumerate(texts)]  # of bytes: both touch ASCII only
         if len(self.known) > MOST_WORDS:
             self.known = dict(islice(self.known.items(), MOST_WORDS // 2, None))
         new = [w for w in {w for words in split for w in words} if w not in self.known]
@@ -62,7 +125,7 @@ class WordTokenizer:
         for word, (core, marks) in parts.items():
             self.known[word] = self.known[core] + self.known[marks]
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [whole[k] if k in whole else b"".join(map(get, words)) for k, words in enumerate(split)]
 
 
 def tokenizer(path: str) -> WordTokenizer:
