@@ -112,6 +112,49 @@ def occurring_twice(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[t
     return packed.groupBy("bucket").applyInArrow(meet, "id bigint, place bigint")
 
 
+FILTER_BITS = 1 << 26
+_FILTER_BLOCK = 1 << 20
+
+
+def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A set of 64-bit ids as ``bits`` bits: it holds every id, and others by chance.
+
+    Of one size, 8 MB, whatever the number of ids, so that it may go to every task: rows that cannot be wanted stay where
+    they are. With very many ids it lets all pass, and what comes after it decides alone. Put together by the executors.
+    """
+    block = min(_FILTER_BLOCK, bits)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(bits - 1)
+            own = np.unique(own.astype(np.uint32))
+            edges = np.searchsorted(own, np.arange(0, bits + 1, block))
+            some = np.flatnonzero(np.diff(edges)).tolist()
+            inside = (own % block).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int32()), pa.array([inside[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary())],
+                names=["block", "cells"],
+            )
+
+    def add(table: pa.Table) -> pa.Table:
+        held = np.zeros(block, dtype=bool)
+        for own in table.column("cells"):
+            held[np.frombuffer(own.as_buffer(), np.uint32)] = True
+        return pa.table({"block": table.column("block")[:1], "held": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(bits // 8, np.uint8)
+    parts = ids.select(column).mapInArrow(cells, "block int, cells binary")
+    for row in parts.groupBy("block").applyInArrow(add, "block int, held binary").toLocalIterator():
+        out[row.block * (block // 8) : (row.block + 1) * (block // 8)] = np.frombuffer(row.held, np.uint8)
+    return out
+
+
+def passes(held: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids a filter lets pass."""
+    cells = ids.view(np.uint64) & np.uint64(len(held) * 8 - 1)
+    return (held[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
 #: how many different outer fingerprints of one inner a chunk sends; see ``compare``
 MOST_OUTER = 64
 OUTSIDE, COVERED, OPEN, COVERED_OPEN = 0, 1, 2, 3

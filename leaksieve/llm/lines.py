@@ -4,14 +4,14 @@
 2. Words are ordered by rarity, counted in a sketch of fixed size. Two sets can only reach the similarity if
    their prefixes, a fifth of their rarest words, meet. Sets meet at each word of their prefix.
 3. At a word, an earlier set is a candidate if its size fits (length filter), if the word and what follows
-   it can hold the whole overlap in both (positional filter, exact at the first word they share), and if the parity bitmaps of both sets differ in no
-   more bits than their words may.
-4. Candidates are verified on their whole word sets. Each set asks the earliest candidates of each word first.
-   Sets for which these fail while others are left meet all sets of the word in blocks, where overlaps are
-   counted by an inverted index: what is sent grows with the sets, never with their pairs.
+   it can hold the whole overlap in both (positional filter, exact at the first word they share), and if the parity bitmaps
+   of both sets differ in no more bits than their words may. Sets travel to words in packed arrays.
+4. Candidates are verified on their whole word sets, which are read from the texts once, without moving these. Each set asks
+   the earliest candidates of each word first. Sets for which these fail while others are left meet all sets of
+   the word in blocks, where overlaps are counted by an inverted index.
 
 A line goes if an earlier line is similar: the first of its own set, or any line of a similar set. Order is by
-``doc_id`` (an integer; null is the largest), then by line, then by hashes of set and text.
+``doc_id``, of any type and size, null last, then by line, then by hashes of set and text.
 
 Sets of fewer than four words are similar to their equals alone and need no prefix.
 
@@ -28,25 +28,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaksieve.llm import arrays as ar
-from leaksieve.llm.exchange import shuffle_buckets
+from leaksieve.llm.exchange import id_filter, passes, shuffle_buckets, store_buckets
 from leaksieve.llm.jaccard import FIVE, FOUR
+from leaksieve.operators.ordered import PLACE, RANGE, laid_out
 from leaksieve.session import materialise
 
 CHUNK_BYTES = 1 << 19
 BLOCK = 1 << 16
-PAIRS = 1 << 20  # pairs that are filtered at a time
+PAIRS = 1 << 19  # pairs that are filtered at a time, words that are counted
 BLOCK_SETS = 1500  # sets on each side of a block
+ENTRIES = 1 << 18  # entries that a task packs at a time
 
 
 @dataclass(frozen=True)
 class LineOptions:
     least_words: int = 5
     #: cells of the rarity sketch, one byte each; a power of two
-    cells: int = 1 << 25
+    cells: int = 1 << 24
     #: candidates a set asks first at each word
     first_asked: int = 2
 
@@ -54,6 +56,7 @@ class LineOptions:
 #: lines of any length count
 WHOLE = LineOptions(least_words=1)
 
+
 def _by_line(line: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Order by line, then by hash: one sort of packed numbers unless two hashes of a line look alike."""
     bits = ar.U64(max(1, int(line[-1]).bit_length() if len(line) else 1))
@@ -90,14 +93,16 @@ def line_words(data: np.ndarray, offsets: np.ndarray, low: int, high: int):
 
 
 def _names(hashes: np.ndarray, line: np.ndarray, count: int):
-    """The 64-bit name of each line's set and its 128-bit parity bitmap."""
+    """The 64-bit name of each line's set and the two halves of its 128-bit parity bitmap."""
     starts = np.searchsorted(line, np.arange(count))
-    total = np.add.reduceat(ar.mix(hashes + ar.U64(17)), starts) if count else hashes[:0]
-    twist = np.bitwise_xor.reduceat(ar.mix(hashes + ar.U64(29)), starts) if count else hashes[:0]
+    if not count:
+        return (hashes[:0].view(np.int64),) * 3
+    total = np.add.reduceat(ar.mix(hashes + ar.U64(17)), starts)
+    twist = np.bitwise_xor.reduceat(ar.mix(hashes + ar.U64(29)), starts)
     bit = ar.U64(1) << (hashes & ar.U64(63))
     upper = (hashes >> ar.U64(6)) & ar.U64(1) > 0
     none = ar.U64(0)
-    parity = [np.bitwise_xor.reduceat(np.where(c, bit, none), starts) if count else hashes[:0] for c in (upper, ~upper)]
+    parity = [np.bitwise_xor.reduceat(np.where(c, bit, none), starts) for c in (upper, ~upper)]
     return ar.mix(total ^ ar.mix(twist)).view(np.int64), parity[0].view(np.int64), parity[1].view(np.int64)
 
 
@@ -109,27 +114,36 @@ def rarity_codes(docs: DataFrame, options: LineOptions = LineOptions()) -> np.nd
     """
     mask = ar.U64(options.cells - 1)
 
+    def told(cells: np.ndarray) -> pa.RecordBatch:
+        cells, counts = np.unique(cells, return_counts=True)
+        block = cells // BLOCK
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(cells)]]) if len(cells) else [0]
+        inside = (cells % BLOCK).astype(np.uint16)
+        counts = counts.astype(np.uint32)
+        spans = list(zip(cuts[:-1], cuts[1:]))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(block[a]) for a, _ in spans], pa.int32()),
+                pa.array([inside[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary()),
+            ],
+            names=["block", "cells", "counts"],
+        )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
         for batch in batches:
             data, offsets = ar.text_bytes(batch.column(0))
             for low, high in ar.chunks(offsets, CHUNK_BYTES):
                 raw = ar.LOWER[data[offsets[low] : offsets[high]]]
                 begin, end, _ = ar.words(raw, offsets[low : high + 1] - offsets[low], ar.NOT_BLANK)
-                cells = (ar.fingerprints(ar.prefix_sums(raw), begin, end) & mask).astype(np.uint32)
-                cells, counts = np.unique(cells, return_counts=True)
-                block = cells // BLOCK
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(cells)]]) if len(cells) else [0]
-                inside = (cells % BLOCK).astype(np.uint16)
-                counts = counts.astype(np.uint32)
-                spans = list(zip(cuts[:-1], cuts[1:]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int(block[a]) for a, _ in spans], pa.int32()),
-                        pa.array([inside[a:b].tobytes() for a, b in spans], pa.binary()),
-                        pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary()),
-                    ],
-                    names=["block", "cells", "counts"],
-                )
+                kept.append((ar.fingerprints(ar.prefix_sums(raw), begin, end) & mask).astype(np.uint32))
+                size += len(begin)
+                if size >= PAIRS:
+                    yield told(np.concatenate(kept))
+                    kept, size = [], 0
+        if size:
+            yield told(np.concatenate(kept))
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.float64)
@@ -146,120 +160,199 @@ def rarity_codes(docs: DataFrame, options: LineOptions = LineOptions()) -> np.nd
 
 
 def _lines(docs: DataFrame, codes, options: LineOptions) -> DataFrame:
-    """One row for each line that counts: its set, and with ``codes`` also size, parities and prefix.
-
-    ``docs`` has ``ref, text``; lines come with their ``ref``.
-    """
+    """The word sets of the lines of ``docs (ref, text)`` that count: a row for each set of a document's lines with its first
+    line, how many lines there are, size, parities and prefix."""
     mask = ar.U64(options.cells - 1)
-    kind = docs.schema["ref"].dataType.simpleString()
-    detail = ", n int, p0 bigint, p1 bigint, prefix array<bigint>" if codes else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = ar.text_bytes(batch.column(1))
+            doc, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            data, offsets = ar.text_bytes(batch.column(2))
             for low, high in ar.chunks(offsets, CHUNK_BYTES):
                 hashes, line, rows, numbers = line_words(data, offsets, low, high)
                 names, p0, p1 = _names(hashes, line, len(rows))
                 sizes = np.bincount(line, minlength=len(rows))
-                counts = sizes >= options.least_words
+                # of equal lines of a document the first
+                order = np.lexsort((np.arange(len(rows)), names, rows))
+                fresh = np.ones(len(rows), dtype=bool)
+                fresh[1:] = (names[order][1:] != names[order][:-1]) | (rows[order][1:] != rows[order][:-1])
+                leaders = np.zeros(len(rows), dtype=bool)
+                leaders[order[fresh]] = True
+                alike = np.zeros(len(rows), np.int64)
+                alike[order[fresh]] = np.diff(np.append(np.flatnonzero(fresh), len(rows)))
+                counts = (sizes >= options.least_words) & leaders
+                code = codes.value[(hashes & mask).astype(np.int64)]
+                # hashes are in order within a line, and the sort keeps them so
+                order = np.argsort(line * 256 + code, kind="stable")
+                place = np.arange(len(line)) - np.searchsorted(line, line)
+                shown = (place < (sizes - -(-FOUR * sizes // FIVE) + 1)[line]) & (counts & (sizes >= FOUR))[line]
+                # a word alone in its cell is in no other set, but keeps its place in the prefix
+                chosen = np.flatnonzero(shown)
+                tokens = hashes[order][chosen].view(np.int64)
+                tokens = np.where(code[order][chosen] > 0, tokens, 0)
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(line[chosen], minlength=len(rows))[counts])])
+                own = low + rows[counts]
                 columns = [
-                    batch.column(0).take(pa.array(low + rows[counts])),
+                    pa.array(doc[own]),
+                    pa.array(ids[own]),
                     pa.array(numbers[counts].astype(np.int32)),
+                    pa.array(alike[counts]),
                     pa.array(names[counts]),
+                    pa.array(sizes[counts].astype(np.int32)),
+                    pa.array(p0[counts]),
+                    pa.array(p1[counts]),
+                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(tokens, pa.int64())),
                 ]
-                if codes:
-                    code = codes.value[(hashes & mask).astype(np.int64)]
-                    # hashes are in order within a line, and the sort keeps them so
-                    order = np.argsort(line * 256 + code, kind="stable")
-                    place = np.arange(len(line)) - np.searchsorted(line, line)
-                    shown = (place < (sizes - -(-FOUR * sizes // FIVE) + 1)[line]) & (counts & (sizes >= FOUR))[line]
-                    # a word alone in its cell is in no other set, but keeps its place in the prefix
-                    chosen = np.flatnonzero(shown)
-                    tokens = hashes[order][chosen].view(np.int64)
-                    tokens = np.where(code[order][chosen] > 0, tokens, 0)
-                    cuts = np.concatenate([[0], np.cumsum(np.bincount(line[chosen], minlength=len(rows))[counts])])
-                    columns += [
-                        pa.array(sizes[counts].astype(np.int32)),
-                        pa.array(p0[counts]),
-                        pa.array(p1[counts]),
-                        pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(tokens, pa.int64())),
-                    ]
-                names_ = ["ref", "line", "set", *(["n", "p0", "p1", "prefix"] if codes else [])]
-                yield pa.RecordBatch.from_arrays(columns, names=names_)
-
-    return docs.select("ref", "text").mapInArrow(run, f"ref {kind}, line int, set bigint{detail}")
-
-
-def _candidates(entries: DataFrame, most: int) -> DataFrame:
-    """``x, y, word, more``: for each set ``x`` at each word, its ``most`` earliest candidates ``y``.
-
-    ``entries`` has ``word, set, n, place, p0, p1, rank``; ranks, then names, order sets by their first line.
-    ``more`` says that there are others.
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "id", "line", "lines", "set", "n", "p0", "p1", "prefix"])
+
+    kinds = "doc bigint, id bigint, line int, lines bigint, set bigint, n int, p0 bigint, p1 bigint, prefix array<bigint>"
+    return docs.select("ref.doc", "ref.id", "text").mapInArrow(run, kinds)
+
+
+_KINDS = {
+    "word": np.uint32, "set": np.int64, "p0": np.uint64, "p1": np.uint64,
+    "doc": np.int64, "line": np.int32, "n": np.int32, "place": np.int32,
+}
+
+
+def _packed_entries(sets: DataFrame, slots: int) -> DataFrame:
+    """Sets at the words of their prefixes: for each slot of words one row of arrays from a chunk of sets.
+
+    A word is the lower half of its hash, the slot its upper bits: words that look alike only add candidates.
+    """
+
+    def pack(columns: list[np.ndarray], hashes: np.ndarray) -> pa.RecordBatch:
+        slot = ((hashes >> ar.U64(40)) * ar.U64(slots) >> ar.U64(24)).astype(np.int64)
+        columns = [hashes.astype(np.uint32), *columns]
+        order = np.lexsort((columns[0], slot))
+        slot, columns = slot[order], [c[order].astype(k) for c, k in zip(columns, _KINDS.values())]
+        edges = np.searchsorted(slot, np.arange(slots + 1))
+        some = np.flatnonzero(np.diff(edges)).tolist()
+        rows = [pa.array([c[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary()) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *rows], names=["slot", *_KINDS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list[np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            prefix = batch.column(6)
+            lengths = np.diff(prefix.offsets.to_numpy())
+            hashes = prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            some = hashes != 0
+            row, own = row[some], [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]]
+            kept.append([*(c[row] for c in own), place[some], hashes[some]])
+            size += len(row)
+            if size >= ENTRIES:
+                *columns, words = map(np.concatenate, zip(*kept))
+                yield pack(columns, words)
+                kept, size = [], 0
+        if size:
+            *columns, words = map(np.concatenate, zip(*kept))
+            yield pack(columns, words)
+
+    rows = sets.select("set", "p0", "p1", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n", "prefix")
+    return rows.mapInArrow(run, "slot int, " + ", ".join(f"{k} binary" for k in _KINDS))
+
+
+def _candidates(sets: DataFrame, most: int) -> DataFrame:
+    """For each set ``x`` at each word, its ``most`` earliest candidates ``y``; ``more`` says that there are others.
+
+    Sets are in the order of their first line (``doc, line``), then of their names. Words at which some set has more come
+    with all of their sets, as rows ``member`` with the set as ``x`` and its place.
     """
-    slots = shuffle_buckets(entries.sparkSession)
+    slots = shuffle_buckets(sets.sparkSession)
+    names = ("x", "y", "word", "more", "doc", "line", "member")
 
     def run(table: pa.Table) -> pa.Table:
-        words = table.column("word").to_numpy()
-        ordered = np.sort(words)
+        columns = []
+        for name, kind in _KINDS.items():
+            parts = [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
+            columns.append(np.concatenate(parts))
+        ordered = np.sort(columns[0])
         shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        keep = np.flatnonzero(np.isin(words, shared)) if len(shared) else np.zeros(0, np.int64)
-        table = table.take(pa.array(keep))
-        words, sets, n, place, p0, p1, rank = (
-            table.column(c).to_numpy() for c in ("word", "set", "n", "place", "p0", "p1", "rank")
-        )
-        order = np.lexsort((sets, rank, words))
-        words, sets, n, place = words[order], sets[order], n[order].astype(np.int64), place[order].astype(np.int64)
-        p0, p1 = p0[order].view(np.uint64), p1[order].view(np.uint64)
+        keep = np.isin(columns[0], shared)
+        words, sets, p0, p1, doc, line, n, place = (c[keep] for c in columns)
+        # the order of first lines, and at each word the order of sizes
+        order = np.lexsort((sets, line, doc))
+        when = np.empty(len(order), np.int64)
+        when[order] = np.arange(len(order))
+        order = np.lexsort((n, words))
+        words, sets, p0, p1, doc, line, when = (c[order] for c in (words, sets, p0, p1, doc, line, when))
+        n, place = n[order].astype(np.int64), place[order].astype(np.int64)
         start = np.searchsorted(words, words)
-        earlier = np.arange(len(words)) - start
+        # with a larger set whose overlap this one can hold: a stretch behind it
+        largest = np.minimum(FIVE * n // FOUR, ((FIVE + FOUR) * (n - place) - FOUR * n) // FOUR)
+        upper = words.astype(np.uint64) << ar.U64(32)
+        last = np.searchsorted(upper | n.astype(np.uint64), upper | np.maximum(largest, 0).astype(np.uint64), side="right")
+        behind = np.maximum(last - np.arange(len(words)) - 1, 0)
         out: list[tuple] = []
         low = 0
-        ends = np.cumsum(earlier)
+        ends = np.cumsum(behind)
         while low < len(words):
             before = ends[low - 1] if low else 0
             high = max(low + 1, int(np.searchsorted(ends, before + PAIRS, side="right")))
-            which = np.repeat(np.arange(low, high), earlier[low:high])
-            step = np.arange(len(which)) - np.repeat(np.cumsum(earlier[low:high]) - earlier[low:high], earlier[low:high])
-            other = start[which] + step
-            least = -(-FOUR * (n[which] + n[other]) // (FIVE + FOUR))
+            one = np.repeat(np.arange(low, high), behind[low:high])
+            other = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(behind[low:high]) - behind[low:high], behind[low:high])
+            least = -(-FOUR * (n[one] + n[other]) // (FIVE + FOUR))
             # at the first word that both share, the rest of either must hold the whole overlap
-            good = np.minimum(n[which] - place[which], n[other] - place[other]) >= least
-            which, other, least = which[good], other[good], least[good]
-            differ = np.bitwise_count(p0[which] ^ p0[other]).astype(np.int64) + np.bitwise_count(p1[which] ^ p1[other])
-            good = differ <= n[which] + n[other] - 2 * least
-            which, other = which[good], other[good]
-            number = np.bincount(which - low, minlength=high - low)
-            asked = np.arange(len(which)) - np.searchsorted(which, which) < most
-            which, other = which[asked], other[asked]
-            out.append((sets[which], sets[other], words[which], number[which - low] > most))
+            good = np.minimum(n[one] - place[one], n[other] - place[other]) >= least
+            one, other, least = one[good], other[good], least[good]
+            differ = np.bitwise_count(p0[one] ^ p0[other]).astype(np.int64) + np.bitwise_count(p1[one] ^ p1[other])
+            good = differ <= n[one] + n[other] - 2 * least
+            one, other = one[good], other[good]
+            later = when[one] > when[other]
+            out.append((np.where(later, one, other), np.where(later, other, one)))
             low = high
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
-        return pa.table(dict(zip(("x", "y", "word", "more"), columns)))
-
-    dealt = entries.withColumn("slot", F.pmod(F.xxhash64("word"), F.lit(slots)))
-    return dealt.groupBy("slot").applyInArrow(run, "x bigint, y bigint, word bigint, more boolean")
-
-
-def _settled(unsettled: DataFrame, entries: DataFrame, words: DataFrame) -> DataFrame:
+        x, y = (np.concatenate(c) for c in zip(*out)) if out else (start[:0], start[:0])
+        order = np.lexsort((when[y], x))
+        x, y = x[order], y[order]
+        more = np.bincount(x, minlength=len(words))[x] > most
+        asked = np.arange(len(x)) - np.searchsorted(x, x) < most
+        x, y, more = x[asked], y[asked], more[asked]
+        crowded = np.zeros(len(words), dtype=bool)
+        crowded[start[x[more]]] = True
+        word, x, y = words[x], sets[x], sets[y]
+        slot = np.int64(table.column("slot")[0].as_py()) << 32
+        own = crowded[start]
+        none = np.zeros(own.sum(), np.int64)
+        columns = [
+            np.concatenate([x, sets[own]]),
+            np.concatenate([y, none]),
+            np.concatenate([word, words[own]]).astype(np.int64) + slot,
+            np.concatenate([more, none > 0]),
+            np.concatenate([np.zeros(len(x), np.int64), doc[own]]),
+            np.concatenate([np.zeros(len(x), np.int32), line[own]]),
+            np.concatenate([np.zeros(len(x), bool), none == 0]),
+        ]
+        return pa.table(dict(zip(names, columns)))
+
+    kinds = "x bigint, y bigint, word bigint, more boolean, doc bigint, line int, member boolean"
+    return _packed_entries(sets, slots).groupBy("slot").applyInArrow(run, kinds)
+
+
+def _settled(unsettled: DataFrame, members: DataFrame, words: DataFrame) -> DataFrame:
     """The sets of ``unsettled (x, word)`` that are similar to any earlier set of their word.
 
     A word's sets are dealt to parts of about ``BLOCK_SETS``; each part of its unsettled sets meets each part of
     all its sets in a block of bounded size.
     """
-    slots = shuffle_buckets(entries.sparkSession)
-    members = entries.select("word", "set", "rank").join(unsettled.select("word").distinct(), "word")
+    slots = shuffle_buckets(members.sparkSession)
+    members = members.select("word", F.col("x").alias("set"), "doc", "line").join(unsettled.select("word").distinct(), "word")
     parts = F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("parts")
     parts = members.groupBy("word").agg(parts)
     part = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     members = members.join(parts, "word").withColumn("part", part)
-    base = members.select("word", "set", "rank", F.col("part").alias("b"), every.alias("k"), F.lit(False).alias("asks"))
+    place = ["set", "doc", "line"]
+    base = members.select("word", *place, F.col("part").alias("b"), every.alias("k"), F.lit(False).alias("asks"))
     asking = members.join(unsettled.select(F.col("x").alias("set"), "word"), ["set", "word"], "left_semi")
-    asking = asking.select("word", "set", "rank", every.alias("b"), F.col("part").alias("k"), F.lit(True).alias("asks"))
+    asking = asking.select("word", *place, every.alias("b"), F.col("part").alias("k"), F.lit(True).alias("asks"))
     rows = base.unionByName(asking).join(words, "set")
-    rows = rows.select(F.xxhash64("word", "b", "k").alias("block"), "set", "rank", "asks", "words")
+    rows = rows.select(F.xxhash64("word", "b", "k").alias("block"), *place, "asks", "words")
 
-    def meet(sets, rank, asks, bags) -> list[int]:
+    def meet(sets, place, asks, bags) -> list[int]:
         base = np.flatnonzero(~asks)
         if not len(base):
             return []
@@ -275,47 +368,78 @@ def _settled(unsettled: DataFrame, entries: DataFrame, words: DataFrame) -> Data
             counts = high - low
             at = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
             both = np.bincount(owner[at], minlength=len(base))
-            earlier = (rank[base] < rank[x]) | ((rank[base] == rank[x]) & (sets[base] < sets[x]))
+            earlier = (place[base] < place[x]) & (sets[base] != sets[x])
             if (earlier & (FIVE * both >= FOUR * (len(own) + sizes - both))).any():
                 out.append(int(sets[x]))
         return out
 
     def run(table: pa.Table) -> pa.Table:
-        block, sets, rank = (table.column(c).to_numpy() for c in ("block", "set", "rank"))
+        block, sets, doc, line = (table.column(c).to_numpy() for c in ("block", "set", "doc", "line"))
         asks, bags = np.asarray(table.column("asks")), table.column("words")
+        # places in the order of first lines; both rows of a set may differ in it, but never in that order with others
+        place = np.empty(len(sets), np.int64)
+        place[np.lexsort((sets, line, doc))] = np.arange(len(sets))
         order = np.argsort(block, kind="stable")
         cuts = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
         out: list[int] = []
         for low, high in zip(cuts, cuts[1:]):
             some = order[low:high]
             own = [np.frombuffer(bags[int(k)].as_buffer(), np.uint64) for k in some]
-            out += meet(sets[some], rank[some], asks[some], own)
+            out += meet(sets[some], place[some], asks[some], own)
         return pa.table({"set": pa.array(out, pa.int64())})
 
     dealt = rows.withColumn("slot", F.pmod("block", F.lit(slots)))
     return dealt.groupBy("slot").applyInArrow(run, "set bigint").distinct()
 
 
+def _line_keys(ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """A 64-bit name for a line of a text."""
+    return ar.mix(ids.view(np.uint64) ^ ar.mix(lines.astype(np.uint64) + ar.U64(3))).view(np.int64)
+
+
 def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``set, words``: the whole word sets of ``wanted (set, ref, line)``, read from the documents."""
-    lists = wanted.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("line", "set"))).alias("lines"))
-    joined = docs.join(lists, "ref").select("text", "lines")
+    """``set, words``: the whole word sets of ``wanted (id, line)``, read from the texts where they lie.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A filter of fixed size says which lines may be wanted, so that texts never move and other lines are not taken
+    apart; what it lets pass by chance does no harm.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = ar.text_bytes(batch.column(0))
-            sets, words = [], []
-            for k, lines in enumerate(batch.column(1).to_pylist()):
-                hashes, line, _, numbers = line_words(data, offsets, k, k + 1)
-                cuts = np.searchsorted(line, np.arange(len(numbers) + 1))
-                at = {number: i for i, number in enumerate(numbers.tolist())}
-                for asked in lines:
-                    i = at[asked["line"]]
-                    sets.append(asked["set"])
-                    words.append(hashes[cuts[i] : cuts[i + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(words, pa.binary())], names=["set", "words"])
+            own = _line_keys(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64())], names=["key"])
+
+    named = wanted.select("id", F.col("line").cast("bigint")).mapInArrow(keys, "key bigint")
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(named, "key"))
 
-    return joined.mapInArrow(run, "set bigint, words binary").dropDuplicates(["set"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = ar.text_bytes(batch.column(1))
+            for low, high in ar.chunks(offsets, CHUNK_BYTES):
+                raw, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+                breaks = np.flatnonzero(raw == 10)
+                # a text's first line and each behind a break; breaks at the end of a text begin its last, empty line
+                row = np.repeat(np.arange(high - low), np.diff(np.searchsorted(breaks, at)) + 1)
+                first = np.searchsorted(row, np.arange(high - low))
+                number = np.arange(len(row)) - first[row]
+                begin = np.where(number == 0, at[:-1][row], 0)
+                begin[number > 0] = breaks + 1
+                end = np.empty(len(row), np.int64)
+                end[:-1], end[-1:] = begin[1:], len(raw)
+                end = np.minimum(end, at[1:][row])
+                some = np.flatnonzero(passes(held.value, _line_keys(ids[low:high][row], number)) & (end > begin))
+                sizes = end[some] - begin[some]
+                cuts = np.concatenate([[0], np.cumsum(sizes)])
+                chosen = raw[np.arange(cuts[-1]) + np.repeat(begin[some] - cuts[:-1], sizes)]
+                hashes, line, lines, _ = line_words(chosen, cuts, 0, len(some))
+                names, *_ = _names(hashes, line, len(lines))
+                cuts = np.searchsorted(line, np.arange(len(lines) + 1))
+                words = [hashes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(words, pa.binary())], names=["set", "words"])
+
+    found = docs.select("ref.id", "text").mapInArrow(run, "set bigint, words binary")
+    return store_buckets(found.groupBy("set").agg(F.first("words").alias("words")), "set", "words")
 
 
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -337,62 +461,106 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "set bigint").distinct()
 
 
-def _ref() -> Column:
-    """What names a document: its id, the largest number for null, and a hash of its text."""
-    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
-    return F.struct(doc.alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"))
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
 
+def _with_ref(docs: DataFrame) -> DataFrame:
+    """Add ``__ref``, which names a document: its place in the order of ids, the last for null, and a hash of its text.
 
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.select(_ref().alias("ref"), F.coalesce("text", F.lit("")).alias("text"))
+    Integers are their own place. Others are put in order by ranges, and a range and the place in it are the number.
+    """
+    last = F.lit((1 << 63) - 1)
+    if docs.schema["doc_id"].dataType.simpleString() in _INTEGERS:
+        place = F.col("doc_id").cast("bigint")
+    else:
+        ids = laid_out(docs.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct(), ["__id"], "ids")
+        ids = ids.select("__id", (F.shiftleft(F.col(RANGE).cast("bigint"), 33) + F.col(PLACE)).alias("__place"))
+        docs = docs.join(ids, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+        place = F.col("__place")
+    ref = F.struct(F.coalesce(place, last).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"))
+    return docs.withColumn("__ref", ref).drop("__place")
 
 
 def similar_sets(docs: DataFrame, options: LineOptions = LineOptions()) -> DataFrame:
-    """``set, first, matched``: the distinct word sets of ``docs (ref, text)``, their first line, and whether a
-    similar set has an earlier one."""
+    """``set, first, matched``: word sets of ``docs (ref, text)`` of which a line goes, their first line, and whether a
+    similar set has an earlier one. All lines of other sets stay."""
     codes = docs.sparkSession.sparkContext.broadcast(rarity_codes(docs, options))
     lines = _lines(docs, codes, options)
-    first = F.min(F.struct("ref.doc", "line", "ref.id")).alias("first")
+    first = F.min(F.struct("doc", "line", "id")).alias("first")
     details = [F.first(c).alias(c) for c in ("n", "p0", "p1", "prefix")]
-    sets = materialise(lines.groupBy("set").agg(first, *details), "linesets")
-    # ids beyond 43 bits come last, in the order of names
-    doc = F.least(F.greatest(F.col("first.doc"), F.lit(0)), F.lit((1 << 43) - 1))
-    rank = F.shiftleft(doc, 20) + F.least(F.col("first.line"), F.lit((1 << 20) - 1))
-    entries = sets.select("set", "n", "p0", "p1", rank.alias("rank"), F.posexplode("prefix").alias("place", "word"))
-    entries = entries.where("word <> 0")
-    asked = materialise(_candidates(entries, options.first_asked), "candidates")
-    # the word sets of all that may be compared are read at once: the texts move a single time
-    crowded = asked.where("more").select("word").distinct()
-    names = asked.select(F.explode(F.array("x", "y")).alias("set"))
-    names = names.unionByName(entries.join(crowded, "word").select("set")).distinct()
-    ref = F.struct("first.doc", "first.id").alias("ref")
-    wanted = sets.join(names, "set").select("set", ref, F.col("first.line").alias("line"))
-    words = materialise(_word_sets(docs, wanted), "words")
-    matched = materialise(_verified(asked, words), "matched")
-    unsettled = asked.where("more").select("x", "word").distinct()
+    number = F.sum("lines").alias("lines")
+    sets = materialise(lines.groupBy("set").agg(first, number, *details), "linesets")
+    asked = materialise(_candidates(sets, options.first_asked), "candidates")
+    pairs, members = asked.where("NOT member"), asked.where("member")
+    names = asked.select(F.explode(F.when(F.col("member"), F.array("x")).otherwise(F.array("x", "y"))).alias("set")).distinct()
+    words = _word_sets(docs, sets.join(names, "set").select("first.id", "first.line"))
+    matched = materialise(_verified(pairs, words), "matched")
+    unsettled = pairs.where("more").select("x", "word").distinct()
     unsettled = materialise(unsettled.join(matched.select(F.col("set").alias("x")), "x", "left_anti"), "unsettled")
-    matched = matched.unionByName(_settled(unsettled, entries, words)).distinct()
-    found = sets.select("set", "first").join(matched.withColumn("matched", F.lit(True)), "set", "left")
+    matched = matched.unionByName(_settled(unsettled, members, words)).distinct()
+    found = sets.select("set", "first", "lines").join(matched.withColumn("matched", F.lit(True)), "set", "left")
+    found = found.where("matched OR lines > 1")
     return materialise(found.select("set", "first", F.coalesce("matched", F.lit(False)).alias("matched")), "decided")
 
 
+def _named_lines(docs: DataFrame, sets: DataFrame, options: LineOptions) -> DataFrame:
+    """``doc, id, n_lines, line, set``: how many lines of a document count, and those of ``sets (set)``, or one row of nulls.
+
+    A filter of fixed size says which may be of these sets.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(sets, "set"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = ar.text_bytes(batch.column(2))
+            for low, high in ar.chunks(offsets, CHUNK_BYTES):
+                hashes, line, rows, numbers = line_words(data, offsets, low, high)
+                names, *_ = _names(hashes, line, len(rows))
+                counts = np.bincount(line, minlength=len(rows)) >= options.least_words
+                of_row = np.bincount(rows[counts], minlength=high - low)
+                some = np.flatnonzero(counts & passes(held.value, names))
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(rows[some], minlength=high - low))])
+                keep = np.flatnonzero(of_row)
+                at = pa.array(np.append(cuts[keep], cuts[-1]), pa.int32())  # documents without a line have none of these
+                chosen = pa.array(low + keep)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(chosen),
+                        batch.column(1).take(chosen),
+                        pa.array(of_row[keep], pa.int64()),
+                        pa.ListArray.from_arrays(at, pa.array(numbers[some].astype(np.int32))),
+                        pa.ListArray.from_arrays(at, pa.array(names[some])),
+                    ],
+                    names=["doc", "id", "n_lines", "lines", "sets"],
+                )
+
+    found = docs.select("ref.doc", "ref.id", "text").mapInArrow(
+        run, "doc bigint, id bigint, n_lines bigint, lines array<int>, sets array<bigint>"
+    )
+    one = F.explode_outer(F.arrays_zip(F.col("lines").alias("line"), F.col("sets").alias("set")))
+    return found.select("doc", "id", "n_lines", one.alias("one")).select("doc", "id", "n_lines", "one.line", "one.set")
+
+
 def line_decisions(docs: DataFrame, options: LineOptions = LineOptions()) -> DataFrame:
-    """``ref, n_lines, removed``: of each document with lines that count, how many, and the numbers of those to go."""
-    named = _named(docs)
+    """``ref, n_lines, removed``: of each document with lines that count, how many, and the numbers of those to go.
+
+    ``docs`` come with their ``__ref``.
+    """
+    named = docs.select(F.col("__ref").alias("ref"), F.coalesce("text", F.lit("")).alias("text"))
     decided = similar_sets(named, options)
-    lines = _lines(named, None, options).join(decided, "set")
-    first = (F.col("first.doc") == F.col("ref.doc")) & (F.col("first.id") == F.col("ref.id"))
+    lines = _named_lines(named, decided, options).join(decided, "set", "left")
+    first = (F.col("first.doc") == F.col("doc")) & (F.col("first.id") == F.col("id"))
     stays = first & (F.col("first.line") == F.col("line")) & ~F.col("matched")
-    lists = lines.groupBy("ref").agg(
-        F.collect_set("line").alias("lines"), F.collect_set(F.when(~stays, F.col("line"))).alias("gone")
-    )
-    return lists.select("ref", F.size("lines").cast("long").alias("n_lines"), F.sort_array("gone").alias("removed"))
+    gone = F.col("first").isNotNull() & ~stays
+    lists = lines.groupBy("doc", "id").agg(F.max("n_lines").alias("n_lines"), F.collect_set(F.when(gone, F.col("line"))).alias("gone"))
+    return lists.select(F.struct("doc", "id").alias("ref"), "n_lines", F.sort_array("gone").alias("removed"))
 
 
 def line_report(docs: DataFrame, options: LineOptions = LineOptions()) -> DataFrame:
     """``doc_id, n_lines, n_removed, removed``: one row per document, line numbers from 0."""
+    docs = _with_ref(docs.select("doc_id", "text"))
     decisions = materialise(line_decisions(docs, options), "decisions")
-    rows = docs.select("doc_id", _ref().alias("ref")).join(decisions, "ref", "left")
+    rows = docs.select("doc_id", F.col("__ref").alias("ref")).join(decisions, "ref", "left")
     removed = F.coalesce("removed", F.expr("cast(array() as array<int>)"))
     return rows.select(
         "doc_id",
@@ -407,9 +575,10 @@ def drop_repeated_lines(docs: DataFrame, options: LineOptions = LineOptions()) -
 
     Documents that lose lines go if no line with a word is left.
     """
-    decisions = materialise(line_decisions(docs, options).where(F.size("removed") > 0), "decisions")
+    named = _with_ref(docs)
+    decisions = materialise(line_decisions(named, options).where(F.size("removed") > 0), "decisions")
     decisions = decisions.select(F.col("ref").alias("__ref"), F.col("removed").alias("__gone"))
-    joined = docs.withColumn("__ref", _ref()).join(decisions, "__ref", "left")
+    joined = named.join(decisions, "__ref", "left")
     left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__gone", i))
     joined = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     joined = joined.where(F.col("__gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
