@@ -24,7 +24,7 @@ ADVICE = (
 )
 
 
-# what SARIF and GitLab reports say of a finding
+# What SARIF and GitLab reports say of a finding.
 SARIF_MESSAGE = (
     "Potential Secret Leak on [{platform}]({url})."
     "\nDetails:\nSensitive data type: [{rule}] - Description: [{description}]\nPlatform: [{platform}]"
