@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leaksieve.llm.arrays import tidy
 from leaksieve.session import materialise, scratch_path
 
 CHUNK = 1 << 19  # fingerprints that a task sorts at a time
@@ -108,7 +109,7 @@ def occurring_twice(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[t
         places = np.concatenate([places[known], open_places[told]])
         return pa.table({"id": ids, "place": places.astype(np.int64)})
 
-    packed = rows.mapInArrow(send, _PACKED)
+    packed = rows.mapInArrow(tidy(send), _PACKED)
     return packed.groupBy("bucket").applyInArrow(meet, "id bigint, place bigint")
 
 
@@ -264,7 +265,7 @@ def compare(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[tuple]])
             }
         )
 
-    packed = rows.mapInArrow(send, _PAIRS)
+    packed = rows.mapInArrow(tidy(send), _PAIRS)
     return packed.groupBy("bucket").applyInArrow(meet, "id bigint, tag bigint, code int")
 
 

@@ -1,8 +1,9 @@
 """N-gram Jaccard join: documents whose shingle sets overlap by at least ``least`` of their union.
 
 1. A set that links to another shares almost all its shingles with it, so of its smallest fingerprints more
-   than a known number occur elsewhere. Only documents that pass go on; most texts end here.
-2. Sets that share a smallest hash and link to a common one, their pivot, become its cluster.
+   than a known number occur elsewhere. Only documents that pass go on; most texts end here, where they lie.
+2. Sets that share a smallest hash are stored in prefix trees, a few central ones at a time, and the others walk them: those
+   that link to a common one, their pivot, become its cluster.
 3. Exact search for the links that are left: shingles are ordered by rarity over all sets, a set's rarest
    shingles are its prefix, and two sets can only link if their prefixes meet. Pairs of clusters that meet and
    are not yet connected are compared by a prefix tree: the larger cluster's sets are stored in a trie in a
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaksieve.llm import arrays as ar
-from leaksieve.llm.exchange import components, occurring_twice, shuffle_buckets, store_buckets
+from leaksieve.llm.exchange import components, id_filter, occurring_twice, passes, shuffle_buckets, store_buckets
 from leaksieve.session import materialise
 
 WORDS = 5
@@ -37,7 +38,8 @@ OUT_ROWS = 1000  # rows of a batch that holds whole sets
 FIVE, FOUR = 5, 4
 ROUNDS = 3  # hashes by which clusters are gathered
 GROUP = 2000  # sets that one task gathers into clusters at a time
-PIVOTS = 8  # pivots a set is compared with before it becomes one
+PIVOTS = 4  # sets of a trie that others walk to become members
+TRIES = 2  # such tries before what is left goes to the exact search
 CELLS = 1 << 21  # of the sketch that orders shingles by rarity
 
 
@@ -95,12 +97,21 @@ def _required(n):
 SETS = "id bigint, n bigint, tokens binary, " + ", ".join(f"k{r} bigint" for r in range(ROUNDS))
 
 
-def _full_sets(texts: DataFrame) -> DataFrame:
-    """``id, n, tokens`` and the smallest of the shingles under each of ``ROUNDS`` hashes."""
+def _full_sets(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``id, n, tokens`` of the ``chosen (id)`` texts, and the smallest of the shingles under each of ``ROUNDS`` hashes.
+
+    A filter of fixed size says which texts may be chosen: the others are not taken apart, and none moves. What it lets
+    pass by chance goes with the join.
+    """
     salts = [ar.U64((0x9E3779B97F4A7C15 * (r + 1)) & 0xFFFFFFFFFFFFFFFF) for r in range(ROUNDS)]
+    held = texts.sparkSession.sparkContext.broadcast(id_filter(chosen, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            some = np.sort(first)
+            some = some[passes(held.value, batch.column(0).to_numpy()[some])]
+            batch = batch.take(pa.array(some))
             for low in range(0, batch.num_rows, OUT_ROWS):
                 part = batch.slice(low, OUT_ROWS)
                 sizes, tokens, keys = [], [], [[] for _ in salts]
@@ -113,15 +124,9 @@ def _full_sets(texts: DataFrame) -> DataFrame:
                 columns += [pa.array(k, pa.int64()) for k in keys]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "tokens", *[f"k{r}" for r in range(ROUNDS)]])
 
-    return texts.select("id", "text").mapInArrow(run, SETS)
-
-
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+    found = texts.select("id", "text").mapInArrow(ar.tidy(run), SETS)
+    rest = [F.first(c).alias(c) for c in found.columns if c != "id"]
+    return found.groupBy("id").agg(*rest).join(chosen, "id", "left_semi")
 
 
 def _central_first(sets: list[np.ndarray]) -> list[int]:
@@ -132,15 +137,39 @@ def _central_first(sets: list[np.ndarray]) -> list[int]:
     return np.argsort(-shared, kind="stable").tolist()
 
 
+def _pivots(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Sets with the pivot that they link to: one of the most central sets that link to none before them.
+
+    ``PIVOTS`` sets at a time are stored in a trie; all that are left walk it.
+    """
+    left, out = _central_first(sets), []
+    for _ in range(TRIES):
+        base, rest = left[:PIVOTS], left[PIVOTS:]
+        if len(base) + len(rest) < 2:
+            break
+        own: dict[int, int] = {}
+        for k, p in join_block([sets[k] for k in base], [sets[k] for k in base], every=True):
+            if k < p:
+                own[p] = min(k, own.get(p, k))
+        out += [(base[p], base[k]) for p, k in own.items()]
+        hits = join_block([sets[k] for k in base], [sets[k] for k in rest]) if rest else []
+        out += [(rest[p], base[k]) for k, p in hits]
+        gone = {p for _, p in hits}
+        left = [k for p, k in enumerate(rest) if p not in gone]
+    return out
+
+
 def _gather(sets: DataFrame, key: str) -> DataFrame:
     """``id, pivot``: sets with an equal key that link to a pivot among them.
 
-    A key that many sets share is dealt to groups of about ``GROUP``.
+    A key that many sets share is dealt to groups of about ``GROUP``. Sets whose key no other has stay where they are.
     """
-    hot = sets.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > GROUP)
-    parts = F.coalesce(F.ceil(F.col("_c") / GROUP), F.lit(1)).cast("bigint")
-    dealt = sets.select("id", "tokens", key).join(hot, key, "left")
-    dealt = dealt.select("id", "tokens", F.xxhash64(key, F.pmod(F.xxhash64("id"), parts)).alias("group"))
+    keys = sets.select("id", key)
+    shared = keys.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    parts = F.ceil(F.col("_c") / GROUP).cast("bigint")
+    dealt = keys.join(shared, key).select("id", F.xxhash64(key, F.pmod(F.xxhash64("id"), parts)).alias("group"))
+    # the sets lie in buckets by id: only what meets others moves
+    dealt = sets.select("id", "tokens").join(dealt, "id")
     slot = F.pmod("group", F.lit(shuffle_buckets(sets.sparkSession))).alias("slot")
 
     def run(table: pa.Table) -> pa.Table:
@@ -153,19 +182,9 @@ def _gather(sets: DataFrame, key: str) -> DataFrame:
             if high - low == 1:
                 continue
             some = order[low:high].tolist()
-            sets = [np.frombuffer(column[k].as_buffer(), np.uint64) for k in some]
-            pivots: list[int] = []
-            for k in _central_first(sets):
-                own = sets[k]
-                for p in pivots:
-                    least = needed(len(own), len(sets[p]))
-                    if min(len(own), len(sets[p])) >= least and _overlap(own, sets[p]) >= least:
-                        members.append(ids[some[k]])
-                        chosen.append(ids[some[p]])
-                        break
-                else:
-                    if len(pivots) < PIVOTS:
-                        pivots.append(k)
+            for k, p in _pivots([np.frombuffer(column[k].as_buffer(), np.uint64) for k in some]):
+                members.append(ids[some[k]])
+                chosen.append(ids[some[p]])
         return pa.table({"id": pa.array(members, pa.int64()), "pivot": pa.array(chosen, pa.int64())})
 
     return dealt.withColumn("slot", slot).groupBy("slot").applyInArrow(run, "id bigint, pivot bigint")
@@ -203,7 +222,7 @@ def rarity_sketch(rows: DataFrame, column: str = "tokens", cells_: int = CELLS)
         sums = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
         return pa.table({"block": table.column("block")[:1], "sums": pa.array([sums.tobytes()], pa.binary())})
 
-    parts = rows.select(column).mapInArrow(count, "block int, cells binary, counts binary")
+    parts = rows.select(column).mapInArrow(ar.tidy(count), "block int, cells binary, counts binary")
     sketch = np.zeros(cells_, np.uint32)
     for row in parts.groupBy("block").applyInArrow(add, "block int, sums binary").toLocalIterator():
         sketch[row.block * block : (row.block + 1) * block] = np.frombuffer(row.sums, np.uint32)
@@ -236,7 +255,7 @@ def _prefixes(sets: DataFrame, sketch) -> DataFrame:
             columns = [pa.array(np.concatenate(c), pa.int64()) for c in out]
             yield pa.RecordBatch.from_arrays(columns, names=["token", "id", "n", "room"])
 
-    return sets.select("id", "tokens").mapInArrow(run, "token bigint, id bigint, n bigint, room bigint")
+    return sets.select("id", "tokens").mapInArrow(ar.tidy(run), "token bigint, id bigint, n bigint, room bigint")
 
 
 @dataclass
@@ -307,8 +326,8 @@ def walk(root: Node, probe: np.ndarray, n: int, known: np.ndarray, lengths: list
     return found
 
 
-def join_block(base: list[np.ndarray], probes: list[np.ndarray]) -> list[tuple[int, int]]:
-    """For each probe, one set of ``base`` that it links to, if any. Frequent shingles lead, so paths are shared."""
+def join_block(base: list[np.ndarray], probes: list[np.ndarray], every: bool = False) -> list[tuple[int, int]]:
+    """For each probe, one set of ``base`` that it links to, if any, or ``every`` one. Frequent shingles lead, so paths are shared."""
     tokens, counts = np.unique(np.concatenate(base), return_counts=True)
     number = np.empty(len(tokens), np.int64)
     number[np.lexsort((tokens, -counts))] = np.arange(len(tokens))
@@ -318,7 +337,7 @@ def join_block(base: list[np.ndarray], probes: list[np.ndarray]) -> list[tuple[i
         at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
         known = np.zeros(len(tokens), dtype=bool)
         known[number[at[tokens[at] == own]]] = True
-        out += [(k, p) for k in walk(trie, own, len(own), known, lengths)]
+        out += [(k, p) for k in walk(trie, own, len(own), known, lengths, every)]
     return out
 
 
@@ -414,7 +433,7 @@ def _sized(hashed: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["key", "id", "n"]
             )
 
-    return hashed.mapInArrow(run, f"key {kind}, id bigint, n bigint")
+    return hashed.mapInArrow(ar.tidy(run), f"key {kind}, id bigint, n bigint")
 
 
 def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -431,8 +450,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     texts = sized.where("n > 0").groupBy("id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     chosen = texts.join(answers, "id").where(F.col("answers") >= _required(F.col("n")) * F.col("copies"))
     chosen = materialise(chosen.select("id"), "chosen")
-    whole = hashed.groupBy("id").agg(F.first("text").alias("text"))
-    sets = store_buckets(_full_sets(whole.join(chosen, "id", "left_semi")), "id", "sets")
+    sets = store_buckets(_full_sets(hashed, chosen), "id", "sets")
     parts = linked_sets(sets)
     placed = sized.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     placed = materialise(placed, "placed")
