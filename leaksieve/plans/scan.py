@@ -12,6 +12,7 @@ from leaksieve.operators import comments as cm
 from leaksieve.operators import findings as fi
 from leaksieve.operators import flatten as fl
 from leaksieve.operators import scope as sc
+from leaksieve.operators import tree as tr
 from leaksieve.operators.matching import scan_texts
 from leaksieve.operators.rules import RuleSet
 from leaksieve.options import ScanOptions
@@ -106,7 +107,8 @@ def read_platform(
 
     A query in ``options.scope`` is a predicate on the export's columns and falls back to everything
     if nothing satisfies it. ``scope_map`` lists containers by the export's column names, from the
-    top; with a scope such as ``2/5`` only that part of the map is scanned.
+    top, or for ``local`` files and directories as ``read_tree_map`` gives them; with a scope such as ``2/5`` only that part of
+    the map is scanned.
     """
     key = platform_key(target)
     if key is None or (export is None and key != "local"):
@@ -118,9 +120,10 @@ def read_platform(
     if sc.scope_query(options.scope):
         export = sc.scope_filter_or_all(export, options.scope)
     elif scope_map is not None:
+        tree = key == "local" and "kind" in scope_map.columns
         if part := re.fullmatch(r"(\d+)/(\d+)", options.scope or ""):
-            scope_map = sc.scope_chunk(scope_map, int(part[1]), int(part[2]))
-        export = sc.scope_semi_join(export, scope_map, scope_map.columns)
+            scope_map = sc.scope_chunk(scope_map, int(part[1]), int(part[2]), ["path"] if tree else None)
+        export = tr.tree_scope_join(export, scope_map, "url") if tree else sc.scope_semi_join(export, scope_map, scope_map.columns)
     if key == "zendesk":
         return norm_zendesk(export, options.server)
     return PLATFORMS[key][1](export)

@@ -12,6 +12,8 @@ from leaksieve.operators import scope as sc
 from leaksieve.operators import tree as tr
 from leaksieve.operators.ordered import as_of, laid_out, running
 from leaksieve.operators.rules import RuleSet, load_patterns, validate_rules
+from leaksieve.options import ScanOptions
+from leaksieve.plans.scan import read_platform
 from leaksieve.sources.maps import read_map, read_tree_map, write_map_documents, write_tree_map
 
 PATHS = [
@@ -120,6 +122,18 @@ def test_scope_edge_cases(spark):
     assert tr.tree_scope_join(content.where("false"), everything).count() == 0
 
 
+def test_local_scan_of_a_mapped_tree(spark, tmp_path):
+    """A folder's own map limits its scan, whole or in parts."""
+    for path in ("a/b/c.txt", "a/b/d/e.txt", "a/x.txt", "b/y.txt"):
+        (tmp_path / "in" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / path).write_text("x")
+    base = f"{tmp_path}/in"
+    listed = spark.createDataFrame([(f"{base}/a/b", "directory", True), (f"{base}/b/y.txt", "file", False)], "path string, kind string, empty boolean")
+    urls = lambda scope=None: {r.url for r in read_platform(spark, "local", ScanOptions(scan_path=base, scope=scope), scope_map=listed).collect()}
+    want = {f"{base}/a/b/c.txt", f"{base}/a/b/d/e.txt", f"{base}/b/y.txt"}
+    assert urls() == want and urls("1/2") | urls("2/2") == want and not urls("1/2") & urls("2/2")
+
+
 def test_directory_with_most_of_the_content_is_spread(spark):
     content = spark.range(4000).select(F.concat(F.lit("hot/"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("path"))
     scope = spark.createDataFrame([("hot", "directory", True)], "path string, kind string, empty boolean")
