@@ -8,8 +8,8 @@ to spans of words.
 The benchmark is collected in blocks of at most ``block_bytes`` of text, one pass over the documents
 for each; the test sets of a pass are broadcast.
 
-Defined cases: a null or empty text has no words; an item without an id or without words is left out;
-items that share an id are one item; rows are judged one by one, so repeated rows and null ids need no
+Defined cases: a null or empty text has no words; an item without words is left out; the windows of an item without
+an id hit words, but it is not among the items found; items that share an id are one item; rows are judged one by one, so repeated rows and null ids need no
 care; an empty benchmark hits nothing; other columns are carried along, whatever their names.
 """
 
@@ -42,8 +42,9 @@ class TestSet:
     shortest: int
 
 
-def build_test_set(items: list[tuple[str, str]], window: int = WINDOW) -> TestSet:
-    names = sorted({name for name, _ in items})
+def build_test_set(items: list[tuple[str | None, str]], window: int = WINDOW) -> TestSet:
+    """Of items without a name the windows count, but nothing is found by name."""
+    names = sorted({name for name, _ in items if name is not None})
     number = {name: i for i, name in enumerate(names)}
     data = np.frombuffer("\n".join(text for _, text in items).encode(), dtype=np.uint8)
     sizes = [len(text.encode()) for _, text in items]
@@ -58,12 +59,12 @@ def build_test_set(items: list[tuple[str, str]], window: int = WINDOW) -> TestSe
         own = (ids[first[k] : first[k + 1]] + 1).tolist()
         width = min(window, len(own))
         for i in range(len(own) - width + 1 if own else 0):
-            owners.setdefault(tuple(own[i : i + width]), set()).add(number[name])
+            owners.setdefault(tuple(own[i : i + width]), set()).update([number[name]] if name is not None else [])
     lengths = sorted({len(w) for w in owners})
     windows = []
     for n in lengths:
         chosen = [w for w in owners if len(w) == n]
-        windows.append((np.array(chosen, dtype=np.int64), [np.array(sorted(owners[w])) for w in chosen]))
+        windows.append((np.array(chosen, dtype=np.int64), [np.array(sorted(owners[w]), dtype=np.int64) for w in chosen]))
     return TestSet(vocabulary, windows, names, min(lengths, default=0))
 
 
@@ -135,14 +136,14 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, cut: bool = False, block_by
     With ``cut`` the text loses its hit spans in the last pass.
     """
     spark = docs.sparkSession
-    items = benchmark.where("item_id is not null and text is not null")
+    items = benchmark.where("text is not null")
     items = items.select(F.col("item_id").cast("string").alias("name"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // block_bytes
     marked = docs.drop(*[c for c in docs.columns if c in MARKS])
     for block in range(blocks):
         # an item of many rows may fall into several blocks: its windows are still those of its rows
-        part = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == block)
+        part = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == block)  # without a name the hash of the text
         tests = spark.sparkContext.broadcast(build_test_set([(r.name, r.text) for r in part.toLocalIterator()]))
         marked = _pass(marked, tests, cut and block == blocks - 1)
     return marked
@@ -203,7 +204,7 @@ def _pass(docs: DataFrame, tests, cut: bool) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return docs.select(*[docs[f"`{c}`"] for c in [*plain, *(MARKS if again else ())]]).mapInArrow(run, schema)
+    return docs.select(*[docs[f"`{c}`"] for c in [*plain, *(MARKS if again else ())]]).mapInArrow(ar.tidy(run), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

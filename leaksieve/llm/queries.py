@@ -111,7 +111,7 @@ WITH cut AS (
            regexp_extract_all({FOLD}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents
     UNION ALL
     SELECT true, row_number() OVER (), item_id,
-           regexp_extract_all({FOLD}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') FROM benchmark WHERE item_id IS NOT NULL)),
+           regexp_extract_all({FOLD}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') FROM benchmark)),
 wins AS (
   SELECT DISTINCT k AS item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win
   FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM cut WHERE test AND len(w) > 0)),
@@ -124,7 +124,7 @@ found AS (
 hits AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
 names AS (
   SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s
-  FROM (SELECT DISTINCT r, cast(item AS VARCHAR) AS item FROM found) GROUP BY r)
+  FROM (SELECT DISTINCT r, cast(item AS VARCHAR) AS item FROM found WHERE item IS NOT NULL) GROUP BY r)
 SELECT cut.k AS doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(names.n, 0) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
 FROM cut LEFT JOIN hits USING (r) LEFT JOIN names USING (r) WHERE NOT test"""

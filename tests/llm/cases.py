@@ -90,15 +90,14 @@ def contamination(rows, items, window=10):
     for name, text in items:
         words = find(text)
         n = min(window, len(words))
-        if name is not None:
-            for k in range(len(words) - n + 1 if words else 0):
-                owners[tuple(words[k : k + n])].add(str(name))
+        for k in range(len(words) - n + 1 if words else 0):
+            owners[tuple(words[k : k + n])].update([str(name)] if name is not None else [])
     out = []
     for key, text in rows:
         words, hit, names = find(text), set(), set()
         for n in {len(w) for w in owners}:
             for k in range(len(words) - n + 1):
-                if own := owners.get(tuple(words[k : k + n])):
+                if (own := owners.get(tuple(words[k : k + n]))) is not None:
                     hit.update(range(k, k + n))
                     names |= own
         digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
