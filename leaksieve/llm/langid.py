@@ -6,7 +6,8 @@ the sample, or at least to name a character; the language in which the text cost
 differ in length, and where they do not, the fewest phrases win.
 
 A text is parsed whole, in blocks of ``BLOCK`` characters that start at a new phrase for every language
-alike: many blocks then advance together, one character a step.
+alike: many blocks then advance together, one character a step. All automata lie in one table of displaced rows, whose size
+follows their transitions, not their alphabets.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and so is every text when no
 language could be learned; ties go to the smaller language name; every language with a labelled letter is learned
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leaksieve.llm.arrays import tidy
 from leaksieve.session import materialise
 
 BLOCK = 256
@@ -41,6 +43,8 @@ class TrainOptions:
     rows: int = 64
     #: characters of a language's sample
     chars: int = 20_000
+    #: characters of all samples together: with many languages each gets its share
+    total_chars: int = 1_000_000
     #: languages with less are not learned
     least_chars: int = 1
 
@@ -60,33 +64,38 @@ def normalise(text: str) -> str:
 def draw_samples(labelled: DataFrame, keys: list[str], options: TrainOptions = TrainOptions()) -> LanguageSamples:
     """Bounded samples from rows with ``text`` and ``lang``.
 
-    Rows are chosen by hash, without their texts: each task keeps ``rows`` of a language before anything is
-    shuffled. Texts are then read for the chosen rows only. A language whose rows are short draws four times as many
-    until its sample is full or its rows are used up.
+    Rows are chosen by the smallest hashes. What can be among them follows from a language's number of rows, so that few rows
+    are ranked, whatever share of the table a language has. Only as much text is read and gathered as the samples hold. A
+    language whose rows are short draws four times as many until its sample is full or its rows are used up.
     """
+    spark = labelled.sparkSession
     rows = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    rows = rows.withColumn("_draw", F.xxhash64(*keys, "text"))
-    order = Window.partitionBy("lang").orderBy("_draw")
+    rows = rows.withColumn("_draw", F.shiftrightunsigned(F.xxhash64(*keys, "text"), 1))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    most = min(options.chars, max(1, options.total_chars // max(1, len(counts))))
     texts: dict[str, str] = {}
-    some, low, high = rows, 0, options.rows
-    while True:
-        chosen = some.select("lang", "_draw").distinct().withColumn("_at", F.row_number().over(order))
-        # stored, so that its size is known and only small tables are broadcast
-        chosen = materialise(chosen.where(F.col("_at") <= high).where(F.col("_at") > low).select("lang", "_draw"), "chosen")
-        chosen = some.join(chosen, ["lang", "_draw"], "left_semi").dropDuplicates(["lang", "_draw"])
+    left, wanted = dict(counts), options.rows
+    order = Window.partitionBy("lang").orderBy("_draw")
+    while left:
+        # four times the share that would do on average
+        limits = [(k, (1 << 63) - 1 if 4 * wanted >= n else int(4 * wanted / n * 2**63)) for k, n in left.items()]
+        limit = spark.createDataFrame(limits, "lang string, _limit bigint")
+        some = rows.join(F.broadcast(limit), "lang").where(F.col("_draw") <= F.col("_limit"))  # a row for each language
         # without what is no letter, so that little is gathered of texts that hold few
         letters = F.regexp_replace("text", r"\P{L}+", " ")
-        cut = chosen.select("lang", "_draw", F.substring(letters, 1, options.chars).alias("text"))
-        drawn: dict[str, int] = {}
-        for row in sorted(cut.collect(), key=lambda r: (r.lang, r._draw)):
-            drawn[row.lang] = drawn.get(row.lang, 0) + 1
-            sofar = texts.get(row.lang, "")
-            if len(sofar) < options.chars:
-                texts[row.lang] = f"{sofar} {normalise(row.text)}"[: options.chars + 1]
-        short = [k for k, n in drawn.items() if n == high - low and len(texts[k]) < options.chars]
-        if not short:
-            break
-        some, low, high = rows.where(F.col("lang").isin(short)), high, 4 * high
+        cut = some.select("lang", "_draw", F.substring(letters, 1, most).alias("_letters")).dropDuplicates(["lang", "_draw"])
+        sized = cut.select("lang", "_draw", F.char_length("_letters").alias("_size")).withColumn("_at", F.row_number().over(order))
+        sized = sized.withColumn("_before", F.sum("_size").over(order) - F.col("_size"))
+        # stored, so that its size is known and only small tables are broadcast
+        chosen = materialise(sized.where(F.col("_before") < most).select("lang", "_draw", "_before"), "chosen")
+        picked = cut.join(chosen, ["lang", "_draw"]).select("lang", "_draw", F.expr(f"substring(_letters, 1, cast({most} - _before as int))").alias("text"))
+        own: dict[str, str] = {}
+        for row in sorted(picked.collect(), key=lambda r: (r.lang, r._draw)):
+            own[row.lang] = f"{own.get(row.lang, '')} {normalise(row.text)}"[: most + 1]
+        texts |= own
+        full = {k for k, v in own.items() if len(v) >= most}
+        left = {k: n for k, n in left.items() if k not in full and 4 * wanted < n}
+        wanted *= 4
     return LanguageSamples({k: v for k, v in texts.items() if len(v.strip()) >= options.least_chars})
 
 
@@ -128,8 +137,52 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+def displaced(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions as displaced rows: state ``s`` goes on by ``x`` to ``target[base[s] + x]`` if ``owner`` there is ``s``.
+
+    Rows lie in each other's gaps, so there are little more places than transitions, however large the alphabet.
+    """
+    count = sum(map(len, moves))
+    base = np.zeros(len(moves), dtype=np.int64)
+    owner = np.full(count + 3 * width + 64, -1, dtype=np.int32)
+    target = np.zeros(len(owner), dtype=np.int32)
+    wide = sorted((s for s, out in enumerate(moves) if len(out) > 1), key=lambda s: -len(moves[s]))
+    since: dict[int, int] = {}  # where the last row of a size found its place; narrow rows fill the gaps before it
+    for state in wide:
+        symbols = np.array(sorted(moves[state]), dtype=np.int64)
+        at, step = since.get(len(symbols), width), 64
+        while True:
+            if at + step + 2 * width > len(owner):
+                owner = np.concatenate([owner, np.full(len(owner) // 2 + step + 2 * width, -1, np.int32)])
+                target = np.concatenate([target, np.zeros(len(owner) - len(target), np.int32)])
+            tries = at + np.flatnonzero(owner[at : at + step] < 0) - symbols[0]
+            good = (owner[tries[:, None] + symbols] < 0).all(axis=1) if len(tries) else np.zeros(0, dtype=bool)
+            if good.any():
+                base[state] = tries[good.argmax()]
+                since[len(symbols)] = at
+                break
+            at += step
+            step = min(2 * step, 8192)
+        owner[base[state] + symbols] = state
+        target[base[state] + symbols] = [moves[state][x] for x in symbols.tolist()]
+    narrow = [(s, *next(iter(out.items()))) for s, out in enumerate(moves) if len(out) == 1]
+    free = width + np.flatnonzero(owner[width:] < 0)
+    if len(free) < len(narrow):
+        more = len(narrow) - len(free)
+        free = np.concatenate([free, np.arange(len(owner), len(owner) + more)])
+        owner = np.concatenate([owner, np.full(more, -1, np.int32)])
+        target = np.concatenate([target, np.zeros(more, np.int32)])
+    if narrow:
+        states, symbols, targets = (np.array(c, dtype=np.int64) for c in zip(*narrow))
+        at = free[: len(narrow)]
+        owner[at], target[at], base[states] = states, targets, at - symbols
+    used = int(np.flatnonzero(owner >= 0).max(initial=0)) + 1
+    pad = np.full(width, -1, np.int32)  # any symbol of the last row stays inside
+    return base, np.concatenate([owner[:used], pad]), np.concatenate([target[:used], np.zeros(width, np.int32)])
+
+
 class CrossParser:
-    """All automata as one table of next states; row 0 is the dead state."""
+    """All automata in one table of displaced rows; state 0 is dead."""
 
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
@@ -141,25 +194,29 @@ class CrossParser:
         #: what a phrase of each language costs, as a share of one of the longest sample
         self.costs = np.array([bits[k] / math.log2(max(longest, self.width)) for k in self.names])
         number = {c: i + 2 for i, c in enumerate(alphabet)} | {" ": 1}
-        self.codes = np.ones(0x110000, dtype=np.int16)  # what is no letter is a blank
+        self.codes = np.ones(0x110000, dtype=np.int32)  # what is no letter is a blank
         for point in range(0x110000):
             letter = chr(point)
             if letter.isalpha():
                 self.codes[point] = number.get(letter.lower(), 0)
-        machines = [suffix_automaton([number[c] for c in samples[name]]) for name in self.names]
-        self.table = np.zeros((1 + sum(map(len, machines)), self.width), dtype=np.int32)
-        starts, row = [], 1
-        for moves in machines:
-            starts.append(row)
-            for state, out in enumerate(moves):
-                for symbol, target in out.items():
-                    self.table[row + state, symbol] = row + target
-            row += len(moves)
+        bases, owners, targets, starts = [np.zeros(1, np.int64)], [], [], []
+        first = np.zeros((len(self.names), self.width), dtype=np.int32)
+        row = places = 0
+        for k, name in enumerate(self.names):
+            moves = suffix_automaton([number[c] for c in samples[name]])
+            base, owner, target = displaced(moves, self.width)
+            starts.append(row + 1)
+            bases.append(base + places)
+            owners.append(np.where(owner >= 0, owner + row + 1, -1).astype(np.int32))
+            targets.append((target + row + 1).astype(np.int32))
+            for symbol, to in moves[0].items():
+                first[k, symbol] = row + 1 + to
+            row, places = row + len(moves), places + len(owner)
+        self.base = np.concatenate(bases)
+        self.owner, self.target = np.concatenate(owners), np.concatenate(targets)
         self.starts = np.array(starts, dtype=np.int32)
         #: the state after a character that starts a phrase; an unknown one leaves the start state
-        first = self.table[self.starts]
         self.first = np.where(first, first, self.starts[:, None]).astype(np.int32)
-        self.flat = self.table.ravel()
 
     def phrases(self, blocks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each block (rows of symbols, longest first) in each language."""
@@ -173,10 +230,11 @@ class CrossParser:
             if not k:
                 break
             symbols = steps[t, :k]
-            new = self.flat[state[:, :k] * self.width + symbols]
-            dead = new == 0
+            now = state[:, :k]
+            at = self.base[now] + symbols
+            dead = self.owner[at] != now
             ended[:, :k] += dead
-            state[:, :k] = np.where(dead, self.first[:, symbols], new)
+            state[:, :k] = np.where(dead, self.first[:, symbols], self.target[at])
         return (ended + (lengths > 0)).T
 
     def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +301,7 @@ def identify(
             columns += [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return docs.select(*[docs[f"`{f.name}`"] for f in kept]).mapInArrow(run, schema)
+    return docs.select(*[docs[f"`{f.name}`"] for f in kept]).mapInArrow(tidy(run), schema)
 
 
 def held_out(key: str = "doc_id"):
