@@ -117,9 +117,10 @@ FILTER_BITS = 1 << 26
 _FILTER_BLOCK = 1 << 20
 
 
-def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+def id_filter(rows: DataFrame, read: Callable[[pa.RecordBatch], np.ndarray] | None = None, bits: int = FILTER_BITS) -> np.ndarray:
     """A set of 64-bit ids as ``bits`` bits: it holds every id, and others by chance.
 
+    ``read`` makes the ids of a batch of ``rows``; without it they are its only column.
     Of one size, 8 MB, whatever the number of ids, so that it may go to every task: rows that cannot be wanted stay where
     they are. With very many ids it lets all pass, and what comes after it decides alone. Put together by the executors.
     """
@@ -127,8 +128,8 @@ def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarra
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(bits - 1)
-            own = np.unique(own.astype(np.uint32))
+            own = read(batch) if read else batch.column(0).drop_null().to_numpy(zero_copy_only=False)
+            own = np.unique((own.view(np.uint64) & np.uint64(bits - 1)).astype(np.uint32))
             edges = np.searchsorted(own, np.arange(0, bits + 1, block))
             some = np.flatnonzero(np.diff(edges)).tolist()
             inside = (own % block).astype(np.uint32)
@@ -144,7 +145,7 @@ def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarra
         return pa.table({"block": table.column("block")[:1], "held": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
 
     out = np.zeros(bits // 8, np.uint8)
-    parts = ids.select(column).mapInArrow(cells, "block int, cells binary")
+    parts = rows.mapInArrow(tidy(cells), "block int, cells binary")
     for row in parts.groupBy("block").applyInArrow(add, "block int, held binary").toLocalIterator():
         out[row.block * (block // 8) : (row.block + 1) * (block // 8)] = np.frombuffer(row.held, np.uint8)
     return out

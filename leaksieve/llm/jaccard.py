@@ -104,7 +104,7 @@ def _full_sets(texts: DataFrame, chosen: DataFrame) -> DataFrame:
     pass by chance goes with the join.
     """
     salts = [ar.U64((0x9E3779B97F4A7C15 * (r + 1)) & 0xFFFFFFFFFFFFFFFF) for r in range(ROUNDS)]
-    held = texts.sparkSession.sparkContext.broadcast(id_filter(chosen, "id"))
+    held = texts.sparkSession.sparkContext.broadcast(id_filter(chosen.select("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

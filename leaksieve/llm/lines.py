@@ -152,7 +152,7 @@ def rarity_codes(docs: DataFrame, options: LineOptions = LineOptions()) -> np.nd
         codes = np.where(total > 1, np.minimum(255, 8 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)
         return pa.table({"block": table.column("block")[:1], "codes": pa.array([codes.tobytes()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(count, "block int, cells binary, counts binary")
+    parts = docs.select("text").mapInArrow(ar.tidy(count), "block int, cells binary, counts binary")
     codes = np.zeros(options.cells, np.uint8)
     for row in parts.groupBy("block").applyInArrow(add, "block int, codes binary").toLocalIterator():
         codes[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.codes, np.uint8)
@@ -206,7 +206,7 @@ def _lines(docs: DataFrame, codes, options: LineOptions) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "id", "line", "lines", "set", "n", "p0", "p1", "prefix"])
 
     kinds = "doc bigint, id bigint, line int, lines bigint, set bigint, n int, p0 bigint, p1 bigint, prefix array<bigint>"
-    return docs.select("ref.doc", "ref.id", "text").mapInArrow(run, kinds)
+    return docs.select("ref.doc", "ref.id", "text").mapInArrow(ar.tidy(run), kinds)
 
 
 _KINDS = {
@@ -253,7 +253,7 @@ def _packed_entries(sets: DataFrame, slots: int) -> DataFrame:
             yield pack(columns, words)
 
     rows = sets.select("set", "p0", "p1", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n", "prefix")
-    return rows.mapInArrow(run, "slot int, " + ", ".join(f"{k} binary" for k in _KINDS))
+    return rows.mapInArrow(ar.tidy(run), "slot int, " + ", ".join(f"{k} binary" for k in _KINDS))
 
 
 def _candidates(sets: DataFrame, most: int) -> DataFrame:
@@ -404,13 +404,11 @@ def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     apart; what it lets pass by chance does no harm.
     """
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = _line_keys(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64())], names=["key"])
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        return _line_keys(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
 
-    named = wanted.select("id", F.col("line").cast("bigint")).mapInArrow(keys, "key bigint")
-    held = docs.sparkSession.sparkContext.broadcast(id_filter(named, "key"))
+    wanted = wanted.select("id", F.col("line").cast("bigint"))
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -438,7 +436,7 @@ def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 words = [hashes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(words, pa.binary())], names=["set", "words"])
 
-    found = docs.select("ref.id", "text").mapInArrow(run, "set bigint, words binary")
+    found = docs.select("ref.id", "text").mapInArrow(ar.tidy(run), "set bigint, words binary")
     return store_buckets(found.groupBy("set").agg(F.first("words").alias("words")), "set", "words")
 
 
@@ -458,7 +456,7 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
                     good.append(one)
             yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], names=["set"])
 
-    return joined.mapInArrow(run, "set bigint").distinct()
+    return joined.mapInArrow(ar.tidy(run), "set bigint").distinct()
 
 
 _INTEGERS = ("tinyint", "smallint", "int", "bigint")
@@ -508,7 +506,7 @@ def _named_lines(docs: DataFrame, sets: DataFrame, options: LineOptions) -> Data
 
     A filter of fixed size says which may be of these sets.
     """
-    held = docs.sparkSession.sparkContext.broadcast(id_filter(sets, "set"))
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(sets.select("set")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -535,7 +533,7 @@ def _named_lines(docs: DataFrame, sets: DataFrame, options: LineOptions) -> Data
                 )
 
     found = docs.select("ref.doc", "ref.id", "text").mapInArrow(
-        run, "doc bigint, id bigint, n_lines bigint, lines array<int>, sets array<bigint>"
+        ar.tidy(run), "doc bigint, id bigint, n_lines bigint, lines array<int>, sets array<bigint>"
     )
     one = F.explode_outer(F.arrays_zip(F.col("lines").alias("line"), F.col("sets").alias("set")))
     return found.select("doc", "id", "n_lines", one.alias("one")).select("doc", "id", "n_lines", "one.line", "one.set")

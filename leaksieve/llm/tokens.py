@@ -18,7 +18,7 @@ import numpy as np
 # Trailing marks that the tokenizer parts from an ASCII letter or digit before them. No apostrophe:
 # with one, a mark and the letters after it may be one token.
 MARKS = b".,!?;:|#*$%&()-"
-MOST_WORDS = 500_000  # kept words; the older half goes beyond it
+MOST_WORDS = 300_000  # kept words; the older half goes beyond it
 _OPEN: dict[str, WordTokenizer] = {}
 
 
