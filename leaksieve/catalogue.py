@@ -235,7 +235,7 @@ SHAPES = [
     Format("header/api-key", "api key in a header", "swagger.io: API keys", r"(?i)\bx-api-key[\x22\x27]?\s{0,3}[:=]\s{0,3}[\x22\x27]?[0-9a-z._~+/=-]{16,}"),
     Format("command/curl-login", "login on a command line", "curl.se: Command line options", r"\bcurl\b[^\n]{0,200}?\s(?:-u|--user)[\s=]{1,3}[\x22\x27]?[0-9A-Za-z._@+-]{1,64}:[^\s\x22\x27:]{4,64}"),
     Format("command/curl-header", "token in a header on a command line", "curl.se: Command line options", r"\bcurl\b[^\n]{0,200}?\s(?:-H|--header)[\s=]{1,3}[\x22\x27](?i:authorization|x-[a-z-]{0,20}(?:key|token)|private-token)\s{0,3}:\s{0,3}(?:(?i:bearer|basic|token)\s{1,3})?[0-9A-Za-z._~+/=-]{16,}"),
-    Format("file/kubernetes-secret", "values of a Kubernetes secret", "kubernetes.io: Secrets", r"\bkind:[^\S\n]{0,3}[\x22\x27]?Secret\b[^\n]{0,40}\n(?:[^\n]{0,200}\n){0,20}?data:[^\n]{0,40}\n(?:[^\n]{0,200}\n){0,10}?[^\S\n]{1,8}[0-9A-Za-z_.-]{1,80}:[^\S\n]{1,3}[\x22\x27]?[0-9A-Za-z+/]{12,}={0,2}"),
+    Format("file/kubernetes-secret", "values of a Kubernetes secret", "kubernetes.io: Secrets", r"\bkind:[^\S\n]{0,3}[\x22\x27]?Secret\b[^\n]*\n(?:[^\n]*\n){0,20}?data:[^\n]*\n(?:[^\n]*\n){0,10}?[^\S\n]{1,8}[0-9A-Za-z_.-]{1,80}:[^\S\n]{1,3}[\x22\x27]?[0-9A-Za-z+/]{12,}={0,2}"),
     Format("file/npmrc", "npm registry login", "docs.npmjs.com: npmrc", r"_authToken\s{0,3}=\s{0,3}[0-9A-Za-z_-]{20,}"),
     Format("file/netrc", "netrc login", "gnu.org: netrc", r"\bmachine\s{1,3}[^\s]{3,80}\s{1,3}login\s{1,3}[^\s]{1,80}\s{1,3}password\s{1,3}[^\s]{4,80}"),
     Format("file/docker-config", "docker registry login", "docs.docker.com: docker login", r'"auth"\s{0,3}:\s{0,3}"[0-9A-Za-z+/]{16,}={0,2}"'),
