@@ -338,13 +338,18 @@ def _query(sql: str | None = None, name: str | None = None):
  FROM documents WHERE length(text) > 0"""
 )
 def read_text_files_each(spark, d):
-    """A file for each document, written by Spark with the document's number as its folder."""
+    """A file for each document, written by Spark's tasks with the document's number as its name, in up to 256 folders.
+
+    A folder for each would be listed on its own, which took most of the time.
+    """
     path = scratch_path(spark, "texts")
-    docs = _table(spark, d, "documents").select("doc_id", "text")
-    docs.repartition("doc_id").write.partitionBy("doc_id").option("lineSep", "\x00").text(path)
-    read = files.read_text_files(spark, path, "part-*")
+    docs = _table(spark, d, "documents").groupBy("doc_id").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"))
+    folder = F.pmod(F.hash("doc_id"), F.lit(256)).cast("string")
+    name = F.concat(folder, F.lit("/doc_id="), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".txt"))
+    files.write_text_files(docs.select(name.alias("name"), F.concat(F.array_join("texts", "\x00"), F.lit("\x00")).alias("text")), path)
+    read = files.read_text_files(spark, path, "doc_id=*")
     text = F.substring_index("file", "\x00", 1)
-    key = F.regexp_extract("url", "doc_id=([0-9]+)/", 1).cast("bigint")
+    key = F.regexp_extract("url", "/doc_id=([0-9]+)[.]txt$", 1).cast("bigint")
     return read.select(key.alias("doc_id"), F.sha2(text, 256).alias("digest"), F.length(text).cast("bigint").alias("n_chars"))
 
 
@@ -1490,10 +1495,15 @@ def scope_chunk_contiguous(spark, d):
 # streams
 
 
+def _table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, be it a file or a folder of them. A stream takes a file's own path for a folder, but not a pattern."""
+    schema = _table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{name}}}.parquet")
+
+
 def _stream_texts(spark, d):
     """Documents as a stream; the id stands in for seconds of event time."""
-    schema = _table(spark, d, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    docs = _table_stream(spark, d, "documents")
     url = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
     return docs.select(
         F.lit("LocalFilesystem").alias("platform"),
@@ -1576,8 +1586,7 @@ def leak_rate(spark, d):
 )
 def stream_leak_rate(spark, d):
     """The windows that a stream closes; those within a day of the last event stay open."""
-    schema = _table(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    events = _table_stream(spark, d, "events")
     key = F.col("event_id").cast("string")
     texts = events.select(
         F.lit("Slack").alias("platform"), key.alias("issue_id"), key.alias("url"), F.lit("message").alias("field"),

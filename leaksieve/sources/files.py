@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaksieve.functions import text as tx
+from leaksieve.sources.ranges import place_of
 
 REPLACEMENT = "\ufffd"
 KEPT = "\ufdd0\ufdd1"  # noncharacters that stand for a genuine replacement character during the repair
@@ -36,6 +40,26 @@ def read_text_files(spark: SparkSession, path: str, pattern: str | None = None,
     return _file_tickets(texts, "LocalFilesystem", url, tx.unix_newlines(F.decode("content", "UTF-8")))
 
 
+def write_text_files(rows: DataFrame, path: str) -> None:
+    """Write ``name, text`` rows as files below a path, one each, whose names may hold folders.
+
+    Tasks write the files themselves, wherever ``pyarrow`` can: for many small files Spark's writers take most of their time to
+    make, permit and move each of them. A task that is repeated writes the same files again. Names must differ.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = place_of(path)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                file = f"{top}/{name}"
+                system.create_dir(file.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(file, compression=None) as out:
+                    out.write((text or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    rows.select("name", "text").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
 def norm_github(files: DataFrame) -> DataFrame:
     """Files of branches; bytes that are not UTF-8 are dropped from the text, genuine U+FFFD stays."""
     url = F.concat("html_url", F.lit("/blob/"), "branch", F.lit("/"), "path")

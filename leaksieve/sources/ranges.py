@@ -34,15 +34,19 @@ def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     return reader.load(path).select("path", "length")
 
 
-def open_file(path: str):
-    """A file that can be read from any place, and its size."""
+def place_of(path: str) -> tuple:
+    """The file system that a path lies in, and its name there."""
     from pyarrow import fs
 
     if path.startswith("file:") or "://" not in path:
-        system, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
-    else:
-        scheme, rest = path.split("://", 1)
-        system, name = fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+    scheme, rest = path.split("://", 1)
+    return fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
+
+
+def open_file(path: str):
+    """A file that can be read from any place, and its size."""
+    system, name = place_of(path)
     file = system.open_input_file(name)
     return file, file.size()
 
