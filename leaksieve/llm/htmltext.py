@@ -17,8 +17,8 @@ without it. Words that also name containers of articles need no more than anothe
 page of which all is template keeps what the names allow, as do hosts without two different pages.
 
 Only folded streams are gathered by host, reduced before they are shuffled, so a host with most pages costs
-no more than others. A wrapper is inferred from the ``most_streams`` most frequent distinct streams of
-its host.
+no more than others. A wrapper is inferred from all distinct streams of its host: the ``most_streams`` most frequent ones first, the
+others in groups of about as many, whose wrappers are then aligned, as many at once, until one is left.
 
 Defined cases: a null or empty page has the empty text; a null or odd url is the host ``''``; every
 row is extracted on its own, so repeated rows and ids need no care; extra columns are ignored.
@@ -85,6 +85,7 @@ _NAMED = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 
 @dataclass(frozen=True)
 class WrapperOptions:
+    #: streams, or wrappers, that one task aligns at once
     most_streams: int = 64
     #: longest group that folds
     longest_group: int = 12
@@ -369,11 +370,11 @@ def generalise(wrapper: dict, other: dict) -> dict:
     return out
 
 
-def infer(streams: list[tuple], options: WrapperOptions = WrapperOptions()) -> dict:
-    """The wrapper of folded streams, in their order.
+def merge(streams: list[tuple]) -> dict:
+    """What folded streams have in common, in their order.
 
     A stream is ``symbols, repeated`` and, if known, ``marks``, each symbol's most frequent text, as a hash, the pages it
-    leads by, and the numbers of pages and of different pages. ``fixed`` has the hash of each text that is part of the template.
+    leads by, and the numbers of pages and of different pages.
     """
     wrapper: dict | None = None
     for symbols, repeated, *known in streams:
@@ -381,6 +382,11 @@ def infer(streams: list[tuple], options: WrapperOptions = WrapperOptions()) -> d
         one = {"symbols": symbols, "marks": marks, "optional": [False] * len(symbols), "repeated": repeated, "text": text, "ahead": ahead}
         one |= {"pages": [pages] * len(symbols), "different": [different] * len(symbols)}
         wrapper = generalise(wrapper, one) if wrapper else one
+    return wrapper
+
+
+def settle(wrapper: dict, options: WrapperOptions = WrapperOptions()) -> dict:
+    """Add ``fixed``: the hash of each text that is part of the template."""
     wrapper["fixed"] = [
         text if s == TEXT and mark != 2 and different >= options.least_pages and ahead >= options.lead * pages else None
         for s, mark, text, ahead, pages, different in zip(
@@ -390,6 +396,11 @@ def infer(streams: list[tuple], options: WrapperOptions = WrapperOptions()) -> d
     return wrapper
 
 
+def infer(streams: list[tuple], options: WrapperOptions = WrapperOptions()) -> dict:
+    """The wrapper of folded streams, see :func:`merge` and :func:`settle`."""
+    return settle(merge(streams), options)
+
+
 def expression(wrapper: dict) -> str:
     """The wrapper as an expression: ``( )?`` around optional, ``( )+`` around repeated stretches."""
     out, open_as = [], ""
@@ -572,36 +583,66 @@ def folded_streams(pages: DataFrame, options: WrapperOptions = WrapperOptions())
     return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, kind)
 
 
+def _grouped_streams(found: DataFrame, most: int) -> DataFrame:
+    """``id, host, part, stream, pages``: a host's most frequent streams are part 0, the others are dealt out to parts of about as many."""
+    counted = materialise(found.groupBy("host", "stream").agg(F.sum("n").alias("pages")), "counted")
+    order = Window.partitionBy("host").orderBy(F.desc("pages"), "stream")
+    first = counted.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).select("host", "stream", F.lit(0).alias("part"))
+    more = counted.groupBy("host").agg(F.ceil((F.count(F.lit(1)) - most) / most).alias("more")).where("more > 0")
+    dealt = F.pmod(F.xxhash64("stream"), F.greatest(F.coalesce("more", F.lit(1)), F.lit(1))).cast("int") + 1
+    all_ = counted.join(first, ["host", "stream"], "left").join(more, "host", "left")
+    all_ = all_.select(F.monotonically_increasing_id().alias("id"), "host", F.coalesce("part", dealt).alias("part"), "stream", "pages")
+    return materialise(all_, "few")
+
+
 def infer_wrappers(pages: DataFrame, options: WrapperOptions = WrapperOptions()) -> DataFrame:
     """``host, wrapper, expression``."""
     found = materialise(folded_streams(pages, options), "streams")
-    order = Window.partitionBy("host").orderBy(F.desc("n"), "stream")
-    ranked = found.groupBy("host", "stream").agg(F.sum("n").alias("n")).withColumn("at", F.row_number().over(order))
-    few = materialise(ranked.where(F.col("at") <= options.most_streams).select("host", "stream", "at", F.col("n").alias("pages")), "few")
-    some = found.join(few, ["host", "stream"])
-    votes = some.select("host", "at", F.posexplode(F.arrays_zip("texts", "ahead")).alias("pos", "one"))
-    votes = votes.groupBy("host", "at", "pos", F.col("one.texts").alias("text")).agg(F.sum("one.ahead").alias("ahead"))
-    votes = votes.groupBy("host", "at", "pos").agg(F.max(F.struct("ahead", "text")).alias("v"))
-    votes = votes.groupBy("host", "at").agg(F.sort_array(F.collect_list(F.struct("pos", "v.text", "v.ahead"))).alias("votes"))
-    seen = some.select("host", "at", F.posexplode(F.arrays_zip("lows", "highs")).alias("pos", "one"))
-    seen = seen.groupBy("host", "at", "pos").agg(F.min("one.lows").alias("low"), F.max("one.highs").alias("high"))
+    few = _grouped_streams(found, options.most_streams)
+    some = found.join(few.select("host", "stream", "id"), ["host", "stream"])
+    votes = some.select("id", F.posexplode(F.arrays_zip("texts", "ahead")).alias("pos", "one"))
+    votes = votes.groupBy("id", "pos", F.col("one.texts").alias("text")).agg(F.sum("one.ahead").alias("ahead"))
+    votes = votes.groupBy("id", "pos").agg(F.max(F.struct("ahead", "text")).alias("v"))
+    votes = votes.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "v.text", "v.ahead"))).alias("votes"))
+    seen = some.select("id", F.posexplode(F.arrays_zip("lows", "highs")).alias("pos", "one"))
+    seen = seen.groupBy("id", "pos").agg(F.min("one.lows").alias("low"), F.max("one.highs").alias("high"))
     different = F.sum(F.when(F.col("low").isNull(), 0).when(F.col("low") == F.col("high"), 1).otherwise(2)).alias("different")
-    seen = seen.groupBy("host", "at").agg(different)
-    by_host = few.join(votes, ["host", "at"], "left").join(seen, ["host", "at"])
-    one = F.struct("at", "stream", "pages", "different", "votes")
-    by_host = by_host.groupBy("host").agg(F.sort_array(F.collect_list(one)).alias("streams"))
+    seen = seen.groupBy("id").agg(different)
+    by_part = few.join(votes, "id", "left").join(seen, "id")
+    one = F.struct((-F.col("pages")).alias("less"), "stream", "pages", "different", "votes")
+    by_part = by_part.groupBy("host", "part").agg(F.sort_array(F.collect_list(one)).alias("streams"))
+
+    def rows(batch: pa.RecordBatch, wrappers: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(wrappers, pa.string())], names=["host", "part", "wrapper"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wrappers, shown = [], []
-            for streams in batch.column(1).to_pylist():
+            wrappers = []
+            for streams in batch.column(2).to_pylist():
                 known = []
                 for one in streams:
                     symbols, repeated, marks = json.loads(one["stream"])
                     votes = one["votes"] or []
                     texts, ahead = [v["text"] for v in votes], [v["ahead"] for v in votes]
                     known.append((symbols, [bool(r) for r in repeated], marks, texts, ahead, one["pages"], one["different"]))
-                wrapper = infer(known, options)
+                wrappers.append(json.dumps(merge(known), separators=(",", ":")))
+            yield rows(batch, wrappers)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wrappers = []
+            for parts in batch.column(2).to_pylist():
+                whole = json.loads(parts[0]["wrapper"])
+                for part in parts[1:]:
+                    whole = generalise(whole, json.loads(part["wrapper"]))
+                wrappers.append(json.dumps(whole, separators=(",", ":")))
+            yield rows(batch, wrappers)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wrappers, shown = [], []
+            for wrapper in batch.column(1).to_pylist():
+                wrapper = settle(json.loads(wrapper), options)
                 shown.append(expression(wrapper))
                 wrapper = {name: wrapper[name] for name in ("symbols", "marks", "fixed")}
                 wrappers.append(json.dumps(wrapper, separators=(",", ":")))
@@ -610,7 +651,15 @@ def infer_wrappers(pages: DataFrame, options: WrapperOptions = WrapperOptions())
                 names=["host", "wrapper", "expression"],
             )
 
-    return by_host.mapInArrow(run, "host string, wrapper string, expression string")
+    made = by_part.mapInArrow(run, "host string, part int, wrapper string")
+    parts = few.agg(F.max("part")).first()[0] or 0  # the last part's number
+    while parts > 0:
+        made = materialise(made, "parts")
+        whole = F.sort_array(F.collect_list(F.struct("part", "wrapper"))).alias("parts")
+        made = made.groupBy("host", F.floor(F.col("part") / options.most_streams).cast("int").alias("part")).agg(whole)
+        made = made.mapInArrow(again, "host string, part int, wrapper string")
+        parts //= options.most_streams
+    return made.select("host", "wrapper").mapInArrow(last, "host string, wrapper string, expression string")
 
 
 def extract(pages: DataFrame, wrappers: DataFrame, options: WrapperOptions = WrapperOptions()) -> DataFrame:

@@ -79,3 +79,16 @@ def test_words_are_hints(spark):
     for page in around:
         for k, text in enumerate(texts_of(spark, [page.format("text %d" % k) for k in range(1)])):
             assert "no" not in text.split() and f"text {k}" in text, page
+
+
+def test_all_streams_of_a_host_make_its_wrapper(spark):
+    """Rare streams are part of it however many are aligned at once."""
+    frequent = [f"<body><main><p>News {k}</p></main></body>" for k in range(4)] + [f"<body><h1>Head {k}</h1><p>News {k}</p></body>" for k in range(4)]
+    tags = ["blockquote", "pre", "ul", "ol", "dl", "table", "figure", "address", "fieldset", "center"]
+    rare = [f"<body><section><p>Call us now</p></section><{t}><h3>Story {t}</h3></{t}><div>Text of {t}</div></body>" for t in tags]
+    rows = [(k, "http://one.example/", page) for k, page in enumerate(frequent + rare)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    for most in (2, 64):
+        made = h.infer_wrappers(pages, h.WrapperOptions(most_streams=most)).collect()
+        assert [r.host for r in made] == ["one.example"]
+        assert {t for t in (*tags, "main", "h1") if t in made[0].expression.split()} == {*tags, "main", "h1"}
