@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE = 8 << 20
+TASK = 32 << 20  # bytes of small pieces that one task reads: a task takes far longer to begin than such a piece to search
 MOST_TASKS = 20_000
 _FIELDS = "path string, piece bigint, last boolean, valid boolean, before int, chars bigint, lines bigint, text string"
 _FORM = pa.schema(
@@ -92,6 +93,11 @@ def read_range(path: str, begin: int, end: int, left: int, right: int) -> dict:
     return {"valid": True, "before": len(ahead), "chars": len(own), "lines": own.count("\n"), "text": ahead + own + rest}
 
 
+def task_count(pieces: int, size: int, cores: int) -> int:
+    """How many tasks read so many pieces, of ``size`` bytes in all."""
+    return max(1, min(pieces, max(4 * cores, -(-size // TASK)), MOST_TASKS))
+
+
 def read_pieces(files: DataFrame, left: int, right: int, size: int = PIECE) -> DataFrame:
     """``path, piece, last, valid, before, chars, lines, text`` of files ``path, length``.
 
@@ -100,9 +106,10 @@ def read_pieces(files: DataFrame, left: int, right: int, size: int = PIECE) -> D
     number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / size)))
     files = files.where("length > 0")
     pieces = files.select("path", "length", number.alias("piece"))
-    # rows are small but their work is not: as many tasks as pieces, up to a bound, and not fewer by their size
-    tasks = files.agg(F.coalesce(F.sum(F.ceil(F.col("length") / size)), F.lit(1)).alias("n")).first().n
-    pieces = pieces.repartition(max(1, min(int(tasks), MOST_TASKS)))
+    # rows are small but their work is not: tasks by the bytes that they read, enough for all cores, and not fewer by the rows' size
+    total = files.agg(F.sum(F.ceil(F.col("length") / size)).alias("pieces"), F.sum("length").alias("bytes")).first()
+    tasks = task_count(int(total.pieces or 0), int(total.bytes or 0), files.sparkSession.sparkContext.defaultParallelism)
+    pieces = pieces.repartition(tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,7 +12,7 @@ from leaksieve.operators.rules import RuleSet
 from leaksieve.options import MatchOptions
 from leaksieve.plans.files import scan_files, scan_pieces, unbounded_rules
 from leaksieve.sources.files import read_text_files
-from leaksieve.sources.ranges import list_files, read_pieces, read_range
+from leaksieve.sources.ranges import list_files, read_pieces, read_range, task_count
 
 RULES = RuleSet.from_dict(
     {
@@ -105,6 +105,18 @@ def test_a_file_is_read_by_several_tasks(spark, tmp_path):
     assert (found.secret, found.begin, found.line_number) == ("key-abcd", (1 << 20) - 3, 1)
 
 
+def test_many_small_pieces_share_tasks(spark, tmp_path):
+    path = tmp_path / "small.txt"
+    path.write_bytes(b"x" * (1 << 16) + b" key-abcd\n")
+    files = list_files(spark, str(path))
+    pieces = read_pieces(files, 10, 10, 1 << 8)
+    assert 1 < pieces.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and pieces.count() == 257
+    [found] = scan_pieces(files, RULES, OPTIONS, 1 << 8).collect()
+    assert (found.secret, found.begin) == ("key-abcd", (1 << 16) + 1)
+    # large inputs: by their bytes, up to a bound
+    assert task_count(5_000_000, 160 << 30, 12) == 5120 and task_count(1 << 40, 1 << 60, 12) == 20_000 and task_count(0, 0, 12) == 1
+
+
 def test_options(spark, folder):
     with pytest.raises(ValueError):
         scan_pieces(list_files(spark, folder), RULES, MatchOptions(entropy_filter=True))
