@@ -14,10 +14,17 @@ from array import array
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+
+from leaksieve.llm import arrays as ar
 
 # Trailing marks that the tokenizer parts from an ASCII letter or digit before them. No apostrophe:
 # with one, a mark and the letters after it may be one token.
 MARKS = b".,!?;:|#*$%&()-"
+_MARK = np.zeros(256, dtype=bool)
+_MARK[list(MARKS)] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[97:123] = True
 MOST_WORDS = 300_000  # kept words; the older half goes beyond it
 _OPEN: dict[str, WordTokenizer] = {}
 
@@ -110,11 +117,78 @@ class WordTokenizer:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not self.by_words and texts != [PROBE.encode()]:
             return [self._alone(text) for text in texts]
-        whole = {k: self._alone(text) for k, text in enumerate(texts) if any(t in text or t in text.lower() for t in self.special)}
-        split = [() if k in whole else text.lower().split() for k, text in enumerate(texts)]  # of bytes: both touch ASCII only
+        lowered = [text.lower() for text in texts]  # of bytes, as the split: both touch ASCII only
+        whole = {
+            k: self._alone(text) for k, (text, low) in enumerate(zip(texts, lowered)) if any(t in low or t in text for t in self.special)
+        }
+        for k in whole:
+            lowered[k] = b""
+        data = np.frombuffer(b"".join(lowered), np.uint8)
+        offsets = np.cumsum([0, *map(len, lowered)])
+        begin, end, _ = ar.words(data, offsets, ar.NOT_BLANK)
+        core = self._letters(data, begin, end)
+        plain = core > begin
+        # units in order: letters for tiktoken, and the marks behind them or other words whole
+        rest = np.where(plain, core, begin)
+        others = rest < end
+        first, one = self._merged(data, begin[plain], core[plain])
+        second, two = self._looked_up(data, rest[others], end[others])
+        at = np.concatenate([begin[plain], rest[others]])
+        order = np.argsort(at, kind="stable")
+        counts = np.concatenate([one, two])
+        sums = np.concatenate([[0], np.cumsum(counts[order])])
+        start = np.empty(len(at), np.int64)
+        start[order] = sums[:-1]
+        out = np.empty(sums[-1], "<u4")
+        out[np.repeat(start[: len(one)] - np.cumsum(one) + one, one) + np.arange(len(first))] = first
+        out[np.repeat(start[len(one) :] - np.cumsum(two) + two, two) + np.arange(len(second))] = second
+        raw, ends = out.tobytes(), (sums[np.searchsorted(at[order], offsets)] * 4).tolist()
+        return [whole[k] if k in whole else raw[a:b] for k, (a, b) in enumerate(zip(ends, ends[1:]))]
+
+    def _letters(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Where words of ASCII letters end, before their trailing marks; for other words their begin."""
+        if self.merges is None or not len(begin):
+            return begin
+        last = np.where(_MARK[data], -1, np.arange(len(data)))
+        np.maximum.accumulate(last, out=last)
+        core = np.maximum(last[end - 1] + 1, begin)
+        strange = np.concatenate([[0], np.cumsum(~_LETTER[data])])
+        return np.where(strange[core] == strange[begin], core, begin)
+
+    def _merged(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, and how many each has."""
+        if not len(begin):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        size = end - begin
+        to = np.cumsum(size + 1) - 1  # each with a blank behind it
+        text = np.full(to[-1], 32, np.uint8)
+        place = np.arange(size.sum())
+        word = np.repeat(np.arange(len(size)), size)
+        text[place + word] = data[place + (begin - np.cumsum(size) + size)[word]]
+        text[to - 1] -= 32  # the last letter as its capital
+        ids = self.merges.encode_to_numpy(text.tobytes().decode())
+        return ids, np.diff(np.flatnonzero(self.final[ids]), prepend=-1)
+
+    def _looked_up(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any other words and marks, and how many each has; Arrow finds the different ones."""
+        if not len(begin):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        edges = np.concatenate([[0], np.cumsum(end - begin)])
+        kept = data[np.arange(edges[-1]) + np.repeat(begin - edges[:-1], end - begin)]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(edges), pa.py_buffer(kept)])
+        words = words.dictionary_encode()
+        kinds = words.dictionary.to_pylist()
+        self._know(kinds)
+        found = [self.known[w] for w in kinds]
+        ids = pa.array(found, pa.large_binary()).take(words.indices)
+        raw, _ = ar.text_bytes(ids)
+        return np.frombuffer(raw.tobytes(), "<u4"), np.array([len(x) // 4 for x in found], np.int64)[words.indices.to_numpy()]
+
+    def _know(self, words: list[bytes]) -> None:
+        """See to it that ``known`` has these words."""
         if len(self.known) > MOST_WORDS:
             self.known = dict(islice(self.known.items(), MOST_WORDS // 2, None))
-        new = [w for w in {w for words in split for w in words} if w not in self.known]
+        new = [w for w in words if w not in self.known]
         parts = {}
         for word in new:
             core = word.rstrip(MARKS)
@@ -124,8 +198,6 @@ class WordTokenizer:
         self._learn([w for w in wanted if w not in self.known])
         for word, (core, marks) in parts.items():
             self.known[word] = self.known[core] + self.known[marks]
-        get = self.known.__getitem__
-        return [whole[k] if k in whole else b"".join(map(get, words)) for k, words in enumerate(split)]
 
 
 def tokenizer(path: str) -> WordTokenizer:

@@ -40,3 +40,12 @@ def test_same_ids_as_the_library(name):
 def test_special_names_are_special():
     [ids] = WordTokenizer(WORDS).encode([b"a <|endoftext|> b"])
     assert 49407 in np.frombuffer(ids, "<u4")
+
+
+def test_words_of_letters_are_not_kept():
+    words = WordTokenizer(WORDS)
+    rows = ["zzqx zzqy, the THE (end)...", "", " \n", "été zzqx!?", "a-b -a a- c3 |x| 'tis\tx"]
+    want = library(WORDS, rows)
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.encode([t.encode() for t in rows])] == want
+    assert [np.frombuffer(words.encode([t.encode()])[0], "<u4").tolist() for t in rows] == want
+    assert b"zzqx" not in words.known and words.encode([]) == [] and words.encode([b""]) == [b""]
