@@ -425,8 +425,17 @@ def python_span(texts: pd.Series, patterns: pd.Series, groups: pd.Series) -> pd.
     return frame.astype({"begin": "Int32", "end": "Int32"})
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def register_python_search(spark: SparkSession) -> None:
-    """Make the two functions known to SQL expressions, where patterns that need them are used."""
+    """Make the two functions known to SQL expressions, where patterns that need them are used.
+
+    Batches of texts are kept small, unless the session has a size of its own: several workers of each core hold one, as Arrow data
+    and as strings, and at Spark's default of 64 MB their memory grows with the tasks' input until all batches are full.
+    """
+    if spark.conf.get(BATCH_BYTES, None) in (None, str(64 << 20), f"{64 << 20}b", "64m", "64MB"):
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
     spark.udf.register("leaksieve_search", python_search)
     spark.udf.register("leaksieve_span", python_span)
 

@@ -5,7 +5,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
 from plain import scan as plain_scan
 
+from pyspark.sql import functions as F
+
 from leaksieve.catalogue import default_rules
+from leaksieve.functions import regex as rx
 from leaksieve.operators import matching as mt
 from leaksieve.operators.rules import Rule, RuleSet
 from leaksieve.options import MatchOptions
@@ -132,3 +135,16 @@ def test_secret_group_narrows_the_span(spark):
     rules = RuleSet((Rule("g", "k=([a-z]+)([0-9]+)", secret_group=2, example="N"),))
     r = mt.scan_texts(table(spark, ["é k=abc123!"]), rules, MatchOptions(secret_group=True)).first()
     assert (r.secret, r.begin, r.end, r.sanitized_secret) == ("123", 7, 10, "é k=abc<REDACTED>!")
+
+
+def test_python_search_has_small_batches(spark):
+    nested = RuleSet.from_dict({"rules": [{"id": "n", "regex": "(?:ab?){2,}c"}]})
+    key, old = rx.BATCH_BYTES, spark.conf.get(rx.BATCH_BYTES)
+    try:
+        for given, want in ((str(64 << 20), 4 << 20), (str(1 << 20), 1 << 20)):
+            spark.conf.set(key, given)
+            texts = spark.range(40).select(F.concat(F.repeat(F.lit("x"), F.lit(1 << 18)), F.lit("ababc")).alias("text"))
+            assert mt.scan_texts(texts, nested).select("begin").distinct().collect() == [(1 << 18,)]
+            assert int(spark.conf.get(key).rstrip("b")) == want
+    finally:
+        spark.conf.set(key, old)
