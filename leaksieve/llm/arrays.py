@@ -30,7 +30,7 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all bits (a bijection)."""
     x = x ^ (x >> U64(32))
-    x = x * U64(0xD6E8FEB86659FD93)
+    x *= U64(0xD6E8FEB86659FD93)
     x ^= x >> U64(32)
     x *= U64(0xD6E8FEB86659FD93)
     x ^= x >> U64(32)
@@ -51,9 +51,15 @@ def _powers(kind: str, n: int) -> np.ndarray:
     return known[:n]
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return np.frombuffer(data.tobytes().lower(), np.uint8)
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(data) + 1, dtype=U64)
-    terms = VALUE[data]
+    sums = np.empty(len(data) + 1, dtype=U64)
+    sums[0] = 0
+    terms = VALUE.take(data)
     terms *= _powers("up", len(data))
     np.cumsum(terms, out=sums[1:])
     return sums
@@ -61,8 +67,11 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 def fingerprints(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Of the pieces ``[begin, end)``."""
-    inverse = _powers("down", len(sums))
-    return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(U64))
+    out = sums.take(end)
+    out -= sums.take(begin)
+    out *= _powers("down", len(sums)).take(begin)
+    out += (end - begin).astype(U64)
+    return mix(out)
 
 
 def chain(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -74,6 +83,17 @@ def chain(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def stable_order(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The stable order of unsigned keys of so many bits: one sort of numbers that end in their places, if there is room."""
+    places = len(keys).bit_length()
+    if bits + places > 64:
+        return np.argsort(keys, kind="stable")
+    packed = (keys << U64(places)) | np.arange(len(keys), dtype=U64)
+    packed.sort()
+    packed &= U64((1 << places) - 1)
+    return packed.view(np.int64)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -107,11 +127,15 @@ def chunks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begins and ends of the runs of ``inside`` bytes, which never cross rows, and the first word of each row."""
     mask = np.zeros(len(data) + 2, dtype=bool)
-    mask[1:-1] = inside[data]
-    cut = np.zeros(len(data) + 1, dtype=bool)
-    cut[offsets] = True
-    begin = np.flatnonzero(mask[1:-1] & (~mask[:-2] | cut[:-1]))
-    end = np.flatnonzero(mask[1:-1] & (~mask[2:] | cut[1:])) + 1
+    # the table as bytes: several times as fast as by index
+    mask[1:-1] = np.frombuffer(data.tobytes().translate(inside.tobytes()), dtype=bool)
+    edges = np.flatnonzero(mask[1:] != mask[:-1])
+    begin, end = edges[::2], edges[1::2]
+    cuts = np.unique(offsets)
+    cuts = cuts[mask[cuts] & mask[cuts + 1]]  # a row ends inside a run
+    if len(cuts):
+        at = np.searchsorted(begin, cuts)
+        begin, end = np.insert(begin, at, cuts), np.insert(end, at - 1, cuts)
     return begin, end, np.searchsorted(begin, offsets)
 
 

@@ -37,7 +37,7 @@ from leaksieve.llm.jaccard import FIVE, FOUR
 from leaksieve.operators.ordered import PLACE, RANGE, laid_out
 from leaksieve.session import materialise
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 BLOCK = 1 << 16
 PAIRS = 1 << 19  # pairs that are filtered at a time, words that are counted
 BLOCK_SETS = 1500  # sets on each side of a block
@@ -58,15 +58,21 @@ WHOLE = LineOptions(least_words=1)
 
 
 def _by_line(line: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Order by line, then by hash: one sort of packed numbers unless two hashes of a line look alike."""
-    bits = ar.U64(max(1, int(line[-1]).bit_length() if len(line) else 1))
-    packed = (line.astype(np.uint64) << (ar.U64(64) - bits)) | (hashes >> bits)
-    order = np.argsort(packed)
-    packed = packed[order]
-    alike = np.flatnonzero(packed[1:] == packed[:-1])
-    if (hashes[order[alike]] != hashes[order[alike + 1]]).any():
-        return np.lexsort((hashes, line))
-    return order
+    """Hashes in order within each line, of which the numbers ascend: one sort of packed numbers unless two hashes of a line
+    look alike in the bits that line and place leave."""
+    if not len(line):
+        return hashes
+    lines, places = int(line[-1]).bit_length(), len(line).bit_length()
+    left = 64 - lines - places
+    if left < 1:
+        return hashes[np.lexsort((hashes, line))]
+    keys = (line.astype(np.uint64) << ar.U64(left)) | (hashes >> ar.U64(64 - left))
+    order = ar.stable_order(keys, lines + left)
+    out, keys = hashes.take(order), keys.take(order)
+    alike = np.flatnonzero(keys[1:] == keys[:-1])
+    if (out[alike] != out[alike + 1]).any():
+        return hashes[np.lexsort((hashes, line))]
+    return out
 
 
 def line_words(data: np.ndarray, offsets: np.ndarray, low: int, high: int):
@@ -74,36 +80,44 @@ def line_words(data: np.ndarray, offsets: np.ndarray, low: int, high: int):
 
     Hashes are sorted and distinct within a line.
     """
-    raw = ar.LOWER[data[offsets[low] : offsets[high]]]
+    raw = ar.lowered(data[offsets[low] : offsets[high]])
     at = offsets[low : high + 1] - offsets[low]
     begin, end, first = ar.words(raw, at, ar.NOT_BLANK)
     hashes = ar.fingerprints(ar.prefix_sums(raw), begin, end)
-    row = np.repeat(np.arange(high - low), np.diff(first))
-    breaks = np.concatenate([[0], np.cumsum(raw == 10)])
-    number = breaks[begin] - breaks[at[:-1]][row]
-    fresh = np.ones(len(begin), dtype=bool)
-    fresh[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
-    line = np.cumsum(fresh) - 1
-    rows, numbers = row[fresh], number[fresh]
-    order = _by_line(line, hashes)
-    hashes, line = hashes[order], line[order]
+    breaks = np.flatnonzero(raw == 10)
+    # a line with words starts at the first word of a row or behind a break
+    starts = np.unique(np.concatenate([first[:-1], np.searchsorted(begin, breaks)]))
+    starts = starts[: np.searchsorted(starts, len(begin))]
+    rows = np.searchsorted(first, starts, side="right") - 1
+    numbers = np.searchsorted(breaks, begin[starts]) - np.searchsorted(breaks, at[rows])
+    line = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(begin)))
+    hashes = _by_line(line, hashes)
     distinct = np.ones(len(line), dtype=bool)
-    distinct[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
+    distinct[1:] = hashes[1:] != hashes[:-1]
+    distinct[starts] = True
     return hashes[distinct], line[distinct], rows, numbers
 
 
-def _names(hashes: np.ndarray, line: np.ndarray, count: int):
-    """The 64-bit name of each line's set and the two halves of its 128-bit parity bitmap."""
-    starts = np.searchsorted(line, np.arange(count))
+def _names(hashes: np.ndarray, line: np.ndarray, count: int) -> np.ndarray:
+    """The 64-bit name of each line's set."""
     if not count:
-        return (hashes[:0].view(np.int64),) * 3
+        return hashes[:0].view(np.int64)
+    starts = np.searchsorted(line, np.arange(count))
     total = np.add.reduceat(ar.mix(hashes + ar.U64(17)), starts)
     twist = np.bitwise_xor.reduceat(ar.mix(hashes + ar.U64(29)), starts)
+    return ar.mix(total ^ ar.mix(twist)).view(np.int64)
+
+
+def _parities(hashes: np.ndarray, line: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the 128-bit parity bitmap of each line's set."""
+    if not count:
+        return (hashes[:0].view(np.int64),) * 2
+    starts = np.searchsorted(line, np.arange(count))
     bit = ar.U64(1) << (hashes & ar.U64(63))
-    upper = (hashes >> ar.U64(6)) & ar.U64(1) > 0
-    none = ar.U64(0)
-    parity = [np.bitwise_xor.reduceat(np.where(c, bit, none), starts) for c in (upper, ~upper)]
-    return ar.mix(total ^ ar.mix(twist)).view(np.int64), parity[0].view(np.int64), parity[1].view(np.int64)
+    upper = (hashes >> ar.U64(6)) & ar.U64(1)
+    high = bit * upper
+    parity = [np.bitwise_xor.reduceat(c, starts) for c in (high, bit ^ high)]
+    return parity[0].view(np.int64), parity[1].view(np.int64)
 
 
 def rarity_codes(docs: DataFrame, options: LineOptions = LineOptions()) -> np.ndarray:
@@ -135,7 +149,7 @@ def rarity_codes(docs: DataFrame, options: LineOptions = LineOptions()) -> np.nd
         for batch in batches:
             data, offsets = ar.text_bytes(batch.column(0))
             for low, high in ar.chunks(offsets, CHUNK_BYTES):
-                raw = ar.LOWER[data[offsets[low] : offsets[high]]]
+                raw = ar.lowered(data[offsets[low] : offsets[high]])
                 begin, end, _ = ar.words(raw, offsets[low : high + 1] - offsets[low], ar.NOT_BLANK)
                 kept.append((ar.fingerprints(ar.prefix_sums(raw), begin, end) & mask).astype(np.uint32))
                 size += len(begin)
@@ -170,7 +184,8 @@ def _lines(docs: DataFrame, codes, options: LineOptions) -> DataFrame:
             data, offsets = ar.text_bytes(batch.column(2))
             for low, high in ar.chunks(offsets, CHUNK_BYTES):
                 hashes, line, rows, numbers = line_words(data, offsets, low, high)
-                names, p0, p1 = _names(hashes, line, len(rows))
+                names = _names(hashes, line, len(rows))
+                p0, p1 = _parities(hashes, line, len(rows))
                 sizes = np.bincount(line, minlength=len(rows))
                 # of equal lines of a document the first
                 order = np.lexsort((np.arange(len(rows)), names, rows))
@@ -183,8 +198,8 @@ def _lines(docs: DataFrame, codes, options: LineOptions) -> DataFrame:
                 counts = (sizes >= options.least_words) & leaders
                 code = codes.value[(hashes & mask).astype(np.int64)]
                 # hashes are in order within a line, and the sort keeps them so
-                order = np.argsort(line * 256 + code, kind="stable")
-                place = np.arange(len(line)) - np.searchsorted(line, line)
+                order = ar.stable_order((line * 256 + code).astype(np.uint64), len(rows).bit_length() + 8)
+                place = np.arange(len(line)) - (np.cumsum(sizes) - sizes)[line]
                 shown = (place < (sizes - -(-FOUR * sizes // FIVE) + 1)[line]) & (counts & (sizes >= FOUR))[line]
                 # a word alone in its cell is in no other set, but keeps its place in the prefix
                 chosen = np.flatnonzero(shown)
@@ -431,7 +446,7 @@ def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 cuts = np.concatenate([[0], np.cumsum(sizes)])
                 chosen = raw[np.arange(cuts[-1]) + np.repeat(begin[some] - cuts[:-1], sizes)]
                 hashes, line, lines, _ = line_words(chosen, cuts, 0, len(some))
-                names, *_ = _names(hashes, line, len(lines))
+                names = _names(hashes, line, len(lines))
                 cuts = np.searchsorted(line, np.arange(len(lines) + 1))
                 words = [hashes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(words, pa.binary())], names=["set", "words"])
@@ -513,7 +528,7 @@ def _named_lines(docs: DataFrame, sets: DataFrame, options: LineOptions) -> Data
             data, offsets = ar.text_bytes(batch.column(2))
             for low, high in ar.chunks(offsets, CHUNK_BYTES):
                 hashes, line, rows, numbers = line_words(data, offsets, low, high)
-                names, *_ = _names(hashes, line, len(rows))
+                names = _names(hashes, line, len(rows))
                 counts = np.bincount(line, minlength=len(rows)) >= options.least_words
                 of_row = np.bincount(rows[counts], minlength=high - low)
                 some = np.flatnonzero(counts & passes(held.value, names))
