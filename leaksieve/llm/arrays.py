@@ -16,6 +16,7 @@ import pyarrow as pa
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # any odd number
 _POWERS: dict[str, np.ndarray] = {}
+_HELD: dict[tuple, object] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -139,8 +140,19 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return begin, end, np.searchsorted(begin, offsets)
 
 
+def held(key: tuple, build: Callable):
+    """What a worker process builds once and keeps for its next tasks: the latest alone, so that no operator pays for the
+    model of another that ran before it."""
+    if key not in _HELD:
+        _HELD.clear()
+        give_back()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def give_back() -> None:
     """Return freed memory to the machine. Workers serve one task after another, and what they keep adds up."""
+    _POWERS.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

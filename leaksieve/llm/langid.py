@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leaksieve.llm.arrays import tidy
+from leaksieve.llm.arrays import held, tidy
 from leaksieve.session import materialise
 
 BLOCK = 256
@@ -256,16 +256,9 @@ class CrossParser:
         return counts, sizes
 
 
-_PARSERS: dict[tuple, CrossParser] = {}
-
-
 def parser(samples: dict[str, str]) -> CrossParser:
     """One for each worker process and set of samples; only the samples travel."""
-    key = tuple(sorted(samples.items()))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(samples)
-    return _PARSERS[key]
+    return held(("languages", *sorted(samples.items())), lambda: CrossParser(samples))
 
 
 def identify(

@@ -26,7 +26,6 @@ _MARK[list(MARKS)] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
 MOST_WORDS = 300_000  # kept words; the older half goes beyond it
-_OPEN: dict[str, WordTokenizer] = {}
 
 
 # Words and marks of many kinds, to see whether a file's tokenizer takes texts apart at blanks.
@@ -202,6 +201,4 @@ class WordTokenizer:
 
 def tokenizer(path: str) -> WordTokenizer:
     """One for each worker process and file."""
-    if path not in _OPEN:
-        _OPEN[path] = WordTokenizer(path)
-    return _OPEN[path]
+    return ar.held(("tokenizer", path), lambda: WordTokenizer(path))
