@@ -29,6 +29,7 @@ from leaksieve.llm.fmindex import FMIndex
 
 WINDOW = 10
 SHARD_BYTES = 1 << 20
+PART_BYTES = 1 << 17  # of a shard, hashed at a time
 MARKS = ("__n_words", "__n_hit", "__items", "__hit_words")
 
 
@@ -80,6 +81,17 @@ def _word_numbers(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return numbers
 
 
+def _numbered(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray):
+    """Begins and ends of the words of a shard's rows, the first word of each row, and the words' numbers."""
+    begin, end, first = ar.words(data, offsets, ar.ALNUM)
+    numbers = []
+    for low, high in ar.chunks(offsets, PART_BYTES):
+        own, at = slice(first[low], first[high]), offsets[low]
+        sums = ar.prefix_sums(data[at : offsets[high]])
+        numbers.append(_word_numbers(ar.fingerprints(sums, begin[own] - at, end[own] - at), vocabulary))
+    return begin, end, first, np.concatenate(numbers)
+
+
 def search_shard(numbers: np.ndarray, first: np.ndarray, tests: TestSet) -> tuple[np.ndarray, list[set[int]]]:
     """Which words of a shard are hit, and the items found in each of its rows (``first``: rows' first words)."""
     rows = len(first) - 1
@@ -168,9 +180,7 @@ def _pass(docs: DataFrame, tests, cut: bool) -> DataFrame:
             for low, high in ar.chunks(offsets, SHARD_BYTES):
                 raw = data[offsets[low] : offsets[high]]
                 at = offsets[low : high + 1] - offsets[low]
-                lower = ar.LOWER[raw]
-                begin, end, first = ar.words(lower, at, ar.ALNUM)
-                numbers = _word_numbers(ar.fingerprints(ar.prefix_sums(lower), begin, end), known.vocabulary)
+                begin, end, first, numbers = _numbered(ar.lowered(raw), at, known.vocabulary)
                 hit, found = search_shard(numbers, first, known)
                 if again:
                     for k in range(high - low):

@@ -1,10 +1,15 @@
 """What a worker process keeps between tasks."""
 
 import gc
+import random
+import tracemalloc
 import weakref
 
+import numpy as np
+import pyarrow as pa
+
 from leaksieve.llm import arrays as ar
-from leaksieve.llm import langid, tokens
+from leaksieve.llm import decontaminate, langid, tokens
 from leaksieve.llm.queries import TOKENIZER
 
 
@@ -31,3 +36,22 @@ def test_powers_go_with_a_task():
     assert ar._POWERS
     assert list(ar.tidy(iter)([1, 2])) == [1, 2] and not ar._POWERS
     assert (ar.prefix_sums(ar.VALUE.view("uint8")) == before).all()
+
+
+def test_words_of_a_shard():
+    """Numbered part by part: the same as at once, in less than 24 bytes for each byte of text, where it took 35."""
+    rng = random.Random(3)
+    texts = ["", *(" ".join(f"Word{rng.randrange(900)}" for _ in range(rng.randrange(600))) for _ in range(400)), "", "word1"]
+    data, offsets = ar.text_bytes(pa.array(texts))
+    data = ar.lowered(data)
+    begin, end, first = ar.words(data, offsets, ar.ALNUM)
+    hashes = ar.fingerprints(ar.prefix_sums(data), begin, end)
+    vocabulary = np.unique(hashes)[::3]
+    ar.give_back()
+    tracemalloc.start()
+    got = decontaminate._numbered(data, offsets, vocabulary)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = begin, end, first, decontaminate._word_numbers(hashes, vocabulary)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True)) and want[3].any()
+    assert len(data) > 5 * decontaminate.PART_BYTES and most < 24 * len(data)
