@@ -15,6 +15,9 @@ from leaksieve.llm import decontaminate, jaccard, langid, lines, modest_batches,
 from leaksieve.llm.queries import TOKENIZER
 from leaksieve.session import materialise
 
+#: rows of a batch of texts: a stage's memory comes on top of what the stages before it left in an executor
+BATCH = 250
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -44,7 +47,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _stage(function: Stage) -> Stage:
-    return lambda spark, docs, sf_dir: function(modest_batches(spark), docs, sf_dir)
+    return lambda spark, docs, sf_dir: function(modest_batches(spark, BATCH), docs, sf_dir)
 
 
 STAGES: list[tuple[str, Stage]] = [

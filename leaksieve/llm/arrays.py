@@ -150,6 +150,11 @@ def held(key: tuple, build: Callable):
     return _HELD[key]
 
 
+def forget() -> None:
+    """Let go of what ``held`` keeps."""
+    _HELD.clear()
+
+
 def give_back() -> None:
     """Return freed memory to the machine. Workers serve one task after another, and what they keep adds up."""
     _POWERS.clear()
@@ -160,10 +165,13 @@ def give_back() -> None:
         pass
 
 
-def tidy(run: Callable) -> Callable:
-    """A function over batches that gives its memory back at the end of a task."""
+def tidy(run: Callable, model: bool = False) -> Callable:
+    """A function over batches that gives its memory back at the end of a task. Unless it works with a ``held`` model, that of
+    an operator before it goes first."""
 
     def tidied(batches):
+        if not model:
+            forget()
         yield from run(batches)
         give_back()
 

@@ -294,7 +294,7 @@ def identify(
             columns += [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return docs.select(*[docs[f"`{f.name}`"] for f in kept]).mapInArrow(tidy(run), schema)
+    return docs.select(*[docs[f"`{f.name}`"] for f in kept]).mapInArrow(tidy(run, model=True), schema)
 
 
 def held_out(key: str = "doc_id"):

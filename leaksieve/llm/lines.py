@@ -39,7 +39,8 @@ from leaksieve.session import materialise
 
 CHUNK_BYTES = 1 << 18
 BLOCK = 1 << 16
-PAIRS = 1 << 19  # pairs that are filtered at a time, words that are counted
+COUNTED = 1 << 19  # words that are counted at a time
+PAIRS = 1 << 17  # pairs that are filtered at a time
 BLOCK_SETS = 1500  # sets on each side of a block
 ENTRIES = 1 << 18  # entries that a task packs at a time
 
@@ -153,7 +154,7 @@ def rarity_codes(docs: DataFrame, options: LineOptions = LineOptions()) -> np.nd
                 begin, end, _ = ar.words(raw, offsets[low : high + 1] - offsets[low], ar.NOT_BLANK)
                 kept.append((ar.fingerprints(ar.prefix_sums(raw), begin, end) & mask).astype(np.uint32))
                 size += len(begin)
-                if size >= PAIRS:
+                if size >= COUNTED:
                     yield told(np.concatenate(kept))
                     kept, size = [], 0
         if size:
@@ -230,24 +231,37 @@ _KINDS = {
 }
 
 
+def _pack_entries(kept: list[list[np.ndarray]], slots: int) -> pa.RecordBatch:
+    """For each slot of words one row of arrays, from parts of hashes and of the columns behind ``word``, which are emptied.
+
+    Columns go one by one and are not copied again, so little more is held than the entries twice.
+    """
+    hashes = np.concatenate(kept[0])
+    slot = ((hashes >> ar.U64(40)) * ar.U64(slots) >> ar.U64(24)).astype(np.int64)
+    kept[0][:] = [hashes.astype(np.uint32)]
+    order = np.lexsort((kept[0][0], slot))
+    edges = np.searchsorted(slot[order], np.arange(slots + 1))
+    del hashes, slot
+    some = np.flatnonzero(np.diff(edges))
+    cuts = np.append(edges[some], edges[-1])
+    rows = []
+    for parts in kept:
+        column = np.concatenate(parts)[order]
+        parts.clear()
+        buffers = [None, pa.py_buffer((cuts * column.itemsize).astype(np.int32)), pa.py_buffer(column)]
+        rows.append(pa.Array.from_buffers(pa.binary(), len(some), buffers))
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *rows], names=["slot", *_KINDS])
+
+
 def _packed_entries(sets: DataFrame, slots: int) -> DataFrame:
     """Sets at the words of their prefixes: for each slot of words one row of arrays from a chunk of sets.
 
     A word is the lower half of its hash, the slot its upper bits: words that look alike only add candidates.
     """
-
-    def pack(columns: list[np.ndarray], hashes: np.ndarray) -> pa.RecordBatch:
-        slot = ((hashes >> ar.U64(40)) * ar.U64(slots) >> ar.U64(24)).astype(np.int64)
-        columns = [hashes.astype(np.uint32), *columns]
-        order = np.lexsort((columns[0], slot))
-        slot, columns = slot[order], [c[order].astype(k) for c, k in zip(columns, _KINDS.values())]
-        edges = np.searchsorted(slot, np.arange(slots + 1))
-        some = np.flatnonzero(np.diff(edges)).tolist()
-        rows = [pa.array([c[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary()) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *rows], names=["slot", *_KINDS])
+    kinds = list(_KINDS.values())[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[list[np.ndarray]] = []
+        kept: list[list[np.ndarray]] = [[] for _ in _KINDS]
         size = 0
         for batch in batches:
             prefix = batch.column(6)
@@ -257,15 +271,15 @@ def _packed_entries(sets: DataFrame, slots: int) -> DataFrame:
             place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             some = hashes != 0
             row, own = row[some], [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]]
-            kept.append([*(c[row] for c in own), place[some], hashes[some]])
+            for parts, column, kind in zip(kept[1:], [*(c[row] for c in own), place[some]], kinds):
+                parts.append(column.astype(kind))
+            kept[0].append(hashes[some])
             size += len(row)
             if size >= ENTRIES:
-                *columns, words = map(np.concatenate, zip(*kept))
-                yield pack(columns, words)
-                kept, size = [], 0
+                yield _pack_entries(kept, slots)
+                size = 0
         if size:
-            *columns, words = map(np.concatenate, zip(*kept))
-            yield pack(columns, words)
+            yield _pack_entries(kept, slots)
 
     rows = sets.select("set", "p0", "p1", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n", "prefix")
     return rows.mapInArrow(ar.tidy(run), "slot int, " + ", ".join(f"{k} binary" for k in _KINDS))

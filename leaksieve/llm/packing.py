@@ -75,7 +75,7 @@ def token_pieces(docs: DataFrame, path: str, options: PackOptions = PackOptions(
                 )
 
     schema = PIECES.format(kind=kind).replace(", _row bigint", "")
-    return docs.select("doc_id", "text").mapInArrow(ar.tidy(run), schema)
+    return docs.select("doc_id", "text").mapInArrow(ar.tidy(run, model=True), schema)
 
 
 def lower_bound(counts: np.ndarray, size: int) -> int:
