@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaksieve.functions import text as tx
-from leaksieve.sources.ranges import place_of
+from leaksieve.sources.ranges import binary_files, list_files, place_of, read_files, task_folder
 
 REPLACEMENT = "\ufffd"
 KEPT = "\ufdd0\ufdd1"  # noncharacters that stand for a genuine replacement character during the repair
@@ -26,15 +26,14 @@ def read_text_files(spark: SparkSession, path: str, pattern: str | None = None,
 
     Other files are skipped before any decoding, empty ones too, and line ends become ``\\n``. The
     url is the file's path without the ``file:`` scheme. Files of more than ``most`` bytes are left out:
-    ``plans.files.scan_files`` reads them in pieces.
+    ``plans.files.scan_files`` reads them in pieces. Folders are listed, and files opened, by tasks where these
+    can; else Spark's reader does it, with all paths on the driver.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(path).where(F.col("length") > 0)
+    by_tasks = task_folder(spark, path) is not None
+    files = list_files(spark, path, pattern) if by_tasks else binary_files(spark, path, pattern).where(F.col("length") > 0)
     if most is not None:
         files = files.where(F.col("length") <= most)
-    files = files.select("path", "content")
+    files = read_files(files) if by_tasks else files.select("path", "content")
     texts = files.where(F.is_valid_utf8(F.col("content").cast("string")))
     url = F.regexp_replace("path", "^file:(//)?", "")
     return _file_tickets(texts, "LocalFilesystem", url, tx.unix_newlines(F.decode("content", "UTF-8")))
