@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,21 +40,40 @@ def read_text_files(spark: SparkSession, path: str, pattern: str | None = None,
     return _file_tickets(texts, "LocalFilesystem", url, tx.unix_newlines(F.decode("content", "UTF-8")))
 
 
-def write_text_files(rows: DataFrame, path: str) -> None:
+def pack_texts(texts: Column) -> Column:
+    """Texts compressed one by one, for exchanges of texts that files are made of; ``unpack_text`` has their bytes again."""
+
+    def pack(text: str) -> bytes:
+        raw = text.encode()
+        return len(raw).to_bytes(8) + pa.compress(raw, "zstd", asbytes=True)  # the length is asked for again
+
+    @F.arrow_udf("binary")
+    def packed(texts: pa.Array) -> pa.Array:
+        return pa.array([pack(x.as_py()) if x.is_valid else None for x in texts], pa.binary())
+
+    return packed(texts)
+
+
+def unpack_text(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8]), "zstd", asbytes=True)
+
+
+def write_text_files(rows: DataFrame, path: str, encode: Callable[[Any], bytes] = lambda text: (text or "").encode()) -> None:
     """Write ``name, text`` rows as files below a path, one each, whose names may hold folders.
 
     Tasks write the files themselves, wherever ``pyarrow`` can: for many small files Spark's writers take most of their time to
-    make, permit and move each of them. A task that is repeated writes the same files again. Names must differ.
+    make, permit and move each of them. A task that is repeated writes the same files again. Names must differ. Texts may be
+    anything that ``encode`` makes a file's bytes of.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = place_of(path)
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 file = f"{top}/{name}"
                 system.create_dir(file.rpartition("/")[0], recursive=True)
                 with system.open_output_stream(file, compression=None) as out:
-                    out.write((text or "").encode())
+                    out.write(encode(text.as_py()))
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
     rows.select("name", "text").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()

@@ -4,10 +4,11 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from leaksieve.sources import ranges
-from leaksieve.sources.files import read_text_files, write_text_files
+from leaksieve.sources.files import pack_texts, read_text_files, unpack_text, write_text_files
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -126,3 +127,18 @@ def test_whole_files_go_in_small_batches_and_many_tasks(spark, tmp_path, monkeyp
             ranges.read_files(ranges.list_files(spark, str(tmp_path))).collect()
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_texts_that_are_packed_come_back(spark):
+    texts = ["", "a", "é\x00\r\n漢字🙂", "many words " * 10_000, None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    packed = {r.k: r.p for r in rows.select("k", pack_texts(F.col("text")).alias("p")).collect()}
+    assert len(packed[3]) < 1000 and packed.pop(4) is None
+    assert [unpack_text(bytes(packed[k])).decode() for k in range(4)] == texts[:4]
+
+
+def test_documents_that_share_a_number_share_a_file(spark, tmp_path):
+    rows = [(1, "one", "en", "s", 3), (1, "one", "en", "s", 3), (2, "", "en", "s", 0), (3, None, "en", "s", 0), (4, "x\r\ny", "en", "s", 4)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_chars) for r in entry.queries()["read_text_files_each"](spark, str(tmp_path)).collect())
+    assert got == [(1, 3), (2, 0), (3, 0), (4, 3)]
